@@ -58,11 +58,22 @@ def with_uid(df: DataFrame, name: str = "uid") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
-def fresh(df: DataFrame, base: str) -> str:
-    """A column name that the table doesn't have."""
-    while base.lower() in {c.lower() for c in df.columns}:
-        base += "_"
-    return base
+def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns that are computed once for each row, whatever reads them later.
+
+    Filters and projections above are not merged into an explode of one struct, so they can't repeat its expressions.
+    """
+    rest = [F.col(f"`{c}`") for c in df.columns if c.lower() not in {k.lower() for k in columns}]
+    one = F.explode(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))).alias("computed_")
+    return df.select("*", one).select(*rest, *(F.col("computed_")[k].alias(k) for k in columns))
+
+
+def carried(docs: DataFrame, **columns: str) -> DataFrame:
+    """The whole row in one column doc_, beside the columns an operator works on, so that no names can clash.
+
+    `.select("doc_.*")` brings the row back.
+    """
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc_"), *(F.col(f"`{c}`").alias(k) for k, c in columns.items()))
 
 
 def lower_az(c: Column) -> Column:

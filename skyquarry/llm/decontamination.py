@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import limited_batches, ship, table, words_of
+from .common import carried, limited_batches, ship, table, words_of
 
 ship(__name__)
 
@@ -211,7 +211,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """docs without those that hold a benchmark item."""
-    return matches(docs, benchmark, text).filter(F.size("found_") == 0).select(*docs.columns)
+    return matches(carried(docs, text=text), benchmark).filter(F.size("found_") == 0).select("doc_.*")
 
 
 def op9_decontamination(spark, sf_dir):

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, lower_az, table, words_col
+from .common import SPACES, carried, computed, table, words_col, written
 
 MIN_WORDS = 50
 #: Shortest documents, in words, whose character classes and common words are compared.
@@ -36,31 +36,41 @@ COMMON = {
     "it": ["di", "e", "il", "la", "che", "in", "un", "per", "del", "non", "con", "una"],
     "pt": ["de", "a", "o", "que", "e", "do", "da", "em", "um", "para", "com", "os"],
 }
+#: Longest words, marks included, that are looked at for common ones.
+SHORT_WORD = 6
 _ALL_COMMON = sorted({w for ws in COMMON.values() for w in ws})
 
 
-def base(text: Column, words: Column) -> dict[str, Column]:
-    """Counts of a text. words: its words_col, as a column that is not computed again for each use."""
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
+def features(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with q_text, its q_words, and q_rest: all characters but a-z and white space. Null texts count as empty."""
+    df = computed(docs, {"q_text": F.coalesce(F.col(text), F.lit("")), "q_words": words_col(F.col(text))})
+    return computed(df, {"q_rest": F.regexp_replace("q_text", r"[a-z\x20\t-\r]+", ""), "q_size": F.length("q_text"), "q_in_words": F.length(F.array_join("q_words", ""))})
+
+
+def base() -> dict[str, Column]:
+    """Counts of a text with features()."""
+    lines = F.filter(F.split("q_text", "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     return {
-        "n_words": F.size(words).cast("long"),
-        "word_chars": F.length(F.translate(text, SPACES, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": F.aggregate(F.array(lines), F.lit(0), lambda _, x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+        "n_words": F.size("q_words").cast("long"),
+        "word_chars": F.col("q_in_words").cast("long"),
+        "n_symbols": (F.length("q_rest") - F.length(F.translate("q_rest", SYMBOLS, ""))).cast("long"),
+        "n_dup_lines": F.when(F.contains("q_text", F.lit("\n")), _once(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))).otherwise(0).cast("long"),
     }
 
 
 def repeat_words(words: Column) -> Column:
     """Words that lie in a 3-word window found twice or more: O(n log n) in the words.
 
-    Windows are sorted with their places; equal neighbours mark repeated ones; each place, in order, adds the words up to
-    the next place, three at most.
+    Windows are compared by 64-bit hashes within a document. Most documents repeat none, which a set of the hashes shows.
+    Otherwise the hashes are sorted with their places; equal neighbours mark repeated windows; each place, in order, adds
+    the words up to the next place, three at most.
     """
-    n = F.size(words)
-    triples = F.arrays_zip(F.slice(words, 1, F.greatest(n - 2, F.lit(0))).alias("a"), F.slice(words, 2, F.greatest(n - 2, F.lit(0))).alias("b"), F.slice(words, 3, F.greatest(n - 2, F.lit(0))).alias("c"))
-    windows = F.transform(triples, lambda x: F.concat_ws(" ", x["a"], x["b"], x["c"]))
-    few = F.lit(0).cast("long")
-    return F.when(n < 4, few).otherwise(_covered(windows))
+    n, none = F.size(words), F.lit(0).cast("long")
+    most = F.greatest(n - 2, F.lit(0))
+    triples = F.arrays_zip(F.slice(words, 1, most).alias("a"), F.slice(words, 2, most).alias("b"), F.slice(words, 3, most).alias("c"))
+    hashes = F.transform(triples, lambda x: F.xxhash64(x["a"], x["b"], x["c"]))
+    counted = _once(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), none).otherwise(_once(_places(h), _covered)))
+    return F.when(n < 4, none).otherwise(counted)
 
 
 def _once(value: Column, then) -> Column:
@@ -68,74 +78,75 @@ def _once(value: Column, then) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def _covered(windows: Column) -> Column:
-    def places(ws: Column) -> Column:
-        placed = F.array_sort(F.transform(ws, lambda x, i: F.struct(x.alias("w"), i.alias("i"))))
-        return _once(placed, lambda s: F.array_sort(_marked(s)))
+def _places(hashes: Column) -> Column:
+    """Places, rising, of hashes that stand elsewhere too."""
+    def marked(s: Column) -> Column:
+        most = F.greatest(F.size(s) - 1, F.lit(0))
+        none = F.array(F.lit(None).cast("long"))
+        near = F.arrays_zip(s.alias("s"), F.slice(s["h"], 2, most).alias("n"), F.concat(none, F.slice(s["h"], 1, most)).alias("p"))
+        return F.transform(F.filter(near, lambda x: (x["s"]["h"] == x["n"]) | (x["s"]["h"] == x["p"])), lambda x: x["s"]["i"])
 
-    def covered(p: Column) -> Column:
-        after = F.concat(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), F.array(F.lit(1 << 30)))
-        gaps = F.zip_with(p, after, lambda x, y: F.least(y - x, F.lit(3)).cast("long"))
-        return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)
+    return F.sort_array(_once(F.sort_array(F.transform(hashes, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), marked))
 
-    def counted(ws: Column) -> Column:
-        return F.when(F.size(F.array_distinct(ws)) == F.size(ws), F.lit(0).cast("long")).otherwise(_once(places(ws), lambda p: F.when(F.size(p) == 0, F.lit(0).cast("long")).otherwise(covered(p))))
 
-    return _once(windows, counted)
+def _covered(places: Column) -> Column:
+    after = F.concat(F.slice(places, 2, F.greatest(F.size(places) - 1, F.lit(0))), F.array(F.lit(1 << 30)))
+    gaps = F.zip_with(places, after, lambda x, y: F.least(y - x, F.lit(3)).cast("long"))
+    return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def _marked(s: Column) -> Column:
-    """Places of windows that equal the one before or after in sorted order."""
-    shift = F.slice(s["w"], 2, F.greatest(F.size(s) - 1, F.lit(0)))
-    back = F.concat(F.array(F.lit(None).cast("string")), F.slice(s["w"], 1, F.greatest(F.size(s) - 1, F.lit(0))))
-    rows = F.arrays_zip(s["w"].alias("w"), s["i"].alias("i"), shift.alias("n"), back.alias("p"))
-    return F.transform(F.filter(rows, lambda x: x["w"].eqNullSafe(x["n"]) | x["w"].eqNullSafe(x["p"])), lambda x: x["i"])
+def class_shares() -> Column:
+    """Array of the shares of character classes in a text with features(); zeros for an empty one."""
+    size, rest = F.col("q_size"), F.length("q_rest")
+    spaces = size - F.col("q_in_words")
+    each = {k: rest - F.length(F.translate("q_rest", chars, "")) for k, chars in CLASSES.items()} | {"lower": size - spaces - rest, "space": spaces}
+    other = size
+    for x in each.values():
+        other = other - x
+    return F.array(*(F.coalesce(x / F.nullif(size, F.lit(0)), F.lit(0.0)) for x in [*each.values(), other]))
 
 
-def class_shares(text: Column) -> Column:
-    """Array of the shares of character classes; zeros for an empty text."""
-    size = F.length(text)
-    each = [size - F.length(F.translate(text, chars, "")) for chars in CLASSES.values()]
-    rest = size
-    for x in each:
-        rest = rest - x
-    return F.array(*(F.coalesce(x / F.nullif(size, F.lit(0)), F.lit(0.0)) for x in [*each, rest]))
-
-
-def common_counts(words: Column) -> Column:
-    """How often each of _ALL_COMMON stands among the words, A-Z lower-cased and marks around them dropped."""
+def common_counts(words: Column, lang: Column) -> Column:
+    """How often each common word of the language stands among the words of SHORT_WORD characters or fewer, without case
+    and marks; of a language without a list, each of _ALL_COMMON."""
+    short = F.array_join(F.filter(words, lambda x: F.length(x) <= SHORT_WORD), " ")
     # two spaces between words, so that a word's neighbours don't share one
-    plain = F.concat(F.lit(" "), F.regexp_replace(lower_az(F.array_join(words, " ")), r"[\s.,;:!?\"'()\[\]*#$%&|<>]+", "  "), F.lit(" "))
-    return _once(plain, lambda s: F.array(*(((F.length(s) - F.length(F.replace(s, F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("double") for w in _ALL_COMMON)))
+    plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(short), r"[\s.,;:!?\"'()\[\]*#$%&|<>]+", "  "), F.lit(" "))
+    asked = F.array(*(F.lit(f" {w} ") for w in _ALL_COMMON))
+    for k, ws in COMMON.items():
+        asked = F.when(lang == k, F.array(*(F.lit(f" {w} ") for w in ws))).otherwise(asked)
+    return _once(plain, lambda s: F.transform(asked, lambda w: (F.length(s) - F.length(F.replace(s, w, F.lit("")))) / F.length(w)))
 
 
-def _shares(counts: Column, n: Column, lang: str) -> Column:
-    one = [F.element_at(counts, _ALL_COMMON.index(w) + 1) / F.greatest(n, F.lit(1)) for w in COMMON[lang]]
+def _shares(counts: Column, n: Column, places: list[int]) -> Column:
+    one = [F.element_at(counts, i + 1) / F.greatest(n, F.lit(1)) for i in places]
     rest = F.lit(1.0)
     for x in one:
         rest = rest - x
     return F.array(*one, F.greatest(rest, F.lit(0.0)))
 
 
-def features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with struct column q_: words and text that later columns use; null texts count as empty."""
-    return docs.withColumn("q_text", F.coalesce(F.col(text), F.lit(""))).withColumn("q_words", words_col(F.col("q_text")))
+def measured(docs: DataFrame, all_counts: bool = True) -> DataFrame:
+    """docs (text, lang and others) with q_n words, q_classes and q_counts; all_counts: and with the base counts."""
+    df = features(docs)
+    words = F.col("q_words")
+    own = base() | {"n_repeat_words": repeat_words(words)} if all_counts else {"n_words": F.size(words).cast("long")}
+    df = computed(df, own | {"q_classes": class_shares(), "q_counts": common_counts(words, F.col("lang"))})
+    return df.drop("q_text", "q_words", "q_rest", "q_size", "q_in_words")
 
 
-def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, tuple[list[float], list[float]]]:
+def references(df: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     """For each language of COMMON with MIN_REFERENCE documents: mean shares of classes and of common words.
 
-    One sum over all documents; the result has at most one row for each language of COMMON.
+    One sum over all measured() documents; the result has at most one row for each language of COMMON.
     """
-    rows = docs.filter(F.col(lang).isin(*COMMON)).select(F.col(lang).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.select("lang", class_shares(F.col("text")).alias("c"), words_col(F.col("text")).alias("w")).select("lang", "c", F.size("w").alias("n"), common_counts(F.col("w")).alias("k"))
-    n_c, n_k = len(CLASSES) + 1, len(_ALL_COMMON)
-    sums = [F.avg(F.when(F.col("n") > 0, F.element_at("c", i + 1))).alias(f"c{i}") for i in range(n_c)] + [F.sum(F.element_at("k", i + 1)).alias(f"k{i}") for i in range(n_k)]
+    n_c, n_k = len(CLASSES) + 1, max(map(len, COMMON.values()))
+    sums = [F.avg(F.when(F.col("n_words") > 0, F.element_at("q_classes", i + 1))).alias(f"c{i}") for i in range(n_c)] + [F.sum(F.get("q_counts", i)).alias(f"k{i}") for i in range(n_k)]
     out = {}
-    for r in rows.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("n").alias("n"), *sums).collect():
+    for r in df.filter(F.col("lang").isin(*COMMON)).groupBy("lang").agg(F.count("*").alias("docs"), F.sum("n_words").alias("n"), *sums).collect():
         if r["docs"] < MIN_REFERENCE or not r["n"]:
             continue
-        shares = [r[f"k{_ALL_COMMON.index(w)}"] / r["n"] for w in COMMON[r["lang"]]]
+        shares = [r[f"k{i}"] / r["n"] for i in range(len(COMMON[r["lang"]]))]
         out[r["lang"]] = ([r[f"c{i}"] for i in range(n_c)], [*shares, max(0.0, 1 - sum(shares))])
     return out
 
@@ -149,25 +160,33 @@ def distance(p: Column, q: list[float]) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
 
 
-def judged(docs: DataFrame, known: dict, text: str = "text", lang: str = "lang") -> DataFrame:
-    """docs with the columns n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and the distances.
+def judged(df: DataFrame, known: dict) -> DataFrame:
+    """measured() documents with class_distance, common_distance, base_failed and kept.
 
-    Columns of those names in docs are replaced. Null and empty texts have no words and fail the base rules.
+    Null and empty texts have no words and fail the base rules.
     """
-    df = features(docs, text)
-    words = F.col("q_words")
-    df = df.withColumns(base(F.col("q_text"), words) | {"n_repeat_words": repeat_words(words), "q_classes": class_shares(F.col("q_text")), "q_counts": common_counts(words)})
-    n = F.col("n_words")
-    by = {k: (distance(F.col("q_classes"), c), distance(_shares(F.col("q_counts"), n, k), w)) for k, (c, w) in known.items()}
-    for i, name in enumerate(("class_distance", "common_distance")):
-        own = F.lit(None).cast("double")
-        for k, ds in by.items():
-            own = F.when(F.col(lang) == k, ds[i]).otherwise(own)
-        near = F.least(*(ds[i] for ds in by.values())) if len(by) > 1 else (next(iter(by.values()))[i] if by else F.lit(0.0))
-        df = df.withColumn(name, F.round(F.coalesce(own, near), 9))
+    n, lang = F.col("n_words"), F.col("lang")
+    # without an own reference the nearest one counts, and without any none is too far
+    listed = lang.isin(*COMMON)
+    words = {k: (distance(_shares(F.col("q_counts"), n, list(range(len(COMMON[k])))), w), distance(_shares(F.col("q_counts"), n, [_ALL_COMMON.index(x) for x in COMMON[k]]), w)) for k, (_, w) in known.items()}
+    classes = {k: distance(F.col("q_classes"), c) for k, (c, _) in known.items()}
+    near = _least(list(classes.values())), F.when(F.coalesce(listed, F.lit(False)), F.lit(0.0)).otherwise(_least([d for _, d in words.values()]))
+    for k in known:
+        near = F.when(lang == k, classes[k]).otherwise(near[0]), F.when(lang == k, words[k][0]).otherwise(near[1])
+    df = computed(df, {"class_distance": F.round(near[0], 9), "common_distance": F.round(near[1], 9)})
     failed = (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * n)
     far = ((n >= MIN_FOR_CLASSES) & (F.col("class_distance") > MAX_CLASSES + SHORT / n)) | ((n >= MIN_FOR_COMMON) & (F.col("common_distance") > MAX_COMMON))
-    return df.withColumn("base_failed", failed).withColumn("kept", ~failed & ~far).drop("q_text", "q_words", "q_classes", "q_counts")
+    return df.withColumn("base_failed", failed).withColumn("kept", ~failed & ~far).drop("q_classes", "q_counts")
+
+
+def _least(columns: list[Column]) -> Column:
+    return F.least(*columns) if len(columns) > 1 else columns[0] if columns else F.lit(0.0)
+
+
+def kept_documents(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """docs without those that the rules reject. Texts are read twice: for the references, and to be judged."""
+    rows = carried(docs, text=text, lang=lang)
+    return judged(measured(rows), references(measured(rows, all_counts=False))).filter("kept").select("doc_.*")
 
 
 COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "common_distance"]
@@ -175,4 +194,5 @@ COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 def op7_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return judged(docs.select("doc_id", "text", "lang"), references(docs)).select("doc_id", *COLUMNS)
+    df = written(measured(docs.select("doc_id", "text", "lang")).drop("text"), "quality-measures")
+    return judged(df, references(df)).select("doc_id", *COLUMNS)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import limited_batches, ship, table, with_uid, word_bytes, written
+from .common import carried, limited_batches, ship, table, with_uid, word_bytes, written
 from .components import components
 
 ship(__name__)
@@ -174,15 +174,14 @@ def links(fingerprints: DataFrame) -> DataFrame:
     return rows.mapInPandas(_bucket_links, "a long, b long").distinct()
 
 
-def fingerprinted(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: bool = False) -> DataFrame:
-    """A written table of uid, doc_id and fp, one row for each row of docs; keep: with the other columns too."""
-    df = limited_batches(with_uid(docs, "uid_")).withColumn("fp_", fingerprint_col(F.col(text)))
-    return written(df if keep else df.select("uid_", F.col(key).alias("doc_id"), "fp_"), "simhash")
+def fingerprinted(rows: DataFrame) -> DataFrame:
+    """rows with doc_id and text -> a written table with uid_ and fp_ instead of text, one row for each row."""
+    return written(limited_batches(with_uid(rows, "uid_")).withColumn("fp_", fingerprint_col(F.col("text"))).drop("text"), "simhash")
 
 
-def classes(prints: DataFrame, key: str = "doc_id") -> DataFrame:
+def classes(prints: DataFrame) -> DataFrame:
     """(fp_, first): for each fingerprint the smallest doc_id of its component (null only if all its ids are null)."""
-    one = written(prints.groupBy("fp_").agg(F.min(key).alias("first")), "simhash-fps")
+    one = written(prints.groupBy("fp_").agg(F.min("doc_id").alias("first")), "simhash-fps")
     roots = components(links(one.select(F.col("fp_").alias("fp"))))
     rooted = one.join(roots.select(F.col("node").alias("fp_"), "root"), "fp_", "left").withColumn("root", F.coalesce("root", "fp_"))
     first = rooted.groupBy("root").agg(F.min("first").alias("first"))
@@ -195,18 +194,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     Null and empty texts have fingerprint zero and are linked like any other. Rows with equal ids are rows of their own.
     component_id is null only where all ids of a component are null. An empty table gives an empty result.
     """
-    prints = fingerprinted(docs, text, key)
+    prints = fingerprinted(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")))
     out = prints.join(classes(prints), "fp_")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp_"), 16, "0")).alias("fingerprint"), F.col("first").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs without all but one row of each component: the one with the smallest id, and of several the first read."""
-    columns = docs.columns
-    rows = fingerprinted(docs, text, key, keep=True)
-    known = rows.select("uid_", F.col(key).alias("id_"), "fp_").join(classes(rows, key).select("fp_", "root"), "fp_")
-    stay = known.groupBy("root").agg(F.min(F.struct(F.col("id_").isNull().alias("none"), F.col("id_"), F.col("uid_"))).alias("s"))
-    return rows.join(stay.select(F.col("s.uid_").alias("uid_")), "uid_", "left_semi").select(*columns)
+    rows = fingerprinted(carried(docs, doc_id=key, text=text))
+    known = rows.select("uid_", "doc_id", "fp_").join(classes(rows).select("fp_", "root"), "fp_")
+    stay = known.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid_")).alias("s"))
+    return rows.join(stay.select(F.col("s.uid_").alias("uid_")), "uid_", "left_semi").select("doc_.*")
 
 
 def op6_simhash(spark, sf_dir):
