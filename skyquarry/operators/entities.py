@@ -148,6 +148,6 @@ def claims_from_lanes(records: DataFrame) -> DataFrame:
     marks = records.filter("kind <> 'delta'")
     v = Window.partitionBy("lane").orderBy("n")
     lost = marks.withColumn("until", F.lead("t").over(v)).filter("kind in ('gap', 'restart')")
-    names = own.select("lane", "entity").distinct()
-    unknown = lost.join(names, "lane").select("lane", names["entity"], F.lit("unknown").alias("kind"), F.lit("controller").alias("source"), F.col("n").alias("seq"), F.lit(None).cast("string").alias("version"), F.col("t").alias("valid_from"), F.col("until").alias("valid_to"), F.col("t").alias("system_from"))
+    names = own.select("lane", F.col("entity").alias("name_")).distinct()
+    unknown = lost.join(names, "lane").select("lane", F.col("name_").alias("entity"), F.lit("unknown").alias("kind"), F.lit("controller").alias("source"), F.col("n").alias("seq"), F.lit(None).cast("string").alias("version"), F.col("t").alias("valid_from"), F.col("until").alias("valid_to"), F.col("t").alias("system_from"))
     return asserts.unionByName(unknown)
