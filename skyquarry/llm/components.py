@@ -9,7 +9,7 @@ from .common import written
 
 
 def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(a, b) links -> (node, root) for every node that has a link; root is the smallest node of its component.
+    """(a, b) links -> (node, root) for every linked node but the roots; root is the smallest node of its component.
 
     Large-star and small-star rounds alternate until nothing changes: each round hangs a node's larger neighbours, then its
     smaller ones, on the smallest it knows. Each round is written, so a lost executor costs a part of one round. Neighbours
