@@ -151,3 +151,51 @@ def claims_from_lanes(records: DataFrame) -> DataFrame:
     names = own.select("lane", F.col("entity").alias("name_")).distinct()
     unknown = lost.join(names, "lane").select("lane", F.col("name_").alias("entity"), F.lit("unknown").alias("kind"), F.lit("controller").alias("source"), F.col("n").alias("seq"), F.lit(None).cast("string").alias("version"), F.col("t").alias("valid_from"), F.col("until").alias("valid_to"), F.col("t").alias("system_from"))
     return asserts.unionByName(unknown)
+
+
+def lookup_chain(facts: DataFrame, steps: list[tuple[DataFrame, str, str]], default: str = "") -> DataFrame:
+    """Follow keys through dimensions: each step is (dimension, key, column it gives); what isn't found reads as default.
+
+    A dimension's rows are folded to one for each key, so facts keep their number; Spark broadcasts those that are small.
+    """
+    out = facts
+    for dim, key, gives in steps:
+        one = dim.groupBy(key).agg(F.min(gives).alias(gives))
+        out = out.join(one, key, "left")
+    columns = [g for _, _, g in steps]
+    return out.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit(default)) for c in columns})
+
+
+def in_gaps(versions: DataFrame, gaps: DataFrame, key: str) -> DataFrame:
+    """versions with uncertain: does one begin or close inside a gap [lo, hi) of its cluster?"""
+    # gaps of a cluster are merged first, so that a version's ends meet one row at most each
+    merged = merge_overlapping(gaps, [key])
+    ends = versions.select(key, "version", F.explode(F.array("valid_from", "closed_at")).alias("t")).filter("t is not null")
+    hit = ends.join(merged, key).filter("t >= lo and t < hi").select(key, "version").distinct().withColumn("hit_", F.lit(True))
+    return versions.join(hit, [key, "version"], "left").withColumn("uncertain", F.coalesce("hit_", F.lit(False))).drop("hit_")
+
+
+def merge_overlapping(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Union of intervals [lo, hi) by key, as disjoint ones."""
+    w = Window.partitionBy(*keys).orderBy("lo", "hi")
+    before = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("new_", F.when(before.isNull() | (F.col("lo") > before), 1).otherwise(0)).withColumn("run_", F.sum("new_").over(w))
+    return rows.groupBy(*keys, "run_").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("run_")
+
+
+def claims_from_announcements(seen: DataFrame, tail: int) -> DataFrame:
+    """(entity, version, t) sightings -> claims that the version holds from its first sighting until `tail` after each.
+
+    A sighting only adds a claim if it reaches beyond what the ones before it said.
+    """
+    w = Window.partitionBy("entity", "version").orderBy("t")
+    first, before = F.min("t").over(w), F.max(F.col("t") + 1 + tail).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    until = F.col("t") + 1 + tail
+    rows = seen.withColumns({"valid_from": first, "old_": before}).filter(F.col("old_").isNull() | (until > F.col("old_")))
+    return rows.select("entity", F.lit("assert").alias("kind"), F.lit("announce").alias("source"), F.row_number().over(Window.partitionBy("entity").orderBy("t", "version")).cast("long").alias("seq"), "version", "valid_from", until.alias("valid_to"), F.col("t").alias("system_from"))
+
+
+def visible_persons(persons: DataFrame, resources: DataFrame, viewer: str, namespaces: list[str]) -> DataFrame:
+    """Persons that a viewer may resolve: itself, and those announced in a namespace that the viewer holds."""
+    there = resources.filter(F.col("namespace").isin(namespaces)).select("person").distinct()
+    return persons.filter(F.col("person") == viewer).unionByName(persons.filter(F.col("person") != viewer).join(there, "person", "left_semi"))

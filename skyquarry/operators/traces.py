@@ -116,3 +116,21 @@ def map_llm(spans: DataFrame, attributes: str = "attributes") -> DataFrame:
         number("gen_ai.usage.input_tokens", "gen_ai.usage.prompt_tokens").alias("input_tokens"), number("gen_ai.usage.output_tokens", "gen_ai.usage.completion_tokens").alias("output_tokens"),
         F.when(first("gen_ai.operation.name").isin("chat", "text_completion", "generate_content"), "GENERATION").when(first("gen_ai.operation.name") == "execute_tool", "TOOL").otherwise("SPAN").alias("type"),
     )
+
+
+def prepared_payload(text: Column, patterns: list[str], most: int = 8 << 20) -> Column:
+    """What is stored of a payload: secrets by pattern redacted first, then cut at `most` bytes, never inside a character."""
+    out = text
+    for p in patterns:
+        out = F.regexp_replace(out, p, "[redacted]")
+    return F.when(F.octet_length(out) <= most, out).otherwise(_fit(out, most))
+
+
+def _fit(text: Column, most: int) -> Column:
+    """The longest beginning of at most `most` bytes.
+
+    A character has four bytes at most, so a step may drop a quarter of the bytes too many, in characters, and never drops
+    one too many; a step leaves three quarters of the excess at most, so 80 steps are enough for any text.
+    """
+    steps = F.sequence(F.lit(0), F.lit(80))
+    return F.aggregate(steps, text, lambda t, _: F.when(F.octet_length(t) <= most, t).otherwise(F.left(t, (F.length(t) - F.ceil((F.octet_length(t) - most) / 4)).cast("int"))))

@@ -107,3 +107,77 @@ def group_by_map(spark, d):
     b = F.create_map(F.lit("s"), F.col("severity"), F.lit("u"), F.col("user_id").cast("string"))
     rows = logs(spark, d).withColumn("m", F.when(F.col("event_id") % 2 == 0, a).otherwise(b))
     return rows.groupBy(content_id("m").alias("id")).agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("k"))
+
+
+@query("SELECT o_orderkey, coalesce(c_nationkey::VARCHAR, '') AS nation, coalesce(r_name, '') AS region FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 7 <> 0 LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey")
+def dictionary_chain(spark, d):
+    """Order to customer to nation to region, an empty text where the chain breaks."""
+    c = read(spark, d, "customer").filter("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("cust"), F.col("c_nationkey").alias("nation"))
+    n = read(spark, d, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("rk"))
+    r = read(spark, d, "region").select(F.col("r_regionkey").alias("rk"), F.col("r_name").alias("region"))
+    o = read(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("cust"))
+    return E.lookup_chain(o, [(c, "cust", "nation"), (n, "nation", "rk"), (r, "rk", "region")]).select("o_orderkey", "nation", "region")
+
+
+_GAPS = with_(LOGS) + f", g AS (SELECT user_id, s AS lo, s + 7200 AS hi FROM ev WHERE event_id % 25 = 0), v AS (SELECT user_id, event_id AS version, s AS valid_from, lead(s) OVER (PARTITION BY user_id ORDER BY us, event_id) AS closed_at FROM ev WHERE event_id % 3 = 0)\n"
+
+
+@query(_GAPS + "SELECT user_id, version, EXISTS (SELECT 1 FROM g WHERE g.user_id = v.user_id AND ((v.valid_from >= lo AND v.valid_from < hi) OR (v.closed_at >= lo AND v.closed_at < hi))) AS uncertain FROM v")
+def versions_in_gaps(spark, d):
+    from pyspark.sql import Window
+
+    e = logs(spark, d)
+    gaps = e.filter("event_id % 25 = 0").select("user_id", F.col("s").alias("lo"), (F.col("s") + 7200).alias("hi"))
+    w = Window.partitionBy("user_id").orderBy("us", "event_id")
+    v = e.filter("event_id % 3 = 0").withColumn("closed_at", F.lead("s").over(w)).select("user_id", F.col("event_id").alias("version"), F.col("s").alias("valid_from"), "closed_at")
+    return E.in_gaps(v, gaps, "user_id").select("user_id", "version", "uncertain")
+
+
+@query(with_(LOGS) + "SELECT cluster, CASE WHEN producer = 'p2' AND received >= 1705276800 AND cluster <> 'c1' THEN 'recovered' ELSE 'live' END AS place, count(*) AS n FROM ev GROUP BY ALL")
+def retired_lanes(spark, d):
+    from ..operators.lanes import recovered
+
+    e = logs(spark, d)
+    lanes = e.select("cluster", "producer").distinct().withColumn("retired_at", F.when(F.col("producer") == "p2", T0 + 14 * DAY)).withColumn("admitted", F.col("cluster") == "c1")
+    live, away = recovered(e, lanes, ["cluster", "producer"])
+    both = live.withColumn("place", F.lit("live")).unionByName(away.withColumn("place", F.col("source")).drop("source"))
+    return both.groupBy("cluster", "place").agg(F.count("*").alias("n"))
+
+
+@query(with_(LOGS) + f", m AS (SELECT cluster, max(batch_id) AS h FROM ev WHERE received <= {T0 + 20 * DAY} AND batch_id % 5 = 0 GROUP BY cluster) SELECT DISTINCT ev.cluster, batch_id AS seq FROM ev JOIN m ON m.cluster = ev.cluster AND batch_id <= h")
+def collectable_slots(spark, d):
+    from ..operators.lanes import collectable
+
+    e = logs(spark, d)
+    slots = e.select("cluster", F.col("batch_id").alias("seq")).distinct()
+    marks = e.filter("batch_id % 5 = 0").select("cluster", F.col("batch_id").alias("position"), F.col("received").alias("at"))
+    return collectable(slots, marks, ["cluster"], T0 + 25 * DAY, 5 * DAY)
+
+
+@query("SELECT conv_id, turn, md5(left(regexp_replace(coalesce(text, ''), '[0-9]{4,}', '[redacted]', 'g'), 1000000)) AS body FROM conversations")
+def payload_redacted(spark, d):
+    c = read(spark, d, "conversations")
+    return c.select("conv_id", "turn", F.md5(T.prepared_payload(F.coalesce("text", F.lit("")), ["[0-9]{4,}"])).alias("body"))
+
+
+@query(with_(LOGS) + "SELECT s - s % 3600 AS hour, bool_or(received - s > 600) AS any_tail, count(*) AS n FROM ev GROUP BY hour")
+def tail_buckets(spark, d):
+    from ..operators.lanes import marked_buckets
+
+    e = logs(spark, d).withColumns({"hour": F.col("s") - F.col("s") % 3600, "tail": F.col("received") - F.col("s") > 600})
+    return marked_buckets(e, "hour").groupBy("hour", "any_tail").agg(F.count("*").alias("n"))
+
+
+@query(with_(LOGS) + "SELECT user_id AS person, count(*) AS n FROM ev WHERE user_id IN (SELECT user_id FROM ev WHERE namespace = 'ns1') OR user_id = 8 GROUP BY user_id")
+def persons_visible(spark, d):
+    e = logs(spark, d)
+    persons = e.groupBy(F.col("user_id").cast("string").alias("person")).agg(F.count("*").alias("n"))
+    seen = e.select(F.col("user_id").cast("string").alias("person"), "namespace")
+    return E.visible_persons(persons, seen, "8", ["ns1"]).select(F.col("person").cast("long").alias("person"), "n")
+
+
+@query(with_(LOGS) + "SELECT user_id, count(DISTINCT version) AS versions, min(s) AS first, max(s) + 3601 AS last FROM (SELECT user_id, event_type AS version, s FROM ev) GROUP BY user_id")
+def announced_claims(spark, d):
+    seen = logs(spark, d).select(F.col("user_id").alias("entity"), F.col("event_type").alias("version"), F.col("s").alias("t"))
+    out = E.claims_from_announcements(seen, 3600)
+    return out.groupBy(F.col("entity").alias("user_id")).agg(F.count_distinct("version").alias("versions"), F.min("valid_from").alias("first"), F.max("valid_to").alias("last"))

@@ -56,6 +56,71 @@ class Service:
         return Answer(rows, said, basis, late, added)
 
 
+def window_of(spark: SparkSession, sql: str, time: str = "s") -> tuple[int, int] | None:
+    """[lo, hi) of whole numbers from the conditions on `time`, if every SELECT over a table has the same; else None."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    found: list[tuple[int | None, int | None]] = []
+
+    def conjuncts(e):
+        if e.getClass().getSimpleName() == "And":
+            return conjuncts(e.left()) + conjuncts(e.right())
+        return [e]
+
+    def bounds(filters):
+        lo = hi = None
+        for e in filters:
+            kind = e.getClass().getSimpleName()
+            if kind not in ("GreaterThanOrEqual", "GreaterThan", "LessThan", "LessThanOrEqual"):
+                continue
+            column, value = e.left().sql(), e.right().sql()
+            if column.strip("`") != time or not value.rstrip("L").lstrip("-").isdigit():
+                continue
+            v = int(value.rstrip("L"))
+            if kind.startswith("Greater"):
+                lo = v + (kind == "GreaterThan") if lo is None else max(lo, v + (kind == "GreaterThan"))
+            else:
+                hi = v + (kind == "LessThanOrEqual") if hi is None else min(hi, v + (kind == "LessThanOrEqual"))
+        return lo, hi
+
+    def walk(p, filters, ctes):
+        kind = p.getClass().getSimpleName()
+        if kind == "UnresolvedRelation" and p.tableName().lower() not in ctes:
+            found.append(bounds(filters))
+        if kind == "Filter":
+            filters = filters + conjuncts(p.condition())
+        elif kind in ("Project", "Aggregate", "SubqueryAlias", "UnresolvedSubqueryColumnAliases") and filters and kind != "SubqueryAlias":
+            filters = []
+        if kind == "UnresolvedWith":
+            it = p.cteRelations().iterator()
+            while it.hasNext():
+                x = it.next()
+                ctes = ctes | {str(x._1()).lower()}
+                walk(x._2(), [], ctes)
+        for of in (p.children(), p.subqueries()):
+            it = of.iterator()
+            while it.hasNext():
+                walk(it.next(), filters, ctes)
+
+    walk(plan, [], set())
+    ok = len(set(found)) == 1 and None not in found[0]
+    return found[0] if ok else None
+
+
+class Results:
+    """Answers at a basis, kept by basis and query; what lies beyond a basis is never kept."""
+
+    def __init__(self, most: int = 32):
+        self.most, self.kept = most, {}
+
+    def get(self, basis: Basis, sql: str, make) -> DataFrame:
+        key = (tuple(sorted(basis.bounds.items())), sql)
+        if key not in self.kept:
+            while len(self.kept) >= self.most:
+                self.kept.pop(next(iter(self.kept))).unpersist()
+            self.kept[key] = make().persist()
+        return self.kept[key]
+
+
 def render(df: DataFrame, form: str, most: int = 100_000) -> str:
     """Result text; more than `most` rows are an error, never cut off."""
     rows = df.limit(most + 1).toJSON().collect()

@@ -106,3 +106,35 @@ def test_clamped_rate_and_reset(spark):
     p = spark.createDataFrame([("a", 1, 5.0), ("a", 2, 9.0), ("a", 3, 2.0), ("a", 4, 4.0)], "k string, t long, v double")
     assert [r["rate"] for r in M.clamped_rate(p, ["k"], ["t"], "v").orderBy("t").collect()] == [0.0, 4.0, 0.0, 2.0]
     assert abs(M.promql_rate(p, ["k"], "t", "v", 0, 9).first()["rate"] - (4 + 2 + 2) / 3) < 1e-9
+
+
+def test_window_of(spark):
+    from skyquarry.plans.service import window_of
+
+    w = lambda q: window_of(spark, q)
+    assert w("SELECT * FROM logs WHERE s >= 5 AND s < 9 AND x = 1") == (5, 9)
+    assert w("SELECT * FROM logs WHERE s > 5 AND s <= 9") == (6, 10)
+    assert w("SELECT * FROM logs WHERE s >= 5") is None
+    assert w("SELECT * FROM logs WHERE s >= 5 AND s < 9 UNION ALL SELECT * FROM logs WHERE s >= 5 AND s < 8") is None
+    assert w("WITH a AS (SELECT * FROM logs WHERE s >= 5 AND s < 9) SELECT * FROM a WHERE s >= 0 AND s < 1") == (5, 9)
+    assert w("SELECT * FROM logs WHERE s >= 5 OR s < 9") is None
+
+
+def test_payload_cut(spark):
+    df = spark.createDataFrame([("a" * 10,), ("éé€😀😀",), ("",), (None,), ("😀" * 50,)], "t string")
+    for most in (0, 3, 5, 7, 11, 12, 100):
+        for r in df.select("t", T.prepared_payload(F.col("t"), [], most).alias("p")).collect():
+            want = None if r["t"] is None else r["t"].encode()[:most].decode("utf-8", "ignore")
+            assert r["p"] == want
+
+
+def test_results_are_kept(spark):
+    from skyquarry.operators.control import Basis
+    from skyquarry.plans.service import Results
+
+    made = []
+    kept = Results(most=1)
+    make = lambda: made.append(1) or spark.range(3)
+    for b in (1, 1, 2, 1):
+        assert kept.get(Basis({"c": b}), "q", make).count() == 3
+    assert len(made) == 3
