@@ -84,8 +84,11 @@ def late_changes(old: DataFrame, new: DataFrame, rule: Rule, by: list[str]) -> D
     """
     fresh = new.join(old.select(*by, "end"), [*by, "end"], "left_anti")
     runs = episodes(new, rule, by)
-    touched = runs.join(fresh.groupBy(*by, "end").agg(F.lit(1).alias("x")), by) if by else runs.crossJoin(fresh)
-    touched = touched.filter((F.col("end") >= F.col("since")) & (F.col("end") <= F.col("until")))
+    # a run's name is its last window less its length; each window of the new answer knows its run
+    w = Window.partitionBy(*by).orderBy("end") if by else Window.partitionBy(F.lit(0)).orderBy("end")
+    run = new.select(*by, "end").withColumn("run_", F.col("end") - rule.every * F.row_number().over(w))
+    since = F.min("end").over(Window.partitionBy(*by, "run_"))
+    touched = run.withColumn("since", since).join(fresh.select(*by, "end"), [*by, "end"], "left_semi").join(runs, [*by, "since"])
     return touched.groupBy(*by, "since", "until", "fired_at").agg(F.count("*").alias("added"))
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import content_id, empty_matches, matches
 
 FOREVER = 1 << 62
+#: Parts over which claims about all entities are repeated.
+SPREAD = 64
 
 
 def as_of(dim: DataFrame, t: int, start: str = "valid_from", end: str = "valid_to") -> DataFrame:
@@ -93,9 +95,10 @@ def spread_all(claims: DataFrame) -> DataFrame:
     """Claims about all entities, repeated for each that is named somewhere."""
     one, all_ = claims.filter("entity is not null"), claims.filter("entity is null")
     names = one.select("entity").distinct()
-    # an equi join on a constant would meet in one task; names are dealt out and the few claims about all go to each
-    rows = names.join(F.broadcast(all_.drop("entity").withColumn("all_", F.lit(True))), F.lit(True))
-    return one.unionByName(rows.select(*one.columns))
+    # dealt out over SPREAD parts: each holds its names and all of the claims about all
+    part = F.pmod(F.xxhash64("entity"), F.lit(SPREAD)).alias("part_")
+    every = all_.drop("entity").withColumn("part_", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    return one.unionByName(names.select("entity", part).join(every, "part_").select(*one.columns))
 
 
 def point(claims: DataFrame, vt: int, st: int, trust: int) -> DataFrame:

@@ -82,7 +82,7 @@ def checked_receive_time(df: DataFrame, manifest: DataFrame) -> DataFrame:
     """df, failing the query if a row's receive time isn't the one its batch was announced with."""
     m = manifest.select("batch_id", F.col("received").alias("said_"))
     ok = F.assert_true(F.col("received").eqNullSafe(F.col("said_")), F.lit("receive time differs from the manifest"))
-    return df.join(F.broadcast(m), "batch_id", "left").withColumn("ok_", ok).filter(F.col("ok_").isNull()).drop("ok_", "said_")
+    return df.join(m, "batch_id", "left").withColumn("ok_", ok).filter(F.col("ok_").isNull()).drop("ok_", "said_")
 
 
 def windowed_counts(stream: DataFrame, time: str, window: str, every: str, by: list[str], lateness: str) -> DataFrame:
