@@ -77,9 +77,9 @@ def fold(text: str) -> str:
 
 
 def fold_col(text: Column) -> Column:
+    # of other characters none is an ASCII one in lower case, so lower() does for all of Unicode
     plain = F.replace(F.replace(text, F.lit("\u0130"), F.lit("i ")), F.lit("\u212a"), F.lit("k"))
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.regexp_replace(F.translate(plain, upper, upper.lower()), "[^a-z0-9_]", " ")
+    return F.regexp_replace(F.lower(plain), "[^a-z0-9_]", " ")
 
 
 def tokens_col(text: Column) -> Column:
@@ -88,11 +88,8 @@ def tokens_col(text: Column) -> Column:
 
 
 def has_tokens(text: Column, words: list[str]) -> Column:
-    """Every word stands in the text as a whole word."""
-    out = F.lit(True)
-    for w in words:
-        out = out & F.array_contains(tokens_col(text), w)
-    return out
+    """Every word stands in the text as a whole word; the text is cut into words once."""
+    return F.size(F.array_except(F.array(*map(F.lit, words)), tokens_col(text))) == 0
 
 
 def term_constraints(query: str) -> list[tuple[str, str]]:

@@ -212,15 +212,16 @@ def files_with_text(files: DataFrame, index: DataFrame, query: str, file: str =
     """Files that can hold the query, by the index; files that the index doesn't cover (covered false) are kept."""
     from ..functions.columns import term_constraints, term_matches
 
-    out = files
-    for kind, run in term_constraints(query):
-        hit = index.filter(term_matches(F.col("term"), kind, run))
-        every = hit.filter(F.col(file).isNull())
-        some = hit.filter(F.col(file).isNotNull()).select(file).distinct()
-        if not every.isEmpty():
-            continue
-        out = out.join(some.withColumn("hit_", F.lit(True)), file, "left").filter(F.coalesce("hit_", F.lit(False)) | ~F.col("covered")).drop("hit_")
-    return out
+    wanted = term_constraints(query)
+    each = [F.when(term_matches(F.col("term"), kind, run), F.lit(i)) for i, (kind, run) in enumerate(wanted)]
+    rows = index.select(file, F.explode(F.array_compact(F.array(*each))).alias("c")) if wanted else None
+    # constraints that a term of all files meets narrow nothing
+    every = {r["c"] for r in rows.filter(F.col(file).isNull()).select("c").distinct().collect()} if wanted else set()
+    need = sorted(set(range(len(wanted))) - every)
+    if not need:
+        return files
+    met = rows.filter(F.col(file).isNotNull() & F.col("c").isin(need)).groupBy(file).agg((F.count_distinct("c") == len(need)).alias("met_"))
+    return files.join(met, file, "left").filter(F.coalesce("met_", F.lit(False)) | ~F.col("covered")).drop("met_")
 
 
 # Audits
