@@ -30,7 +30,7 @@ WINDOW = 8
 LEAST_WORDS = 4
 #: An item is found where this share of its windows is, or this many words in a row.
 SHARE, RUN = 0.5, 13
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 250_000
 NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
 #: Units of measure, currency and time, in lower case.
 UNITS = frozenset("km m cm mm mi ft in yd kg g mg lb lbs oz t l ml gal s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years % percent usd eur gbp dollars dollar euros euro cents cent mph kph km/h m/s hz khz mhz ghz w kw mw v kv a kb mb gb tb °c °f".split())
@@ -46,38 +46,55 @@ def _code(word: str) -> int:
 
 
 class Words(dict):
-    """word as written -> (code of its plain form, code if it is inside a sentence, number?, unit?, ends a sentence?)."""
+    """word as written -> place in arrays: codes of its plain form and of it inside a sentence, and FLAGS."""
 
-    def __missing__(self, word: str):
-        if len(self) > 300_000:  # bounded: forget and go on
-            self.clear()
+    def __init__(self):
+        self._room(1 << 14)
+
+    def _room(self, n: int) -> None:
+        self.outer, self.inner, self.flags = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.uint8)
+
+    def __missing__(self, word: str) -> int:
+        n = len(self)
+        if n == len(self.flags):
+            old = self.outer, self.inner, self.flags
+            self._room(2 * n)
+            self.outer[:n], self.inner[:n], self.flags[:n] = old
         plain = _EDGE.sub("", word)
         low = plain.lower()
         number = bool(_NUMBER.fullmatch(plain))
-        name = plain[:1].isupper() and not number
-        code = _code(NUM if number else low)
-        got = self[word] = (code, _code(NAME) if name else code, number, low in UNITS, bool(_ENDS.search(word)), not low)
-        return got
-
-
+        self.outer[n] = self.inner[n] = _code(NUM if number else low)
+        if plain[:1].isupper() and not number:
+            self.inner[n] = _code(NAME)
+        self.flags[n] = IS_NUMBER * number | IS_UNIT * (low in UNITS) | ENDS * bool(_ENDS.search(word)) | NOTHING * (not low)
+        self[word] = n
+        return n
+
+
+#: A number, a unit, a word after which a sentence begins, marks alone.
+IS_NUMBER, IS_UNIT, ENDS, NOTHING = 1, 2, 4, 8
+#: Words remembered between texts; one text may have more.
+REMEMBER = 400_000
 _WORDS = Words()
 _UNIT_CODE = _code(UNIT)
 
 
 def template(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the canonical words, and the places of those words among `words` (marks alone are left out)."""
+    global _WORDS
     if not words:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    rows = list(map(_WORDS.__getitem__, words))
-    cols = np.array(rows, dtype=np.int64)
+    if len(_WORDS) > REMEMBER:
+        _WORDS = Words()
+    at = np.fromiter(map(_WORDS.__getitem__, words), np.int64, len(words))
+    flags = _WORDS.flags[at]
     inside = np.zeros(len(words), bool)
-    inside[1:] = cols[:-1, 4] == 0
-    codes = np.where(inside, cols[:, 1], cols[:, 0])
-    after = np.zeros(len(words), bool)
-    after[1:] = cols[:-1, 2] == 1
-    codes = np.where(after & (cols[:, 3] == 1), _UNIT_CODE, codes)
-    places = np.flatnonzero(cols[:, 5] == 0)
-    return codes[places].astype(np.uint64), places
+    inside[1:] = flags[:-1] & ENDS == 0
+    codes = np.where(inside, _WORDS.inner[at], _WORDS.outer[at])
+    unit = (flags[1:] & IS_UNIT > 0) & (flags[:-1] & IS_NUMBER > 0)
+    codes[1:][unit] = _UNIT_CODE
+    places = np.flatnonzero(flags & NOTHING == 0)
+    return codes[places], places
 
 
 def windows(codes: np.ndarray, size: int) -> np.ndarray:
