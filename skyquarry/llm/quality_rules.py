@@ -173,7 +173,7 @@ def judged(df: DataFrame, known: dict) -> DataFrame:
     near = _least(list(classes.values())), F.when(F.coalesce(listed, F.lit(False)), F.lit(0.0)).otherwise(_least([d for _, d in words.values()]))
     for k in known:
         near = F.when(lang == k, classes[k]).otherwise(near[0]), F.when(lang == k, words[k][0]).otherwise(near[1])
-    df = computed(df, {"class_distance": F.round(near[0], 9), "common_distance": F.round(near[1], 9)})
+    df = computed(df, {"class_distance": F.round(near[0], 6), "common_distance": F.round(near[1], 6)})
     failed = (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * n)
     far = ((n >= MIN_FOR_CLASSES) & (F.col("class_distance") > MAX_CLASSES + SHORT / n)) | ((n >= MIN_FOR_COMMON) & (F.col("common_distance") > MAX_COMMON))
     return df.withColumn("base_failed", failed).withColumn("kept", ~failed & ~far).drop("q_classes", "q_counts")
@@ -196,3 +196,43 @@ def op7_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     df = written(measured(docs.select("doc_id", "text", "lang")).drop("text"), "quality-measures")
     return judged(df, references(df)).select("doc_id", *COLUMNS)
+
+
+def _sql() -> str:
+    """The same in DuckDB's SQL, windows and histograms by unnesting."""
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    esc = lambda chars: "".join("\\" + c if c in "\\]^-[" else c for c in chars)
+    among = lambda chars: f"(length(t) - length(regexp_replace(t, {text('[' + esc(chars) + ']')}, '', 'g')))"
+    classes = [among(_AZ) if k == "lower" else "(length(t) - word_chars)" if k == "space" else among(c) for k, c in CLASSES.items()]
+    n_c, n_k = len(CLASSES) + 1, max(map(len, COMMON.values()))
+    asked = " ".join(f"WHEN lang = {text(k)} THEN [{', '.join(text(f' {w} ') for w in ws)}]" for k, ws in COMMON.items())
+    every = "[" + ", ".join(text(f" {w} ") for w in _ALL_COMMON) + "]"
+    known = ", ".join(map(text, COMMON))
+    names = ", ".join(f"({text(k)}, [{', '.join(map(str, range(1, len(ws) + 1)))}], [{', '.join(str(_ALL_COMMON.index(w) + 1) for w in ws)}])" for k, ws in COMMON.items())
+    jsd = lambda p, q: f"sqrt(greatest(list_sum(list_transform(list_zip({p}, {q}), lambda x: (CASE WHEN x[1] > 0 THEN x[1] * log2(x[1] / ((x[1] + x[2]) / 2)) ELSE 0 END) + (CASE WHEN x[2] > 0 THEN x[2] * log2(x[2] / ((x[1] + x[2]) / 2)) ELSE 0 END))) / 2, 0))"
+    shares = lambda places, n: f"list_transform({places}, lambda i: k[i] / greatest({n}, 1))"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+b AS (SELECT *, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, {among(SYMBOLS)}::BIGINT AS n_symbols,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+  ' ' || regexp_replace(lower(array_to_string(list_filter(w, lambda x: length(x) <= {SHORT_WORD}), ' ')), '[\s.,;:!?"''()\[\]*#$%&|<>]+', '  ', 'g') || ' ' AS plain,
+  CASE {asked} ELSE {every} END AS asked FROM d),
+m AS (SELECT *, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, list_transform([{', '.join(classes)}], lambda x: CASE WHEN length(t) > 0 THEN x / length(t)::DOUBLE ELSE 0 END) AS c0,
+  list_transform(asked, lambda a: (length(plain) - length(replace(plain, a, ''))) / length(a)::DOUBLE) AS k FROM b),
+e AS (SELECT *, list_append(c0, CASE WHEN length(t) > 0 THEN (length(t) - list_sum([{', '.join(classes)}])) / length(t)::DOUBLE ELSE 0 END) AS c FROM m),
+p AS (SELECT uid, unnest(range(1, n_words - 1)) AS i, w FROM b WHERE n_words >= 3),
+g AS (SELECT uid, i, count(*) OVER (PARTITION BY uid, w[i], w[i + 1], w[i + 2]) AS n FROM p),
+r AS (SELECT uid, count(DISTINCT i + o) AS n_repeat_words FROM g, (VALUES (0), (1), (2)) AS x(o) WHERE n > 1 GROUP BY uid),
+s AS (SELECT lang, [{', '.join(f'avg(CASE WHEN n_words > 0 THEN c[{i + 1}] END)' for i in range(n_c))}] AS rc, [{', '.join(f'sum(k[{i + 1}])' for i in range(n_k))}] AS rk, sum(n_words) AS n, count(*) AS docs FROM e WHERE lang IN ({known}) GROUP BY lang),
+q AS (SELECT s.lang, rc, list_transform(own, lambda i: rk[i] / n) AS rk, own, others FROM s JOIN (VALUES {names}) AS v(lang, own, others) ON v.lang = s.lang WHERE docs >= {MIN_REFERENCE} AND n > 0),
+z AS (SELECT lang, rc, list_append(rk, greatest(0, 1 - list_sum(rk))) AS rk, own, others FROM q),
+f AS (SELECT uid, z.lang AS of, {jsd('c', 'rc')} AS dc,
+  {jsd("list_append(sh, greatest(1 - list_sum(sh), 0))", 'rk')} AS dk, e_lang
+  FROM (SELECT uid, e.lang AS e_lang, c, z.lang AS lang, rc, rk, CASE WHEN e.lang IN ({known}) THEN {shares('own', 'n_words')} ELSE {shares('others', 'n_words')} END AS sh FROM e, z WHERE e.lang IS NOT DISTINCT FROM z.lang OR e.lang IS NULL OR e.lang NOT IN (SELECT lang FROM z)) AS z),
+h AS (SELECT uid, round(min(dc), 6) AS class_distance, round(CASE WHEN any_value(e_lang) IN ({known}) AND any_value(e_lang) NOT IN (SELECT lang FROM z) THEN 0 ELSE min(dk) END, 6) AS common_distance FROM f GROUP BY uid),
+o AS (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(class_distance, 0)::DOUBLE AS class_distance, coalesce(common_distance, 0)::DOUBLE AS common_distance FROM e LEFT JOIN r USING (uid) LEFT JOIN h USING (uid))
+SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AND NOT ((n_words >= {MIN_FOR_CLASSES} AND class_distance > {MAX_CLASSES} + {SHORT} / n_words::DOUBLE) OR (n_words >= {MIN_FOR_COMMON} AND common_distance > {MAX_COMMON})) AS kept FROM o"""
+
+
+OP7_SQL = _sql()

@@ -7,11 +7,11 @@ from .gru_lm import op3_lm_score
 from .language_id import op8_language_id
 from .mixing import OP2_SQL, op2_mixing
 from .quality_model import op5_quality_model
-from .quality_rules import op7_quality_rules
+from .quality_rules import OP7_SQL, op7_quality_rules
 from .secrets import op1_secrets
 from .simhash import op6_simhash
 from .toxicity import op4_toxicity
-from .url_filter import op10_url_filter
+from .url_filter import OP10_SQL, op10_url_filter
 
 QUERIES = {
     "op1_secrets": op1_secrets,
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_url_filter": op10_url_filter,
 }
-ORACLE_SQL = {"op2_mixing": OP2_SQL}
+ORACLE_SQL = {"op2_mixing": OP2_SQL, "op7_quality_rules": OP7_SQL, "op10_url_filter": OP10_SQL}

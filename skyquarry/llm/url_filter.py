@@ -96,7 +96,7 @@ def scores(rows: DataFrame, ratios: DataFrame) -> DataFrame:
         known = F.broadcast(ratios.filter(F.length("gram") == k).select(F.col("gram").alias(f"g{k}"), F.col("ratio").alias(f"r{k}")))
         df = df.join(known, F.when(F.length("gram") >= k, F.col("gram").substr(F.lit(-k), F.lit(k))) == F.col(f"g{k}"), "left").drop(f"g{k}")
         longest = F.col(f"r{k}") if longest is None else F.coalesce(longest, F.col(f"r{k}"))
-    return df.groupBy("uid").agg(F.round(F.avg(F.coalesce(longest, F.lit(0.0))), 9).alias("score"))
+    return df.groupBy("uid").agg(F.round(F.avg(F.coalesce(longest, F.lit(0.0))), 6).alias("score"))
 
 
 def threshold(scored: DataFrame) -> float:
@@ -107,14 +107,12 @@ def threshold(scored: DataFrame) -> float:
     good, bad = (sum(x[i] for x in by.values()) for i in (0, 1))
     if not good or not bad:
         return 0.0
-    best, edge, allowed, blocked = -1.0, 0.0, good, 0
+    shares, allowed, blocked = [], good, 0
     for b in range(BINS + 1):  # allowed at or above edge b, blocked below
-        share = allowed / good + blocked / bad
         at = b * 2 * REACH / BINS - REACH
-        if share > best + 1e-12 or abs(share - best) <= 1e-12 and abs(at) < abs(edge):
-            best, edge = share, at
+        shares.append((-round(allowed / good + blocked / bad, 9), abs(at), at))
         allowed, blocked = allowed - by.get(b, (0, 0))[0], blocked + by.get(b, (0, 0))[1]
-    return edge
+    return min(shares)[2]  # of equal ones the nearest to 0
 
 
 def judge(pages: DataFrame, url: str = "url", key: str = "page_id", rules=RULES) -> DataFrame:
@@ -128,7 +126,7 @@ def judge(pages: DataFrame, url: str = "url", key: str = "page_id", rules=RULES)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = written(rows.withColumn("rule", rule).withColumn("verdict", verdict).withColumn("seen", symbols(F.col("host"), F.col("path"))), "url-rows")
 
-    examples = rows.filter(F.col("verdict").isNotNull()).withColumn("held", F.crc32(F.col("seen").cast("binary")) % HOLD == 0)
+    examples = rows.filter(F.col("verdict").isNotNull()).withColumn("held", F.conv(F.substring(F.md5("seen"), 1, 4), 16, 10).cast("long") % HOLD == 0)
     there = examples.agg(*(F.count_if((F.col("verdict") == s) & ~F.col("held")).alias(s) for s in SIDES)).first()
     if not all(there):
         return rows.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))
@@ -142,3 +140,38 @@ def judge(pages: DataFrame, url: str = "url", key: str = "page_id", rules=RULES)
 
 def op10_url_filter(spark, sf_dir):
     return judge(table(spark, sf_dir, "pages"))
+
+
+def _sql() -> str:
+    """The same in DuckDB's SQL."""
+    low = f"'{'ABCDEFGHIJKLMNOPQRSTUVWXYZ'}', '{'abcdefghijklmnopqrstuvwxyz'}'"
+    fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    longest = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    case = lambda i: " ".join(f"WHEN {fits(h, p)} THEN '{(says, h + p)[i]}'" for says, h, p in longest)
+    chance = lambda s, below: f"CASE WHEN coalesce(c.{s}_all, 0) = 0 THEN {below} ELSE (n.{s} + c.{s}_kinds * {below}) / (c.{s}_all + c.{s}_kinds)::DOUBLE END AS p_{s}"
+    levels = [f"m1 AS (SELECT n.gram, {', '.join(chance(s, '(1 / 32.0::DOUBLE)') for s in SIDES)} FROM n JOIN cx c ON c.context = '' WHERE length(n.gram) = 1)"]
+    for k in range(2, ORDER + 1):
+        levels.append(f"m{k} AS (SELECT n.gram, {', '.join(chance(s, f'b.p_{s}') for s in SIDES)} FROM n JOIN cx c ON c.context = left(n.gram, {k - 1}) AND c.k = {k} JOIN m{k - 1} b ON b.gram = right(n.gram, {k - 1}) WHERE length(n.gram) = {k})")
+    levels[0] = levels[0].replace("c.context = ''", "c.context = '' AND c.k = 1")
+    union = " UNION ALL ".join(f"SELECT * FROM m{k}" for k in range(1, ORDER + 1))
+    looks = " ".join(f"LEFT JOIN ra r{k} ON length(g.gram) >= {k} AND r{k}.gram = right(g.gram, {k})" for k in range(ORDER, 0, -1))
+    grams = lambda of, keep: f"SELECT {keep}, substr(seen, greatest(1, at_ - {ORDER - 1}), at_ - greatest(1, at_ - {ORDER - 1}) + 1) AS gram FROM (SELECT *, unnest(range(2, length(seen) + 1)) AS at_ FROM {of})"
+    return rf"""
+WITH u AS (SELECT row_number() OVER () AS uid, page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), {low}) AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+v AS (SELECT *, CASE {case(1)} END AS rule, CASE {case(0)} END AS verdict, '^' || regexp_replace(regexp_replace(translate(host || path, {low}), '[0-9]', '0', 'g'), '[^a-z0./-]', '*', 'g') || '$' AS seen FROM u),
+x AS (SELECT *, ('0x' || substr(md5(seen), 1, 4))::BIGINT % {HOLD} = 0 AS held FROM v WHERE verdict IS NOT NULL),
+fu AS (SELECT gram, {', '.join(f"count(*) FILTER (verdict = '{s}') AS {s}" for s in SIDES)} FROM ({grams('(SELECT * FROM x WHERE NOT held)', 'verdict')}) GROUP BY gram),
+n AS (SELECT gram, {', '.join(f'sum({s}) AS {s}' for s in SIDES)} FROM (SELECT {', '.join(SIDES)}, right(gram, k) AS gram FROM fu, (SELECT unnest(range(1, {ORDER + 1})) AS k) WHERE k <= length(gram)) GROUP BY gram),
+cx AS (SELECT left(gram, length(gram) - 1) AS context, length(gram) AS k, {', '.join(f'sum({s}) AS {s}_all, count(*) FILTER ({s} > 0) AS {s}_kinds' for s in SIDES)} FROM n GROUP BY 1, 2),
+{(','+chr(10)).join(levels)},
+ra AS (SELECT gram, log10(p_allow / p_block) AS ratio FROM ({union})),
+q AS (SELECT uid, seen FROM v WHERE verdict IS NULL UNION ALL SELECT uid, seen FROM x WHERE held),
+g AS ({grams('q', 'uid')}),
+sc AS (SELECT g.uid, round(avg(coalesce({', '.join(f'r{k}.ratio' for k in range(ORDER, 0, -1))}, 0)), 6) AS score FROM g {looks} GROUP BY g.uid),
+bi AS (SELECT least(greatest(floor((score + {REACH}) / {2 * REACH} * {BINS}), 0), {BINS - 1}) AS bin, verdict FROM x JOIN sc USING (uid) WHERE held),
+ed AS (SELECT e, e * {2 * REACH}::DOUBLE / {BINS} - {REACH} AS at_, (SELECT count(*) FROM bi WHERE verdict = 'allow' AND bin >= e) / (SELECT count(*) FROM bi WHERE verdict = 'allow')::DOUBLE + (SELECT count(*) FROM bi WHERE verdict = 'block' AND bin < e) / (SELECT count(*) FROM bi WHERE verdict = 'block')::DOUBLE AS share FROM (SELECT unnest(range(0, {BINS + 1})) AS e)),
+th AS (SELECT arg_min(at_, (-round(share, 9), abs(at_), at_)) AS edge FROM ed)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN score >= edge THEN 'allow' ELSE 'block' END) AS verdict, CASE WHEN rule IS NULL THEN score END AS score FROM v LEFT JOIN sc USING (uid), th"""
+
+
+OP10_SQL = _sql()

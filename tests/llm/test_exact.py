@@ -1,6 +1,7 @@
 """Operators with an exact answer, against brute force, on rows with nulls, empty and long texts, ties and repeats."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
@@ -17,6 +18,7 @@ from skyquarry.llm import decontamination as D
 from skyquarry.llm import mixing, quality_rules, secrets, simhash, url_filter
 from skyquarry.llm.common import lower_ascii, word_bytes, words_of
 from skyquarry.llm.components import components
+from skyquarry.llm.queries import ORACLE_SQL, QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 R = random.Random(4)
@@ -107,8 +109,9 @@ def test_mixing_comes_near(spark, rows):
         assert abs(taken - want[s]) <= max(n for x, n in rows if x == s) / 2 + 1e-6
 
 
-def test_mixing_sql(spark, duck):
-    same_rows(mixing.op2_mixing(spark, SF), duck, mixing.OP2_SQL)
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_sql(spark, duck, name):
+    same_rows(QUERIES[name](spark, SF), duck, ORACLE_SQL[name])
 
 
 def test_mixing_many_sources(spark, monkeypatch):
@@ -258,6 +261,52 @@ def test_decontamination(spark, none):
     assert D.contaminated(none, bench).collect() == [] and D.clean(df, bench.limit(0)).count() == len(rows)
 
 
+def brute_find(items, text):
+    """The definition, by comparing words of every item with words of the text at every shift."""
+    strip = lambda w: D._EDGE.sub("", w)
+
+    def canonical(words):
+        out = []
+        for i, w in enumerate(words):
+            p = strip(w)
+            number = bool(D._NUMBER.fullmatch(p))
+            inside = i > 0 and not D._ENDS.search(words[i - 1])
+            before = i > 0 and bool(D._NUMBER.fullmatch(strip(words[i - 1])))
+            kind = "U" if before and p.lower() in D.UNITS else "N" if number else "A" if inside and p[:1].isupper() else "w " + p.lower()
+            if p:
+                out.append((kind, p.lower()))
+        return out
+
+    doc, found = canonical((text or "").split()), []
+    for item, t in items:
+        own = canonical((t or "").split())
+        if len(own) < D.LEAST_WORDS:
+            continue
+        size, all_, best = min(D.WINDOW, len(own)), set(), 0
+        for shift in range(-len(own), len(doc)):
+            hits = [i for i in range(len(own) - size + 1) if 0 <= i + shift <= len(doc) - size and all(own[i + j][0] == doc[i + shift + j][0] for j in range(size))]
+            pairs = {(own[i + j][1], doc[i + shift + j][1]) for i in hits for j in range(size)}
+            if not hits or len({a for a, _ in pairs}) < len(pairs):
+                continue
+            all_ |= set(hits)
+            run = max(sum(1 for _ in g) for k, g in itertools.groupby(range(min(hits), max(hits) + 1), lambda i: i in set(hits)) if k)
+            best = max(best, run + size - 1)
+        if all_ and (len(all_) >= D.SHARE * (len(own) - size + 1) or best >= D.RUN):
+            found.append((item, len(all_)))
+    return found
+
+
+_words = st.sampled_from(["the", "Anna", "Bob", "12", "7", "kg", "km", "left.", "So", "--", "went", "Home,"])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(_words, min_size=3, max_size=14), min_size=1, max_size=3), st.lists(_words, max_size=20), st.integers(0, 2), st.integers(0, 20))
+def test_decontamination_brute_force(items, noise, which, at):
+    items = [(i, " ".join(w)) for i, w in enumerate(items)]
+    text = " ".join(noise[:at]) + " " + items[which % len(items)][1] + " " + " ".join(noise[at:])
+    assert [(i, n) for i, n, _ in D.Index(items).find(text)] == brute_find(items, text)
+
+
 def test_slots_must_agree():
     item = "take 3 cups and add 4 spoons then stir 3 times and wait 4 minutes for all of it to set"
     index = D.Index([(1, item)])
