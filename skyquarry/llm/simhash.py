@@ -32,8 +32,10 @@ TILE = 1024
 TILE_ROWS = 16_384
 #: Buckets of so many rows or fewer are compared many at a time.
 SMALL = 64
-#: Blocks of bits by the number of different fingerprints: more tables with longer keys keep buckets small.
-PLANS = ((2_000_000, 5), (300_000_000, 6), (30_000_000_000, 7), (1 << 62, 8))
+#: Blocks of bits by the number of different fingerprints. More blocks mean more tables (5, 15, 35, 70), whose longer keys
+#: (12, 21, 27, 32 bits) keep buckets small. A row in a table costs about as much as 1,000 comparisons, so a plan is left
+#: when its buckets pass 2,000 rows.
+PLANS = ((8_000_000, 5), (4_000_000_000, 6), (270_000_000_000, 7), (1 << 62, 8))
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:

@@ -202,9 +202,10 @@ def test_near_duplicates(docs, none):
     assert simhash.near_duplicates(none).collect() == [] and simhash.deduplicated(none).collect() == []
 
 
-@pytest.mark.parametrize("small", [64, 2])
-def test_links_are_whole(spark, monkeypatch, small):
-    """Chains, a cluster larger than a part of a bucket, and far values: the components of brute force."""
+@pytest.mark.parametrize("small, blocks", [(64, 5), (2, 5), (64, 6), (64, 7), (2, 8)])
+def test_links_are_whole(spark, monkeypatch, small, blocks):
+    """Chains, a cluster larger than a part of a bucket, and far values: the components of brute force, by every plan."""
+    monkeypatch.setattr(simhash, "PLANS", ((1 << 62, blocks),))
     monkeypatch.setattr(simhash, "SMALL", small)
     monkeypatch.setattr(simhash, "TILE_ROWS", 20)
     monkeypatch.setattr(simhash, "TILE", 8)
