@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, join_small, limited_batches, ship, table, written
+from .common import crc_mod, join_small, limited_batches, ship, table
 
 ship(__name__)
 
