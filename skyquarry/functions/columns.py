@@ -56,11 +56,6 @@ def sum_for_each(values: Column, size: int) -> list[Column]:
     return [F.sum(F.get(values, i)) for i in range(size)]
 
 
-def cumulative(values: Column) -> Column:
-    """Running sums of an array."""
-    return F.transform(F.sequence(F.lit(1), F.size(values)), lambda n: F.aggregate(F.slice(values, 1, n), F.lit(0).cast("double"), lambda a, x: a + x))
-
-
 #: What may follow a number in a comparison of an alert rule.
 COMPARE = {">": "__gt__", ">=": "__ge__", "<": "__lt__", "<=": "__le__", "==": "__eq__", "!=": "__ne__"}
 
