@@ -50,9 +50,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables that this driver has written.
+_WRITTEN: list[str] = []
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Delete what written() has left in the shared folder, once results that read it are saved. Returns how many."""
+    n = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    return n
+
+
 def with_uid(df: DataFrame, name: str = "uid") -> DataFrame:
     """A number for each row; only stable once written."""
     return df.withColumn(name, F.monotonically_increasing_id())

@@ -37,3 +37,12 @@ def test_run_and_empty(spark, tmp_path):
     for t in ("documents", "benchmark"):
         table(spark, SF, t).limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert P.run(spark, str(tmp_path)).collect() == []
+
+
+def test_written_tables_can_go(spark):
+    from skyquarry.llm.common import _WRITTEN, drop_written
+
+    path_before = len(_WRITTEN)
+    df = written(spark.range(3), "gone")
+    assert df.count() == 3 and len(_WRITTEN) == path_before + 1
+    assert drop_written(spark) == path_before + 1 and not _WRITTEN
