@@ -201,10 +201,81 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp_"), 16, "0")).alias("fingerprint"), F.col("first").alias("component_id"))
 
 
+# near copies by Jaccard similarity, for the pipeline
+
+#: Two texts are near copies where this share of all their different COPY_SHINGLE-word shingles is in both.
+COPY_SHINGLE, SIMILARITY = 5, 0.8
+#: Texts meet where all ROWS minima of one of BANDS bands agree: at a similarity of 0.8 all but 0.04 % of pairs do.
+BANDS, ROWS = 20, 5
+#: Buckets of so many texts or fewer are compared pair by pair; in larger ones each text with one that is drawn.
+COMPARED = 64
+_MIX = np.random.default_rng(SEED).integers(1, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted hashes of the different shingles; a text of COPY_SHINGLE words or fewer is one shingle."""
+    words = word_bytes(text or "")
+    grams = [b" ".join(words[i : i + COPY_SHINGLE]) for i in range(max(1, len(words) - COPY_SHINGLE + 1))]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(grams)))
+
+
+def bands(shingles: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band: the mixed minima of its ROWS permutations."""
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for i in range(0, len(shingles), 1024):
+        least = np.minimum(least, ((shingles[i : i + 1024, None] ^ _MIX[0]) * _MIX[1]).min(axis=0))
+    least, out = least.reshape(BANDS, ROWS), np.zeros(BANDS, np.uint64)
+    for i in range(ROWS):
+        out = (out ^ least[:, i]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+@F.pandas_udf(T.StructType([T.StructField("code", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
+def _banded(text: pd.Series) -> pd.DataFrame:
+    sets = [shingle_set(t) for t in text]
+    codes = [_signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)) for s in sets]
+    return pd.DataFrame({"code": codes, "bands": [bands(s).view(np.int64) for s in sets]}, index=text.index)
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _shingles(text: pd.Series) -> pd.Series:
+    return pd.Series([shingle_set(t).view(np.int64) for t in text], index=text.index, dtype=object)
+
+
+def copy_links(rows: DataFrame) -> DataFrame:
+    """(text, code_, bands_), written -> (a, b): pairs of codes whose sets are similar, each compared exactly.
+
+    Rows with equal sets have equal codes and are one. Of buckets above COMPARED, a text is compared with the drawn one
+    only, so that links stay in proportion to texts; each band draws another.
+    """
+    keys = rows.groupBy("code_").agg(F.first("bands_").alias("bands_")).select("code_", F.posexplode("bands_").alias("t", "k"))
+    keys = written(keys, "copies-keys")
+    drawn = F.min(F.struct(F.xxhash64("code_", "t").alias("h"), "code_"))["code_"].alias("drawn")
+    sizes = keys.groupBy("t", "k").agg(F.count("*").alias("n"), drawn).filter("n > 1")
+    met = written(keys.join(sizes, ["t", "k"]), "copies-met")
+    few = met.filter(F.col("n") <= COMPARED)
+    pairs = few.select("t", "k", F.col("code_").alias("a")).join(few.select("t", "k", F.col("code_").alias("b")), ["t", "k"]).filter("a < b").select("a", "b")
+    many = met.filter((F.col("n") > COMPARED) & (F.col("code_") != F.col("drawn"))).select(F.least("code_", "drawn").alias("a"), F.greatest("code_", "drawn").alias("b"))
+    pairs = written(pairs.unionByName(many).distinct(), "copies-pairs")
+    asked = pairs.select(F.col("a").alias("code_")).unionByName(pairs.select(F.col("b").alias("code_"))).distinct()
+    one = rows.join(asked, "code_", "left_semi").groupBy("code_").agg(F.min("uid_").alias("uid_"))
+    sets = limited_batches(rows.join(one.select("uid_"), "uid_", "left_semi").select("code_", "text")).select("code_", _shingles("text").alias("s"))
+    sets = written(sets, "copies-sets")
+    both = pairs.join(sets.select(F.col("code_").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("code_").alias("b"), F.col("s").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.filter(common >= SIMILARITY * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs without all but one row of each component: the one with the smallest id, and of several the first read."""
-    rows = fingerprinted(carried(docs, doc_id=key, text=text))
-    known = rows.select("uid_", "doc_id", "fp_").join(classes(rows).select("fp_", "root"), "fp_")
+    """docs without all but one row of each group of near copies: the one with the smallest id, and of several the first read.
+
+    Groups are components of the pairs that share SIMILARITY of their shingles. Null and empty texts are equal ones.
+    """
+    rows = limited_batches(with_uid(carried(docs, doc_id=key, text=text), "uid_")).withColumn("b_", _banded("text"))
+    rows = written(rows.select("doc_", "doc_id", "uid_", F.col("b_")["code"].alias("code_"), F.col("b_")["bands"].alias("bands_")), "copies")
+    roots = components(copy_links(rows.withColumn("text", F.col("doc_")[text])))
+    known = rows.select("uid_", "doc_id", "code_").join(roots.select(F.col("node").alias("code_"), "root"), "code_", "left").withColumn("root", F.coalesce("root", "code_"))
     stay = known.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid_")).alias("s"))
     return rows.join(stay.select(F.col("s.uid_").alias("uid_")), "uid_", "left_semi").select("doc_.*")
 
