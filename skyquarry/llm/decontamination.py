@@ -4,7 +4,8 @@ Words lose marks around them and case; numbers, units after a number, and names
 become the placeholders <num>, <unit> and <name>. WINDOW such words in a row are a template window. Windows of benchmark
 items are hash-joined with windows of documents, which finds items whose values were changed, and a run of words in which
 a benchmark item is found is then checked word by word: where a template has slots, each value of the item must stand for
-one value of the document throughout (2 apples ... 2 pears may become 7 apples ... 7 pears, not 7 ... 9).
+one value of the document throughout (2 apples ... 2 pears may become 7 apples ... 7 pears, not 7 ... 9). Where matched
+windows contradict each other, the most of them that agree count.
 
 The benchmark is the smaller side. It is read in blocks of BLOCK_WORDS words, each broadcast to all documents, so a block
 has a fixed bound however large the benchmark is.
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
@@ -134,8 +135,11 @@ class Index:
         bits[(np.fromiter(known, np.uint64, len(known)) >> np.uint64(42)).astype(np.int64)] = True
         return bits
 
-    def find(self, text: str | None) -> list[tuple[int, int, bool]]:
-        """(item, matched windows, were slots changed?) of the items that the text holds."""
+    def find(self, text: str | None, whole: bool = True) -> list[tuple[int, int, bool]]:
+        """(item, matched windows, were slots changed?) of the items that the text holds.
+
+        whole: matched windows of an item that contradict each other count for nothing; otherwise the most that agree do.
+        """
         words = words_of(text or "")
         codes, places = template(words)
         hits = defaultdict(list)  # (item, shift between item and text) -> places in the item
@@ -152,12 +156,14 @@ class Index:
         by_item = defaultdict(lambda: [set(), 0, False])
         for (k, shift), found in hits.items():
             _, own, _, size = self.items[k]
-            ok = consistent(own, plain, shift, found, size)
+            ok, run = consistent(own, plain, shift, found, size), _longest(found) + size - 1
+            if ok is None and not whole:
+                found, run, ok = agreeing(own, plain, shift, found, size)
             if ok is None:
                 continue
             got = by_item[k]
             got[0].update(found)
-            got[1] = max(got[1], _longest(found) + size - 1)
+            got[1] = max(got[1], run)
             got[2] |= ok
         out = []
         for k, (found, run, changed) in by_item.items():
@@ -187,12 +193,44 @@ def consistent(own: list[str], other: list[str], shift: int, found: list[int], s
     return changed
 
 
+def agreeing(own: list[str], other: list[str], shift: int, found: list[int], size: int) -> tuple[list[int], int, bool | None]:
+    """Of windows that contradict each other: some that agree, the longest run of words that agree, and whether a value
+    in those windows was changed (None if no window agrees with itself).
+
+    The windows are the most of: the longest run; those where each value stands for what it most often stands for; those
+    that are verbatim.
+    """
+    found = sorted(set(found))
+    pair = {i: tuple(_EDGE.sub("", x).lower() for x in (own[i], other[i + shift])) for f in found for i in range(f, f + size)}
+    often = defaultdict(Counter)
+    for a, b in pair.values():
+        often[a][b] += 1
+    to = {a: max(bs, key=lambda b: (bs[b], b == a, b)) for a, bs in often.items()}
+    kept = [[f for f in found if all(good(*pair[i]) for i in range(f, f + size))] for good in (lambda a, b: to[a] == b, lambda a, b: a == b)]
+    longest, run, last = [], [], {}  # last: value -> {what it stands for: its last place}
+    for f in found:
+        if run and run[-1] != f - 1:
+            run, last = [], {}
+        for i in range(f if not run else f + size - 1, f + size):
+            last.setdefault(pair[i][0], {})[pair[i][1]] = i
+        run.append(f)
+        # the run begins after the last word that contradicts a later one
+        begin = max((sorted(bs.values())[-2] + 1 for bs in last.values() if len(bs) > 1), default=0)
+        run = [g for g in run if g >= begin]
+        if not run:
+            last = {}
+        longest = max(longest, run, key=len)
+    best = max(longest, *kept, key=len)
+    changed = {pair[i][0] != pair[i][1] for f in best for i in range(f, f + size)}
+    return best, len(longest) + size - 1 if longest else 0, any(changed) if best else None
+
+
 FOUND = "array<struct<item_id:bigint,windows:bigint,changed:boolean>>"
 
 
 def _finder(index):
     def found(text: pd.Series) -> pd.Series:
-        return pd.Series([[{"item_id": i, "windows": n, "changed": c} for i, n, c in index.value.find(t)] for t in text], index=text.index, dtype=object)
+        return pd.Series([[{"item_id": i, "windows": n, "changed": c} for i, n, c in index.value.find(t, whole=False)] for t in text], index=text.index, dtype=object)
 
     return F.pandas_udf(found, FOUND)
 

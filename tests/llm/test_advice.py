@@ -5,6 +5,7 @@ import random
 from conftest import SF
 from pyspark.sql import functions as F
 
+from skyquarry.llm import decontamination as D
 from skyquarry.llm import simhash
 from skyquarry.llm.common import table, word_bytes
 
@@ -50,3 +51,22 @@ def test_edited_copies_go(spark, monkeypatch):
     got = simhash.deduplicated(df)
     assert got.columns == df.columns and sorted(x["doc_id"] for x in got.collect()) == want
     assert simhash.deduplicated(df.limit(0)).collect() == []
+
+
+def test_contradictions_split():
+    """A passage stays found where one of two equal values was altered; windows that share no agreement are not."""
+    item = "take 3 cups and add 4 spoons then stir 3 times and wait 4 minutes for all of it to set"
+    index = D.Index([(1, item)])
+    n = len(item.split()) - 7
+    assert index.find(item.replace("3", "7", 1), whole=False) == [(1, n - 2, False)]  # the first two windows hold the altered word
+    assert index.find(item.replace("3", "7").replace("4", "9"), whole=False) == [(1, n, True)]
+    assert index.find("so then " + item.replace("3", "7", 1) + " and so on", whole=False) == [(1, n - 2, False)]
+    short = D.Index([(1, "add 3 and 3 and 3 and 3")])
+    assert short.find("add 3 and 4 and 5 and 6", whole=False) == []
+
+
+def test_contradictions_split_in_tables(spark):
+    item = "take 3 cups and add 4 spoons then stir 3 times and wait 4 minutes for all of it to set"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, item.replace("3", "7", 1)), (2, "no such thing")], "doc_id long, text string")
+    assert [r["doc_id"] for r in D.contaminated(docs, bench).collect()] == [1] and [r["doc_id"] for r in D.clean(docs, bench).collect()] == [2]
