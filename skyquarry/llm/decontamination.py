@@ -5,7 +5,8 @@ become the placeholders <num>, <unit> and <name>. WINDOW such words in a row are
 items are hash-joined with windows of documents, which finds items whose values were changed, and a run of words in which
 a benchmark item is found is then checked word by word: where a template has slots, each value of the item must stand for
 one value of the document throughout (2 apples ... 2 pears may become 7 apples ... 7 pears, not 7 ... 9). Where matched
-windows contradict each other, the most of them that agree count.
+windows contradict each other, the most of them that agree count. A capitalised word that begins a sentence may be a name
+or not: windows match under either reading.
 
 The benchmark is the smaller side. It is read in blocks of BLOCK_WORDS words, each broadcast to all documents, so a block
 has a fixed bound however large the benchmark is.
@@ -80,11 +81,15 @@ _WORDS = Words()
 _UNIT_CODE = _code(UNIT)
 
 
-def template(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the canonical words, and the places of those words among `words` (marks alone are left out)."""
+_NAME_CODE = _code(NAME)
+
+
+def template(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the canonical words, the places of those words among `words` (marks alone are left out), and which of them
+    begin a sentence with a capital, so that they may be names too."""
     global _WORDS
     if not words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
     if len(_WORDS) > REMEMBER:
         _WORDS = Words()
     at = np.fromiter(map(_WORDS.__getitem__, words), np.int64, len(words))
@@ -94,36 +99,79 @@ def template(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     codes = np.where(inside, _WORDS.inner[at], _WORDS.outer[at])
     unit = (flags[1:] & IS_UNIT > 0) & (flags[:-1] & IS_NUMBER > 0)
     codes[1:][unit] = _UNIT_CODE
+    either = ~inside & (_WORDS.inner[at] != _WORDS.outer[at])
+    either[1:][unit] = False
     places = np.flatnonzero(flags & NOTHING == 0)
-    return codes[places], places
+    return codes[places], places, either[places]
 
 
 def windows(codes: np.ndarray, size: int) -> np.ndarray:
     """Hash of each window of `size` codes (modulo 2**64)."""
     if len(codes) < size:
         return np.zeros(0, np.uint64)
-    n, out = len(codes) - size + 1, np.zeros(len(codes) - size + 1, np.uint64)
-    for i in range(size):
-        out = (out ^ codes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+    n = len(codes) - size + 1
+    return _hashed([codes[i : i + n] for i in range(size)])
+
+
+def _hashed(columns) -> np.ndarray:
+    out = np.zeros(len(columns[0]), np.uint64)
+    for x in columns:
+        out = (out ^ x) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
     return out
 
 
+def _all(good: np.ndarray, size: int) -> np.ndarray:
+    """Places of the windows in which all are good."""
+    bad = np.r_[-1, np.flatnonzero(~good), len(good)]
+    long = np.flatnonzero(np.diff(bad) > size)
+    return np.concatenate([np.arange(bad[i] + 1, bad[i + 1] - size + 1) for i in long.tolist()] or [np.zeros(0, np.int64)])
+
+
+def readings(codes: np.ndarray, either: np.ndarray, size: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of windows in which words of `either` are read as names, in all ways but none.
+
+    Windows with a word that is not `known`, and no name, match nothing and are left out; a word of `either` that is not
+    known can only be a name.
+    """
+    n = len(codes) - size + 1
+    at = _all(known | either, size) if n > 0 and either.any() else np.zeros(0, np.int64)
+    sums = np.r_[0, np.cumsum(either)]
+    at = at[sums[at + size] > sums[at]] if len(at) else at
+    if not len(at):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    here = at[:, None] + np.arange(size)
+    free, names = (either & known)[here], np.uint64(_NAME_CODE)
+    read, nth, count = np.where(either & ~known, names, codes)[here], np.cumsum(free, axis=1) - 1, free.sum(axis=1)
+    hashes, places = [], []
+    for mask in range(1 << int(count.max())):
+        rows = (1 << count > mask) & ((mask > 0) | (count < sums[at + size] - sums[at]))
+        hashes.append(_hashed(np.where(free[rows] & (mask >> nth[rows].clip(0) & 1 > 0), names, read[rows]).T))
+        places.append(at[rows])
+    return np.concatenate(hashes), np.concatenate(places)
+
+
 class Index:
     """Template windows of benchmark items. Items shorter than WINDOW are one window of their own length."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items, at = {}, defaultdict(list)
+        #: By 22 bits of a code, whether an item has such a word.
+        self.known = np.zeros(1 << 22, bool)
+        self.known[_NAME_CODE >> 39] = True
         for item, text in items:
             words = words_of(text or "")
-            codes, places = template(words)
+            codes, places, either = template(words)
             if len(codes) < LEAST_WORDS:
                 continue
             k = len(self.items)
+            self.known[codes >> np.uint64(39)] = True
             size = min(WINDOW, len(codes))
             self.items[k] = (item, [words[p] for p in places], codes, size)
             for i, h in enumerate(windows(codes, size).tolist()):
-                at[size, h].append((k, i))
+                at[size, h].append((k, i, True))
+            for h, i in zip(*(x.tolist() for x in readings(codes, either, size, np.ones(len(codes), bool)))):
+                at[size, h].append((k, i, False))
         self.sizes = sorted({s for s, _ in at})
         self.at = {s: {h: v for (z, h), v in at.items() if z == s} for s in self.sizes}
         # most windows of documents are turned away by one look at a table of 2**22 bits
@@ -138,18 +186,26 @@ class Index:
     def find(self, text: str | None, whole: bool = True) -> list[tuple[int, int, bool]]:
         """(item, matched windows, were slots changed?) of the items that the text holds.
 
-        whole: matched windows of an item that contradict each other count for nothing; otherwise the most that agree do.
+        whole: matched windows of an item that contradict each other count for nothing, and the first word of a sentence is
+        never a name; otherwise the most windows that agree count, and that word may be one.
         """
         words = words_of(text or "")
-        codes, places = template(words)
+        codes, places, either = template(words)
+        known = self.known[codes >> np.uint64(39)]
         hits = defaultdict(list)  # (item, shift between item and text) -> places in the item
         for size in self.sizes:
-            h = windows(codes, size)
-            if not len(h):
-                continue
-            for p in np.flatnonzero(self.maybe[size][(h >> np.uint64(42)).astype(np.int64)]).tolist():
-                for k, i in self.at[size].get(int(h[p]), ()):
-                    hits[k, p - i].append(i)
+            if whole:
+                h = windows(codes, size)
+                at = np.arange(len(h))
+            else:
+                at = _all(known, size)
+                h = _hashed(codes[at[:, None] + np.arange(size)].T)
+                more, where = readings(codes, either, size, known)
+                h, at = np.r_[h, more], np.r_[at, where]
+            for j in np.flatnonzero(self.maybe[size][(h >> np.uint64(42)).astype(np.int64)]).tolist():
+                for k, i, literal in self.at[size].get(int(h[j]), ()):
+                    if literal or not whole:
+                        hits[k, int(at[j]) - i].append(i)
         if not hits:
             return []
         plain = [words[p] for p in places]

@@ -70,3 +70,16 @@ def test_contradictions_split_in_tables(spark):
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     docs = spark.createDataFrame([(1, item.replace("3", "7", 1)), (2, "no such thing")], "doc_id long, text string")
     assert [r["doc_id"] for r in D.contaminated(docs, bench).collect()] == [1] and [r["doc_id"] for r in D.clean(docs, bench).collect()] == [2]
+
+
+def test_names_begin_sentences(spark):
+    """Names that begin sentences may be changed like others; other words there match with and without a capital."""
+    item = "Tom has 3 apples. Tom buys 4 more apples. How many apples does Tom have now?"
+    texts = [
+        item.replace("Tom", "Ana").replace("3", "7").replace("4", "9"), "so tom has 3 apples and no more", "Here we ask: " + item.replace("Tom", "Ana"),
+        "Once Ana has 3 apples. Ana buys 4 more apples. How many apples does Ana have now?", "Ana likes 3 pears. Bob sells 4 old pears. How many pears does Eve see now?",
+    ]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted((r["doc_id"], r["changed"]) for r in D.contaminated(docs, bench).collect()) == [(0, True), (2, True), (3, True)]
+    assert sorted(r["doc_id"] for r in D.clean(docs, bench).collect()) == [1, 4]
