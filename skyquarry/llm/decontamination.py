@@ -1,328 +1,414 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words lose marks around them and case; numbers, units after a number, and names (capitalised words inside a sentence)
-become the placeholders <num>, <unit> and <name>. WINDOW such words in a row are a template window. Windows of benchmark
-items are hash-joined with windows of documents, which finds items whose values were changed, and a run of words in which
-a benchmark item is found is then checked word by word: where a template has slots, each value of the item must stand for
-one value of the document throughout (2 apples ... 2 pears may become 7 apples ... 7 pears, not 7 ... 9). Where matched
-windows contradict each other, the most of them that agree count. A capitalised word that begins a sentence may be a name
-or not: windows match under either reading.
-
-The benchmark is the smaller side. It is read in blocks of BLOCK_WORDS words, each broadcast to all documents, so a block
-has a fixed bound however large the benchmark is.
+become the placeholders <num>, <unit> and <name>. A capitalised word that begins a sentence may be a name or not, and is
+read both ways. WINDOW such words in a row are a template window. Windows of benchmark items are hash-joined with windows
+of documents, which finds items whose values were changed; the matched windows are then compared word by word: each value
+of an item must stand for one value of the document throughout (2 apples ... 2 pears may become 7 apples ... 7 pears, not
+7 ... 9). Where windows contradict each other, wherever in the document they lie, the most of them that agree count.
+
+The benchmark's windows are a table, joined in Spark whatever its size. What executors get of it is a filter of at most
+FILTER_BITS bits, so that nearly all windows of documents end where they are made. Documents are known by a digest of
+their text: copies of one text are judged once.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import carried, limited_batches, ship, table, words_of
+from .common import carried, join_small, limited_batches, ship, table, with_uid, written
 
 ship(__name__)
 
 WINDOW = 8
-#: Items of fewer words are too common to be evidence and match nothing.
+#: An item of fewer words is no evidence inside a text: it is found where it is the whole text, word by word.
 LEAST_WORDS = 4
 #: An item is found where this share of its windows is, or this many words in a row.
 SHARE, RUN = 0.5, 13
-BLOCK_WORDS = 250_000
+#: Bits of the filter: 16 for each window, and at least and at most 2 to these powers. A fuller filter only passes more.
+FILTER_BITS = (20, 30)
+#: Words that a task looks at together, and windows whose readings it holds at once.
+TOGETHER, READ = 1 << 20, 1 << 16
 NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
 #: Units of measure, currency and time, in lower case.
 UNITS = frozenset("km m cm mm mi ft in yd kg g mg lb lbs oz t l ml gal s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years % percent usd eur gbp dollars dollar euros euro cents cent mph kph km/h m/s hz khz mhz ghz w kw mw v kv a kb mb gb tb °c °f".split())
 _EDGE = re.compile(r"^[^\w<>%$€£°]+|[^\w<>%$€£°]+$")
 _NUMBER = re.compile(r"[$€£]?[+-]?\d[\d,.:/]*(?:st|nd|rd|th)?%?")
 _ENDS = re.compile(r"[.!?:][\"')\]]*$")
-MASK = (1 << 61) - 1
 
 
 def _code(word: str) -> int:
-    b = word.encode()
-    return (zlib.crc32(b) << 29 ^ zlib.crc32(b, 0x9E3779B9)) & MASK
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) >> 3
+
+
+#: A number, a unit, a word after which a sentence begins, marks alone.
+IS_NUMBER, IS_UNIT, ENDS, NOTHING = 1, 2, 4, 8
+#: Words remembered between batches; one batch may have more.
+REMEMBER = 400_000
 
 
 class Words(dict):
-    """word as written -> place in arrays: codes of its plain form and of it inside a sentence, and FLAGS."""
+    """word in UTF-8 -> place in arrays: codes of it, of its template as the first word of a sentence and inside one, FLAGS."""
 
     def __init__(self):
-        self._room(1 << 14)
+        self.names = ("low", "outer", "inner", "flags")
+        for name in self.names:
+            setattr(self, name, np.zeros(1 << 14, np.uint8 if name == "flags" else np.uint64))
 
-    def _room(self, n: int) -> None:
-        self.outer, self.inner, self.flags = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.uint8)
-
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, raw: bytes) -> int:
         n = len(self)
         if n == len(self.flags):
-            old = self.outer, self.inner, self.flags
-            self._room(2 * n)
-            self.outer[:n], self.inner[:n], self.flags[:n] = old
-        plain = _EDGE.sub("", word)
+            for name in self.names:
+                old = getattr(self, name)
+                setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
+        word = raw.decode("utf-8", "surrogatepass")
+        plain = word.rstrip(".,;:!?")
+        if plain.isalpha():  # most words need no pattern
+            number, ends = False, word[-1] in ".!?:"
+        else:
+            plain = _EDGE.sub("", word)
+            number, ends = bool(_NUMBER.fullmatch(plain)), bool(_ENDS.search(word))
         low = plain.lower()
-        number = bool(_NUMBER.fullmatch(plain))
-        self.outer[n] = self.inner[n] = _code(NUM if number else low)
+        self.low[n] = code = _code(low)
+        self.outer[n] = self.inner[n] = _NUM_CODE if number else code
         if plain[:1].isupper() and not number:
-            self.inner[n] = _code(NAME)
-        self.flags[n] = IS_NUMBER * number | IS_UNIT * (low in UNITS) | ENDS * bool(_ENDS.search(word)) | NOTHING * (not low)
-        self[word] = n
+            self.inner[n] = _NAME_CODE
+        self.flags[n] = IS_NUMBER * number | IS_UNIT * (low in UNITS) | ENDS * ends | NOTHING * (not low)
+        self[raw] = n
         return n
 
 
-#: A number, a unit, a word after which a sentence begins, marks alone.
-IS_NUMBER, IS_UNIT, ENDS, NOTHING = 1, 2, 4, 8
-#: Words remembered between texts; one text may have more.
-REMEMBER = 400_000
-_WORDS = Words()
-_UNIT_CODE = _code(UNIT)
-
-
-_NAME_CODE = _code(NAME)
-
-
-def template(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of the canonical words, the places of those words among `words` (marks alone are left out), and which of them
-    begin a sentence with a capital, so that they may be names too."""
-    global _WORDS
-    if not words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
-    if len(_WORDS) > REMEMBER:
-        _WORDS = Words()
-    at = np.fromiter(map(_WORDS.__getitem__, words), np.int64, len(words))
-    flags = _WORDS.flags[at]
-    inside = np.zeros(len(words), bool)
-    inside[1:] = flags[:-1] & ENDS == 0
-    codes = np.where(inside, _WORDS.inner[at], _WORDS.outer[at])
-    unit = (flags[1:] & IS_UNIT > 0) & (flags[:-1] & IS_NUMBER > 0)
-    codes[1:][unit] = _UNIT_CODE
-    either = ~inside & (_WORDS.inner[at] != _WORDS.outer[at])
-    either[1:][unit] = False
-    places = np.flatnonzero(flags & NOTHING == 0)
-    return codes[places], places, either[places]
-
-
-def windows(codes: np.ndarray, size: int) -> np.ndarray:
-    """Hash of each window of `size` codes (modulo 2**64)."""
-    if len(codes) < size:
-        return np.zeros(0, np.uint64)
-    n = len(codes) - size + 1
-    return _hashed([codes[i : i + n] for i in range(size)])
-
-
-def _hashed(columns) -> np.ndarray:
-    out = np.zeros(len(columns[0]), np.uint64)
-    for x in columns:
+_NUM_CODE, _NAME_CODE, _UNIT_CODE = _code(NUM), _code(NAME), _code(UNIT)
+_WORDS: Words | None = None
+
+
+class Template:
+    """The canonical words of some texts, one text after another; marks alone are left out.
+
+    codes: of the templates; low: of the words themselves; either: a capital begins a sentence, so it may be a name; text:
+    which text a word is of.
+    """
+
+    def __init__(self, words: list[bytes], sizes: list[int]):
+        global _WORDS
+        if _WORDS is None or len(_WORDS) > REMEMBER:
+            _WORDS = Words()
+        at = np.fromiter(map(_WORDS.__getitem__, words), np.int64, len(words))
+        flags, text = _WORDS.flags[at], np.repeat(np.arange(len(sizes)), sizes)
+        first = np.ones(len(words), bool)
+        first[1:] = text[1:] != text[:-1]
+        before = np.zeros(len(words), np.uint8)
+        before[1:] = flags[:-1]
+        before[first] = 0
+        inside = ~first & (before & ENDS == 0)
+        codes = np.where(inside, _WORDS.inner[at], _WORDS.outer[at])
+        unit = (flags & IS_UNIT > 0) & (before & IS_NUMBER > 0)
+        codes[unit] = _UNIT_CODE
+        either = ~inside & ~unit & (_WORDS.inner[at] != _WORDS.outer[at])
+        keep = flags & NOTHING == 0
+        self.codes, self.low, self.either, self.text = codes[keep], _WORDS.low[at][keep], either[keep], text[keep]
+
+    def windows(self, size: int, known: np.ndarray | None = None):
+        """(hashes, places) of windows inside one text, READ windows at a time, in all readings.
+
+        known: which words the other side has. A window with another word matches nothing, unless it may be a name; then it
+        is only read as one.
+        """
+        n = len(self.codes) - size + 1
+        if n <= 0:
+            return
+        usable = self.text[:n] == self.text[size - 1 :]
+        if known is not None:
+            bad = np.r_[0, np.cumsum(~(known | self.either))]
+            usable &= bad[size:] == bad[:-size]
+        every = np.flatnonzero(usable)
+        for begin in range(0, len(every), READ):
+            at = every[begin : begin + READ]
+            here = at[:, None] + np.arange(size)
+            codes, either = self.codes[here], self.either[here]
+            if not either.any():
+                yield hashed(codes), at
+                continue
+            name = np.uint64(_NAME_CODE)
+            if known is not None:
+                codes, either = np.where(either & ~known[here], name, codes), either & known[here]
+            nth, count = np.cumsum(either, axis=1) - 1, either.sum(axis=1)
+            for mask in range(1 << int(count.max())):
+                rows = 1 << count > mask
+                yield hashed(np.where(either[rows] & (mask >> nth[rows].clip(0) & 1 > 0), name, codes[rows])), at[rows]
+
+    def plain(self, at: np.ndarray, size: int) -> list[bytes]:
+        """The words themselves of windows, as codes."""
+        return [w.tobytes() for w in self.low[at[:, None] + np.arange(size)]] if len(at) else []
+
+
+def hashed(codes: np.ndarray) -> np.ndarray:
+    """A hash of each row of codes and of their number (modulo 2**64)."""
+    out = np.full(len(codes), codes.shape[1], np.uint64)
+    for x in codes.T:
         out = (out ^ x) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
     return out
 
 
-def _all(good: np.ndarray, size: int) -> np.ndarray:
-    """Places of the windows in which all are good."""
-    bad = np.r_[-1, np.flatnonzero(~good), len(good)]
-    long = np.flatnonzero(np.diff(bad) > size)
-    return np.concatenate([np.arange(bad[i] + 1, bad[i + 1] - size + 1) for i in long.tolist()] or [np.zeros(0, np.int64)])
+def _again(h: np.ndarray) -> np.ndarray:
+    """Another hash of a hash: the filter looks at two places."""
+    h = h * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
 
 
-def readings(codes: np.ndarray, either: np.ndarray, size: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of windows in which words of `either` are read as names, in all ways but none.
+def _places(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
-    Windows with a word that is not `known`, and no name, match nothing and are left out; a word of `either` that is not
-    known can only be a name.
-    """
-    n = len(codes) - size + 1
-    at = _all(known | either, size) if n > 0 and either.any() else np.zeros(0, np.int64)
-    sums = np.r_[0, np.cumsum(either)]
-    at = at[sums[at + size] > sums[at]] if len(at) else at
-    if not len(at):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    here = at[:, None] + np.arange(size)
-    free, names = (either & known)[here], np.uint64(_NAME_CODE)
-    read, nth, count = np.where(either & ~known, names, codes)[here], np.cumsum(free, axis=1) - 1, free.sum(axis=1)
-    hashes, places = [], []
-    for mask in range(1 << int(count.max())):
-        rows = (1 << count > mask) & ((mask > 0) | (count < sums[at + size] - sums[at]))
-        hashes.append(_hashed(np.where(free[rows] & (mask >> nth[rows].clip(0) & 1 > 0), names, read[rows]).T))
-        places.append(at[rows])
-    return np.concatenate(hashes), np.concatenate(places)
-
-
-class Index:
-    """Template windows of benchmark items. Items shorter than WINDOW are one window of their own length."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.items, at = {}, defaultdict(list)
-        #: By 22 bits of a code, whether an item has such a word.
-        self.known = np.zeros(1 << 22, bool)
-        self.known[_NAME_CODE >> 39] = True
-        for item, text in items:
-            words = words_of(text or "")
-            codes, places, either = template(words)
-            if len(codes) < LEAST_WORDS:
+
+def _has(filter_: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return filter_[places >> 3] >> (places & 7).astype(np.uint8) & 1 > 0
+
+
+def _items(batches):
+    """A row for each window of an item in each reading. Items of fewer than LEAST_WORDS words have one, of size -words."""
+    for df in batches:
+        out = []
+        for k, item, raw in zip(df["k"], df["item_id"], df["text"]):
+            words = raw.split() if raw else []
+            t = Template(words, [len(words)])
+            size = min(WINDOW, len(t.codes))
+            if not size:
                 continue
-            k = len(self.items)
-            self.known[codes >> np.uint64(39)] = True
-            size = min(WINDOW, len(codes))
-            self.items[k] = (item, [words[p] for p in places], codes, size)
-            for i, h in enumerate(windows(codes, size).tolist()):
-                at[size, h].append((k, i, True))
-            for h, i in zip(*(x.tolist() for x in readings(codes, either, size, np.ones(len(codes), bool)))):
-                at[size, h].append((k, i, False))
-        self.sizes = sorted({s for s, _ in at})
-        self.at = {s: {h: v for (z, h), v in at.items() if z == s} for s in self.sizes}
-        # most windows of documents are turned away by one look at a table of 2**22 bits
-        self.maybe = {s: self._table(d) for s, d in self.at.items()}
-
-    @staticmethod
-    def _table(known: dict) -> np.ndarray:
-        bits = np.zeros(1 << 22, bool)
-        bits[(np.fromiter(known, np.uint64, len(known)) >> np.uint64(42)).astype(np.int64)] = True
-        return bits
-
-    def find(self, text: str | None, whole: bool = True) -> list[tuple[int, int, bool]]:
-        """(item, matched windows, were slots changed?) of the items that the text holds.
-
-        whole: matched windows of an item that contradict each other count for nothing, and the first word of a sentence is
-        never a name; otherwise the most windows that agree count, and that word may be one.
-        """
-        words = words_of(text or "")
-        codes, places, either = template(words)
-        known = self.known[codes >> np.uint64(39)]
-        hits = defaultdict(list)  # (item, shift between item and text) -> places in the item
-        for size in self.sizes:
-            if whole:
-                h = windows(codes, size)
-                at = np.arange(len(h))
+            if size < LEAST_WORDS:
+                read = [(hashed(t.low[None]), np.zeros(1, np.int64))]
             else:
-                at = _all(known, size)
-                h = _hashed(codes[at[:, None] + np.arange(size)].T)
-                more, where = readings(codes, either, size, known)
-                h, at = np.r_[h, more], np.r_[at, where]
-            for j in np.flatnonzero(self.maybe[size][(h >> np.uint64(42)).astype(np.int64)]).tolist():
-                for k, i, literal in self.at[size].get(int(h[j]), ()):
-                    if literal or not whole:
-                        hits[k, int(at[j]) - i].append(i)
-        if not hits:
-            return []
-        plain = [words[p] for p in places]
-        by_item = defaultdict(lambda: [set(), 0, False])
-        for (k, shift), found in hits.items():
-            _, own, _, size = self.items[k]
-            ok, run = consistent(own, plain, shift, found, size), _longest(found) + size - 1
-            if ok is None and not whole:
-                found, run, ok = agreeing(own, plain, shift, found, size)
-            if ok is None:
-                continue
-            got = by_item[k]
-            got[0].update(found)
-            got[1] = max(got[1], run)
-            got[2] |= ok
-        out = []
-        for k, (found, run, changed) in by_item.items():
-            item, own, codes_k, size = self.items[k]
-            if len(found) >= SHARE * (len(codes_k) - size + 1) or run >= RUN:
-                out.append((item, len(found), changed))
-        return sorted(out)
+                read = list(t.windows(size))
+            h, at = (np.concatenate(x) for x in zip(*read))
+            kind = size if size >= LEAST_WORDS else -size
+            out.append(pd.DataFrame({"k": k, "item_id": item, "size": kind, "n": len(t.codes) - size + 1, "i": at, "h": h.view(np.int64), "again": _again(h).view(np.int64), "own": t.plain(at, size)}))
+        if out:
+            yield pd.concat(out)
 
 
-def _longest(places: list[int]) -> int:
-    best = run = 0
-    last = None
-    for p in sorted(set(places)):
-        run = run + 1 if last is not None and p == last + 1 else 1
-        best, last = max(best, run), p
-    return best
+def _item_words(batches):
+    for df in batches:
+        for raw in df["text"]:
+            words = raw.split() if raw else []
+            t = Template(words, [len(words)])
+            yield pd.DataFrame({"b": np.unique(np.r_[t.codes, [_NAME_CODE] * bool(t.either.any())].astype(np.uint64)).astype(np.int64)})
 
 
-def consistent(own: list[str], other: list[str], shift: int, found: list[int], size: int) -> bool | None:
-    """None if the slots of the matched windows contradict each other; else whether a value was changed."""
-    to, changed = {}, False
-    for i in sorted({i for f in found for i in range(f, f + size)}):
-        a, b = (_EDGE.sub("", x).lower() for x in (own[i], other[i + shift]))
-        if to.setdefault(a, b) != b:
-            return None
-        changed |= a != b
-    return changed
+#: Bits of a word's code that the table of known words looks at, of 61.
+KNOWN_BITS = 22
 
 
-def agreeing(own: list[str], other: list[str], shift: int, found: list[int], size: int) -> tuple[list[int], int, bool | None]:
-    """Of windows that contradict each other: some that agree, the longest run of words that agree, and whether a value
-    in those windows was changed (None if no window agrees with itself).
+def _bitmap(values: DataFrame, bits: int) -> np.ndarray:
+    """(b): places -> 2**bits bits; Spark makes pieces of 32,768."""
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    pieces = values.groupBy(F.bitmap_bucket_number(F.col("b") + 1).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("b") + 1)).alias("bits"))
+    for r in pieces.toLocalIterator():
+        begin = (r["at"] - 1) * 4096
+        out[begin : begin + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)[: len(out) - begin]
+    return out
+
 
-    The windows are the most of: the longest run; those where each value stands for what it most often stands for; those
-    that are verbatim.
+def _hits(sent):
+    """Documents (digest, text) -> the windows that pass the filter: digest, h, j (place), own (words as codes)."""
+
+    def together(rows, words, lengths):
+        known, filter_, bits, sizes = sent.value
+        t, out = Template(words, lengths), []
+        is_known = _has(known, (t.codes >> np.uint64(61 - KNOWN_BITS)).astype(np.int64))
+        starts = np.searchsorted(t.text, np.arange(len(rows)))
+
+        def add(h, at, size):
+            good = _has(filter_, _places(h, bits))
+            h, at = h[good], at[good]
+            good = _has(filter_, _places(_again(h), bits))
+            h, at = h[good], at[good]
+            if len(at):
+                of = t.text[at]
+                out.append(pd.DataFrame({"digest": [rows[i] for i in of.tolist()], "h": h.view(np.int64), "j": at - starts[of], "own": t.plain(at, size)}))
+
+        for size in sizes:
+            if size > 0:
+                for h, at in t.windows(size, is_known):
+                    add(h, at, size)
+            else:  # texts that are as short as such an item
+                short = np.flatnonzero(np.bincount(t.text, minlength=len(rows)) == -size)
+                if len(short):
+                    at = starts[short]
+                    add(hashed(t.low[at[:, None] + np.arange(-size)]), at, -size)
+        return pd.concat(out) if out else None
+
+    def part(batches):
+        rows, words, lengths = [], [], []
+        for df in batches:
+            for digest, raw in zip(df["digest"], df["text"]):
+                if not raw:
+                    continue
+                own = raw.split()
+                rows.append(digest)
+                words += own
+                lengths.append(len(own))
+                if len(words) >= TOGETHER:
+                    if (got := together(rows, words, lengths)) is not None:
+                        yield got
+                    rows, words, lengths = [], [], []
+        if rows and (got := together(rows, words, lengths)) is not None:
+            yield got
+
+    return part
+
+
+def judge(alignments: list[list[tuple[int, bytes, bytes]]], n: int, size: int) -> tuple[int, bool] | None:
+    """(windows that agree, was a value changed?) of an item of n windows in a text; None if it is not found.
+
+    alignments: for each shift between item and text its matched windows (place in the item, the text's words, the item's).
+    Sets of windows that agree grow from the verbatim ones, and for each alignment from those whose values stand for what
+    they most often stand for, and from the longest run without a contradiction; to each, windows of all alignments that
+    agree with it are added. The largest counts. The item is found if any set has SHARE of its windows or RUN words in a row.
     """
-    found = sorted(set(found))
-    pair = {i: tuple(_EDGE.sub("", x).lower() for x in (own[i], other[i + shift])) for f in found for i in range(f, f + size)}
-    often = defaultdict(Counter)
-    for a, b in pair.values():
-        often[a][b] += 1
-    to = {a: max(bs, key=lambda b: (bs[b], b == a, b)) for a, bs in often.items()}
-    kept = [[f for f in found if all(good(*pair[i]) for i in range(f, f + size))] for good in (lambda a, b: to[a] == b, lambda a, b: a == b)]
-    longest, run, last = [], [], {}  # last: value -> {what it stands for: its last place}
-    for f in found:
-        if run and run[-1] != f - 1:
+    hits = []
+    for matched in alignments:
+        rows = [(i, list(zip(np.frombuffer(own, np.uint64).tolist(), np.frombuffer(text, np.uint64).tolist()))) for i, text, own in sorted(matched)]
+        rows = [(i, pairs) for i, pairs in rows if len(set(pairs)) == len({a for a, _ in pairs})]  # agrees with itself
+        if rows:
+            hits.append(rows)
+    hits.sort(key=lambda rows: (-len(rows), rows))
+    if not hits:
+        return None
+    most = len({i for rows in hits for i, _ in rows})
+    best, found = (0, 0, False), False
+    for seed in _seeds(hits):
+        to: dict[int, int] = {}
+        kept: dict[int, set] = defaultdict(set)
+        for turn in (seed, enumerate(hits)):
+            for of, rows in turn:
+                for i, pairs in rows:
+                    if i not in kept[of] and all(to.get(a, b) == b for a, b in pairs):
+                        to.update(pairs)
+                        kept[of].add(i)
+        count = len(set().union(*kept.values()))
+        run = max(map(longest, kept.values())) + size - 1
+        found |= count >= SHARE * n or run >= RUN
+        if (count, run) > best[:2]:
+            best = count, run, any(a != b for a, b in to.items())
+        if best[0] == most and found:
+            break
+    return (best[0], best[2]) if found else None
+
+
+def _seeds(hits):
+    """Sets to begin with: lists of (number of the alignment, windows)."""
+    verbatim = [(of, [(i, pairs) for i, pairs in rows if all(a == b for a, b in pairs)]) for of, rows in enumerate(hits)]
+    if any(rows for _, rows in verbatim):
+        yield verbatim
+    for of, rows in enumerate(hits):
+        often = defaultdict(Counter)
+        for pair in {(i + x, pair) for i, pairs in rows for x, pair in enumerate(pairs)}:
+            often[pair[1][0]][pair[1][1]] += 1
+        to = {a: max(bs, key=lambda b: (bs[b], b == a, b)) for a, bs in often.items()}
+        mostly = [(i, pairs) for i, pairs in rows if all(to[a] == b for a, b in pairs)]
+        yield [(of, mostly)]
+        if len(mostly) < len(rows):
+            yield [(of, agreeing_run(rows))]
+
+
+def agreeing_run(rows: list) -> list:
+    """The longest run of windows, each one word after the last, without a contradiction; of several the first."""
+    best, run = [], []
+    last: dict[int, dict[int, int]] = {}  # value -> {what it stands for: its last place}
+    for i, pairs in rows:
+        if run and run[-1][0] != i - 1:
             run, last = [], {}
-        for i in range(f if not run else f + size - 1, f + size):
-            last.setdefault(pair[i][0], {})[pair[i][1]] = i
-        run.append(f)
+        begin = i
+        for x, (a, b) in enumerate(pairs):
+            last.setdefault(a, {})[b] = i + x
+        run.append((i, pairs))
         # the run begins after the last word that contradicts a later one
         begin = max((sorted(bs.values())[-2] + 1 for bs in last.values() if len(bs) > 1), default=0)
-        run = [g for g in run if g >= begin]
-        if not run:
-            last = {}
-        longest = max(longest, run, key=len)
-    best = max(longest, *kept, key=len)
-    changed = {pair[i][0] != pair[i][1] for f in best for i in range(f, f + size)}
-    return best, len(longest) + size - 1 if longest else 0, any(changed) if best else None
+        run = [r for r in run if r[0] >= begin]
+        if len(run) > len(best):
+            best = list(run)
+    return best
 
 
-FOUND = "array<struct<item_id:bigint,windows:bigint,changed:boolean>>"
+def longest(places: set[int]) -> int:
+    """Places in a row."""
+    best = run = 0
+    for p in sorted(places):
+        run = run + 1 if p - 1 in places else 1
+        best = max(best, run)
+    return best
 
 
-def _finder(index):
-    def found(text: pd.Series) -> pd.Series:
-        return pd.Series([[{"item_id": i, "windows": n, "changed": c} for i, n, c in index.value.find(t, whole=False)] for t in text], index=text.index, dtype=object)
+VERDICT = T.StructType([T.StructField("windows", T.LongType()), T.StructField("changed", T.BooleanType())])
 
-    return F.pandas_udf(found, FOUND)
 
+@F.pandas_udf(VERDICT)
+def _judged(alignments: pd.Series, n: pd.Series, size: pd.Series) -> pd.DataFrame:
+    out = []
+    for of, most, wide in zip(alignments, n, size):
+        if wide < 0:  # a short item that is the whole text
+            out.append((1, False))
+        else:
+            out.append(judge([[(h["i"], h["text"], h["own"]) for h in a["a"]] for a in of], most, wide) or (None, None))
+    return pd.DataFrame(out, columns=["windows", "changed"]).astype({"windows": "Int64", "changed": "boolean"})
 
-def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text"):
-    """The benchmark in blocks of about BLOCK_WORDS words."""
-    rows, n = [], 0
-    for r in benchmark.select(F.col(item).cast("long"), F.col(text)).toLocalIterator():
-        rows.append((r[0], r[1]))
-        n += len(r[1] or "") // 4
-        if n >= BLOCK_WORDS:
-            yield rows
-            rows, n = [], 0
-    if rows:
-        yield rows
 
+def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(digest, item_id, windows, changed): the items that each different text of docs holds, written; digest is digest_of(text).
 
-def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the column found_: the items that a text holds. Null and empty texts hold none."""
+    An item is a row of the benchmark, whatever its id: ids may be null, repeated and of any type. Null and empty texts
+    hold nothing, and null and empty items are in no text.
+    """
     spark = docs.sparkSession
-    df = limited_batches(docs).withColumn("found_", F.array().cast(FOUND))
-    for rows in blocks(benchmark):
-        index = spark.sparkContext.broadcast(Index(rows))
-        df = df.withColumn("found_", F.concat("found_", _finder(index)(F.col(text))))
-    return df
+    bench = limited_batches(with_uid(benchmark.select(F.col(item).alias("item_id"), F.col(item_text).cast("binary").alias("text")), "k"))
+    id_type = benchmark.schema[item].dataType
+    kinds = {"k": T.LongType(), "item_id": id_type, "size": T.IntegerType(), "n": T.LongType(), "i": T.LongType(), "h": T.LongType(), "again": T.LongType(), "own": T.BinaryType()}
+    index = written(bench.mapInPandas(_items, T.StructType([T.StructField(k, t) for k, t in kinds.items()])), "bench-windows")
+    windows = index.count()
+    bits = min(max(FILTER_BITS[0], (16 * windows).bit_length()), FILTER_BITS[1])
+    sizes = [r["size"] for r in index.select("size").distinct().collect()]
+    filter_ = _bitmap(index.select(F.explode(F.array("h", "again")).alias("h")).select(F.shiftrightunsigned("h", 64 - bits).alias("b")), bits)
+    known = _bitmap(bench.select("text").mapInPandas(_item_words, "b long").select(F.shiftrightunsigned("b", 61 - KNOWN_BITS).alias("b")), KNOWN_BITS)
+    sent = spark.sparkContext.broadcast((known, filter_, bits, sorted(sizes)))
+    hits = limited_batches(docs.select(digest_of(F.col(text)).alias("digest"), F.col(text).cast("binary").alias("text")))
+    hits = hits.mapInPandas(_hits(sent), "digest string, h long, j long, own binary").dropDuplicates(["digest", "h", "j"])
+    hits = written(hits.withColumnRenamed("own", "text"), "bench-hits")
+    met = join_small(hits, index.drop("again"), "h", "inner", spread="digest")
+    by_shift = met.groupBy("digest", "k", (F.col("j") - F.col("i")).alias("shift")).agg(F.sort_array(F.collect_set(F.struct("i", "text", "own"))).alias("a"), *(F.first(c).alias(c) for c in ("item_id", "n", "size")))
+    # the same words at many shifts are one alignment
+    by_item = by_shift.groupBy("digest", "k").agg(F.collect_set(F.struct("a")).alias("a"), *(F.first(c).alias(c) for c in ("item_id", "n", "size")))
+    judged = limited_batches(by_item).select("digest", "item_id", _judged("a", "n", "size").alias("v")).filter("v.windows is not null")
+    return written(judged.select("digest", "item_id", "v.windows", "v.changed"), "bench-found")
+
+
+def digest_of(text):
+    return F.md5(text.cast("binary"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, item_id, windows, changed: a row for each item found in a row of docs."""
-    df = matches(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), benchmark)
-    return df.select("doc_id", F.explode("found_").alias("f")).select("doc_id", "f.item_id", "f.windows", "f.changed")
+    """doc_id, item_id, windows, changed: a row for each item found in a row of docs.
+
+    Repeated documents and repeated items give repeated rows; ids may be null and of any type; ties don't matter, as every
+    item found is reported. Texts are compared whole, however long.
+    """
+    found = matches(docs, benchmark, text)
+    rows = docs.select(F.col(key).alias("doc_id"), digest_of(F.col(text)).alias("digest"))
+    return join_small(rows, found, "digest", "inner", spread="doc_id").select("doc_id", "item_id", "windows", "changed")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """docs without those that hold a benchmark item."""
-    return matches(carried(docs, text=text), benchmark).filter(F.size("found_") == 0).select("doc_.*")
+    """docs without those that hold a benchmark item; null texts stay."""
+    found = matches(docs, benchmark, text).select(F.col("digest").alias("digest_")).distinct()
+    rows = carried(docs, text=text).select("doc_", digest_of(F.col("text")).alias("digest_"), F.xxhash64("doc_").alias("spread_"))
+    return join_small(rows, found, "digest_", "left_anti", spread="spread_").select("doc_.*")
 
 
 def op9_decontamination(spark, sf_dir):

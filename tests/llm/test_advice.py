@@ -4,6 +4,7 @@ import random
 
 from conftest import SF
 from pyspark.sql import functions as F
+from test_exact import found_in
 
 from skyquarry.llm import decontamination as D
 from skyquarry.llm import simhash
@@ -53,16 +54,14 @@ def test_edited_copies_go(spark, monkeypatch):
     assert simhash.deduplicated(df.limit(0)).collect() == []
 
 
-def test_contradictions_split():
+def test_contradictions_split(spark):
     """A passage stays found where one of two equal values was altered; windows that share no agreement are not."""
     item = "take 3 cups and add 4 spoons then stir 3 times and wait 4 minutes for all of it to set"
-    index = D.Index([(1, item)])
     n = len(item.split()) - 7
-    assert index.find(item.replace("3", "7", 1), whole=False) == [(1, n - 2, False)]  # the first two windows hold the altered word
-    assert index.find(item.replace("3", "7").replace("4", "9"), whole=False) == [(1, n, True)]
-    assert index.find("so then " + item.replace("3", "7", 1) + " and so on", whole=False) == [(1, n - 2, False)]
-    short = D.Index([(1, "add 3 and 3 and 3 and 3")])
-    assert short.find("add 3 and 4 and 5 and 6", whole=False) == []
+    altered = item.replace("3", "7", 1)  # the first two windows hold the altered word
+    texts = [altered, item.replace("3", "7").replace("4", "9"), "so then " + altered + " and so on", "add 3 and 4 and 5 and 6"]
+    want = [(0, 1, n - 2, False), (1, 1, n, True), (2, 1, n - 2, False)]
+    assert sorted(found_in(spark, [(1, item), (2, "add 3 and 3 and 3 and 3")], texts)) == want
 
 
 def test_contradictions_split_in_tables(spark):

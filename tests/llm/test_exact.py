@@ -262,64 +262,119 @@ def test_decontamination(spark, none):
     assert D.contaminated(none, bench).collect() == [] and D.clean(df, bench.limit(0)).count() == len(rows)
 
 
-def brute_find(items, text):
-    """The definition, by comparing words of every item with words of the text at every shift."""
+def canonical(text):
+    """(readings, plain word) of each word but marks alone."""
     strip = lambda w: D._EDGE.sub("", w)
+    words, out = (text or "").split(), []
+    for i, w in enumerate(words):
+        p = strip(w)
+        number = bool(D._NUMBER.fullmatch(p))
+        begins = i == 0 or bool(D._ENDS.search(words[i - 1]))
+        unit = i > 0 and bool(D._NUMBER.fullmatch(strip(words[i - 1]))) and p.lower() in D.UNITS
+        name = p[:1].isupper() and not number
+        read = {"U"} if unit else {"N"} if number else {"A", "w " + p.lower()} if name and begins else {"A"} if name else {"w " + p.lower()}
+        if p:
+            out.append((read, p.lower()))
+    return out
 
-    def canonical(words):
-        out = []
-        for i, w in enumerate(words):
-            p = strip(w)
-            number = bool(D._NUMBER.fullmatch(p))
-            inside = i > 0 and not D._ENDS.search(words[i - 1])
-            before = i > 0 and bool(D._NUMBER.fullmatch(strip(words[i - 1])))
-            kind = "U" if before and p.lower() in D.UNITS else "N" if number else "A" if inside and p[:1].isupper() else "w " + p.lower()
-            if p:
-                out.append((kind, p.lower()))
-        return out
-
-    doc, found = canonical((text or "").split()), []
+
+def brute_find(items, text):
+    """The definition, by comparing words of every item with words of the text at every shift."""
+    doc, found = canonical(text), []
     for item, t in items:
-        own = canonical((t or "").split())
+        own = canonical(t)
         if len(own) < D.LEAST_WORDS:
+            if own and [w for _, w in own] == [w for _, w in doc]:
+                found.append((item, 1, False))
             continue
-        size, all_, best = min(D.WINDOW, len(own)), set(), 0
+        size, alignments = min(D.WINDOW, len(own)), []
+        code = lambda ws: np.array([D._code(w) for _, w in ws], np.uint64).tobytes()
         for shift in range(-len(own), len(doc)):
-            hits = [i for i in range(len(own) - size + 1) if 0 <= i + shift <= len(doc) - size and all(own[i + j][0] == doc[i + shift + j][0] for j in range(size))]
-            pairs = {(own[i + j][1], doc[i + shift + j][1]) for i in hits for j in range(size)}
-            if not hits or len({a for a, _ in pairs}) < len(pairs):
-                continue
-            all_ |= set(hits)
-            run = max(sum(1 for _ in g) for k, g in itertools.groupby(range(min(hits), max(hits) + 1), lambda i: i in set(hits)) if k)
-            best = max(best, run + size - 1)
-        if all_ and (len(all_) >= D.SHARE * (len(own) - size + 1) or best >= D.RUN):
-            found.append((item, len(all_)))
+            hits = [i for i in range(len(own) - size + 1) if 0 <= i + shift <= len(doc) - size and all(own[i + j][0] & doc[i + shift + j][0] for j in range(size))]
+            if hits:
+                alignments.append([(i, code(doc[i + shift : i + shift + size]), code(own[i : i + size])) for i in hits])
+        if got := D.judge(alignments, len(own) - size + 1, size):
+            found.append((item, *got))
     return found
 
 
-_words = st.sampled_from(["the", "Anna", "Bob", "12", "7", "kg", "km", "left.", "So", "--", "went", "Home,"])
+def found_in(spark, items, texts):
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return Counter((r["doc_id"], r["item_id"], r["windows"], r["changed"]) for r in D.contaminated(docs, bench).collect())
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(_words, min_size=3, max_size=14), min_size=1, max_size=3), st.lists(_words, max_size=20), st.integers(0, 2), st.integers(0, 20))
-def test_decontamination_brute_force(items, noise, which, at):
-    items = [(i, " ".join(w)) for i, w in enumerate(items)]
-    text = " ".join(noise[:at]) + " " + items[which % len(items)][1] + " " + " ".join(noise[at:])
-    assert [(i, n) for i, n, _ in D.Index(items).find(text)] == brute_find(items, text)
+@pytest.mark.parametrize("together", [1, 1 << 20])
+def test_decontamination_brute_force(spark, monkeypatch, together):
+    """Windows by hash join against words compared at every shift; ids null and repeated; with few and with many words a batch."""
+    monkeypatch.setattr(D, "TOGETHER", together)
+    r, words = random.Random(together), ["the", "Anna", "Bob", "12", "7", "kg", "km", "left.", "So", "--", "went", "Home,", "U+1", "\u00e9t\u00e9"]
+    some = lambda low, high: " ".join(r.choice(words) for _ in range(r.randint(low, high)))
+    items = [(i, some(1, 14)) for i in range(30)] + [(None, some(5, 9)), (3, some(9, 30)), (31, None), (32, " -- ")]
+    texts = [f"{some(0, 20)} {items[i % 34][1]} {some(0, 20)}" for i in range(60)] + [t for _, t in items] + [None, "", "--", some(3000, 3000)]
+    want = Counter((d, *f) for d, t in enumerate(texts) for f in brute_find(items, t))
+    assert len(want) > 60 and found_in(spark, items, texts) == want
 
 
-def test_slots_must_agree():
-    item = "take 3 cups and add 4 spoons then stir 3 times and wait 4 minutes for all of it to set"
-    index = D.Index([(1, item)])
-    assert index.find(item.replace("3", "7").replace("4", "9")) == [(1, len(item.split()) - 7, True)]
-    assert index.find(item.replace("3", "7", 1)) == []  # 3 can't be 7 here and 3 there
+def _agree(rows):
+    pairs = {p for _, _, ps in rows for p in ps}
+    return len(pairs) == len({a for a, _ in pairs})
+
+
+def test_judge_finds_the_most_that_agree():
+    """Against all subsets of the matched windows, over one to three alignments."""
+    r, same = random.Random(6), 0
+    for _ in range(300):
+        size, n = 2, 4
+        rows = [(of, i, [(r.randint(0, 3), r.randint(0, 2)) for _ in range(size)]) for of in range(r.randint(1, 3)) for i in sorted(r.sample(range(n), r.randint(1, 3)))]
+        most = max((len({i for _, i, _ in sub}) for k in range(len(rows) + 1) for sub in itertools.combinations(rows, k) if _agree(sub)), default=0)
+        code = lambda xs: np.array(xs, np.uint64).tobytes()
+        alignments = [[(i, code([b for _, b in ps]), code([a for a, _ in ps])) for o, i, ps in rows if o == of] for of in {o for o, _, _ in rows}]
+        got = D.judge(alignments, n, size)
+        assert (got[0] if got else 0) <= most
+        same += (got[0] if got else 0) == most or (got is None and most < D.SHARE * n)
+    assert same >= 290  # windows are added one by one, so a few of the largest sets are not met
 
 
-def test_blocks(spark, monkeypatch):
-    monkeypatch.setattr(D, "BLOCK_WORDS", 1)
-    bench = spark.createDataFrame([(i, ITEM + f" item{i} extra{i}") for i in range(3)], "item_id long, text string")
-    df = spark.createDataFrame([(1, ITEM + " item1 extra1")], "doc_id long, text string")
-    assert {r["item_id"] for r in D.contaminated(df, bench).collect()} == {0, 1, 2}
+def test_slots_must_agree(spark):
+    item = "take 3 cups and add 4 spoons then stir 3 times and wait 4 minutes for all of it to set"
+    n = len(item.split()) - 7
+    assert found_in(spark, [(1, item)], [item.replace("3", "7").replace("4", "9")]) == Counter([(0, 1, n, True)])
+    # 3 can't be 7 here and 3 there: the windows that agree count
+    assert found_in(spark, [(1, item)], [item.replace("3", "7", 1)]) == Counter([(0, 1, n - 2, False)])
+
+
+def test_slots_agree_over_alignments(spark):
+    """40 can't be 70 in one part of a text and 90 in another, with or without other words between the parts."""
+    item = "she saw 40 red birds over it and 40 old dogs"
+    changed = lambda between: f"she saw 70 red birds over it {between} and 90 old dogs"
+    assert found_in(spark, [(1, item)], [changed(""), item.replace("40", "70"), changed("and 70 old dogs but")]) == Counter([(1, 1, 4, True), (2, 1, 4, True)])
+    long = "we had 40 red birds which sat over the old house and they sang of the 40 old dogs that ran in the wood all day"
+    for between in ("", "two more words"):
+        parts = long.replace("40", "70", 1).replace("40", "90", 1).split("and they")
+        got = found_in(spark, [(1, long)], [f"{parts[0]} {between} and they {parts[1]}"])
+        assert sum(got.values()) <= 1 and all(w < len(long.split()) - 7 for _, _, w, _ in got)
+
+
+def test_many_items(spark, monkeypatch):
+    """An index above the broadcast bound, a window that all items share, a passage in a third of the documents."""
+    from skyquarry.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
+    items = [(i, ITEM + f" item{i} extra{i} more{i}") for i in range(30)]
+    texts = [ITEM + " item1 extra1 more1"] * 30 + [f"nothing like it {i}" for i in range(60)]
+    got = found_in(spark, items, texts)
+    assert sum(got.values()) == 30 * 30 and {d for d, *_ in got} == set(range(30))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in D.clean(docs, spark.createDataFrame(items, "item_id long, text string")).collect()) == list(range(30, 90))
+
+
+def test_decontamination_ids(spark, none):
+    """Ids null, repeated and of other types."""
+    bench = spark.createDataFrame([(None, ITEM), ("x", ITEM), ("x", ITEM)], "item_id string, text string")
+    docs = spark.createDataFrame([("a", ITEM), (None, ITEM), (None, None)], "doc_id string, text string")
+    assert Counter((r["doc_id"], r["item_id"]) for r in D.contaminated(docs, bench).collect()) == Counter({(d, i): n for d in ("a", None) for i, n in ((None, 1), ("x", 2))})
+    assert D.contaminated(docs, bench.limit(0)).collect() == []
 
 
 # secrets
