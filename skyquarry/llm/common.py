@@ -37,9 +37,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see; a temporary one where it is unset (local runs)."""
+    """The folder in spark.checkpoint.dir, which all executors see. Where it is unset, a local run gets a temporary one; a
+    cluster, whose executors would each write to a disk of their own, an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="skyquarry-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -58,13 +61,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
 _WRITTEN: list[str] = []
 
 
-def drop_written(spark: SparkSession) -> int:
-    """Delete what written() has left in the shared folder, once results that read it are saved. Returns how many."""
-    n = 0
-    while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        n += path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-    return n
+def drop_written(spark: SparkSession, since: int = 0, last: bool = True) -> int:
+    """Delete what written() has left in the shared folder, once results that read it are saved. Returns how many.
+
+    since: only tables written after so many. last: the last one too.
+    """
+    end = len(_WRITTEN) if last else len(_WRITTEN) - 1
+    gone = _WRITTEN[since:end]
+    del _WRITTEN[since:end]
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(x) for x in gone]
+    return sum(path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True) for path in paths)
+
+
+def n_written() -> int:
+    return len(_WRITTEN)
 
 
 def with_uid(df: DataFrame, name: str = "uid") -> DataFrame:
@@ -146,6 +156,22 @@ def join_small(big: DataFrame, small: DataFrame, key: str, how: str = "left", sp
     return big.withColumn("salt_", salt).join(salted, [key, "salt_"], how).drop("salt_")
 
 
+#: A key with more than one row in so many is hot; so there are no more hot keys than this.
+HOT = 10_000
+
+
+def join_hot(big: DataFrame, small: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """Join two tables of any size, small with one row for each key, where a few keys may hold most rows of big.
+
+    The keys that hold more than 1/HOT of big's rows, which are HOT at most, are counted first and joined by broadcast; all
+    others by a shuffle, in which no key holds more than that. Both sides should be written tables.
+    """
+    total = big.count()
+    hot = written(big.groupBy(key).agg(F.count("*").alias("n_")).filter(F.col("n_") * HOT > total).select(key), "hot-keys")
+    few = small.join(F.broadcast(hot), key, "left_semi")
+    return big.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(few), key, how).unionByName(big.join(F.broadcast(hot), key, "left_anti").join(small, key, how))
+
+
 def limited_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
     """Set the rows in an Arrow batch, so that a batch of long texts stays small in a Python worker."""
     spark = df.sparkSession

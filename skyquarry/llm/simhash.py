@@ -6,6 +6,11 @@ meet only where such a table gives them the same key. Inside a bucket they are c
 count, in tiles, with numpy's exclusive-or and bit counts; pairs of tiles whose population counts differ beyond the radius
 are skipped. A bucket above TILE_ROWS is dealt out to pairs of its parts, so no task holds more than two parts. A bucket
 reports a spanning forest of its links, never all pairs.
+
+near_duplicates() is the digest by 4-word shingles and RADIUS bits. deduplicated() finds near copies: texts that share
+SIMILARITY of their different COPY_SHINGLE-word shingles. Fingerprints of such texts differ in more bits than pigeonhole
+blocks can bound, so there buckets come from bands of minima of the shingles; inside them fingerprints are compared in the
+same tiles, within COPY_RADIUS bits, and pairs so linked are compared exactly by their shingles.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import carried, limited_batches, ship, table, with_uid, word_bytes, written
+from .common import carried, join_hot, join_small, limited_batches, ship, table, with_uid, word_bytes, written
 from .components import components
 
 ship(__name__)
@@ -50,7 +55,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         begins = [0, *(e + 1 for e in ends[: len(words) - shingle])]
         grams = [joined[b:e] for b, e in zip(begins, ends[shingle - 1 :])]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(g, SEED) for g in grams), np.uint64, len(grams))
+    return majority(np.fromiter((digest(g, SEED) for g in grams), np.uint64, len(grams)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 65536):  # a long text's bits are never all unpacked at once
         bits = np.unpackbits(hashes[i : i + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
@@ -74,34 +83,52 @@ def _find(parent: np.ndarray, x: int) -> int:
     return int(x)
 
 
+def tiles(values: np.ndarray, radius: int):
+    """values by rising population count -> pairs of places (a < b) within the radius, tile by tile."""
+    counts = np.bitwise_count(values).astype(np.int64)
+    for i in range(0, len(values), TILE):
+        x = values[i : i + TILE]
+        for j in range(i, len(values), TILE):
+            if counts[j] - counts[min(i + TILE, len(values)) - 1] > radius:
+                break  # later tiles have larger counts still
+            a, b = np.nonzero(np.bitwise_count(x[:, None] ^ values[None, j : j + TILE]) <= radius)
+            a, b = a + i, b + j
+            yield a[a < b], b[a < b]
+
+
+def band(values: np.ndarray, bucket: np.ndarray, radius: int):
+    """The same for many buckets of SMALL values or fewer that lie one after another: tiles of one row each, all at once."""
+    counts = np.bitwise_count(values).astype(np.int16)
+    for d in range(1, SMALL):
+        same = bucket[:-d] == bucket[d:]
+        if not same.any():
+            break
+        same &= np.abs(counts[:-d] - counts[d:]) <= radius
+        i = np.flatnonzero(same)
+        i = i[np.bitwise_count(values[i] ^ values[i + d]) <= radius]
+        yield i, i + d
+
+
 def spanning(values: np.ndarray, part: np.ndarray, both: bool, radius: int = RADIUS) -> list[tuple[int, int]]:
     """Links of a spanning forest among values within the radius, compared tile by tile.
 
     both: only pairs of different parts are looked for, as others are compared elsewhere.
     """
-    counts = np.bitwise_count(values)
-    order = np.argsort(counts, kind="stable")
-    values, counts, part = values[order], counts[order].astype(np.int64), part[order]
+    order = np.argsort(np.bitwise_count(values), kind="stable")
+    values, part = values[order], part[order]
     parent, out = np.arange(len(values)), []
-    starts = range(0, len(values), TILE)
-    for i in starts:
-        x = values[i : i + TILE]
-        for j in range(i, len(values), TILE):
-            if counts[j] - counts[min(i + TILE, len(values)) - 1] > radius:
-                break  # later tiles have larger counts still
-            near = np.bitwise_count(x[:, None] ^ values[None, j : j + TILE]) <= radius
-            if both:
-                near &= part[i : i + TILE, None] != part[None, j : j + TILE]
-            a, b = np.nonzero(near)
-            for m, n in zip((a + i).tolist(), (b + j).tolist()):
-                if m < n and (r := _find(parent, m)) != (s := _find(parent, n)):
-                    parent[s] = r
-                    out.append((int(values[m]), int(values[n])))
+    for a, b in tiles(values, radius):
+        if both:
+            a, b = a[part[a] != part[b]], b[part[a] != part[b]]
+        for m, n in zip(a.tolist(), b.tolist()):
+            if (r := _find(parent, m)) != (s := _find(parent, n)):
+                parent[s] = r
+                out.append((int(values[m]), int(values[n])))
     return out
 
 
 def _small(values: np.ndarray, bucket: np.ndarray, part: np.ndarray, cross: np.ndarray) -> list[tuple[int, int]]:
-    """The same for many small buckets that lie one after another: a band of tiles of one row each, compared at once."""
+    """A spanning forest of many small buckets."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -109,48 +136,43 @@ def _small(values: np.ndarray, bucket: np.ndarray, part: np.ndarray, cross: np.n
             parent[x] = x = parent.get(y, y)
         return x
 
-    counts, out = np.bitwise_count(values).astype(np.int16), []
-    for d in range(1, SMALL):
-        same = bucket[:-d] == bucket[d:]
-        if not same.any():
-            break
-        same &= np.abs(counts[:-d] - counts[d:]) <= RADIUS
-        i = np.flatnonzero(same)
-        i = i[np.bitwise_count(values[i] ^ values[i + d]) <= RADIUS]
-        for m in i[~cross[i] | (part[i] != part[i + d])].tolist():
-            if (r := root(m)) != (q := root(m + d)):
+    out = []
+    for i, j in band(values, bucket, RADIUS):
+        good = ~cross[i] | (part[i] != part[j])
+        for m, n in zip(i[good].tolist(), j[good].tolist()):
+            if (r := root(m)) != (q := root(n)):
                 parent[q] = r
-                out.append((int(values[m]), int(values[m + d])))
+                out.append((int(values[m]), int(values[n])))
     return out
 
 
-def _bucket_links(batches):
-    """Rows sorted by bucket -> links. A bucket may begin in one batch and end in a later one."""
+def whole_buckets(batches, keys: list[str]):
+    """Rows sorted by keys -> frames of whole buckets, with the numbers of their rows' buckets. One may span batches."""
     rest = None
-
-    def linked(df: pd.DataFrame) -> pd.DataFrame:
-        keys = df[["t", "k", "p", "q"]].to_numpy()
-        new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
-        sizes = np.diff(np.r_[new, len(keys)])
-        bucket = np.repeat(np.arange(len(new)), sizes)
-        values, part, cross = df["fp"].to_numpy().view(np.uint64), df["part"].to_numpy(), keys[:, 2] != keys[:, 3]
-        few = np.repeat(sizes <= SMALL, sizes)
-        out = _small(values[few], bucket[few], part[few], cross[few]) if few.any() else []
-        for i, n in zip(new[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
-            out += spanning(values[i : i + n], part[i : i + n], bool(cross[i]))
-        return pd.DataFrame([(_signed(a), _signed(b)) for a, b in out], columns=["a", "b"]).astype("int64")
-
     for df in batches:
         if not len(df):
             continue
         df = pd.concat([rest, df], ignore_index=True) if rest is not None else df
-        last = df[["t", "k", "p", "q"]].iloc[-1]
-        whole = int(np.flatnonzero((df[["t", "k", "p", "q"]].to_numpy() != last.to_numpy()).any(axis=1))[-1:].sum() + 1) if (df[["t", "k", "p", "q"]].iloc[0] != last).any() else 0
-        if whole:
-            yield linked(df.iloc[:whole])
-        rest = df.iloc[whole:]
+        of = df[keys].to_numpy()
+        new = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]).any(axis=1)])
+        if new[-1]:
+            yield df.iloc[: new[-1]], new
+        rest = df.iloc[new[-1] :]
     if rest is not None:
-        yield linked(rest)
+        yield rest, np.array([0, len(rest)])
+
+
+def _bucket_links(batches):
+    """Rows sorted by bucket -> links of a spanning forest of each."""
+    for df, new in whole_buckets(batches, ["t", "k", "p", "q"]):
+        sizes = np.diff(new)
+        bucket = np.repeat(np.arange(len(sizes)), sizes)
+        values, part, cross = df["fp"].to_numpy().view(np.uint64), df["part"].to_numpy(), (df["p"] != df["q"]).to_numpy()
+        few = np.repeat(sizes <= SMALL, sizes)
+        out = _small(values[few], bucket[few], part[few], cross[few]) if few.any() else []
+        for i, n in zip(new[:-1][sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+            out += spanning(values[i : i + n], part[i : i + n], bool(cross[i]))
+        yield pd.DataFrame([(_signed(a), _signed(b)) for a, b in out], columns=["a", "b"]).astype("int64")
 
 
 def _masks(blocks: int, radius: int = RADIUS) -> list[int]:
@@ -159,6 +181,14 @@ def _masks(blocks: int, radius: int = RADIUS) -> list[int]:
     return [sum(c) for c in itertools.combinations(each, blocks - radius)]
 
 
+def dealt(rows: DataFrame, by: str, most: int) -> DataFrame:
+    """Rows of buckets of n rows -> rows of pairs (p, q) of the buckets' parts of about `most` rows."""
+    parts = F.ceil(F.col("n") / most).cast("int")
+    rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64(by), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.withColumn("p", F.least("part", "other")).withColumn("q", F.greatest("part", "other")).drop("other", "parts")
+
+
 def links(fingerprints: DataFrame) -> DataFrame:
     """(fp): different signed 64-bit fingerprints -> (a, b): links that connect all within RADIUS bits of one another."""
     n = fingerprints.count()
@@ -167,11 +197,7 @@ def links(fingerprints: DataFrame) -> DataFrame:
     rows = fingerprints.select("fp", keys.alias("key")).select("fp", "key.t", "key.k")
     rows = written(rows, "simhash-keys")
     sizes = rows.groupBy("t", "k").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = rows.join(sizes, ["t", "k"])
-    parts = F.ceil(F.col("n") / TILE_ROWS).cast("int")
-    rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    rows = rows.select("fp", "t", "k", "part", other).select("fp", "part", "t", "k", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+    rows = dealt(rows.join(sizes, ["t", "k"]), "fp", TILE_ROWS).select("fp", "part", "t", "k", "p", "q")
     rows = rows.repartition("t", "k", "p", "q").sortWithinPartitions("t", "k", "p", "q", F.bit_count("fp"), "fp")
     return rows.mapInPandas(_bucket_links, "a long, b long").distinct()
 
@@ -184,10 +210,16 @@ def fingerprinted(rows: DataFrame) -> DataFrame:
 def classes(prints: DataFrame) -> DataFrame:
     """(fp_, first): for each fingerprint the smallest doc_id of its component (null only if all its ids are null)."""
     one = written(prints.groupBy("fp_").agg(F.min("doc_id").alias("first")), "simhash-fps")
-    roots = components(links(one.select(F.col("fp_").alias("fp"))))
-    rooted = one.join(roots.select(F.col("node").alias("fp_"), "root"), "fp_", "left").withColumn("root", F.coalesce("root", "fp_"))
-    first = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    return written(rooted.drop("first").join(first, "root").select("fp_", "first", "root"), "simhash-classes")
+    linked = members(components(links(one.select(F.col("fp_").alias("fp")))))
+    linked = written(linked.join(one.withColumnRenamed("fp_", "node"), "node"), "simhash-linked")
+    least = written(linked.groupBy("root").agg(F.min("first").alias("least")), "simhash-least")
+    known = join_hot(linked.drop("first"), least, "root", "inner").select(F.col("node").alias("fp_"), "least")
+    return written(one.join(known, "fp_", "left").select("fp_", F.coalesce("least", "first").alias("first")), "simhash-classes")
+
+
+def members(roots: DataFrame) -> DataFrame:
+    """components() -> the same with the roots themselves."""
+    return written(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "cc-members")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -197,7 +229,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     component_id is null only where all ids of a component are null. An empty table gives an empty result.
     """
     prints = fingerprinted(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")))
-    out = prints.join(classes(prints), "fp_")
+    out = join_hot(prints, classes(prints), "fp_", "inner")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp_"), 16, "0")).alias("fingerprint"), F.col("first").alias("component_id"))
 
 
@@ -207,8 +239,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 COPY_SHINGLE, SIMILARITY = 5, 0.8
 #: Texts meet where all ROWS minima of one of BANDS bands agree: at a similarity of 0.8 all but 0.04 % of pairs do.
 BANDS, ROWS = 20, 5
-#: Buckets of so many texts or fewer are compared pair by pair; in larger ones each text with one that is drawn.
-COMPARED = 64
+#: Bits in which fingerprints of near copies may differ. At a similarity of 0.8 they differ in 9.7 of 64 bits, with a
+#: deviation of 2.9: one pair in 8,000 is beyond.
+COPY_RADIUS = 20
+#: Texts of a large bucket, or of a part of one, that a task holds with their shingles.
+COPY_ROWS = 2048
 _MIX = np.random.default_rng(SEED).integers(1, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -231,53 +266,122 @@ def bands(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.pandas_udf(T.StructType([T.StructField("code", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
+_BANDED = T.StructType([T.StructField("code", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+
+
+@F.pandas_udf(_BANDED)
 def _banded(text: pd.Series) -> pd.DataFrame:
     sets = [shingle_set(t) for t in text]
     codes = [_signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)) for s in sets]
-    return pd.DataFrame({"code": codes, "bands": [bands(s).view(np.int64) for s in sets]}, index=text.index)
+    return pd.DataFrame({"code": codes, "fp": [_signed(majority(s)) for s in sets], "bands": [bands(s).view(np.int64) for s in sets]}, index=text.index)
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
+@F.pandas_udf(T.BinaryType())
 def _shingles(text: pd.Series) -> pd.Series:
-    return pd.Series([shingle_set(t).view(np.int64) for t in text], index=text.index, dtype=object)
+    return pd.Series([shingle_set(t).tobytes() for t in text], index=text.index, dtype=object)
+
+
+def similar(x: bytes, y: bytes) -> bool:
+    """Do two sets of shingles share SIMILARITY of both?"""
+    m, n = len(x) // 8, len(y) // 8
+    if min(m, n) < SIMILARITY * max(m, n):
+        return False
+    both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+    return both >= SIMILARITY * (m + n - both)
+
 
+def _near_pairs(batches):
+    """Rows of small buckets (t, k, code_, fp), sorted -> pairs of codes within COPY_RADIUS bits."""
+    for df, new in whole_buckets(batches, ["t", "k"]):
+        values, codes = df["fp"].to_numpy().view(np.uint64), df["code_"].to_numpy()
+        for i, j in band(values, np.repeat(np.arange(len(new) - 1), np.diff(new)), COPY_RADIUS):
+            yield pd.DataFrame({"a": np.minimum(codes[i], codes[j]), "b": np.maximum(codes[i], codes[j])})
 
-def copy_links(rows: DataFrame) -> DataFrame:
-    """(text, code_, bands_), written -> (a, b): pairs of codes whose sets are similar, each compared exactly.
 
-    Rows with equal sets have equal codes and are one. Of buckets above COMPARED, a text is compared with the drawn one
-    only, so that links stay in proportion to texts; each band draws another.
+def _similar_links(batches):
+    """Parts of large buckets (t, k, p, q, part, root, code_, fp, s), sorted -> links between different groups.
+
+    Pairs within COPY_RADIUS bits, of texts that are not linked yet, are compared exactly by their shingles.
     """
-    keys = rows.groupBy("code_").agg(F.first("bands_").alias("bands_")).select("code_", F.posexplode("bands_").alias("t", "k"))
-    keys = written(keys, "copies-keys")
+    for df, new in whole_buckets(batches, ["t", "k", "p", "q"]):
+        out = []
+        for i, n in zip(new[:-1].tolist(), np.diff(new).tolist()):
+            of = df.iloc[i : i + n]
+            values = of["fp"].to_numpy().view(np.uint64)
+            order = np.argsort(np.bitwise_count(values), kind="stable")
+            values, cross = values[order], of["p"].iloc[0] != of["q"].iloc[0]
+            codes, part, sets = of["code_"].to_numpy()[order], of["part"].to_numpy()[order], of["s"].to_numpy()[order]
+            first, parent = np.unique(of["root"].to_numpy()[order], return_index=True, return_inverse=True)[1:]
+            parent = first[parent]  # groups that are known already
+            for a, b in tiles(values, COPY_RADIUS):
+                if cross:
+                    a, b = a[part[a] != part[b]], b[part[a] != part[b]]
+                apart = parent[a] != parent[b]
+                for x, y in zip(a[apart].tolist(), b[apart].tolist()):
+                    if (r := _find(parent, x)) != (q := _find(parent, y)) and similar(sets[x], sets[y]):
+                        parent[q] = r
+                        out.append((codes[x], codes[y]))
+        yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+
+def _by_code(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) -> those whose sets are similar."""
+    both = pairs.join(sets.select(F.col("code_").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("code_").alias("b"), F.col("s").alias("y")), "b")
+
+    def good(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([similar(p, q) for p, q in zip(x, y)], index=x.index, dtype=bool)
+
+    good.__annotations__ = {"x": pd.Series, "y": pd.Series, "return": pd.Series}
+    return limited_batches(both).filter(F.pandas_udf(good, T.BooleanType())("x", "y")).select("a", "b")
+
+
+def copy_links(one: DataFrame, texts: DataFrame) -> DataFrame:
+    """(code_, fp, bands_, uid_), codes different, and (uid_, text), written -> (a, b): links of all near copies that meet.
+
+    Buckets of SMALL texts or fewer report all pairs within COPY_RADIUS bits, which are compared exactly. In a larger one
+    each text is first compared with a drawn one, another in each band, so that a group of copies is linked by as many
+    links as it has texts. Only buckets whose texts are then still in different groups are compared in full, in tiles,
+    parts of COPY_ROWS texts against one another: no pair that meets is left out.
+    """
+    keys = written(one.select("code_", "fp", F.posexplode("bands_").alias("t", "k")), "copies-keys")
     drawn = F.min(F.struct(F.xxhash64("code_", "t").alias("h"), "code_"))["code_"].alias("drawn")
     sizes = keys.groupBy("t", "k").agg(F.count("*").alias("n"), drawn).filter("n > 1")
     met = written(keys.join(sizes, ["t", "k"]), "copies-met")
-    few = met.filter(F.col("n") <= COMPARED)
-    pairs = few.select("t", "k", F.col("code_").alias("a")).join(few.select("t", "k", F.col("code_").alias("b")), ["t", "k"]).filter("a < b").select("a", "b")
-    many = met.filter((F.col("n") > COMPARED) & (F.col("code_") != F.col("drawn"))).select(F.least("code_", "drawn").alias("a"), F.greatest("code_", "drawn").alias("b"))
+    few = met.filter(F.col("n") <= SMALL).repartition("t", "k").sortWithinPartitions("t", "k", F.bit_count("fp"), "code_")
+    pairs = few.select("t", "k", "code_", "fp").mapInPandas(_near_pairs, "a long, b long")
+    many = met.filter((F.col("n") > SMALL) & (F.col("code_") != F.col("drawn"))).select(F.least("code_", "drawn").alias("a"), F.greatest("code_", "drawn").alias("b"))
     pairs = written(pairs.unionByName(many).distinct(), "copies-pairs")
     asked = pairs.select(F.col("a").alias("code_")).unionByName(pairs.select(F.col("b").alias("code_"))).distinct()
-    one = rows.join(asked, "code_", "left_semi").groupBy("code_").agg(F.min("uid_").alias("uid_"))
-    sets = limited_batches(rows.join(one.select("uid_"), "uid_", "left_semi").select("code_", "text")).select("code_", _shingles("text").alias("s"))
+    asked = written(one.join(asked, "code_", "left_semi").select("code_", "uid_"), "copies-asked")
+    sets = limited_batches(join_small(texts, asked, "uid_", "inner", spread="uid_")).select("code_", _shingles("text").alias("s"))
     sets = written(sets, "copies-sets")
-    both = pairs.join(sets.select(F.col("code_").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("code_").alias("b"), F.col("s").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.filter(common >= SIMILARITY * (F.size("x") + F.size("y") - common)).select("a", "b")
+    found = written(_by_code(pairs, sets), "copies-links")
+    large = met.filter(F.col("n") > SMALL).select("t", "k", "n", "code_", "fp")
+    roots = members(components(found)).withColumnRenamed("node", "code_")
+    large = written(large.join(roots, "code_", "left").withColumn("root", F.coalesce("root", "code_")), "copies-large")
+    apart = large.groupBy("t", "k").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("t", "k")
+    rows = dealt(large.join(apart, ["t", "k"], "left_semi"), "code_", COPY_ROWS).join(sets, "code_")
+    rows = rows.repartition("t", "k", "p", "q").sortWithinPartitions("t", "k", "p", "q")
+    more = limited_batches(rows).select("t", "k", "p", "q", "part", "root", "code_", "fp", "s").mapInPandas(_similar_links, "a long, b long")
+    return found.unionByName(more)
 
 
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs without all but one row of each group of near copies: the one with the smallest id, and of several the first read.
 
-    Groups are components of the pairs that share SIMILARITY of their shingles. Null and empty texts are equal ones.
+    Groups are components of the pairs that share SIMILARITY of their shingles. Null and empty texts are equal ones. A null
+    id is larger than any. Texts are compared whole, however long.
     """
     rows = limited_batches(with_uid(carried(docs, doc_id=key, text=text), "uid_")).withColumn("b_", _banded("text"))
-    rows = written(rows.select("doc_", "doc_id", "uid_", F.col("b_")["code"].alias("code_"), F.col("b_")["bands"].alias("bands_")), "copies")
-    roots = components(copy_links(rows.withColumn("text", F.col("doc_")[text])))
-    known = rows.select("uid_", "doc_id", "code_").join(roots.select(F.col("node").alias("code_"), "root"), "code_", "left").withColumn("root", F.coalesce("root", "code_"))
-    stay = known.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid_")).alias("s"))
-    return rows.join(stay.select(F.col("s.uid_").alias("uid_")), "uid_", "left_semi").select("doc_.*")
+    rows = written(rows.select("doc_", "doc_id", "uid_", "b_.code", "b_.fp", "b_.bands"), "copies")
+    keep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid_")).alias("s")
+    first = rows.groupBy(F.col("code").alias("code_")).agg(F.first("fp").alias("fp"), F.first("bands").alias("bands_"), keep, F.min("uid_").alias("uid_"))
+    first = written(first, "copies-first")
+    roots = written(components(copy_links(first, rows.select("uid_", F.col("doc_")[text].alias("text")))), "copies-roots")
+    known = first.join(roots.withColumnRenamed("node", "code_"), "code_", "left").withColumn("root", F.coalesce("root", "code_"))
+    stay = known.groupBy("root").agg(F.min("s").alias("s")).select(F.col("s.uid_").alias("uid_"))
+    gone = rows.select("uid_").join(stay, "uid_", "left_anti")
+    return join_small(rows, written(gone, "copies-gone"), "uid_", "left_anti", spread="uid_").select("doc_.*")
 
 
 def op6_simhash(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 from test_exact import found_in
@@ -35,18 +36,25 @@ def brute_copies(rows):
     return sorted(least.values())
 
 
-def test_edited_copies_go(spark, monkeypatch):
-    """Copies with some words changed go as by brute force, in buckets of all sizes; a doubled empty text stays once."""
+@pytest.mark.parametrize("small, part", [(64, 2048), (2, 2048), (2, 16)])
+def test_edited_copies_go(spark, monkeypatch, small, part):
+    """Copies with some words changed go as by brute force, in buckets of all sizes; a doubled empty text stays once.
+
+    With small and part, nearly all buckets are large ones, of one and of several parts.
+    """
+    monkeypatch.setattr(simhash, "SMALL", small)
+    monkeypatch.setattr(simhash, "COPY_ROWS", part)
     r = random.Random(4)
     rows = [(x["doc_id"], x["text"]) for x in table(spark, SF, "documents").select("doc_id", "text").collect()]
     n = max(i for i, _ in rows) + 1
-    for _, t in rows[:60]:
+    base = " ".join(f"w{i}" for i in range(120)).split()  # a group of copies that are also far from one another
+    for t in [t for _, t in rows[:60]] + [" ".join(base)] * 60:
         w = t.split(" ")
         for _ in range(r.randint(0, 1 + len(w) // 40)):
             w[r.randrange(len(w))] = "changed"
         rows.append((n := n + 1, " ".join(w)))
     rows += [(n + 1, ""), (n + 2, None), (n + 3, "one two"), (n + 4, "one  two")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("uid_", F.lit("mine"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("uid_", F.lit("mine")).withColumn("code", F.lit("mine"))
     want = brute_copies(rows)
     assert len(want) < len(rows) - 20
     got = simhash.deduplicated(df)

@@ -5,7 +5,8 @@ from collections import Counter
 import corpus_pipeline as P
 from conftest import SF
 from pyspark.sql import functions as F
-from test_exact import brute_components, brute_fingerprint, brute_quality
+from test_advice import brute_copies
+from test_exact import brute_quality
 
 from skyquarry.llm.common import table, words_of, written
 from skyquarry.llm.mixing import mix
@@ -24,7 +25,7 @@ def test_stages(spark):
     good = {r["doc_id"] for r in table(spark, SF, "labels").filter("quality = 1 and toxic = 0").collect()}
     long = {i for i in good if i in rows[0] and not brute_quality(rows[0][i])[5]}
     assert len(long & set(rows[1])) >= 0.98 * len(long)
-    assert set(rows[2]) == {c for *_, c in brute_components([(i, brute_fingerprint(t)) for i, t in rows[1].items()])}
+    assert sorted(rows[2]) == brute_copies(list(rows[1].items()))
     items = [r["text"] for r in table(spark, SF, "benchmark").collect()]
     assert not any(b in t for t in rows[3].values() for b in items)
     gone = {i for i in rows[2] if i not in rows[3]}
