@@ -1,10 +1,14 @@
 r"""Quality rules: counts for each document, and the divergence of its histograms from references of languages.
 
 Two histograms of a document are compared with references by the Jensen-Shannon distance (base 2, 0 to 1): characters by
-class (CLASSES and "other"), and how often each common word of a language stands among all words (COMMON and "other"). A
-reference of a language holds the mean shares over all documents whose lang is that language; where lang is null or has
-no list of common words, the nearest reference counts. A document is kept if its base rules pass and both distances are
-within limits. Histograms of short texts scatter, so a distance only counts from a least number of words. DataFrame
+class (CLASSES), and how often each common word of a language stands among all words (COMMON and "other"). The reference of
+a language holds the mean shares over all documents whose lang it is, of whatever language and however few they are. Texts
+whose lang is null are compared with all documents of their kind of script, with cased letters or without. Languages
+without a list of common words, and texts without a language, have no distance of common words (0).
+
+A document is kept if its base rules pass and neither distance is too large. Histograms of short texts scatter, so both
+limits have a term that falls with the words, and a distance only counts from a least number of words. The limit for a text
+with fewer common words than its reference is a share of the distance that a text without any would have. DataFrame
 functions only.
 """
 
@@ -13,20 +17,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, carried, computed, table, words_col, written
+from .common import SPACES, carried, computed, join_small, table, words_col, written
 
 MIN_WORDS = 50
 #: Shortest documents, in words, whose character classes and common words are compared.
 MIN_FOR_CLASSES, MIN_FOR_COMMON = 50, 100
-#: Largest distances of a kept document of n words: MAX_CLASSES + SHORT / n, and MAX_COMMON.
-MAX_CLASSES, SHORT, MAX_COMMON = 0.24, 4.0, 0.6
-#: Documents of a language from which its reference counts.
-MIN_REFERENCE = 20
+#: Largest class distance of a kept document of n words: MAX_CLASSES + SHORT / n.
+MAX_CLASSES, SHORT = 0.24, 4.0
+#: Largest distance of common words: MAX_COMMON, and for texts with fewer common words than their reference, FAR +
+#: SCATTER / sqrt(n) of the distance of a text without any.
+MAX_COMMON, FAR, SCATTER = 0.38, 0.4, 5.0
 #: Fixed value: the symbols counted in n_symbols.
 SYMBOLS = "#*$%&|<>"
-_AZ = "abcdefghijklmnopqrstuvwxyz"
-#: Classes by their ASCII characters; the rest are "other" (letters with accents and other scripts among them).
-CLASSES = {"lower": _AZ, "upper": _AZ.upper(), "digit": "0123456789", "space": SPACES, "stop": ".,;:", "call": "!?", "quote": "\"'()[]{}", "dash": "-_/\\+=~^`@", "symbol": SYMBOLS}
+#: Classes by their characters, where these are few. Letters are "lower" (without capitals, marks on them included) or
+#: "upper" in all scripts; the rest are "other".
+CLASSES = {"digit": "0123456789", "stop": ".,;:", "call": "!?", "quote": "\"'()[]{}", "dash": "-_/\\+=~^`@", "symbol": SYMBOLS}
+N_CLASSES = len(CLASSES) + 4
+#: Letters beyond a-z, as parts of a pattern's class: without capitals, capitals, and of scripts that have no case.
+LOWER, UPPER, UNCASED = r"\p{Ll}\p{Lo}\p{Lm}\p{M}", r"\p{Lu}\p{Lt}", r"\p{Lo}\p{M}"
 #: The most common words of languages, lower-cased.
 COMMON = {
     "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "ist"],
@@ -38,7 +46,7 @@ COMMON = {
 }
 #: Longest words, marks included, that are looked at for common ones.
 SHORT_WORD = 6
-_ALL_COMMON = sorted({w for ws in COMMON.values() for w in ws})
+N_COMMON = max(map(len, COMMON.values()))
 
 
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -95,104 +103,113 @@ def _covered(places: Column) -> Column:
     return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
+def _among(chars: str) -> Column:
+    """How many characters of q_rest are in a pattern's class."""
+    return F.length("q_rest") - F.length(F.regexp_replace("q_rest", f"[{chars}]+", ""))
+
+
 def class_shares() -> Column:
     """Array of the shares of character classes in a text with features(); zeros for an empty one."""
-    size, rest = F.col("q_size"), F.length("q_rest")
+    size = F.col("q_size")
     spaces = size - F.col("q_in_words")
-    each = {k: rest - F.length(F.translate("q_rest", chars, "")) for k, chars in CLASSES.items()} | {"lower": size - spaces - rest, "space": spaces}
+    each = [size - spaces - F.length("q_rest") + _among(LOWER), _among(UPPER), spaces]
+    each += [F.length("q_rest") - F.length(F.translate("q_rest", chars, "")) for chars in CLASSES.values()]
     other = size
-    for x in each.values():
+    for x in each:
         other = other - x
-    return F.array(*(F.coalesce(x / F.nullif(size, F.lit(0)), F.lit(0.0)) for x in [*each.values(), other]))
+    return F.array(*(F.coalesce(x / F.nullif(size, F.lit(0)), F.lit(0.0)) for x in [*each, other]))
 
 
 def common_counts(words: Column, lang: Column) -> Column:
     """How often each common word of the language stands among the words of SHORT_WORD characters or fewer, without case
-    and marks; of a language without a list, each of _ALL_COMMON."""
+    and marks; empty for a language without a list."""
     short = F.array_join(F.filter(words, lambda x: F.length(x) <= SHORT_WORD), " ")
     # two spaces between words, so that a word's neighbours don't share one
     plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(short), r"[\s.,;:!?\"'()\[\]*#$%&|<>]+", "  "), F.lit(" "))
-    asked = F.array(*(F.lit(f" {w} ") for w in _ALL_COMMON))
+    asked = F.array().cast("array<string>")
     for k, ws in COMMON.items():
         asked = F.when(lang == k, F.array(*(F.lit(f" {w} ") for w in ws))).otherwise(asked)
-    return _once(plain, lambda s: F.transform(asked, lambda w: (F.length(s) - F.length(F.replace(s, w, F.lit("")))) / F.length(w)))
-
+    counts = _once(plain, lambda s: F.transform(asked, lambda w: (F.length(s) - F.length(F.replace(s, w, F.lit("")))) / F.length(w)))
+    return F.when(lang.isin(*COMMON), counts).otherwise(F.array().cast("array<double>"))
 
-def _shares(counts: Column, n: Column, places: list[int]) -> Column:
-    one = [F.element_at(counts, i + 1) / F.greatest(n, F.lit(1)) for i in places]
-    rest = F.lit(1.0)
-    for x in one:
-        rest = rest - x
-    return F.array(*one, F.greatest(rest, F.lit(0.0)))
 
-
-def measured(docs: DataFrame, all_counts: bool = True) -> DataFrame:
-    """docs (text, lang and others) with q_n words, q_classes and q_counts; all_counts: and with the base counts."""
+def measured(docs: DataFrame) -> DataFrame:
+    """docs (text, lang and others) with the base counts, q_classes, q_counts and q_key, the name of its reference."""
     df = features(docs)
     words = F.col("q_words")
-    own = base() | {"n_repeat_words": repeat_words(words)} if all_counts else {"n_words": F.size(words).cast("long")}
-    df = computed(df, own | {"q_classes": class_shares(), "q_counts": common_counts(words, F.col("lang"))})
+    uncased = 2 * _among(UNCASED) > F.col("q_in_words")
+    key = F.coalesce(F.concat(F.lit("="), F.col("lang")), F.when(uncased, "uncased").otherwise("cased"))
+    script = F.when(uncased, "uncased").otherwise("cased")
+    df = computed(df, base() | {"n_repeat_words": repeat_words(words), "q_classes": class_shares(), "q_counts": common_counts(words, F.col("lang")), "q_key": key, "q_script": script})
     return df.drop("q_text", "q_words", "q_rest", "q_size", "q_in_words")
 
 
-def references(df: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
-    """For each language of COMMON with MIN_REFERENCE documents: mean shares of classes and of common words.
+def references(df: DataFrame) -> DataFrame:
+    """(q_key, r_classes, r_common, r_none), written: a row for each language and kind of script of measured() documents.
 
-    One sum over all measured() documents; the result has at most one row for each language of COMMON.
+    r_common are the shares of a language's common words and of the rest, null without a list; r_none is the distance of a
+    text without common words.
     """
-    n_c, n_k = len(CLASSES) + 1, max(map(len, COMMON.values()))
-    sums = [F.avg(F.when(F.col("n_words") > 0, F.element_at("q_classes", i + 1))).alias(f"c{i}") for i in range(n_c)] + [F.sum(F.get("q_counts", i)).alias(f"k{i}") for i in range(n_k)]
-    out = {}
-    for r in df.filter(F.col("lang").isin(*COMMON)).groupBy("lang").agg(F.count("*").alias("docs"), F.sum("n_words").alias("n"), *sums).collect():
-        if r["docs"] < MIN_REFERENCE or not r["n"]:
-            continue
-        shares = [r[f"k{i}"] / r["n"] for i in range(len(COMMON[r["lang"]]))]
-        out[r["lang"]] = ([r[f"c{i}"] for i in range(n_c)], [*shares, max(0.0, 1 - sum(shares))])
-    return out
-
-
-def distance(p: Column, q: list[float]) -> Column:
-    """Jensen-Shannon distance of an array to fixed shares."""
+    sums = {f"c{i}": F.sum(F.when(F.col("n_words") > 0, F.element_at("q_classes", i + 1))) for i in range(N_CLASSES)}
+    sums |= {f"k{i}": F.sum(F.get("q_counts", i)) for i in range(N_COMMON)}
+    sums |= {"docs": F.count_if(F.col("n_words") > 0), "n": F.sum("n_words")}
+    both = written(df.groupBy("q_key", "q_script").agg(*(c.alias(k) for k, c in sums.items())), "quality-sums")
+    every = both.filter(F.startswith("q_key", F.lit("="))).unionByName(both.withColumn("q_key", F.col("q_script")))
+    one = every.groupBy("q_key").agg(*(F.sum(k).alias(k) for k in sums)).filter("docs > 0")
+    classes = F.array(*(F.col(f"c{i}") / F.col("docs") for i in range(N_CLASSES)))
+    own = F.array(*(F.col(f"k{i}") / F.col("n") for i in range(N_COMMON)))
+    common = F.when(F.col("q_key").isin(*(f"={k}" for k in COMMON)), _with_rest(own))
+    one = one.select("q_key", classes.alias("r_classes"), common.alias("r_common"))
+    none = F.array(*([F.lit(0.0)] * N_COMMON), F.lit(1.0))
+    return written(one.withColumn("r_none", distance(none, F.col("r_common"))), "quality-references")
+
+
+def _with_rest(shares: Column) -> Column:
+    total = F.aggregate(shares, F.lit(0.0), lambda a, x: a + x)
+    return F.concat(shares, F.array(F.greatest(1 - total, F.lit(0.0))))
+
+
+def distance(p: Column, q: Column) -> Column:
+    """Jensen-Shannon distance of two arrays of shares."""
     def part(x: Column, m: Column) -> Column:
         return F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
 
-    terms = F.zip_with(p, F.array(*map(F.lit, q)), lambda x, y: part(x, (x + y) / 2) + part(y, (x + y) / 2))
+    terms = F.zip_with(p, q, lambda x, y: part(x, (x + y) / 2) + part(y, (x + y) / 2))
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
 
 
-def judged(df: DataFrame, known: dict) -> DataFrame:
+def judged(df: DataFrame, known: DataFrame) -> DataFrame:
     """measured() documents with class_distance, common_distance, base_failed and kept.
 
-    Null and empty texts have no words and fail the base rules.
+    Null and empty texts have no words and fail the base rules. Each row is judged by itself, so repeated rows have the
+    same result and there are no ties; a distance at its limit is kept. A null lang is none of the languages.
     """
-    n, lang = F.col("n_words"), F.col("lang")
-    # without an own reference the nearest one counts, and without any none is too far
-    listed = lang.isin(*COMMON)
-    words = {k: (distance(_shares(F.col("q_counts"), n, list(range(len(COMMON[k])))), w), distance(_shares(F.col("q_counts"), n, [_ALL_COMMON.index(x) for x in COMMON[k]]), w)) for k, (_, w) in known.items()}
-    classes = {k: distance(F.col("q_classes"), c) for k, (c, _) in known.items()}
-    near = _least(list(classes.values())), F.when(F.coalesce(listed, F.lit(False)), F.lit(0.0)).otherwise(_least([d for _, d in words.values()]))
-    for k in known:
-        near = F.when(lang == k, classes[k]).otherwise(near[0]), F.when(lang == k, words[k][0]).otherwise(near[1])
-    df = computed(df, {"class_distance": F.round(near[0], 6), "common_distance": F.round(near[1], 6)})
+    n = F.col("n_words")
+    df = join_small(df, known, "q_key", "left", spread="word_chars")
+    shares = _with_rest(F.transform("q_counts", lambda x: x / F.greatest(n, F.lit(1))))
+    listed = F.col("r_common").isNotNull() & (F.size("q_counts") > 0)
+    common = F.when(listed, distance(shares, F.col("r_common"))).otherwise(0.0)
+    fewer = listed & (F.element_at(shares, -1) > F.element_at("r_common", -1))
+    df = computed(df, {"class_distance": F.round(F.coalesce(distance(F.col("q_classes"), F.col("r_classes")), F.lit(0.0)), 6), "common_distance": F.round(common, 6), "q_fewer": F.coalesce(fewer, F.lit(False))})
     failed = (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * n)
-    far = ((n >= MIN_FOR_CLASSES) & (F.col("class_distance") > MAX_CLASSES + SHORT / n)) | ((n >= MIN_FOR_COMMON) & (F.col("common_distance") > MAX_COMMON))
-    return df.withColumn("base_failed", failed).withColumn("kept", ~failed & ~far).drop("q_classes", "q_counts")
-
-
-def _least(columns: list[Column]) -> Column:
-    return F.least(*columns) if len(columns) > 1 else columns[0] if columns else F.lit(0.0)
+    far = (n >= MIN_FOR_CLASSES) & (F.col("class_distance") > MAX_CLASSES + SHORT / n)
+    limit = F.round((FAR + SCATTER / F.sqrt(n)) * F.coalesce("r_none", F.lit(0.0)), 6)
+    strange = (n >= MIN_FOR_COMMON) & ((F.col("common_distance") > MAX_COMMON) | (F.col("q_fewer") & (F.col("common_distance") > limit)))
+    df = df.withColumn("base_failed", failed).withColumn("kept", ~failed & ~far & ~strange)
+    return df.drop("q_classes", "q_counts", "q_key", "q_script", "q_fewer", "r_classes", "r_common", "r_none")
 
 
 def kept_documents(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """docs without those that the rules reject. Texts are read twice: for the references, and to be judged."""
-    rows = carried(docs, text=text, lang=lang)
-    return judged(measured(rows), references(measured(rows, all_counts=False))).filter("kept").select("doc_.*")
+    """docs without those that the rules reject. Texts are measured once, and written with their measures."""
+    df = written(measured(carried(docs, text=text, lang=lang)).drop("text", "lang"), "quality-measures")
+    return judged(df, references(df)).filter("kept").select("doc_.*")
 
 
 COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "common_distance"]
 
 
 def op7_quality_rules(spark, sf_dir):
+    """A row for each row of documents. Counts are of whole texts, however long; columns beyond the first seven are extra."""
     docs = table(spark, sf_dir, "documents")
     df = written(measured(docs.select("doc_id", "text", "lang")).drop("text"), "quality-measures")
     return judged(df, references(df)).select("doc_id", *COLUMNS)
@@ -202,37 +219,36 @@ def _sql() -> str:
     """The same in DuckDB's SQL, windows and histograms by unnesting."""
     text = lambda x: "'" + x.replace("'", "''") + "'"
     esc = lambda chars: "".join("\\" + c if c in "\\]^-[" else c for c in chars)
-    among = lambda chars: f"(length(t) - length(regexp_replace(t, {text('[' + esc(chars) + ']')}, '', 'g')))"
-    classes = [among(_AZ) if k == "lower" else "(length(t) - word_chars)" if k == "space" else among(c) for k, c in CLASSES.items()]
-    n_c, n_k = len(CLASSES) + 1, max(map(len, COMMON.values()))
+    among = lambda chars: f"(length(t) - length(regexp_replace(t, {text('[' + chars + ']')}, '', 'g')))"
+    classes = [among(LOWER), among(UPPER), "(length(t) - word_chars)", *(among(esc(c)) for c in CLASSES.values())]
     asked = " ".join(f"WHEN lang = {text(k)} THEN [{', '.join(text(f' {w} ') for w in ws)}]" for k, ws in COMMON.items())
-    every = "[" + ", ".join(text(f" {w} ") for w in _ALL_COMMON) + "]"
-    known = ", ".join(map(text, COMMON))
-    names = ", ".join(f"({text(k)}, [{', '.join(map(str, range(1, len(ws) + 1)))}], [{', '.join(str(_ALL_COMMON.index(w) + 1) for w in ws)}])" for k, ws in COMMON.items())
     jsd = lambda p, q: f"sqrt(greatest(list_sum(list_transform(list_zip({p}, {q}), lambda x: (CASE WHEN x[1] > 0 THEN x[1] * log2(x[1] / ((x[1] + x[2]) / 2)) ELSE 0 END) + (CASE WHEN x[2] > 0 THEN x[2] * log2(x[2] / ((x[1] + x[2]) / 2)) ELSE 0 END))) / 2, 0))"
-    shares = lambda places, n: f"list_transform({places}, lambda i: k[i] / greatest({n}, 1))"
+    known = ", ".join(text(f"={k}") for k in COMMON)
+    none = "[" + "0.0::DOUBLE, " * N_COMMON + "1.0::DOUBLE]"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS uid, doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-b AS (SELECT *, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, {among(SYMBOLS)}::BIGINT AS n_symbols,
+b AS (SELECT *, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, {among(esc(SYMBOLS))}::BIGINT AS n_symbols,
   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
   ' ' || regexp_replace(lower(array_to_string(list_filter(w, lambda x: length(x) <= {SHORT_WORD}), ' ')), '[\s.,;:!?"''()\[\]*#$%&|<>]+', '  ', 'g') || ' ' AS plain,
-  CASE {asked} ELSE {every} END AS asked FROM d),
+  CASE {asked} END AS asked FROM d),
 m AS (SELECT *, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, list_transform([{', '.join(classes)}], lambda x: CASE WHEN length(t) > 0 THEN x / length(t)::DOUBLE ELSE 0 END) AS c0,
+  CASE WHEN 2 * {among(UNCASED)} > word_chars THEN 'uncased' ELSE 'cased' END AS script,
   list_transform(asked, lambda a: (length(plain) - length(replace(plain, a, ''))) / length(a)::DOUBLE) AS k FROM b),
-e AS (SELECT *, list_append(c0, CASE WHEN length(t) > 0 THEN (length(t) - list_sum([{', '.join(classes)}])) / length(t)::DOUBLE ELSE 0 END) AS c FROM m),
+e AS (SELECT *, coalesce('=' || lang, script) AS key, list_append(c0, CASE WHEN length(t) > 0 THEN (length(t) - list_sum([{', '.join(classes)}])) / length(t)::DOUBLE ELSE 0 END) AS c FROM m),
 p AS (SELECT uid, unnest(range(1, n_words - 1)) AS i, w FROM b WHERE n_words >= 3),
 g AS (SELECT uid, i, count(*) OVER (PARTITION BY uid, w[i], w[i + 1], w[i + 2]) AS n FROM p),
 r AS (SELECT uid, count(DISTINCT i + o) AS n_repeat_words FROM g, (VALUES (0), (1), (2)) AS x(o) WHERE n > 1 GROUP BY uid),
-s AS (SELECT lang, [{', '.join(f'avg(CASE WHEN n_words > 0 THEN c[{i + 1}] END)' for i in range(n_c))}] AS rc, [{', '.join(f'sum(k[{i + 1}])' for i in range(n_k))}] AS rk, sum(n_words) AS n, count(*) AS docs FROM e WHERE lang IN ({known}) GROUP BY lang),
-q AS (SELECT s.lang, rc, list_transform(own, lambda i: rk[i] / n) AS rk, own, others FROM s JOIN (VALUES {names}) AS v(lang, own, others) ON v.lang = s.lang WHERE docs >= {MIN_REFERENCE} AND n > 0),
-z AS (SELECT lang, rc, list_append(rk, greatest(0, 1 - list_sum(rk))) AS rk, own, others FROM q),
-f AS (SELECT uid, z.lang AS of, {jsd('c', 'rc')} AS dc,
-  {jsd("list_append(sh, greatest(1 - list_sum(sh), 0))", 'rk')} AS dk, e_lang
-  FROM (SELECT uid, e.lang AS e_lang, c, z.lang AS lang, rc, rk, CASE WHEN e.lang IN ({known}) THEN {shares('own', 'n_words')} ELSE {shares('others', 'n_words')} END AS sh FROM e, z WHERE e.lang IS NOT DISTINCT FROM z.lang OR e.lang IS NULL OR e.lang NOT IN (SELECT lang FROM z)) AS z),
-h AS (SELECT uid, round(min(dc), 6) AS class_distance, round(CASE WHEN any_value(e_lang) IN ({known}) AND any_value(e_lang) NOT IN (SELECT lang FROM z) THEN 0 ELSE min(dk) END, 6) AS common_distance FROM f GROUP BY uid),
-o AS (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(class_distance, 0)::DOUBLE AS class_distance, coalesce(common_distance, 0)::DOUBLE AS common_distance FROM e LEFT JOIN r USING (uid) LEFT JOIN h USING (uid))
-SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AND NOT ((n_words >= {MIN_FOR_CLASSES} AND class_distance > {MAX_CLASSES} + {SHORT} / n_words::DOUBLE) OR (n_words >= {MIN_FOR_COMMON} AND common_distance > {MAX_COMMON})) AS kept FROM o"""
+u AS (SELECT key AS of, * FROM e WHERE lang IS NOT NULL UNION ALL SELECT script AS of, * FROM e),
+s AS (SELECT of, [{', '.join(f'avg(CASE WHEN n_words > 0 THEN c[{i + 1}] END)' for i in range(N_CLASSES))}] AS rc,
+  CASE WHEN of IN ({known}) THEN [{', '.join(f'sum(k[{i + 1}]) / sum(n_words)' for i in range(N_COMMON))}] END AS rk FROM u GROUP BY of HAVING sum(n_words) > 0),
+z AS (SELECT of, rc, CASE WHEN rk IS NOT NULL THEN list_append(rk, greatest(0, 1 - list_sum(rk))) END AS rk FROM s),
+f AS (SELECT e.*, rc, rk, list_append(list_transform(k, lambda x: x / greatest(n_words, 1)), greatest(0, 1 - list_sum(list_transform(k, lambda x: x / greatest(n_words, 1))))) AS sh FROM e LEFT JOIN z ON z.of = e.key),
+h AS (SELECT uid, round(coalesce({jsd('c', 'rc')}, 0), 6)::DOUBLE AS class_distance, CASE WHEN rk IS NOT NULL THEN round({jsd('sh', 'rk')}, 6) ELSE 0 END::DOUBLE AS common_distance,
+  coalesce(sh[-1] > rk[-1], FALSE) AS fewer, round(({FAR} + {SCATTER} / sqrt(n_words::DOUBLE)) * coalesce({jsd(none, 'rk')}, 0), 6) AS lim FROM f),
+o AS (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, class_distance, common_distance, fewer, lim FROM e LEFT JOIN r USING (uid) LEFT JOIN h USING (uid))
+SELECT * EXCLUDE (fewer, lim), (n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AND NOT ((n_words >= {MIN_FOR_CLASSES} AND class_distance > {MAX_CLASSES} + {SHORT} / n_words::DOUBLE)
+    OR (n_words >= {MIN_FOR_COMMON} AND (common_distance > {MAX_COMMON} OR (fewer AND common_distance > lim)))) AS kept FROM o"""
 
 
 OP7_SQL = _sql()

@@ -154,11 +154,52 @@ def test_repeats(spark, texts):
     assert got == {i: brute_quality(" ".join(t))[4] for i, t in enumerate(texts)}
 
 
+ALPHABETS = {"en": "abcdefghijklmnoprstuvwy", "ru": "абвгдежзиклмнопрстуфхцчшыя", "el": "αβγδεζηθικλμνοπρστυφχω", "hy": "աբգդեզէըթժիլխծկհձղ", "ar": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "hi": "अआइईउऊएऐओऔकखगघचछजझटठडढणतथदधनपफबभमयरलवशषसह", "und": "abcdefghijklmnoprstuvwy"}
+
+
+def prose(r, alphabet, n, common=()):
+    """Invented prose: sentences with capitals, commas and stops; a fifth of the words are common ones."""
+    out = []
+    while len(out) < n:
+        words = ["".join(r.choices(alphabet, k=r.randint(2, 9))) for _ in range(r.randint(6, 16))]
+        words = [r.choice(common) if common and r.random() < 0.22 else w for w in words]
+        words[0] = words[0].capitalize()
+        words[len(words) // 2] += ","
+        words[-1] += "."
+        out += words
+    return " ".join(out[:n])
+
+
+def test_quality_in_any_language(spark):
+    """Clean texts of any script stay, with and without a language, many or one of it; junk goes in each."""
+    r, rows = random.Random(8), []
+    for lang, n in (("en", 30), ("ru", 30), ("el", 2), ("hy", 1), ("ar", 30), ("hi", 19), (None, 20)):
+        for i in range(n):
+            alphabet = r.choice(list(ALPHABETS.values())) if lang is None else ALPHABETS[lang]
+            rows.append((len(rows), prose(r, alphabet, 120, quality_rules.COMMON.get(lang, ())), lang, True))
+    for lang in ("en", "ru", "ar", None):
+        rows += [(len(rows) + i, " ".join(f"{r.randint(0, 99999)}|{r.randint(0, 99999)}" for _ in range(120)), lang, False) for i in range(3)]
+    rows += [(len(rows) + i, prose(r, ALPHABETS["en"], 200), "en", False) for i in range(5)]  # no common word of the language
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, good boolean")
+    got = {x["doc_id"] for x in quality_rules.kept_documents(df).collect()}
+    assert got == {i for i, _, _, good in rows if good}
+
+
+def test_quality_many_languages(spark, docs, monkeypatch):
+    """More languages than are broadcast: the same verdicts."""
+    from skyquarry.llm import common
+
+    many = docs.withColumn("lang", F.coalesce("lang", F.concat(F.lit("x"), "doc_id")))
+    want = Counter(r["doc_id"] for r in quality_rules.kept_documents(many).collect())
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 1)
+    assert Counter(r["doc_id"] for r in quality_rules.kept_documents(many).collect()) == want
+
+
 def test_distance(spark):
     p, q = np.array([0.5, 0.5, 0.0]), np.array([0.1, 0.2, 0.7])
     m = (p + q) / 2
     want = np.sqrt(sum(x * np.log2(x / z) for x, z in zip(p, m) if x) / 2 + sum(x * np.log2(x / z) for x, z in zip(q, m) if x) / 2)
-    d = spark.range(1).select(quality_rules.distance(F.array(*map(F.lit, p.tolist())), q.tolist())).first()[0]
+    d = spark.range(1).select(quality_rules.distance(F.array(*map(F.lit, p.tolist())), F.array(*map(F.lit, q.tolist())))).first()[0]
     assert abs(d - want) < 1e-12
 
 
