@@ -3,7 +3,7 @@
 The lexicon is learned: words (A-Z and a-z lower-cased, marks around them dropped) that stand in far more toxic than other
 training texts, LEXICON at most. Features of a text are densities of lexicon words (all, strong ones, in a row, near a
 second-person word), capitals, punctuation and obfuscation. Trees are fitted to FIT labelled rows at most, those with the
-smallest hashes. A quarter of these is kept from the trees and calibrates their scores by isotonic regression.
+smallest hashes, however few there are. A quarter of these is kept from the trees and calibrates their scores by isotonic regression.
 """
 
 from __future__ import annotations
@@ -17,14 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, limited_batches, lower_az, ship, table, with_uid, words_col, words_of, written
+from .common import crc_mod, limited_batches, lower_ascii, lower_az, ship, table, with_uid, words_col, words_of, written
 
 ship(__name__)
 
 HELD, HELD_IS = 3, 1
 PREDICT = 0.7
 FIT, LEXICON, LEAST_DOCS = 20_000, 200, 8
-#: Least log odds ratio of a lexicon word, and of a strong one.
+#: Least log odds ratio of a lexicon word, and of a strong one. A word must be in LEAST_DOCS documents, or 2 and a quarter of
+#: the toxic ones where these are few; a leaf has LEAF rows, or a tenth of all.
 ODDS, STRONG = 1.5, 2.5
 TREES, DEPTH, RATE, BINS, LEAF = 80, 3, 0.15, 64, 12
 #: Second-person words.
@@ -37,11 +38,11 @@ FEATURES = 16
 
 
 def bare(word: str) -> str:
-    return word.strip(_EDGE).lower()
+    """The word without marks around it, A-Z lower-cased; other capitals stay, as in bare_col."""
+    return lower_ascii(word.strip(_EDGE))
 
 
 def bare_col(word):
-    """The same for a column of ASCII capitals; other capitals count as they are."""
     return F.btrim(lower_az(word), F.lit(_EDGE))
 
 
@@ -92,8 +93,9 @@ def learn_lexicon(train: DataFrame) -> dict[str, float]:
     yes, no = int(n["y"] or 0), int(n["n"] - (n["y"] or 0))
     if not yes or not no:
         return {}
+    least = min(LEAST_DOCS, 2 + yes // 4)
     words = train.select("y", F.explode(F.array_distinct(F.transform(words_col(F.col("text")), bare_col))).alias("w")).filter("w <> ''")
-    by = words.groupBy("w").agg(F.sum("y").alias("a"), F.count("*").alias("n")).filter(F.col("n") >= LEAST_DOCS)
+    by = words.groupBy("w").agg(F.sum("y").alias("a"), F.count("*").alias("n")).filter(F.col("n") >= least)
     odds = F.log((F.col("a") + 0.5) / (yes - F.col("a") + 0.5)) - F.log((F.col("n") - F.col("a") + 0.5) / (no - F.col("n") + F.col("a") + 0.5))
     rows = by.withColumn("odds", F.round(odds, 9)).filter(F.col("odds") >= ODDS).orderBy(F.desc("odds"), "w").limit(LEXICON).collect()
     return {r["w"]: r["odds"] for r in rows}
@@ -105,6 +107,7 @@ class Trees:
     def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
         self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
         b = self._bins(x)
+        self.leaf = min(LEAF, 1 + len(y) // 10)
         share = min(max(y.mean(), 1e-3), 1 - 1e-3)
         self.start = math.log(share / (1 - share))
         f, self.trees = np.full(len(y), self.start), []
@@ -126,11 +129,11 @@ class Trees:
             if r is None:
                 continue
             best, total_g, total_h = (1e-6, None), g[r].sum(), h[r].sum()
-            if node < 2**DEPTH and len(r) >= 2 * LEAF:
+            if node < 2**DEPTH and len(r) >= 2 * self.leaf:
                 for j in range(b.shape[1]):
                     bg, bh, bn = (np.bincount(b[r, j], w, BINS + 1).cumsum()[:-1] for w in (g[r], h[r], None))
                     gain = bg**2 / (bh + 1) + (total_g - bg) ** 2 / (total_h - bh + 1) - total_g**2 / (total_h + 1)
-                    gain[(bn < LEAF) | (len(r) - bn < LEAF)] = 0
+                    gain[(bn < self.leaf) | (len(r) - bn < self.leaf)] = 0
                     k = int(gain.argmax())
                     if gain[k] > best[0] + 1e-9:
                         best = (gain[k], (j, k))
@@ -177,10 +180,13 @@ class Model:
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Model:
         self.share = float(y.mean()) if len(y) else 0.0
-        held = np.arange(len(y)) % 4 == 0  # rows come in the order of their hashes
-        if len(y) >= 100 and 0 < y[~held].sum() < (~held).sum():
+        held = np.zeros(len(y), bool)
+        for kind in (0, 1):  # the last of every four of each kind; rows come in the order of their hashes
+            held[np.flatnonzero(y == kind)[3::4]] = True
+        if 0 < y.sum() < len(y):
             self.trees = Trees().fit(x[~held], y[~held])
-            self.curve = isotonic(self.trees.raw(x[held]), y[held])
+            of = held if held.any() else ~held  # under four rows of each kind nothing can be spared
+            self.curve = isotonic(self.trees.raw(x[of]), y[of])
         return self
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -192,8 +198,9 @@ class Model:
 def scored(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, held_out, score, predicted: one row for each row of docs.
 
-    Labels join on the id; several labels of an id count as their mean, halves as toxic; null labels not at all. Without
-    labels of both kinds every score is the share of toxic ones (0 without labels). A null id is neither held out nor
+    Labels join on the id; several labels of an id count as their mean, halves as toxic; null labels not at all. Trees are
+    fitted from one row of each kind on; without labels of both kinds every score is the share of toxic ones (0 without
+    labels). Each row is scored by itself, so repeated rows have equal scores; texts are read whole, however long. A null id is neither held out nor
     labelled. Null texts count as empty ones.
     """
     spark = docs.sparkSession
@@ -209,7 +216,7 @@ def scored(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "d
 
     x = limited_batches(with_uid(rows)).select("uid", "doc_id", F.pandas_udf(dense, T.ArrayType(T.DoubleType()))("text").alias("x"))
     x = written(x, "toxic-features")
-    fit = x.join(F.broadcast(given), "doc_id").orderBy(F.xxhash64("doc_id"), "uid").limit(FIT).select("x", "y").toPandas()
+    fit = x.join(F.broadcast(given), "doc_id").orderBy(F.xxhash64("doc_id"), F.xxhash64("x"), "uid").limit(FIT).select("x", "y").toPandas()
     model = Model(lexicon.value).fit(np.stack(fit["x"]) if len(fit) else np.zeros((0, FEATURES)), fit["y"].to_numpy(float))
     known = spark.sparkContext.broadcast(model)
 
