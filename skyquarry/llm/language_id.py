@@ -3,7 +3,8 @@
 A text's letters, lower-cased and with one mark between words, give n-grams of 1 to 3 characters inside words (marks at
 both ends included). The TOP most frequent, ties by code point, are the text's profile. Its distance to a language is the
 sum over its n-grams of how far each is out of place in the language's profile, TOP if it isn't there; the nearest
-language wins. Language profiles come from FIT documents a language, chosen by hash.
+language wins. Language profiles come from about FIT documents a language, chosen by a hash of id and
+text.
 """
 
 from __future__ import annotations
@@ -103,8 +104,8 @@ def _counted(batches):
 def learn(docs: DataFrame) -> Profiles:
     """docs: doc_id, text, lang of the documents to learn from. Collects TOP n-grams for each language."""
     sizes = docs.groupBy("lang").agg(F.count("*").alias("size_"))
-    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(1_000_000.0 * FIT) / F.col("size_")
-    rows = join_small(docs, sizes, "lang", "inner", spread="doc_id").filter(chance).select("lang", "text")
+    chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < F.lit(1_000_000.0 * FIT) / F.col("size_")
+    rows = join_small(docs, sizes, "lang", "inner", spread="text").filter(chance).select("lang", "text")
     grams = limited_batches(rows).mapInPandas(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     ranked: dict[str, list[int]] = {}

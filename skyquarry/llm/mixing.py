@@ -3,7 +3,8 @@
 Each source has a target number of words. A document is taken floor(target / size of source) times, and once more if its
 hash lies below the source's threshold. The threshold comes from histograms: words are summed by source and hash bucket,
 the bucket in which the budget runs out is split by the next digits of the hash, and so on; only that bucket's rows are
-read again, and rows are never sorted. The hash is MD5 of the id, so runs agree and a larger budget takes a superset.
+read again, and rows are never sorted. The hash is MD5 of id, source and text, so runs agree, a larger budget takes a
+superset, and only rows that are alike move together.
 """
 
 from __future__ import annotations
@@ -45,10 +46,12 @@ def targets(by_source: DataFrame, weights=WEIGHTS, share: float = SHARE, most: f
 def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
     """doc_id, size, source_size, target, taken: one row for each row of docs.
 
-    Null and empty texts have size 0 and are taken 0 times. Rows with equal ids have equal hashes and are taken alike;
-    null ids count as an empty one. Null sources form one source. An empty table gives an empty result.
+    Null and empty texts have size 0 and are taken 0 times. Rows with equal ids, null ones too, have hashes of their own
+    where source or text differ; rows alike in all three are taken alike. Null sources form one source. Texts count whole,
+    however long. An empty table gives an empty result.
     """
-    digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
+    known = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (key, source)]
+    digest = F.md5(F.concat(known[0], F.lit("|"), known[1], F.lit("|"), F.md5(F.coalesce(F.col(text), F.lit("")))))
     rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), n_words_col(F.col(text)).alias("size"), digest.alias("hash_"))
     rows = written(rows.withColumn("hash_", F.substring("hash_", 1, DIGITS * LEVELS)), "mix-rows")
 
@@ -105,7 +108,7 @@ def op2_mixing(spark, sf_dir):
 OP2_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 9) AS h
+         substr(md5(concat(coalesce(doc_id::VARCHAR, ''), '|', coalesce(source, ''), '|', md5(coalesce(text, '')))), 1, 9) AS h
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::INT] AS weight,

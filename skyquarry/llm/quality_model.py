@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, limited_batches, ship, table, with_uid, words_of, written
+from .common import crc_mod, limited_batches, ship, table, words_of, written
 
 ship(__name__)
 
@@ -93,13 +93,14 @@ def graded(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "d
     """doc_id, held_out, expected_grade, tail_probability, kept: one row for each row of docs.
 
     Texts without words have expected grade 0 and are not kept. Without labels the model knows nothing: P = 1/2. Several
-    labels of an id count with their lowest quality and highest toxicity; rows with a null label not at all.
+    labels of an id count with their lowest quality and highest toxicity; rows with a null label not at all. Rows with equal
+    ids are learned from in the order of their texts. Each row is graded by itself and whole.
     """
     spark = docs.sparkSession
     given = labels.filter("quality is not null and toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
     given = given.filter(crc_mod(F.col("doc_id"), HELD) != HELD_IS).select("doc_id", F.when(F.col("q") <= 0, 0).when(F.col("t") > 0, 1).otherwise(2).alias("y"))
     given = written(given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT), "grades-fit")
-    rows = limited_batches(with_uid(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))))
+    rows = limited_batches(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")))
 
     def vectors(text):
         seen = Hashes()
@@ -107,7 +108,7 @@ def graded(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "d
         return pd.DataFrame({"at": [b[0] for b in both], "x": [b[1] for b in both]})
 
     kind = T.StructType([T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("x", T.ArrayType(T.FloatType()))])
-    fit = rows.join(F.broadcast(given), "doc_id").orderBy(F.xxhash64("doc_id"), "uid").limit(FIT)
+    fit = rows.join(F.broadcast(given), "doc_id").orderBy(F.xxhash64("doc_id"), F.xxhash64("text"), "text").limit(FIT)
     fit = fit.select("y", F.pandas_udf(_typed(vectors), kind)("text").alias("v")).collect()
     known = [(np.array(r["v"]["at"], np.int32), np.array(r["v"]["x"], np.float32)) for r in fit]
     model = Ordinal()
