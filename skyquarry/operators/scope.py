@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -12,9 +11,11 @@ from pyspark.sql import functions as F
 #: A pair (cluster, namespace); "*" stands for any.
 Grant = tuple[str, str]
 MOST_BYTES = 65_536
-#: Words by which a text is no plain query, or reaches beyond the scoped views.
-REFUSED = ("java_method", "reflect", "try_reflect", "read_files", "input_file_name", "range", "explode_outer_files", "sql_keywords", "collations")
-
+#: Groups of Spark's functions that a user's query may call. Others (misc_funcs among them, with java_method and reflect)
+#: and functions that users registered reach beyond the rows of the views.
+GROUPS = ("agg_funcs", "array_funcs", "bitwise_funcs", "collection_funcs", "conditional_funcs", "conversion_funcs", "datetime_funcs", "generator_funcs", "hash_funcs", "json_funcs", "lambda_funcs", "map_funcs", "math_funcs", "operator_funcs", "predicate_funcs", "string_funcs", "struct_funcs", "url_funcs", "window_funcs")
+#: A database without tables: names that are no view find nothing there.
+EMPTY = "scope_without_tables"
 #: Plans that do something instead of asking.
 NO_QUERY = ("Create", "Drop", "Insert", "Delete", "Update", "Merge", "Alter", "Show", "Describe", "Cache", "Uncache", "SetCatalog", "SetNamespace", "Refresh", "Truncate", "Replace", "Append", "Overwrite", "Load", "Analyze")
 
@@ -64,57 +65,96 @@ class Checked:
 
 
 def check_sql(spark: SparkSession, text: str, tables: set[str]) -> Checked:
-    """One query over the tables and its own CTEs; anything else is refused before it runs."""
+    """One query over the tables and its own CTEs; anything else is refused before it runs.
+
+    A CTE's name stands for it where it is visible: in the CTEs after it and in the query that it belongs to, subqueries
+    included, and nowhere outside. Functions are looked up in Spark's own list and must be of GROUPS.
+    """
     if len(text.encode()) > MOST_BYTES:
         raise Refused("too long")
     if "\0" in text:
         raise Refused("NUL")
+    state = spark._jsparkSession.sessionState()
     try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+        plan = state.sqlParser().parsePlan(text)
     except Exception as e:
         raise Refused(f"not one statement of SQL: {str(e).splitlines()[0][:200]}") from None
-    found, ctes = set(), set()
-    nodes = [plan]
-    seen = []
-    while nodes:
-        p = nodes.pop()
+    known, used, functions = {t.lower() for t in tables}, set(), set()
+
+    def each(seq):
+        it = seq.iterator()
+        while it.hasNext():
+            yield it.next()
+
+    def calls(e):
+        if e.getClass().getSimpleName() == "UnresolvedFunction":
+            functions.add(tuple(each(e.nameParts())))
+        for c in each(e.children()):
+            calls(c)
+
+    def walk(p, visible: frozenset):
         kind = p.getClass().getSimpleName()
-        seen.append(kind)
-        if kind == "UnresolvedRelation":
-            found.add(p.tableName().lower())
+        if kind.endswith(("Command", "Statement")) or kind == "UnresolvedTableValuedFunction" or kind.startswith(NO_QUERY):
+            raise Refused(f"not allowed: {kind}")
         if kind == "UnresolvedWith":
-            it = p.cteRelations().iterator()
-            while it.hasNext():
-                x = it.next()
-                ctes.add(str(x._1()).lower())
-                nodes.append(x._2())
-        for of in (p.children(), p.subqueries()):
-            it = of.iterator()
-            while it.hasNext():
-                nodes.append(it.next())
-    if bad := [k for k in seen if k.endswith(("Command", "Statement")) or k == "UnresolvedTableValuedFunction" or k.startswith(NO_QUERY)]:
-        raise Refused(f"not allowed: {bad[0]}")
-    if other := {t.replace("`", "") for t in found} - {t.lower() for t in tables} - ctes:
-        raise Refused(f"no such table: {sorted(other)[0]}")
-    if shadow := ctes & {t.lower() for t in tables}:
-        raise Refused(f"a CTE hides the table {sorted(shadow)[0]}")
-    words = {w.lower() for w in re.findall(r"[A-Za-z_]\w*(?=\s*\()", text)}
-    if hit := words & set(REFUSED):
-        raise Refused(f"function {sorted(hit)[0]} is not allowed")
-    return Checked(found - ctes)
+            for x in each(p.cteRelations()):
+                name = str(x._1()).lower()
+                if name in known:
+                    raise Refused(f"a CTE hides the table {name}")
+                walk(x._2(), visible)
+                visible |= {name}
+        elif kind == "UnresolvedRelation":
+            name = p.tableName().lower()
+            if name not in visible:
+                if name.replace("`", "") not in known:
+                    raise Refused(f"no such table: {name}")
+                used.add(name.replace("`", ""))
+        for e in each(p.expressions()):
+            calls(e)
+        for q in (*each(p.children()), *each(p.subqueries())):
+            walk(q, visible)
+
+    walk(plan, frozenset())
+    for name in sorted(functions):
+        if len(name) != 1 or not _allowed(spark, state, name[0]):
+            raise Refused(f"function {'.'.join(name)} is not allowed")
+    return Checked(used)
+
+
+def _allowed(spark: SparkSession, state, name: str) -> bool:
+    try:
+        known = spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name.lower())
+        if not state.functionRegistry().functionExists(known):
+            return False
+        info = state.functionRegistry().lookupFunction(known).get()
+    except Exception:
+        return False
+    return info.getSource() == "built-in" and info.getGroup() in GROUPS
+
+
+def in_scope(df: DataFrame, grants: list[Grant], name: str = "") -> DataFrame:
+    """The rows that the grants cover. A table without cluster and namespace is refused but to those who may see all."""
+    if {"cluster", "namespace"} <= set(df.columns):
+        return df.filter(predicate(grants))
+    if unrestricted(grants):
+        return df
+    raise Refused(f"table {name} holds rows of all scopes and has no column for them")
 
 
 def scoped_sql(spark: SparkSession, text: str, views: dict[str, DataFrame], grants: list[Grant]) -> DataFrame:
-    """Run a user's query in a session of its own that has just the views, filtered by the grants.
+    """Run a user's query in a session of its own that has just the views it names, filtered by the grants.
 
-    The filter is part of the view, so it is pushed down to the files whatever the text says.
+    The filter is part of the view, so it is pushed down to the files whatever the text says. The session's database is
+    empty, so that a name that got past the check would find nothing.
     """
-    check_sql(spark, text, set(views))
+    used = check_sql(spark, text, set(views)).tables
+    scoped = {name: in_scope(df, grants, name) for name, df in views.items() if name.lower() in used}
     session = spark.newSession()
     session.conf.set("spark.sql.runSQLOnFiles", "false")
-    for name, df in views.items():
-        scoped = df.filter(predicate(grants)) if {"cluster", "namespace"} <= set(df.columns) else df if unrestricted(grants) else df.limit(0)
-        _register(session, scoped, name)
+    session.sql(f"CREATE DATABASE IF NOT EXISTS {EMPTY}")
+    session.catalog.setCurrentDatabase(EMPTY)
+    for name, df in scoped.items():
+        _register(session, df, name)
     return session.sql(text)
 
 

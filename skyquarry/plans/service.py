@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.control import Basis, Label, label, late_rows, mint
 from ..operators.logs import in_window
-from ..operators.scope import Grant, narrowed, scoped_sql
+from ..operators.scope import Grant, check_sql, in_scope, narrowed, scoped_sql
 
 
 @dataclass
@@ -40,6 +40,10 @@ class Service:
             views = {n: v.filter(basis.predicate("received", "cluster")) for n, v in views.items()}
         elif scope <= set(self.complete):
             basis = mint(self.complete, scope, self.max_lateness)
+        used = check_sql(self.spark, sql, set(self.tables)).tables
+        # what the caller may see of the tables that the query reads; counts and samples are of nothing else
+        views = {n: in_scope(v, grants, n) for n, v in views.items() if n.lower() in used}
+        late = {n: late_rows(v, self.max_lateness).count() for n, v in views.items()}
         if sample:
             views = {n: v.limit(sample) for n, v in views.items()}
         self.audit.append(("run", sql))
@@ -49,10 +53,10 @@ class Service:
         said = label(c, self.max_lateness, lo, hi)
         if sample:
             said = Label("sample", True, said.incomplete_from, lo, hi, said.settled)
-        late = {n: late_rows(v, self.max_lateness).count() for n, v in views.items()}
         added = None
         if since and basis:
-            added = {n: in_window(t, "s", lo, hi).filter(basis.predicate("received", "cluster", since.bounds)).count() for n, t in self.tables.items()}
+            between = basis.predicate("received", "cluster", since.bounds)
+            added = {n: in_scope(in_window(t, "s", lo, hi), grants, n).filter(between).count() for n, t in self.tables.items() if n.lower() in used}
         return Answer(rows, said, basis, late, added)
 
 

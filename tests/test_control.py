@@ -111,7 +111,19 @@ def test_scope_predicate(spark, grants):
     assert got == {(c, n) for c, n in rows if any(a in ("*", c) and b in ("*", n) for a, b in grants)}
 
 
-@pytest.mark.parametrize("sql", ["DROP TABLE logs", "SET a=b", "SELECT * FROM parquet.`/x`", "SELECT * FROM other", "SELECT 1; SELECT 2", "INSERT INTO logs SELECT 1", "SELECT * FROM range(10)", "WITH logs AS (SELECT 1) SELECT * FROM logs", "SELECT java_method('a','b')", "SELECT (SELECT max(x) FROM secret)", "SELECT 1 WHERE EXISTS (SELECT * FROM secret)", "x" * 70_000, "SHOW TABLES", "SELECT * FROM logs WHERE s IN (SELECT s FROM secret)"])
+#: A CTE's name is only known where it is visible.
+NO_CTE = [
+    "SELECT x FROM secret WHERE 1 IN (WITH secret AS (SELECT 1 AS y) SELECT y FROM secret)", "SELECT * FROM (WITH secret AS (SELECT 1) SELECT * FROM secret), secret",
+    "WITH a AS (WITH secret AS (SELECT 1 AS x) SELECT * FROM secret) SELECT * FROM a JOIN secret USING (x)", "WITH a AS (SELECT * FROM b), b AS (SELECT 1) SELECT * FROM a",
+    "(WITH secret AS (SELECT 1) SELECT * FROM secret) UNION ALL SELECT * FROM secret", "SELECT (WITH secret AS (SELECT 1 AS x) SELECT x FROM secret) FROM secret", "WITH a AS (SELECT 1) SELECT * FROM default.a",
+]
+NO_FUNCTION = [
+    "SELECT reflect('java.lang.System', 'getProperty', 'user.home') FROM logs", "SELECT try_reflect('a', 'b') FROM logs", "SELECT `java_method`('a', 'b') FROM logs", "SELECT /* x */ java_method /* y */ ('a', 'b') FROM logs",
+    "SELECT input_file_name() FROM logs", "SELECT s FROM logs ORDER BY raise_error('x')", "SELECT transform(array(1), x -> reflect('a', 'b')) FROM logs", "SELECT nosuch(1) FROM logs", "SELECT current_user() FROM logs", "SELECT system.builtin.max(s) FROM logs",
+]
+
+
+@pytest.mark.parametrize("sql", ["DROP TABLE logs", "SET a=b", "SELECT * FROM parquet.`/x`", "SELECT * FROM other", "SELECT 1; SELECT 2", "INSERT INTO logs SELECT 1", "SELECT * FROM range(10)", "WITH logs AS (SELECT 1) SELECT * FROM logs", "SELECT java_method('a','b')", "SELECT (SELECT max(x) FROM secret)", "SELECT 1 WHERE EXISTS (SELECT * FROM secret)", "x" * 70_000, "SHOW TABLES", "SELECT * FROM logs WHERE s IN (SELECT s FROM secret)", *NO_CTE, *NO_FUNCTION])
 def test_refused_sql(spark, sql):
     with pytest.raises(S.Refused):
         S.check_sql(spark, sql, {"logs"})
@@ -121,6 +133,42 @@ def test_accepted_sql(spark):
     assert S.check_sql(spark, "WITH a AS (SELECT * FROM logs) SELECT * FROM a JOIN logs USING (s) WHERE s IN (SELECT s FROM logs) ORDER BY 1 LIMIT 3", {"logs"}).tables == {"logs"}
 
 
+ACCEPTED = [
+    "WITH a AS (SELECT * FROM logs), b AS (SELECT * FROM a) SELECT * FROM b WHERE EXISTS (SELECT 1 FROM a WHERE a.s = b.s)", "SELECT * FROM logs WHERE s IN (WITH x AS (SELECT max(s) AS m FROM logs) SELECT m FROM x)",
+    "SELECT s, row_number() OVER (ORDER BY s) AS n, count(*) FILTER (WHERE s > 1) OVER () AS c FROM logs INTERSECT SELECT s, 1, 2 FROM logs EXCEPT SELECT 1, 2, 3",
+    "SELECT explode(map('a', s)), upper('x'), date_trunc('day', timestamp_seconds(s)), from_json('{}', 'a INT'), md5('a'), percentile(s, 0.5) FROM logs GROUP BY s", "SELECT aggregate(array(1, 2), 0, (a, x) -> a + x), get_json_object('{}', '$.a') FROM logs",
+]
+
+
+@pytest.mark.parametrize("sql", ACCEPTED)
+def test_accepted_forms(spark, sql):
+    assert S.check_sql(spark, sql, {"logs"}).tables == {"logs"}
+
+
+def test_hidden_tables_stay_hidden(spark):
+    """A table of the catalog is not reached, neither by a text that is checked nor by a session that would run it."""
+    df = spark.createDataFrame([("a", "x", 1), ("b", "y", 2)], "cluster string, namespace string, v long")
+    spark.range(3).selectExpr("id AS x").write.mode("overwrite").saveAsTable("secret")
+    try:
+        for sql in NO_CTE:
+            with pytest.raises(S.Refused):
+                S.scoped_sql(spark, sql, {"logs": df}, [("a", "*")])
+        session = spark.newSession()
+        S.scoped_sql(spark, "SELECT 1 AS x FROM logs", {"logs": df}, [("a", "*")])
+        session.catalog.setCurrentDatabase(S.EMPTY)
+        with pytest.raises(Exception, match="secret"):
+            session.sql("SELECT * FROM secret").collect()
+    finally:
+        spark.sql("DROP TABLE secret")
+
+
+def test_tables_without_scope_are_refused(spark):
+    df = spark.createDataFrame([(1,)], "v long")
+    with pytest.raises(S.Refused):
+        S.scoped_sql(spark, "SELECT * FROM fleet", {"fleet": df}, [("a", "*")])
+    assert S.scoped_sql(spark, "SELECT * FROM fleet", {"fleet": df}, [("*", "*")]).count() == 1
+
+
 def test_scoped_session(spark):
     df = spark.createDataFrame([("a", "x", 1), ("b", "y", 2)], "cluster string, namespace string, v long")
     assert [r[0] for r in S.scoped_sql(spark, "SELECT v FROM logs", {"logs": df}, [("a", "*")]).collect()] == [1]
