@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +24,10 @@ def content_key(df: DataFrame, columns: list[str]) -> DataFrame:
 class Sink:
     """A table that takes each content key once, and the tables derived from it.
 
-    A batch that is delivered again, or half written before a failure, leaves the same rows: keys that the table has are
-    left out by an anti join, which reads only the partitions (received day) that the batch touches.
+    A batch is known by what it holds (ingest_id), whatever its number. Its rows are those whose keys no other batch has
+    brought: an anti join, which reads only the partitions (received day) that the batch touches. That set is the same when
+    the batch is delivered again, before or after any of its writes, so what is derived from it is written again as it was,
+    and the table gets only the rows that it still lacks.
     """
 
     def __init__(self, table: str, allowed: int, derived: dict[str, Callable[[DataFrame], DataFrame]] | None = None, before: dict[str, Callable[[DataFrame], DataFrame]] | None = None, day: int = 86_400):
@@ -38,20 +41,33 @@ class Sink:
         spark = batch.sparkSession
         rows = self.prepared(batch).dropDuplicates(["content_key"]).persist()
         try:
+            ident = ingest_id(rows)
+            own = rows
             if _exists(spark, self.table):
                 days = [r[0] for r in rows.select("received_day").distinct().limit(10_001).collect()]
-                there = spark.read.parquet(self.table).select("content_key", "received_day")
+                there = spark.read.parquet(self.table).select("content_key", "ingest_id", "received_day")
                 if len(days) <= 10_000:
                     there = there.filter(F.col("received_day").isin(days))
-                rows = rows.join(there.select("content_key"), "content_key", "left_anti")
+                own = rows.join(there.filter(F.col("ingest_id") != ident).select("content_key"), "content_key", "left_anti").select(*rows.columns)
+                lacking = own.join(there.filter(F.col("ingest_id") == ident).select("content_key"), "content_key", "left_anti").select(*rows.columns)
+            else:
+                lacking = own
             for path, make in self.before.items():
-                _append_new(spark, make(rows), path)
-            # derived rows carry the batch's number, and a folder of their own: writing them again replaces them
+                _append_new(spark, make(own), path)
+            # derived rows have a folder of their batch: writing them again replaces them
             for path, make in self.derived.items():
-                make(rows).write.mode("overwrite").parquet(f"{path}/batch={batch_no}")
-            rows.sortWithinPartitions("s").write.mode("append").partitionBy("received_day", "late_part").parquet(self.table)
+                make(own).write.mode("overwrite").parquet(f"{path}/ingest_id={ident}")
+            lacking = lacking.withColumn("ingest_id", F.lit(ident))
+            lacking.sortWithinPartitions("s").write.mode("append").partitionBy("received_day", "late_part").parquet(self.table)
         finally:
-            batch.sparkSession.catalog.clearCache()
+            rows.unpersist()
+
+
+def ingest_id(rows: DataFrame) -> str:
+    """What a batch holds, as one text: the number of its content keys and two sums of their hashes, in any order."""
+    part = lambda h: F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).cast("string")
+    r = rows.agg(F.concat_ws("-", F.count("*"), part(F.xxhash64("content_key")), part(F.xxhash64("content_key", F.lit(1)))).alias("k")).select(F.md5("k")).first()
+    return r[0]
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -67,6 +83,46 @@ def _append_new(spark: SparkSession, rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+class SlotTaken(RuntimeError):
+    """The slot holds another content."""
+
+
+def commit_slot(spark: SparkSession, folder: str, slot: int, content: bytes) -> bool:
+    """Put an object into a numbered slot of a lane, which takes one object ever. False if this very object is there.
+
+    The object is written aside and renamed into the slot, which fails if the slot is taken; so readers see whole objects
+    only, and of two writers one is told. Needs a file system whose rename is atomic.
+    """
+    if len(content) == 0:
+        raise ValueError("an empty object says nothing")
+    jvm = spark._jvm
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    path = jvm.org.apache.hadoop.fs.Path
+    target, aside = path(f"{folder}/{slot:012d}"), path(f"{folder}/.{slot:012d}.{uuid.uuid4().hex}")
+    fs = target.getFileSystem(conf)
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf)
+    fs.mkdirs(path(folder))
+    out = fs.create(aside, False)
+    out.write(bytearray(content))
+    out.close()
+    try:
+        no_overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        files.rename(aside, target, no_overwrite)
+        return True
+    except Exception:
+        fs.delete(aside, False)
+        if not fs.exists(target):
+            raise
+    stream = fs.open(target)
+    try:
+        there = bytes(stream.readAllBytes())
+    finally:
+        stream.close()
+    if there != content:
+        raise SlotTaken(f"slot {slot} of {folder} holds another object")
+    return False
+
+
 def run(stream: DataFrame, sink: Sink, checkpoint: str) -> None:
     """Take what is there and stop; a later run goes on after it."""
     stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -96,3 +96,91 @@ def test_simulation(spark, tmp_path):
     runner(spark, tmp_path / "b", v).process(rule, 100)
     runner(spark, tmp_path / "b", v).process(rule, 500)
     assert w.sent == v.sent and w.sent
+
+
+def test_ledger():
+    """A notice stays until it is acknowledged, is tried again later and later, and a resolution waits for its firing."""
+    from skyquarry.streaming.alerting import Ledger
+
+    x = Ledger(base=2, most=16)
+    x.add("r", [("firing", "a", 5)])
+    (key,) = x.due(1000)
+    x.told(key, False, 1000)
+    assert x.due(1001) == [] and x.due(1002) == [key]
+    x.add("r", [("resolved", "a", 5), ("firing", "a", 5)])
+    assert x.due(1002) == [key] and len(x.notices) == 2
+    for wait in (4, 8, 16, 16):
+        x.told(key, False, 2000)
+        assert x.due(2000 + wait - 1) == [] and x.due(2000 + wait) == [key]
+    x.told(key, True, 3000)
+    (after,) = x.due(3000)
+    assert after.endswith("resolved")
+    x.told(after, False, 3000)
+    assert after in x.notices
+    x.told(after, True, 3002)
+    assert not x.notices and x.due(9999) == []
+
+
+@pytest.mark.parametrize("dies", range(2, 10))
+def test_no_notice_is_lost(spark, tmp_path, dies):
+    """A runner that dies at any of its saves and sends, and is started again: the receiver gets each key, firing first."""
+    w = World([(t, t) for t in range(100, 140)], 200)
+    steps, got = [0], []
+
+    def step():
+        steps[0] += 1
+        if steps[0] == dies:
+            raise KeyboardInterrupt
+
+    def send(key, kind, group, since):
+        step()
+        if key not in got:
+            got.append(key)
+        step()
+
+    for now in (100, 160, 170, 180, 190):
+        store = Store(spark, str(tmp_path / "s"))
+        plain = store.save
+        store.save = lambda *a: (step(), plain(*a), step())
+        try:
+            Runner(store, w.evaluate, send).process(RULE, now)
+        except KeyboardInterrupt:
+            continue
+    assert got == ["r/g/110/firing", "r/g/110/resolved"]
+
+
+def test_unsent_notices_stay(spark, tmp_path):
+    w, down = World([(t, t) for t in range(100, 140)], 200), [True]
+    send = lambda key, kind, group, since: False if down[0] else w.send(key, kind, group, since)
+    run = lambda now: Runner(Store(spark, str(tmp_path / "s")), w.evaluate, send).process(RULE, now)
+    run(100)
+    run(160)
+    assert w.sent == []
+    down[0] = False
+    run(161)
+    assert w.sent == []  # not yet: it was tried a second ago
+    run(170)
+    assert w.sent == [("firing", 110), ("resolved", 110)]
+
+
+def test_late_windows_are_named(spark, tmp_path):
+    """Only windows that got rows since they were decided are asked again."""
+    w = World([(105, 105), (115, 900), (125, 125)], 150)
+    asked = []
+
+    def evaluate(rule, lo, hi):
+        asked.append(hi)
+        return w.evaluate(rule, lo, hi)
+
+    late = lambda rule, at: {e for e, c in at.items() if any(e - 10 <= t < e and c <= r < w.watermark for t, r in w.rows)}
+    r = Runner(Store(spark, str(tmp_path / "s")), evaluate, w.send, late_ends=late)
+    r.process(RULE, 100)
+    r.process(RULE, 150)
+    assert w.sent == []
+    asked.clear()
+    w.watermark = 1000
+    r.process(RULE, 155)
+    assert asked == [120] and ("late", 110) in w.sent
+    asked.clear()
+    r.process(RULE, 158)
+    assert asked == [] or asked == [120]
