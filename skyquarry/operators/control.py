@@ -193,6 +193,51 @@ def scan(spark, files: DataFrame, schema, path: str = "path", most: int = 100_00
     return spark.read.schema(schema).option("ignoreMissingFiles", "false").parquet(*(r[0] for r in rows)).withColumn("_path", F.col("_metadata.file_path"))
 
 
+class Failed(RuntimeError):
+    """Files of a plan were gone, and of the plans made again too."""
+
+
+def answered(plan, ask, times: int = 3):
+    """ask(plan()), planned again if a file of the plan has gone meanwhile (collected, or merged into another).
+
+    An answer is of one plan as a whole or there is none: after `times` plans it fails. ask must run the query (collect,
+    write), not only build it.
+    """
+    for _ in range(times):
+        try:
+            return ask(plan())
+        except Exception as e:
+            gone = ("FAILED_READ_FILE.FILE_NOT_EXIST", "FileNotFoundException", "PATH_NOT_FOUND", "does not exist")
+            if not any(x in str(e) for x in gone):
+                raise
+            last = e
+    raise Failed(f"files of {times} plans were gone: {str(last).splitlines()[0][:200]}")
+
+
+def basis_expired(slots: DataFrame, lane: list[str], bounds: dict[str, int]) -> DataFrame:
+    """Lanes (with cluster) whose deleted slots held rows before the bound of their cluster: a read at that basis would lack
+    them. slots: lane.., cluster, seq, received, deleted."""
+    c = F.lit(None).cast("long")
+    for k, v in bounds.items():
+        c = F.when(F.col("cluster") == k, F.lit(v)).otherwise(c)
+    gone = slots.filter("deleted").withColumn("bound_", c).filter(F.col("received").isNull() | (F.col("received") < F.col("bound_")))
+    return gone.groupBy(*lane, "cluster").agg(F.max("received").alias("lost_through"))
+
+
+def hourly_history(steps: DataFrame, by: list[str], lo: int, hi: int, final: int, step: int = 3600) -> DataFrame:
+    """(by.., hour, c, at, final): the last value at or before the end of each hour in [lo, hi), carried on from earlier ones.
+
+    An hour is final if it ended at or before `final`, the time up to which steps are known. One row for each hour in which
+    a value is known; steps (by.., at, c) are compared with their own hour only, and hours are filled in order.
+    """
+    end = F.greatest(F.lit(lo), F.col("at") - F.pmod("at", F.lit(step)))
+    last = steps.filter(F.col("at") < hi).groupBy(*by, end.cast("long").alias("hour")).agg(F.max(F.struct("at", "c")).alias("x"))
+    w = Window.partitionBy(*by).orderBy("hour")
+    last = last.withColumn("next_", F.coalesce(F.lead("hour").over(w), F.lit(hi)))
+    rows = last.withColumn("hour", F.explode(F.sequence("hour", F.col("next_") - step, F.lit(step))))
+    return rows.select(*by, "hour", "x.c", "x.at", (F.col("hour") + step <= final).alias("final"))
+
+
 def trace_index(rows: DataFrame, file: str = "file") -> DataFrame:
     """(fp, file): a 32-bit fingerprint of each trace id. Two ids may share one, so a look-up may only over-read."""
     return rows.select(F.pmod(F.xxhash64("trace_id"), F.lit(1 << 32)).alias("fp"), file).distinct()
@@ -237,6 +282,18 @@ def duplicate_rows(rows: DataFrame, identity: list[str]) -> DataFrame:
     return rows.groupBy(*identity).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("extra"), F.count("*").alias("ids"))
 
 
+def repeated_ordinals(rows: DataFrame, batch: str, ordinal: str) -> DataFrame:
+    """Batches that hold an ordinal more than once, with how many rows they have beyond one for each."""
+    n = rows.groupBy(batch).agg(F.count("*").alias("n"), F.count_distinct(ordinal).alias("ordinals"))
+    return n.filter("n > ordinals").select(batch, (F.col("n") - F.col("ordinals")).alias("extra"))
+
+
+def groups_ingested_twice(rows: DataFrame, batch: str, key: str) -> DataFrame:
+    """Content keys that came in more than one batch: how many there are for each number of batches."""
+    n = rows.groupBy(key).agg(F.count_distinct(batch).alias("batches"))
+    return n.filter("batches > 1").groupBy("batches").agg(F.count("*").alias("keys"))
+
+
 def skew(rows: DataFrame, key: str) -> DataFrame:
     """How unevenly rows fall on keys: quantiles of rows a key, and the largest share."""
     n = rows.groupBy(key).agg(F.count("*").alias("n"))

@@ -17,10 +17,27 @@ def as_of(dim: DataFrame, t: int, start: str = "valid_from", end: str = "valid_t
     return dim.filter((F.col(start) <= t) & (F.col(end).isNull() | (F.col(end) > t)))
 
 
-def join_as_of(facts: DataFrame, dim: DataFrame, keys: list[str], time: str, how: str = "left") -> DataFrame:
-    """Each fact beside the version of its entity at its time."""
-    on = [facts[k] == dim[k] for k in keys] + [facts[time] >= dim["valid_from"], dim["valid_to"].isNull() | (facts[time] < dim["valid_to"])]
-    return facts.join(dim, on, how).select(*(facts[c] for c in facts.columns), *(dim[c] for c in dim.columns if c not in keys))
+#: Slices of time in which versions of a key are looked up.
+SLICES = 64
+
+
+def join_as_of(facts: DataFrame, dim: DataFrame, keys: list[str], time: str, how: str = "left", span: tuple[int, int] | None = None, slices: int = SLICES) -> DataFrame:
+    """Each fact beside the version of its entity at its time; versions (valid_from, valid_to) of an entity don't overlap.
+
+    span: the range of time in which versions change, cut into slices. A version stands once in each slice that it touches
+    (all versions of a key together in `slices` more rows than they are), and a fact only meets those of its own slice;
+    facts of a hot key are spread by their slices. Times outside the span belong to the first and the last slice.
+    """
+    dim = dim.filter(F.col("valid_to").isNull() | (F.col("valid_to") > F.col("valid_from")))
+    on, facts_, dim_ = list(keys), facts, dim
+    if span:
+        lo, step = span[0], max(1, -(-(span[1] - span[0]) // slices))
+        of = lambda t: F.greatest(F.lit(0), F.least(F.lit(slices - 1), F.floor((t - lo) / step))).cast("int")
+        until = F.when(F.col("valid_to").isNull(), F.lit(slices - 1)).otherwise(of(F.col("valid_to") - 1))
+        dim_ = dim.withColumn("slice_", F.explode(F.sequence(of(F.col("valid_from")), until)))
+        facts_, on = facts.withColumn("slice_", of(F.col(time))), [*on, "slice_"]
+    both = [facts_[k] == dim_[k] for k in on] + [facts_[time] >= dim_["valid_from"], dim_["valid_to"].isNull() | (facts_[time] < dim_["valid_to"])]
+    return facts_.join(dim_, both, how).select(*(facts_[c] for c in facts.columns), *(dim_[c] for c in dim.columns if c not in keys))
 
 
 def attribute_rows(dim: DataFrame, entity: str, attributes: str) -> DataFrame:
@@ -75,20 +92,24 @@ def precedence(trust: int) -> Column:
     return F.struct((F.col("system_from") + F.when(controller, trust).otherwise(0)).alias("e"), controller.alias("c"), F.col("seq").alias("s"))
 
 
-def _resolved(by: DataFrame, keys: list[str], trust: int) -> DataFrame:
-    """by: claims that apply at a point, keys name the point -> status, version, uncertain.
+def _tops(trust: int) -> list[Column]:
+    """Aggregates over claims: a, the top authority, and n, the top announcement. Both are maxima, so parts combine."""
+    announced = F.col("source") == "announce"
+    a = F.max(F.when(~announced, F.struct(precedence(trust).alias("p"), F.col("kind"), F.col("version")))).alias("a")
+    n = F.max(F.when(announced & (F.col("kind") == "assert"), F.struct("system_from", "seq", "version"))).alias("n")
+    return [a, n]
+
+
+def _answers(top: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys.., a, n) -> status, version, uncertain.
 
     The top authority decides: assert gives its version, retract none, unknown the top announcement, uncertain, if there
     is one. Without authority the top announcement is certain.
     """
-    announced = F.col("source") == "announce"
-    a = F.max(F.when(~announced, F.struct(precedence(trust).alias("p"), F.col("kind"), F.col("version")))).alias("a")
-    n = F.max(F.when(announced & (F.col("kind") == "assert"), F.struct("system_from", "seq", "version"))).alias("n")
-    top = by.filter("kind <> 'pseudonymise'").groupBy(*keys).agg(a, n)
     kind, said = F.col("a.kind"), F.col("n").isNotNull()
     status = F.when(kind == "assert", "asserted").when(kind == "retract", "retracted").when(said, "announced").when(kind == "unknown", "unknown").otherwise("absent")
     version = F.when(kind == "assert", F.col("a.version")).when(kind == "retract", F.lit(None)).otherwise(F.col("n.version"))
-    return top.select(*keys, status.alias("status"), version.alias("version"), ((kind == "unknown") & said).alias("uncertain")).withColumn("uncertain", F.coalesce("uncertain", F.lit(False)))
+    return top.select(*keys, status.alias("status"), version.alias("version"), F.coalesce((kind == "unknown") & said, F.lit(False)).alias("uncertain"))
 
 
 def spread_all(claims: DataFrame) -> DataFrame:
@@ -104,22 +125,45 @@ def spread_all(claims: DataFrame) -> DataFrame:
 def point(claims: DataFrame, vt: int, st: int, trust: int) -> DataFrame:
     """What was known at system time st about each entity at valid time vt."""
     here = claims.filter((F.col("system_from") <= st) & (F.col("valid_from") <= vt) & (F.coalesce("valid_to", F.lit(FOREVER)) > vt))
-    return _resolved(here, ["entity"], trust)
+    return _answers(here.filter("kind <> 'pseudonymise'").groupBy("entity").agg(*_tops(trust)), ["entity"])
 
 
 def intervals(claims: DataFrame, st: int, trust: int) -> DataFrame:
     """(entity, lo, hi, status, version, uncertain): disjoint intervals of valid time with what was known at st.
 
-    Boundaries of an entity's claims cut its time into slices; claims meet the slices that they cover, each slice is
-    resolved as a point, and neighbours with equal answers are merged. All by entity, so entities never wait for another.
+    Boundaries of an entity's claims cut its time into numbered slices. A claim covers a run of slices, which is a union of
+    at most two blocks of each size 1, 2, 4, ...; the top claims of a block are found once, and a slice looks at the blocks
+    that it lies in. So n claims of an entity cost n log n, not n slices each, and no task holds an entity as a whole but
+    to number its slices. Neighbours with equal answers are merged.
     """
-    known = claims.filter(F.col("system_from") <= st).withColumn("valid_to", F.coalesce("valid_to", F.lit(FOREVER)))
-    edges = known.select("entity", F.col("valid_from").alias("lo")).unionByName(known.select("entity", F.col("valid_to").alias("lo"))).distinct()
+    known = claims.filter(F.col("system_from") <= st).withColumn("valid_to", F.coalesce("valid_to", F.lit(FOREVER))).filter("valid_from < valid_to")
+    edges = known.select("entity", F.explode(F.array("valid_from", "valid_to")).alias("lo")).distinct()
     w = Window.partitionBy("entity").orderBy("lo")
-    slices = edges.withColumn("hi", F.lead("lo").over(w)).filter("hi is not null")
-    at = known.join(slices, "entity").filter("valid_from <= lo and valid_to > lo")
-    answers = _resolved(at, ["entity", "lo", "hi"], trust)
-    return merge_adjacent(answers, ["entity"], ["status", "version", "uncertain"])
+    n = F.count("*").over(Window.partitionBy("entity"))
+    edges = edges.select("entity", "lo", F.lead("lo").over(w).alias("hi"), (F.row_number().over(w) - 1).cast("long").alias("i"), _bits(n).alias("most"))
+    at = lambda time, name: edges.select("entity", F.col("lo").alias(time), F.col("i").alias(name))
+    rows = known.filter("kind <> 'pseudonymise'").join(at("valid_from", "b"), ["entity", "valid_from"]).join(at("valid_to", "e"), ["entity", "valid_to"])
+    blocks = rows.withColumn("block", F.explode(_blocks(F.col("b"), F.col("e")))).groupBy("entity", "block.level", "block.i").agg(*_tops(trust))
+    slices = edges.filter("hi is not null").withColumn("level", F.explode(F.sequence(F.lit(0), F.col("most"))))
+    slices = slices.select("entity", "lo", "hi", "level", F.call_function("shiftright", "i", "level").alias("i"))
+    top = slices.join(blocks, ["entity", "level", "i"]).groupBy("entity", "lo", "hi").agg(F.max("a").alias("a"), F.max("n").alias("n"))
+    return merge_adjacent(_answers(top, ["entity", "lo", "hi"]), ["entity"], ["status", "version", "uncertain"])
+
+
+def _bits(x: Column) -> Column:
+    """The number of binary digits of x, 0 for 0."""
+    return F.when(x > 0, F.length(F.bin(x))).otherwise(0)
+
+
+def _blocks(b: Column, e: Column) -> Column:
+    """[b, e) as blocks (level, i), each of the 2**level numbers from i * 2**level on; at most two of a level."""
+    def of(level: Column) -> Column:
+        low = F.call_function("shiftright", b + F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1, level)
+        high = F.call_function("shiftright", e, level)
+        block = lambda i: F.struct(level.alias("level"), i.alias("i"))
+        return F.array(F.when((low < high) & (low % 2 == 1), block(low)), F.when((low < high) & (high % 2 == 1), block(high - 1)))
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), _bits(e)), of)))
 
 
 def merge_adjacent(rows: DataFrame, keys: list[str], same: list[str]) -> DataFrame:
@@ -140,20 +184,49 @@ def redacted(resolved: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def claims_from_lanes(records: DataFrame) -> DataFrame:
-    """Lane records (lane, n, kind sync | delta | gap | restart, entity, version, t) -> claims, in the lane's order.
+    """Records of entity lanes -> claims of the controller, as a cluster's objects tell them in order.
+
+    records: lane, n (the object's number in its lane), o (place in the object), kind, entity, version, t, until.
+    delta: the version holds from t on, or, if it is null, the entity is gone from t on. sync: all that holds at t, a record
+    for each entity and one without (an empty sync has only that); what was alive before and is not in it is gone from t
+    on. gap: [t, until) was not watched; restart: from t until the next sync (for good if there is none). What the records
+    up to a gap assert at its beginning is unknown in it; what was gone already, or is not there yet, is not.
 
-    A delta asserts a version from t until the entity's next record; a gap or restart makes all entities of the lane
-    unknown from t until the next sync; a sync repeats what holds. One window by lane and entity, one by lane.
+    Claims of a lane are ordered by seq: a sync's retractions, then records as they were written; the later one counts.
+    Lanes are dealt out, and entities within a lane; only a lane's list of objects is in one task.
     """
-    own = records.filter("kind = 'delta'")
-    w = Window.partitionBy("lane", "entity").orderBy("n")
-    asserts = own.select("lane", "entity", F.when(F.col("version").isNull(), "retract").otherwise("assert").alias("kind"), F.lit("controller").alias("source"), F.col("n").alias("seq"), "version", F.col("t").alias("valid_from"), F.lead("t").over(w).alias("valid_to"), F.col("t").alias("system_from"))
-    marks = records.filter("kind <> 'delta'")
-    v = Window.partitionBy("lane").orderBy("n")
-    lost = marks.withColumn("until", F.lead("t").over(v)).filter("kind in ('gap', 'restart')")
-    names = own.select("lane", F.col("entity").alias("name_")).distinct()
-    unknown = lost.join(names, "lane").select("lane", F.col("name_").alias("entity"), F.lit("unknown").alias("kind"), F.lit("controller").alias("source"), F.col("n").alias("seq"), F.lit(None).cast("string").alias("version"), F.col("t").alias("valid_from"), F.col("until").alias("valid_to"), F.col("t").alias("system_from"))
-    return asserts.unionByName(unknown)
+    if "until" not in records.columns:
+        records = records.withColumn("until", F.lit(None).cast("long"))
+    if "o" not in records.columns:
+        records = records.withColumn("o", F.lit(0).cast("long"))
+    seq = lambda n, o: F.shiftleft(F.col(n).cast("long"), 24) + o
+    own = records.filter("kind in ('delta', 'sync') and entity is not null")
+    syncs = records.filter("kind = 'sync'").groupBy("lane", "n").agg(F.max("t").alias("sync_t"))
+    # for each object the next sync after it
+    objects = records.select("lane", "n").distinct().join(syncs, ["lane", "n"], "left")
+    later = Window.partitionBy("lane").orderBy("n").rowsBetween(1, Window.unboundedFollowing)
+    a_sync = F.when(F.col("sync_t").isNotNull(), F.struct(F.col("n").alias("n"), F.col("sync_t").alias("t")))
+    objects = objects.select("lane", "n", F.min(a_sync).over(later).alias("next_sync"))
+    w = Window.partitionBy("lane", "entity").orderBy("n", "o")
+    events = own.select("lane", "entity", "n", "o", "version", "t", F.lead("n").over(w).alias("n2"), F.lead("t").over(w).alias("t2"))
+    events = events.join(objects, ["lane", "n"])
+    lapsed = F.col("version").isNotNull() & F.col("next_sync").isNotNull() & (F.col("n2").isNull() | (F.col("next_sync.n") < F.col("n2")))
+    events = events.withColumn("lapsed", F.coalesce(lapsed, F.lit(False)))
+    claim = lambda kind, at, frm, to, version: [F.col("lane"), F.col("entity"), kind.alias("kind"), F.lit("controller").alias("source"), at.alias("seq"), version.alias("version"), frm.alias("valid_from"), to.alias("valid_to")]
+    none, no_version = F.lit(None).cast("long"), F.lit(None).cast("string")
+    said = events.select(*claim(F.when(F.col("version").isNull(), "retract").otherwise("assert"), seq("n", F.col("o") + 1), F.col("t"), none, F.col("version")), F.col("t").alias("system_from"))
+    gone = events.filter("lapsed").select(*claim(F.lit("retract"), seq("next_sync.n", F.lit(0)), F.col("next_sync.t"), none, no_version), F.col("next_sync.t").alias("system_from"))
+    # an event rules until the entity's next one, its own or the sync that lacks it
+    after = F.when(F.col("lapsed"), F.struct(F.col("next_sync.n").alias("n"), F.col("next_sync.t").alias("t"))).otherwise(F.struct(F.col("n2").alias("n"), F.col("t2").alias("t")))
+    rules = events.filter("version is not null").select("lane", "entity", F.col("n").alias("from_n"), F.col("o").alias("from_o"), F.col("t").alias("from_t"), after["n"].alias("to_n"), after["t"].alias("to_t"))
+    gaps = records.filter("kind in ('gap', 'restart')").select("lane", "n", "o", "kind", "t", "until").join(objects, ["lane", "n"])
+    until = F.when(F.col("kind") == "gap", F.col("until")).otherwise(F.col("next_sync.t"))
+    gaps = gaps.select("lane", "n", "o", "t", until.alias("until")).filter(F.col("until").isNull() | (F.col("until") > F.col("t")))
+    told = (F.col("from_n") < F.col("n")) | ((F.col("from_n") == F.col("n")) & (F.col("from_o") < F.col("o")))
+    over = F.col("to_n").isNotNull() & (F.col("to_n") <= F.col("n")) & (F.col("to_t") <= F.col("t"))
+    lost = gaps.join(rules, "lane").filter(told & (F.col("from_t") <= F.col("t")) & ~over)
+    lost = lost.select(*claim(F.lit("unknown"), seq("n", F.col("o") + 1), F.col("t"), F.col("until"), no_version), F.coalesce("until", "t").alias("system_from")).distinct()
+    return said.unionByName(gone).unionByName(lost)
 
 
 def lookup_chain(facts: DataFrame, steps: list[tuple[DataFrame, str, str]], default: str = "") -> DataFrame:

@@ -95,27 +95,46 @@ def bound_at(counts: Column, bounds: Column, q: float) -> Column:
 
 
 def quantile_by_bound(points: DataFrame, series: list[str], step: int, bounds: list[float], q: float) -> DataFrame:
-    """From cumulative histogram points: growth of each series in a step, summed over series, then bound_at."""
-    grown = F.zip_with(F.max_by("counts", "t"), F.min_by("counts", "t"), lambda x, y: x - y)
-    each = points.groupBy(*series, bucket(F.col("t"), step).alias("bucket")).agg(grown.alias("d"))
+    """From cumulative histogram points: growth of each series in a step, summed over series, then bound_at.
+
+    Buckets are columns until the last step, so that no array is built for a point.
+    """
     n = len(bounds) + 1
-    total = each.groupBy("bucket").agg(F.array(*sum_for_each(F.col("d"), n)).alias("counts"))
+    grown = [(F.max_by(F.get("counts", i), "t") - F.min_by(F.get("counts", i), "t")).alias(f"d{i}") for i in range(n)]
+    each = points.groupBy(*series, bucket(F.col("t"), step).alias("bucket")).agg(*grown)
+    total = each.groupBy("bucket").agg(F.array(*(F.sum(f"d{i}") for i in range(n))).alias("counts"))
     return total.select("bucket", bound_at(F.col("counts"), F.array(*map(F.lit, bounds)), q).alias("q"))
 
 
-def deltas(points: DataFrame, series: list[str], cumulative: Column | bool = True, bounds: str | None = None) -> DataFrame:
-    """Histogram points with `d`, what each added.
+def deltas(points: DataFrame, series: list[str], size: int, cumulative: Column | bool = True, bounds: str | None = None) -> DataFrame:
+    """Histogram points with d0, d1, ...: what each added to each of `size` buckets.
 
     Cumulative ones add nothing at a series' first point, all they hold after a reset (any bucket fell) or a change of
     bounds, else the difference; others add all they hold.
     """
     w = Window.partitionBy(*series).orderBy("t")
-    old = F.lag("counts").over(w)
-    fell = F.exists(F.zip_with("counts", old, lambda x, y: x < y), lambda x: x)
-    changed = (F.col(bounds) != F.lag(bounds).over(w)) if bounds else F.lit(False)
+    now, old = [F.get("counts", i) for i in range(size)], [F.col(f"o{i}") for i in range(size)]
+    before = {f"o{i}": F.lag(now[i]).over(w) for i in range(size)} | {"n_": F.lag("t").over(w)}
+    changed = {"changed_": (F.col(bounds) != F.lag(bounds).over(w)) if bounds else F.lit(False)}
+    rows = points.withColumns(before | changed)
+    fell = reduce(lambda a, b: a | b, (x < y for x, y in zip(now, old)))
     is_sum = cumulative if isinstance(cumulative, Column) else F.lit(cumulative)
-    d = F.when(is_sum & old.isNull(), F.transform("counts", lambda x: x * 0)).when(~is_sum | changed | fell, F.col("counts")).otherwise(F.zip_with("counts", old, lambda x, y: x - y))
-    return points.withColumn("d", d)
+    rows = rows.withColumn("fell_", fell | F.col("changed_"))
+    added = lambda x, y: F.when(is_sum & F.col("n_").isNull(), x * 0).when(~is_sum | F.col("fell_"), x).otherwise(x - y)
+    return rows.withColumns({f"d{i}": added(now[i], old[i]) for i in range(size)}).drop(*before, "changed_", "fell_")
+
+
+def histogram_rollup(points: DataFrame, series: list[str], step: int, size: int, cumulative: Column | bool = True) -> DataFrame:
+    """(series.., bucket, n, counts, last_t): what histogram points added in each step, as a state that merge_histograms()
+    combines further."""
+    rows = deltas(points, series, size, cumulative)
+    added = F.array(*(F.sum(f"d{i}") for i in range(size))).alias("counts")
+    return rows.groupBy(*series, bucket(F.col("t"), step).alias("bucket")).agg(F.count("*").alias("n"), added, F.max("t").alias("last_t"))
+
+
+def merge_histograms(rolled: DataFrame, by: list[str], step: int, size: int) -> DataFrame:
+    """Roll-ups of shorter steps, of parts of a step or of several series as one."""
+    return rolled.groupBy(*by, bucket(F.col("bucket"), step).alias("bucket")).agg(F.sum("n").alias("n"), F.array(*sum_for_each(F.col("counts"), size)).alias("counts"), F.max("last_t").alias("last_t"))
 
 
 def interpolated(counts: Column, bounds: list[float], q: float) -> Column:
@@ -143,7 +162,8 @@ def interpolated(counts: Column, bounds: list[float], q: float) -> Column:
 
 def histogram_quantile(points: DataFrame, series: list[str], by: list[str], step: int, bounds: list[float], q: float, cumulative: bool = True) -> DataFrame:
     n = len(bounds) + 1
-    total = deltas(points, series, cumulative).groupBy(*by, bucket(F.col("t"), step).alias("bucket")).agg(F.array(*sum_for_each(F.col("d"), n)).alias("counts"))
+    added = F.array(*(F.sum(f"d{i}") for i in range(n))).alias("counts")
+    total = deltas(points, series, n, cumulative).groupBy(*by, bucket(F.col("t"), step).alias("bucket")).agg(added)
     return total.withColumn("q", interpolated(F.col("counts"), bounds, q)).filter("q is not null").drop("counts")
 
 
@@ -176,3 +196,8 @@ def promql_rate(points: DataFrame, series: list[str], time: str, value: str, lo:
     step = F.when(before.isNull(), F.lit(0.0)).when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before)
     rows = points.filter((F.col(time) >= lo) & (F.col(time) < hi)).withColumn("d_", step)
     return rows.groupBy(*series).agg((F.sum("d_") / F.greatest(F.max(time) - F.min(time), F.lit(1))).alias("rate"))
+
+
+def avg_over_time(points: DataFrame, series: list[str], time: str, value: str, lo: int, hi: int) -> DataFrame:
+    """Mean of the points of each series in [lo, hi), each point alike."""
+    return points.filter((F.col(time) >= lo) & (F.col(time) < hi)).groupBy(*series).agg(F.avg(value).alias("avg"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .entities import join_as_of
 from .logs import latest_by
 
 
@@ -13,9 +14,13 @@ def time_ranges(spans: DataFrame) -> DataFrame:
     return spans.filter("trace_id <> ''").groupBy("trace_id").agg(F.min("start").alias("first"), F.max("start").alias("last"), F.count("*").alias("n"))
 
 
-def parent_child(spans: DataFrame) -> DataFrame:
-    """Each span with a parent, beside the parent; spans whose parent is missing keep nulls."""
-    up = spans.select("trace_id", F.col("span_id").alias("parent_id"), F.col("name").alias("parent_name"), F.col("start").alias("parent_start"), F.col("status").alias("parent_status"))
+def parent_child(spans: DataFrame, parents: DataFrame | None = None) -> DataFrame:
+    """Each span with a parent, beside the parent; spans whose parent is missing keep nulls.
+
+    parents: the spans that can be parents, where that is known (roots of two-level traces, server spans), so that the
+    others are not sent through the join once more.
+    """
+    up = (spans if parents is None else parents).select("trace_id", F.col("span_id").alias("parent_id"), F.col("name").alias("parent_name"), F.col("start").alias("parent_start"), F.col("status").alias("parent_status"))
     return spans.filter("parent_id <> ''").join(up, ["trace_id", "parent_id"], "left")
 
 
@@ -38,17 +43,17 @@ def waterfall(spans: DataFrame, logs: DataFrame, trace_id: str) -> DataFrame:
     return a.unionByName(b)
 
 
-def price_as_of(rows: DataFrame, prices: DataFrame, keys: list[str], start: str, basis: int, order: list[str]) -> DataFrame:
+def price_as_of(rows: DataFrame, prices: DataFrame, keys: list[str], start: str, basis: int, order: list[str], span: tuple[int, int] | None = None) -> DataFrame:
     """rows with the price last valid at their start and recorded before the basis; null if there is none.
 
-    Prices become validity intervals by one window over the small side, so each row meets one price and not all earlier ones.
+    Prices become validity intervals by one window over the small side; join_as_of() then compares a row with those of its
+    slice of `span` only.
     """
     known = prices.filter(F.col("system_from") < basis)
     one = latest_by(known, [*keys, "valid_from"], *[F.desc(c) for c in order])
     w = Window.partitionBy(*keys).orderBy("valid_from")
-    spans = one.select(*keys, "valid_from", F.lead("valid_from").over(w).alias("valid_to"), "price")
-    on = [rows[k] == spans[k] for k in keys] + [rows[start] >= spans["valid_from"], spans["valid_to"].isNull() | (rows[start] < spans["valid_to"])]
-    return rows.join(spans, on, "left").select(*(rows[c] for c in rows.columns), "price")
+    versions = one.select(*keys, "valid_from", F.lead("valid_from").over(w).alias("valid_to"), "price")
+    return join_as_of(rows, versions, keys, start, span=span).drop("valid_from", "valid_to")
 
 
 def resolve_scores(facts: DataFrame, basis: int) -> DataFrame:
@@ -134,3 +139,19 @@ def _fit(text: Column, most: int) -> Column:
     """
     steps = F.sequence(F.lit(0), F.lit(80))
     return F.aggregate(steps, text, lambda t, _: F.when(F.octet_length(t) <= most, t).otherwise(F.left(t, (F.length(t) - F.ceil((F.octet_length(t) - most) / 4)).cast("int"))))
+
+
+def keyed_ref(content: Column, tenant: Column, day: Column, secret: str) -> Column:
+    """Reference to a payload that only holders of the secret can make: equal contents of a tenant and day share it, and
+    nobody else can test a guess of a content. SHA-256 under a key of the tenant and day, twice, so that none is extended."""
+    hashed = lambda *parts: F.unhex(F.sha2(F.concat(*parts), 256))
+    named = F.concat_ws("\x1f", tenant, day.cast("string")).cast("binary")
+    master = F.lit(secret).cast("binary")
+    key = hashed(master, hashed(master, named))
+    return F.lower(F.hex(hashed(key, hashed(key, content.cast("binary")))))
+
+
+def score_means(scores: DataFrame, spans: DataFrame) -> DataFrame:
+    """(model, name, n, mean): scores by the models of their traces; a trace's model counts once."""
+    models = spans.select("trace_id", "model").distinct()
+    return scores.join(models, "trace_id").groupBy("model", "name").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))

@@ -33,9 +33,14 @@ def trace_time_ranges(spark, d):
     return T.time_ranges(spans(spark, d))
 
 
-@query(SP + "SELECT c.trace_id, c.span_id, c.parent_id, c.start - p.start AS after, p.status AS parent_status FROM sp c LEFT JOIN sp p ON p.trace_id = c.trace_id AND p.span_id = c.parent_id WHERE c.parent_id <> ''")
+@query("""SELECT md5(l_orderkey::VARCHAR) AS trace_id, l_orderkey || '-' || l_linenumber AS span_id, 'o' || l_orderkey AS parent_id,
+  epoch_us(l_shipdate) // 1000000 - epoch_us(o_orderdate) // 1000000 AS after,
+  CASE WHEN o_orderkey IS NULL THEN NULL WHEN o_orderstatus = 'F' THEN 'Error' ELSE 'Ok' END AS parent_status FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey""")
 def span_parent_child(spark, d):
-    return T.parent_child(spans(spark, d)).select("trace_id", "span_id", "parent_id", (F.col("start") - F.col("parent_start")).alias("after"), "parent_status")
+    """Lines beside the orders that they belong to: only orders can be parents."""
+    all_ = spans(spark, d)
+    rows = T.parent_child(all_, all_.filter("name = 'order'"))
+    return rows.select("trace_id", "span_id", "parent_id", (F.col("start") - F.col("parent_start")).alias("after"), "parent_status")
 
 
 @query(SP + "SELECT d AS depth, count(*) AS n FROM (SELECT CASE WHEN s.parent_id = '' THEN 0 WHEN p.span_id IS NOT NULL THEN 1 END AS d FROM sp s LEFT JOIN sp p ON p.trace_id = s.trace_id AND p.span_id = s.parent_id AND s.parent_id <> '') GROUP BY d")
@@ -60,7 +65,7 @@ px AS (SELECT ls.*, (SELECT arg_max(price, (valid_from, system_from, price_id))
 
 
 def _priced(spark, d):
-    return T.price_as_of(llm_spans(spark, d), prices(spark, d), ["model"], "start", BASIS, ["system_from", "price_id"])
+    return T.price_as_of(llm_spans(spark, d), prices(spark, d), ["model"], "start", BASIS, ["system_from", "price_id"], span=(T0, T0 + 7 * DAY))
 
 
 @query(_PRICED + "SELECT span_id, model, tokens, round(price, 9) AS price, round(tokens * price, 9) AS cost FROM px")
@@ -165,7 +170,7 @@ def catalog_scd2_asof(spark, d):
 @query(_VERSIONS + f", q AS (SELECT o_orderkey, o_custkey % 150 AS user_id, {T0} + o_orderkey % 2500000 AS t FROM orders) SELECT o_orderkey, q.user_id, event_id, version FROM q LEFT JOIN ve ON ve.user_id = q.user_id AND valid_from <= t AND (valid_to IS NULL OR valid_to > t)")
 def catalog_join_asof(spark, d):
     o = read(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 150).alias("user_id"), (F.lit(T0) + F.col("o_orderkey") % 2_500_000).alias("t"))
-    return E.join_as_of(o, _versions(spark, d), ["user_id"], "t").select("o_orderkey", "user_id", "event_id", "version")
+    return E.join_as_of(o, _versions(spark, d), ["user_id"], "t", span=(T0, T0 + 30 * DAY)).select("o_orderkey", "user_id", "event_id", "version")
 
 
 @query(_VERSIONS + "SELECT user_id, version, min(valid_from) AS valid_from, arg_max({'v': valid_to}, event_id).v AS closed_at, max(event_id % 2) AS uncertain, min(event_id) AS attrs FROM (SELECT *, coalesce(valid_to, 0) AS v FROM ve) GROUP BY ALL")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import bucket, has_tokens
@@ -25,13 +24,13 @@ def query(sql: str):
 
 @query(EV + f"SELECT s - s % 21600 AS bucket, severity, count(*) AS n FROM ev WHERE s >= {LO} AND s < {HI} AND severity IN ('ERROR', 'WARN') GROUP BY ALL")
 def log_search_hist(spark, d):
-    rows = L.with_severity(L.in_window(logs(spark, d), "s", LO, HI), ["error", "warn"])
+    rows = logs(spark, d, LO, HI, ["error", "warn"])
     return L.histogram(rows, "severity", "s", 21_600)
 
 
 @query(EV + f"SELECT event_id, s, severity, value FROM ev WHERE s >= {LO} AND s < {HI} AND severity = 'ERROR' ORDER BY us DESC, event_id LIMIT 50")
 def log_newest_n(spark, d):
-    rows = L.with_severity(L.in_window(logs(spark, d), "s", LO, HI), ["ERROR"])
+    rows = logs(spark, d, LO, HI, ["ERROR"])
     return L.newest(rows, 50, "us", "event_id").select("event_id", "s", "severity", "value")
 
 
@@ -141,12 +140,12 @@ def hist_quantile_interp(spark, d):
 
 @query(EV + "SELECT user_id, round(avg(value), 6) AS v FROM ev WHERE metric = 'events.view' GROUP BY user_id ORDER BY v DESC, user_id LIMIT 10")
 def topk_gauge(spark, d):
-    return M.top_k(logs(spark, d).filter("metric = 'events.view'"), "user_id", "value", 10)
+    return M.top_k(logs(spark, d, metric="events.view"), "user_id", "value", 10)
 
 
 @query(EV + "SELECT cluster, round(avg(v), 6) AS v FROM (SELECT cluster, user_id, avg(value) AS v FROM ev WHERE metric = 'events.view' GROUP BY ALL) GROUP BY cluster ORDER BY v DESC, cluster LIMIT 10")
 def topk_by_series(spark, d):
-    return M.top_k(logs(spark, d).filter("metric = 'events.view'"), "cluster", "value", 10, series=["user_id"])
+    return M.top_k(logs(spark, d, metric="events.view"), "cluster", "value", 10, series=["user_id"])
 
 
 _ROLL = "count(value) AS n, round(sum(value), 4) AS sum, min(value) AS min, max(value) AS max, arg_max(value, (s, event_id)) AS last"
@@ -262,5 +261,5 @@ def limit_one_by(spark, d):
 
 @query(EV + f"SELECT s - s % {DAY} AS day, count(*) AS new_users FROM (SELECT user_id, min(s) AS s FROM ev GROUP BY user_id) GROUP BY day")
 def resource_churn(spark, d):
-    rows = logs(spark, d).withColumn("first", F.min("s").over(Window.partitionBy("user_id")))
-    return rows.filter("s = first").select("user_id", bucket(F.col("first"), DAY).alias("day")).distinct().groupBy("day").agg(F.count("*").alias("new_users"))
+    first = logs(spark, d).groupBy("user_id").agg(F.min("s").alias("first"))
+    return first.groupBy(bucket(F.col("first"), DAY).alias("day")).agg(F.count("*").alias("new_users"))

@@ -84,7 +84,7 @@ def otlp_metrics(lines: DataFrame) -> dict[str, DataFrame]:
         own = {
             "gauge": [value], "sum": [value],
             "histogram": [long("p.count").alias("count"), F.col("p.sum").alias("sum"), longs("p.bucketCounts").alias("counts"), F.col("p.explicitBounds").alias("bounds")],
-            "exponentialHistogram": [long("p.count").alias("count"), F.col("p.sum").alias("sum"), F.col("p.scale").alias("scale"), long("p.zeroCount").alias("zero"), F.col("p.positive.offset").alias("offset"), longs("p.positive.bucketCounts").alias("counts")],
+            "exponentialHistogram": [long("p.count").alias("count"), F.col("p.sum").alias("sum"), F.col("p.scale").alias("scale"), long("p.zeroCount").alias("zero"), F.col("p.positive.offset").alias("offset"), longs("p.positive.bucketCounts").alias("counts"), F.col("p.negative.offset").alias("negative_offset"), longs("p.negative.bucketCounts").alias("negative_counts")],
             "summary": [long("p.count").alias("count"), F.col("p.sum").alias("sum"), F.col("p.quantileValues").alias("quantiles")],
         }[kind]
         out[kind] = p.select(*names, attributes(F.col("p.attributes")).alias("attributes"), long("p.timeUnixNano").alias("time_ns"), *own)
@@ -93,8 +93,9 @@ def otlp_metrics(lines: DataFrame) -> dict[str, DataFrame]:
 
 def entity_lane(spark: SparkSession, *paths: str) -> DataFrame:
     """Lines of JSON (gzip by suffix) of an entity lane, with the file each came from."""
-    schema = "lane string, n long, kind string, entity string, version string, t long, attrs map<string,string>"
-    return spark.read.schema(schema).json(list(paths)).withColumn("_path", F.col("_metadata.file_path"))
+    schema = "lane string, n long, o long, kind string, entity string, version string, t long, until long, attrs map<string,string>"
+    rows = spark.read.schema(schema).json(list(paths)).withColumn("_path", F.col("_metadata.file_path"))
+    return rows.withColumn("o", F.coalesce("o", F.lit(0).cast("long")))
 
 
 def nanosecond_parquet(spark: SparkSession, path: str) -> DataFrame:

@@ -6,6 +6,8 @@ and the SQL it is compared with begin from equal rows.
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,9 +26,35 @@ def micros(df: DataFrame, name: str) -> Column:
     return F.unix_micros(name)
 
 
-def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as log rows and metric points, with the envelope of the batch that brought each."""
+#: Severities by event type; all other types are INFO.
+SEVERITY = {"error": "ERROR", "purchase": "WARN"}
+
+
+def second(df: DataFrame, name: str, s: int) -> Column:
+    """A literal of the column's own type, so that a comparison with it reaches the files' statistics."""
+    text = datetime.fromtimestamp(s, UTC).strftime("%Y-%m-%d %H:%M:%S")
+    return F.expr(f"timestamp_ntz'{text}'" if dict(df.dtypes)[name] == "timestamp_ntz" else f"timestamp'{text}Z'")
+
+
+def logs(spark: SparkSession, sf_dir: str, lo: int | None = None, hi: int | None = None, severities: list[str] | None = None, metric: str | None = None) -> DataFrame:
+    """events as log rows and metric points, with the envelope of the batch that brought each.
+
+    lo, hi (seconds, half open), severities and metric choose rows by the columns that the files hold, not by those that are
+    computed here, so that they are pushed down to the scan and skip row groups.
+    """
     e = read(spark, sf_dir, "events")
+    if lo is not None:
+        e = e.filter(F.col("ts") >= second(e, "ts", lo))
+    if hi is not None:
+        e = e.filter(F.col("ts") < second(e, "ts", hi))
+    if severities:
+        wanted = {x.upper() for x in severities}
+        if "INFO" in wanted:
+            e = e.filter(~F.col("event_type").isin([k for k, v in SEVERITY.items() if v not in wanted])) if set(SEVERITY.values()) - wanted else e
+        else:
+            e = e.filter(F.col("event_type").isin([k for k, v in SEVERITY.items() if v in wanted]))
+    if metric is not None:
+        e = e.filter(F.col("event_type") == metric.removeprefix("events."))
     us, u = micros(e, "ts"), F.col("user_id")
     kind = F.col("event_type")
     return e.select(
