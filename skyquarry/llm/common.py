@@ -163,9 +163,11 @@ HOT = 10_000
 def join_hot(big: DataFrame, small: DataFrame, key: str, how: str = "left") -> DataFrame:
     """Join two tables of any size, small with one row for each key, where a few keys may hold most rows of big.
 
-    The keys that hold more than 1/HOT of big's rows, which are HOT at most, are counted first and joined by broadcast; all
+    A small side of up to BROADCAST_ROWS is broadcast, as in join_small(). Beyond, the keys that hold more than 1/HOT of big's rows, which are HOT at most, are counted first and joined by broadcast; all
     others by a shuffle, in which no key holds more than that. Both sides should be written tables.
     """
+    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return big.join(F.broadcast(small), key, how)
     total = big.count()
     hot = written(big.groupBy(key).agg(F.count("*").alias("n_")).filter(F.col("n_") * HOT > total).select(key), "hot-keys")
     few = small.join(F.broadcast(hot), key, "left_semi")

@@ -244,22 +244,31 @@ BANDS, ROWS = 20, 5
 COPY_RADIUS = 20
 #: Texts of a large bucket, or of a part of one, that a task holds with their shingles.
 COPY_ROWS = 2048
-_MIX = np.random.default_rng(SEED).integers(1, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * ROWS), np.uint32) | np.uint32(1)
 
 
 def shingle_set(text: str | None) -> np.ndarray:
-    """Sorted hashes of the different shingles; a text of COPY_SHINGLE words or fewer is one shingle."""
+    """Sorted hashes of the different shingles; a text of COPY_SHINGLE words or fewer is one shingle.
+
+    A shingle's hash is made of those of its words, so each word is hashed once.
+    """
     words = word_bytes(text or "")
-    grams = [b" ".join(words[i : i + COPY_SHINGLE]) for i in range(max(1, len(words) - COPY_SHINGLE + 1))]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(grams)))
+    of = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    size = min(COPY_SHINGLE, len(words))
+    out = np.full(max(1, len(words) - size + 1), size, np.uint64)
+    for i in range(size):
+        out = (out ^ of[i : i + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return np.unique(out)
 
 
 def bands(shingles: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band: the mixed minima of its ROWS permutations."""
-    least = np.full(BANDS * ROWS, ~np.uint64(0))
-    for i in range(0, len(shingles), 1024):
-        least = np.minimum(least, ((shingles[i : i + 1024, None] ^ _MIX[0]) * _MIX[1]).min(axis=0))
-    least, out = least.reshape(BANDS, ROWS), np.zeros(BANDS, np.uint64)
+    """A 64-bit key for each band: the mixed minima of its ROWS permutations of 32 bits of the hashes."""
+    of = (shingles >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * ROWS, ~np.uint32(0))
+    for i in range(0, len(of), 1024):
+        least = np.minimum(least, ((of[i : i + 1024, None] ^ _MIX[0]) * _MIX[1]).min(axis=0))
+    least, out = least.astype(np.uint64).reshape(BANDS, ROWS), np.zeros(BANDS, np.uint64)
     for i in range(ROWS):
         out = (out ^ least[:, i]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
@@ -335,8 +344,9 @@ def _by_code(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return limited_batches(both).filter(F.pandas_udf(good, T.BooleanType())("x", "y")).select("a", "b")
 
 
-def copy_links(one: DataFrame, texts: DataFrame) -> DataFrame:
-    """(code_, fp, bands_, uid_), codes different, and (uid_, text), written -> (a, b): links of all near copies that meet.
+def copy_groups(one: DataFrame, texts: DataFrame) -> DataFrame:
+    """(code_, fp, bands_, uid_), codes different, and (uid_, text), written -> (node, root), written: the groups of near
+    copies, as components() gives them.
 
     Buckets of SMALL texts or fewer report all pairs within COPY_RADIUS bits, which are compared exactly. In a larger one
     each text is first compared with a drawn one, another in each band, so that a group of copies is linked by as many
@@ -357,13 +367,20 @@ def copy_links(one: DataFrame, texts: DataFrame) -> DataFrame:
     sets = written(sets, "copies-sets")
     found = written(_by_code(pairs, sets), "copies-links")
     large = met.filter(F.col("n") > SMALL).select("t", "k", "n", "code_", "fp")
-    roots = members(components(found)).withColumnRenamed("node", "code_")
-    large = written(large.join(roots, "code_", "left").withColumn("root", F.coalesce("root", "code_")), "copies-large")
+    roots = written(components(found), "copies-roots")
+    large = large.join(members(roots).withColumnRenamed("node", "code_"), "code_", "left").withColumn("root", F.coalesce("root", "code_"))
+    large = written(large, "copies-large")
     apart = large.groupBy("t", "k").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("t", "k")
+    apart = written(apart, "copies-apart")
+    if apart.isEmpty():
+        return roots
     rows = dealt(large.join(apart, ["t", "k"], "left_semi"), "code_", COPY_ROWS).join(sets, "code_")
     rows = rows.repartition("t", "k", "p", "q").sortWithinPartitions("t", "k", "p", "q")
     more = limited_batches(rows).select("t", "k", "p", "q", "part", "root", "code_", "fp", "s").mapInPandas(_similar_links, "a long, b long")
-    return found.unionByName(more)
+    more = written(more, "copies-more")
+    # links between groups join the groups' own stars
+    stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return written(components(stars.unionByName(more)), "copies-roots") if not more.isEmpty() else roots
 
 
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -377,7 +394,7 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     keep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid_")).alias("s")
     first = rows.groupBy(F.col("code").alias("code_")).agg(F.first("fp").alias("fp"), F.first("bands").alias("bands_"), keep, F.min("uid_").alias("uid_"))
     first = written(first, "copies-first")
-    roots = written(components(copy_links(first, rows.select("uid_", F.col("doc_")[text].alias("text")))), "copies-roots")
+    roots = copy_groups(first, rows.select("uid_", F.col("doc_")[text].alias("text")))
     known = first.join(roots.withColumnRenamed("node", "code_"), "code_", "left").withColumn("root", F.coalesce("root", "code_"))
     stay = known.groupBy("root").agg(F.min("s").alias("s")).select(F.col("s.uid_").alias("uid_"))
     gone = rows.select("uid_").join(stay, "uid_", "left_anti")
