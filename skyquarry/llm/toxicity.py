@@ -183,9 +183,11 @@ class Model:
         held = np.zeros(len(y), bool)
         for kind in (0, 1):  # the last of every four of each kind; rows come in the order of their hashes
             held[np.flatnonzero(y == kind)[3::4]] = True
+        if not 0 < y[held].sum() < held.sum():  # under four rows of a kind none can be spared
+            held[:] = False
         if 0 < y.sum() < len(y):
             self.trees = Trees().fit(x[~held], y[~held])
-            of = held if held.any() else ~held  # under four rows of each kind nothing can be spared
+            of = held if held.any() else ~held
             self.curve = isotonic(self.trees.raw(x[of]), y[of])
         return self
 

@@ -109,6 +109,14 @@ def test_mixing_comes_near(spark, rows):
         assert abs(taken - want[s]) <= max(n for x, n in rows if x == s) / 2 + 1e-6
 
 
+def test_mixing_tells_null_ids_apart(spark):
+    """Rows without an id, or with one id, come near the target by their texts; only rows alike in all move together."""
+    rows = [(None if i % 2 else 7, f"text {i} " + "w " * (i % 50), s) for i in range(900) for s in ("abc"[i % 3],)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    by = mixing.mix(df).groupBy("target").agg(F.sum("taken").alias("taken")).collect()
+    assert len(by) == 3 and all(abs(r["taken"] - r["target"]) <= 60 for r in by)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql(spark, duck, name):
     same_rows(QUERIES[name](spark, SF), duck, ORACLE_SQL[name])
@@ -461,6 +469,53 @@ def test_secrets(spark, none):
     assert secrets.scanned(none, secrets.train(none)).collect() == []
 
 
+def brute_candidates(t, base):
+    taken = {i for a, _, b in base for i in range(a, b)}
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_.=-]+", t):
+        if m.end() - m.start() < 12:
+            continue
+        for free, part in itertools.groupby(range(*m.span()), lambda i: i not in taken):
+            part = list(part)
+            s = t[part[0] : part[-1] + 1]
+            if free and len(s) >= 12 and re.search("[A-Za-z]", s) and (re.search("[0-9]", s) or re.search("[a-z][A-Z]", s) or len(s) >= 20):
+                out.append((part[0], part[-1] + 1))
+    return out
+
+
+@given(st.lists(pieces | st.sampled_from([f"{KEY}/wJalrXUtnFEMIK7MDENGbPxRfiCY", f"path/{HEXA}/Abcdefghijklmnop", "aVeryLongCamelCaseName", "internationalisation", "zzzzzzzzzzzzzzzzzzzzz", "2024-01-02T10", "/"]), max_size=10).map("".join))
+def test_candidates(t):
+    assert secrets.candidates(t, secrets.base_spans(t)) == brute_candidates(t, brute_base(t))
+
+
+def test_candidates_take_linear_time():
+    import time
+
+    text = lambda n: " ".join(f"token={HEXA}{i} some words aB3dE5fG7hJ9k{i}" for i in range(n))
+    took = {}
+    for n in (1000, 8000):
+        t = text(n)
+        base = secrets.base_spans(t)
+        begin = time.perf_counter()
+        assert len(secrets.candidates(t, base)) == n
+        took[n] = time.perf_counter() - begin
+    assert took[8000] < 30 * took[1000]
+
+
+def test_keys_without_key_words(spark):
+    """Recall and false alarms on keys that no base pattern finds, by a network that learned from base findings."""
+    r = random.Random(11)
+    az = "abcdefghijklmnopqrstuvwxyz"
+    kinds = ["".join(r.choices(az + az.upper() + "0123456789", k=32)) for _ in range(40)] + ["".join(r.choices(az + az.upper(), k=24)) for _ in range(20)]
+    plain = lambda: " ".join("".join(r.choices(az, k=r.randint(2, 9))) for _ in range(20))
+    train = [(i, f"{plain()} secret = {''.join(r.choices(az + '0123456789', k=24))} {plain()} mail{i}.example.com {plain()}-{i}") for i in range(300)]
+    net = secrets.train(spark.createDataFrame(train, "doc_id long, text string"))
+    rows = [(i, f"{plain()} {k} {plain()}") for i, k in enumerate(kinds)] + [(1000 + i, f"{plain()} visit www.{''.join(r.choices(az, k=8))}.example.org/{''.join(r.choices(az, k=9))} on 2024-01-0{i % 9 + 1}T10:00") for i in range(60)]
+    got = secrets.digests(secrets.scanned(spark.createDataFrame(rows, "doc_id long, text string"), net)).collect()
+    found = {x["doc_id"] for x in got if x["n_model"]}
+    assert len([i for i in found if i < 1000]) >= 0.85 * len(kinds) and len([i for i in found if i >= 1000]) <= 6
+
+
 def test_network_tells_secrets():
     """Held-out accuracy on generated findings."""
     rows = secrets._generated(700)

@@ -44,6 +44,61 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.scored(odd(spark).limit(0), labels).collect() == []
 
 
+def _marked(n, r):
+    """Texts of which every third is toxic, by words and capitals."""
+    words = [f"word{i}" for i in range(200)]
+    out = []
+    for i in range(n):
+        w = [r.choice(words) for _ in range(40)]
+        if i % 3 == 0:
+            w[5:8] = ["you", "Nasty", "FOOL!!!"]
+        out.append((i, " ".join(w), int(i % 3 == 0)))
+    return out
+
+
+@pytest.mark.parametrize("n", [12, 99, 100, 300])
+def test_toxicity_of_few_labels(spark, n):
+    """Trees are fitted from whatever labels there are: no number of rows from which things change."""
+    rows = _marked(2 * n, random.Random(n))
+    df = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    labels = df.filter(F.col("doc_id") < n).select("doc_id", F.col("y").alias("toxic"))
+    out = toxicity.scored(df.select("doc_id", "text"), labels).collect()
+    assert len({r["score"] for r in out}) > 1
+    toxic, clean = ([r["score"] for r in out if (r["doc_id"] % 3 == 0) == k] for k in (True, False))
+    assert np.mean(toxic) > np.mean(clean) + (0.2 if n < 50 else 0.7)
+
+
+def test_lexicon_words_are_found_as_counted():
+    """Capitals beyond A-Z count as they are, where words are learned and where they are looked up."""
+    lexicon = {"\u00c9t\u00c9x": 2.0, "\u00e9t\u00e9": 2.0}
+    hits = lambda t: toxicity.features(t, toxicity.Seen(lexicon))[1]
+    assert hits("\u00c9T\u00c9X!") == 1 and hits("\u00e9T\u00e9.") == 1 and hits("\u00c9t\u00e9") == 0
+
+
+def test_toxicity_against_a_plain_version(spark):
+    """The query's scores are those of the model, fitted by hand to the same rows in the same order."""
+    rows = _marked(240, random.Random(1))
+    df = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    got = {r["doc_id"]: (r["held_out"], r["score"], r["predicted"]) for r in toxicity.scored(df.select("doc_id", "text"), df.select("doc_id", F.col("y").alias("toxic"))).collect()}
+    train = [(i, t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    yes = sum(y for *_, y in train)
+    a, n = Counter(), Counter()
+    for _, t, y in train:
+        for w in {toxicity.bare(w) for w in t.split()} - {""}:
+            n[w] += 1
+            a[w] += y
+    odds = {w: math.log((a[w] + 0.5) / (yes - a[w] + 0.5)) - math.log((n[w] - a[w] + 0.5) / (len(train) - yes - n[w] + a[w] + 0.5)) for w in n if n[w] >= min(8, 2 + yes // 4)}
+    best = sorted(((round(o, 9), w) for w, o in odds.items() if o >= 1.5), key=lambda x: (-x[0], x[1]))[:200]
+    seen = toxicity.Seen({w: o for o, w in best})
+    x = {i: np.array(toxicity.features(t, seen)) for i, t, _ in rows}
+    order = [r["doc_id"] for r in df.orderBy(F.xxhash64("doc_id")).select("doc_id").collect()]
+    y = {i: y for i, _, y in train}
+    model = toxicity.Model({}).fit(np.stack([x[i] for i in order if i in y]), np.array([float(y[i]) for i in order if i in y]))
+    for i, t, _ in rows:
+        s = round(float(model.score(x[i][None])[0]), 9)
+        assert got[i] == (zlib.crc32(str(i).encode()) % 3 == 1, pytest.approx(s, abs=2e-9), int(got[i][1] >= 0.7))
+
+
 def test_toxic_features():
     seen = toxicity.Seen({"idiot": 3.0, "fool": 1.6})
     f = toxicity.features("You IDIOT, fool! 1d1ot and id10t words here", seen)
@@ -148,6 +203,16 @@ def test_distance_is_out_of_place():
         assert np.where(grams[i] == own, np.abs(rank[i] - np.arange(2)), 300).sum() / 600 == want[lang]
 
 
+def test_null_ids_do_not_crowd_the_profiles(spark, monkeypatch):
+    """Documents without an id, a third of all here, are drawn by their texts like others."""
+    monkeypatch.setattr(language_id, "FIT", 30)
+    df = spark.range(900).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("en").alias("lang"))
+    drawn = []
+    monkeypatch.setattr(language_id, "limited_batches", lambda rows: drawn.append(rows.count()) or rows)
+    language_id.learn(df)
+    assert 10 <= drawn[0] <= 60
+
+
 def test_language_held_out(spark):
     out = language_id.op8_language_id(spark, SF01)
     rows = out.join(table(spark, SF01, "documents").select("doc_id", "lang"), "doc_id").filter("held_out").collect()
@@ -252,3 +317,57 @@ def test_backpropagation():
 def test_model_beats_counts(spark):
     out = gru_lm.op3_lm_score(spark, SF).filter("held_out").agg(F.sum("base_score").alias("b"), F.sum("score").alias("s")).first()
     assert out["s"] > out["b"]
+
+
+def test_every_token_is_learned_from(monkeypatch):
+    """Streams of unequal length, a document longer than a stream's share, an empty one: all tokens are in a window, once."""
+    net = gru_lm.Gru(np.array([9, 8, 7, 6, 5, 4] + [1] * gru_lm.OTHERS))
+    r, seen = np.random.default_rng(2), Counter()
+    docs = [r.integers(0, 6, n) for n in (1, 1, 700, 3, 40, 0, 5)]
+    plain = net._window
+
+    def window(ids, new, h, grads, here):
+        seen.update(ids[here].tolist())
+        return plain(ids, new, h, grads, here)
+
+    monkeypatch.setattr(net, "_window", window)
+    net.train(docs, epochs=1, most=4)
+    assert seen == Counter(np.concatenate(docs).tolist())
+
+
+def test_networks_are_averaged():
+    nets = [gru_lm.Gru(np.array([9, 8, 7] + [1] * gru_lm.OTHERS), seed) for seed in (1, 2, 3)]
+    n = [10.0, 30.0, 60.0]
+    rows = [{"piece": i, "n": m, "v": (x * m).tobytes()} for net, m in zip(nets, n) for i, x in enumerate(net.pieces())]
+    import pandas as pd
+
+    halves = [pd.DataFrame(rows[: len(rows) // 2]), pd.DataFrame(rows[len(rows) // 2 :])]
+    (summed,) = gru_lm._summed(iter(halves))
+    out = gru_lm.Gru(np.array([9, 8, 7] + [1] * gru_lm.OTHERS), 4)
+    out.set_pieces(summed.to_dict("records"))
+    for k in out.p:
+        assert np.allclose(out.p[k], sum(net.p[k] * m for net, m in zip(nets, n)) / 100, atol=1e-6)
+
+
+def test_training_grows_with_the_corpus(spark, monkeypatch):
+    """The share of the tokens that is trained on, in groups, with null ids and repeated rows; scores stay finite."""
+    for name, value in (("TRAIN_TOKENS", 400), ("GROUP_TOKENS", 300), ("TRAIN_SHARE", 2)):
+        monkeypatch.setattr(gru_lm, name, value)
+    r = random.Random(2)
+    rows = [(None if i % 3 == 0 else i, " ".join(r.choice(["a", "b", "c", f"w{i % 40}"]) for _ in range(30)), None, None, 0) for i in range(300)] + [(5, "the same text", None, None, 0)] * 40
+    df = spark.createDataFrame(rows, SCHEMA)
+    trained = []
+    plain = gru_lm.written
+
+    def written(df, name):
+        out = plain(df, name)
+        if name == "lm-train":
+            trained.append((out.count(), out.select(F.sum(F.length("ids") / 4)).first()[0], out.select("g").distinct().count()))
+        return out
+
+    monkeypatch.setattr(gru_lm, "written", written)
+    out = gru_lm.scored(df).collect()
+    assert len(out) == 340 and all(math.isfinite(r["score"]) for r in out)
+    n = out[0]["train_tokens"]
+    wanted = 400 + (n - 400) / 2
+    assert 0.6 * wanted <= trained[0][1] <= 1.3 * wanted and trained[0][2] >= wanted / 300 / 2

@@ -40,6 +40,29 @@ def test_run_and_empty(spark, tmp_path):
     assert P.run(spark, str(tmp_path)).collect() == []
 
 
+def test_run_with_odd_rows(spark, tmp_path):
+    """Nulls in every column, repeated rows, equal ids, a very long text and clashing columns pass through all stages, and the
+    stages' own tables are gone afterwards."""
+    from test_exact import clash
+
+    from skyquarry.llm.common import n_written
+
+    docs = table(spark, SF, "documents").limit(60)
+    first = docs.filter("n_chars > 800").first()
+    long = " ".join(f"{first['text']} part{i}" for i in range(40))
+    odd = [(None, None, None, None, None), (None, first["text"] + " but other words end this one here", None, None, None), (first["doc_id"], first["text"], first["lang"], first["source"], 1), (first["doc_id"], first["text"], None, None, 1), (-1, long, "en", None, 1), (-2, "", "en", "a", 0), (-3, " \n", "xx", "a", 0)]
+    rows = clash(docs.unionByName(spark.createDataFrame(odd, docs.schema)))
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    table(spark, SF, "benchmark").withColumn("k", F.lit("mine")).write.parquet(str(tmp_path / "benchmark.parquet"))
+    before = n_written()
+    out = P.run(spark, str(tmp_path)).collect()
+    assert n_written() == before + 1
+    got = Counter(r["doc_id"] for r in out)
+    assert got[first["doc_id"]] <= 1 and got[-2] == got[-3] == 0 and all(r["size"] >= 50 for r in out)
+    kept = P.quality(spark, table(spark, str(tmp_path), "documents"), str(tmp_path))
+    assert kept.columns == rows.columns
+
+
 def test_written_tables_can_go(spark):
     from skyquarry.llm.common import _WRITTEN, drop_written
 
