@@ -6,8 +6,8 @@ character mixes the estimates after 0 to ORDER - 1 characters, each weighed by h
 was seen. A URL's score is the difference of the two log likelihoods divided by its length. One example in HOLD is held
 out of the counts; the threshold is where held-out examples of both sides are told apart best. DataFrame functions only.
 
-Characters are mapped to an alphabet of 32 symbols, so there are at most 32 ** ORDER n-grams of the highest order: the
-models have a fixed bound and are broadcast.
+Characters are mapped to an alphabet of 32 symbols, so there are at most 32 ** ORDER n-grams of the highest order, a million:
+the models have that bound whatever the number of URLs, and are broadcast.
 """
 
 from __future__ import annotations
@@ -119,7 +119,8 @@ def judge(pages: DataFrame, url: str = "url", key: str = "page_id", rules=RULES)
     """page_id, host, path, rule, verdict, score (null where a rule decides): one row for each row of pages.
 
     A null URL, or one without ://, has empty host and path and is judged by the model as an empty text. Without examples
-    of both sides, URLs without a rule are allowed.
+    of both sides, URLs without a rule are allowed. URLs count whole, however long; repeated rows are all examples and get
+    equal verdicts; a score at the threshold is allowed, and of rules of one length the later one in RULES decides.
     """
     host, path = host_of(F.col(url)), path_of(F.col(url))
     rows = with_uid(pages.select(F.col(key).alias("page_id"), host.alias("host"), path.alias("path")))
