@@ -106,10 +106,10 @@ class Basis:
         return out
 
 
-def mint(complete_through: dict[str, int], clusters: set[str], max_lateness: int, signals: tuple[str, ...] = ()) -> Basis:
+def mint(complete_through: dict[str, int], clusters: set[str], max_lateness: int, signals: tuple[str, ...] = (), expires: int = NEVER) -> Basis:
     if missing := clusters - set(complete_through):
         raise ValueError(f"nothing is complete for {sorted(missing)}")
-    return Basis({c: complete_through[c] for c in sorted(clusters)}, max_lateness, signals)
+    return Basis({c: complete_through[c] for c in sorted(clusters)}, max_lateness, signals, expires)
 
 
 def late_rows(df: DataFrame, max_lateness: int, event: str = "s", received: str = "received") -> DataFrame:

@@ -99,8 +99,12 @@ def resolve(rows: DataFrame, payloads: DataFrame, key: str, refs: str) -> DataFr
     return one.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "content"))), lambda x: x["content"]), ",").alias("content"))
 
 
-def dangling(rows: DataFrame, payloads: DataFrame, key: str, refs: str) -> DataFrame:
-    return rows.select(key, F.explode(refs).alias("ref")).join(payloads, "ref", "left_anti")
+def dangling(rows: DataFrame, payloads: DataFrame, key: str, refs: str, day: str | None = None) -> DataFrame:
+    """References without a payload; day: without one of their day, the day before or the day after."""
+    if day is None:
+        return rows.select(key, F.explode(refs).alias("ref")).join(payloads, "ref", "left_anti")
+    near = payloads.select("ref", F.explode(F.array(F.col(day) - 1, F.col(day), F.col(day) + 1)).alias(day)).distinct()
+    return rows.select(key, day, F.explode(refs).alias("ref")).join(near, ["ref", day], "left_anti")
 
 
 def spans_holding(rows: DataFrame, payloads: DataFrame, key: str, refs: str, wanted: Column) -> DataFrame:

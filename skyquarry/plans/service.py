@@ -7,18 +7,21 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.control import Basis, Label, label, late_rows, mint
+from ..operators.control import NEVER, Basis, Label, label, late_rows, mint
 from ..operators.logs import in_window
 from ..operators.scope import Grant, check_sql, in_scope, narrowed, scoped_sql
 
 
 @dataclass
 class Answer:
+    """at_basis: were the rows read at the basis? Else it is minted with them, for a later read that is to be repeatable."""
+
     rows: DataFrame
     label: Label
     basis: Basis | None
     late: dict[str, int]
     added: dict[str, int] | None
+    at_basis: bool = False
 
 
 class Service:
@@ -31,15 +34,16 @@ class Service:
         self.spark, self.tables, self.complete, self.max_lateness = spark, tables, complete_through, max_lateness
         self.audit: list[tuple[str, str]] = []
 
-    def query(self, grants: list[Grant], sql: str, lo: int, hi: int, clusters: set[str] | None = None, basis: Basis | None = None, since: Basis | None = None, sample: int | None = None) -> Answer:
+    def query(self, grants: list[Grant], sql: str, lo: int, hi: int, clusters: set[str] | None = None, basis: Basis | None = None, since: Basis | None = None, sample: int | None = None, expires: int = NEVER) -> Answer:
         """since: count what was added between two bases. sample: read so many rows of each table, labelled as a sample."""
         grants = narrowed(grants, clusters) if clusters else grants
         scope = clusters or {c for c, _ in grants if c != "*"} or set(self.complete)
         views = {n: in_window(t, "s", lo, hi) for n, t in self.tables.items()}
+        at_basis = basis is not None
         if basis:
             views = {n: v.filter(basis.predicate("received", "cluster")) for n, v in views.items()}
         elif scope <= set(self.complete):
-            basis = mint(self.complete, scope, self.max_lateness)
+            basis = mint(self.complete, scope, self.max_lateness, expires=expires)
         used = check_sql(self.spark, sql, set(self.tables)).tables
         # what the caller may see of the tables that the query reads; counts and samples are of nothing else
         views = {n: in_scope(v, grants, n) for n, v in views.items() if n.lower() in used}
@@ -57,7 +61,7 @@ class Service:
         if since and basis:
             between = basis.predicate("received", "cluster", since.bounds)
             added = {n: in_scope(in_window(t, "s", lo, hi), grants, n).filter(between).count() for n, t in self.tables.items() if n.lower() in used}
-        return Answer(rows, said, basis, late, added)
+        return Answer(rows, said, basis, late, added, at_basis)
 
 
 def window_of(spark: SparkSession, sql: str, time: str = "s") -> tuple[int, int] | None:

@@ -146,9 +146,16 @@ def windowed_counts(stream: DataFrame, time: str, window: str, every: str, by: l
     return stream.withWatermark(time, lateness).groupBy(F.window(time, window, every), *by).agg(F.count("*").alias("n"))
 
 
-def write_sorted(df: DataFrame, path: str, sort: list[str], bloom: list[str] = (), rows: int = 1_000_000) -> None:
-    """Parquet with zstd, files sorted, and bloom filters on columns that are looked up by value."""
+def write_sorted(df: DataFrame, path: str, sort: list[str], bloom: list[str] = (), rows: int = 1_000_000, delta: list[str] = ()) -> None:
+    """Parquet with zstd, files sorted, and bloom filters on columns that are looked up by value.
+
+    delta: columns of whole numbers that are stored as differences (times, ordinals) instead of through a dictionary.
+    """
     w = df.sortWithinPartitions(*sort).write.mode("append").option("compression", "zstd").option("maxRecordsPerFile", rows)
+    if delta:
+        w = w.option("parquet.writer.version", "PARQUET_2_0")
+    for c in delta:
+        w = w.option(f"parquet.enable.dictionary#{c}", "false")
     for c in bloom:
         w = w.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.expected.ndv#{c}", str(rows))
     w.parquet(path)

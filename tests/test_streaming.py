@@ -204,3 +204,30 @@ def test_results_are_kept(spark):
     for b in (1, 1, 2, 1):
         assert kept.get(Basis({"c": b}), "q", make).count() == 3
     assert len(made) == 3
+
+
+def test_written_encodings(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    p = tmp_path / "t"
+    I.write_sorted(spark.range(5000).selectExpr("id", "id * 1000 AS s", "cast(id % 7 as string) AS k"), str(p), ["s"], ["k"], delta=["s"])
+    meta = pq.ParquetFile(next(p.glob("*.parquet"))).metadata.row_group(0)
+    of = {meta.column(i).path_in_schema: meta.column(i).encodings for i in range(3)}
+    assert "DELTA_BINARY_PACKED" in of["s"] and not any("DICTIONARY" in x for x in of["s"]) and any("DICTIONARY" in x for x in of["k"])
+    assert meta.column(0).compression == "ZSTD" and spark.read.parquet(str(p)).agg(F.sum("s")).first()[0] == 12_497_500_000
+
+
+def test_dangling_by_day(spark):
+    rows = spark.createDataFrame([(1, 10, ["a", "b"]), (2, 13, ["a", "c"])], "id long, day long, refs array<string>")
+    payloads = spark.createDataFrame([("a", 9), ("b", 12), ("c", 13)], "ref string, day long")
+    assert sorted((r["id"], r["ref"]) for r in T.dangling(rows, payloads, "id", "refs", "day").collect()) == [(1, "b"), (2, "a")]
+    assert T.dangling(rows, payloads.drop("day"), "id", "refs").count() == 0
+
+
+def test_answers_say_if_they_are_at_their_basis(spark):
+    df = _rows(spark, [1, 2, 3]).withColumn("cluster", F.lit("c0")).withColumn("namespace", F.lit("n"))
+    s = Service(spark, {"logs": df}, {"c0": 2050}, 100)
+    first = s.query([("c0", "*")], "SELECT count(*) AS n FROM logs", 0, 9000, expires=77)
+    again = s.query([("c0", "*")], "SELECT count(*) AS n FROM logs", 0, 9000, basis=first.basis)
+    assert (first.at_basis, again.at_basis, first.basis.expires) == (False, True, 77)
+    assert first.rows.first()["n"] == 27 and again.rows.first()["n"] == 9
