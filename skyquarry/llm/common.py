@@ -25,7 +25,8 @@ A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def ship(module: str) -> None:
-    """Send a module's functions to executors by value, so that they need no copy of this package."""
+    """Send a module's functions to executors by value, as they are in the driver. Broadcast models name their classes, so
+    executors need the package on their path all the same."""
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
