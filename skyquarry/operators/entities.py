@@ -193,6 +193,7 @@ def claims_from_lanes(records: DataFrame) -> DataFrame:
     up to a gap assert at its beginning is unknown in it; what was gone already, or is not there yet, is not.
 
     Claims of a lane are ordered by seq: a sync's retractions, then records as they were written; the later one counts.
+    An entity's records are written in the order of their times.
     Lanes are dealt out, and entities within a lane; only a lane's list of objects is in one task.
     """
     if "until" not in records.columns:
@@ -208,7 +209,7 @@ def claims_from_lanes(records: DataFrame) -> DataFrame:
     a_sync = F.when(F.col("sync_t").isNotNull(), F.struct(F.col("n").alias("n"), F.col("sync_t").alias("t")))
     objects = objects.select("lane", "n", F.min(a_sync).over(later).alias("next_sync"))
     w = Window.partitionBy("lane", "entity").orderBy("n", "o")
-    events = own.select("lane", "entity", "n", "o", "version", "t", F.lead("n").over(w).alias("n2"), F.lead("t").over(w).alias("t2"))
+    events = own.select("lane", "entity", "n", "o", "version", "t", F.lead("n").over(w).alias("n2"), F.lead("o").over(w).alias("o2"), F.lead("t").over(w).alias("t2"))
     events = events.join(objects, ["lane", "n"])
     lapsed = F.col("version").isNotNull() & F.col("next_sync").isNotNull() & (F.col("n2").isNull() | (F.col("next_sync.n") < F.col("n2")))
     events = events.withColumn("lapsed", F.coalesce(lapsed, F.lit(False)))
@@ -217,14 +218,15 @@ def claims_from_lanes(records: DataFrame) -> DataFrame:
     said = events.select(*claim(F.when(F.col("version").isNull(), "retract").otherwise("assert"), seq("n", F.col("o") + 1), F.col("t"), none, F.col("version")), F.col("t").alias("system_from"))
     gone = events.filter("lapsed").select(*claim(F.lit("retract"), seq("next_sync.n", F.lit(0)), F.col("next_sync.t"), none, no_version), F.col("next_sync.t").alias("system_from"))
     # an event rules until the entity's next one, its own or the sync that lacks it
-    after = F.when(F.col("lapsed"), F.struct(F.col("next_sync.n").alias("n"), F.col("next_sync.t").alias("t"))).otherwise(F.struct(F.col("n2").alias("n"), F.col("t2").alias("t")))
-    rules = events.filter("version is not null").select("lane", "entity", F.col("n").alias("from_n"), F.col("o").alias("from_o"), F.col("t").alias("from_t"), after["n"].alias("to_n"), after["t"].alias("to_t"))
+    by_sync = F.struct(F.col("next_sync.n").alias("n"), F.lit(-1).cast("long").alias("o"), F.col("next_sync.t").alias("t"))
+    after = F.when(F.col("lapsed"), by_sync).otherwise(F.struct(F.col("n2").alias("n"), F.col("o2").alias("o"), F.col("t2").alias("t")))
+    rules = events.filter("version is not null").select("lane", "entity", F.col("n").alias("from_n"), F.col("o").alias("from_o"), F.col("t").alias("from_t"), after["n"].alias("to_n"), after["o"].alias("to_o"), after["t"].alias("to_t"))
     gaps = records.filter("kind in ('gap', 'restart')").select("lane", "n", "o", "kind", "t", "until").join(objects, ["lane", "n"])
     until = F.when(F.col("kind") == "gap", F.col("until")).otherwise(F.col("next_sync.t"))
     gaps = gaps.select("lane", "n", "o", "t", until.alias("until")).filter(F.col("until").isNull() | (F.col("until") > F.col("t")))
-    told = (F.col("from_n") < F.col("n")) | ((F.col("from_n") == F.col("n")) & (F.col("from_o") < F.col("o")))
-    over = F.col("to_n").isNotNull() & (F.col("to_n") <= F.col("n")) & (F.col("to_t") <= F.col("t"))
-    lost = gaps.join(rules, "lane").filter(told & (F.col("from_t") <= F.col("t")) & ~over)
+    told = lambda of: (F.col(f"{of}_n") < F.col("n")) | ((F.col(f"{of}_n") == F.col("n")) & (F.col(f"{of}_o") < F.col("o")))
+    over = F.col("to_n").isNotNull() & told("to") & (F.col("to_t") <= F.col("t"))
+    lost = gaps.join(rules, "lane").filter(told("from") & (F.col("from_t") <= F.col("t")) & ~over)
     lost = lost.select(*claim(F.lit("unknown"), seq("n", F.col("o") + 1), F.col("t"), F.col("until"), no_version), F.coalesce("until", "t").alias("system_from")).distinct()
     return said.unionByName(gone).unionByName(lost)
 

@@ -177,7 +177,7 @@ def _lanes(spark, d):
     hour = F.floor((F.col("s") - T0) / HOUR).cast("long")
     kind = F.when(hour % 12 == 0, "sync").otherwise("delta")
     gone = (F.col("event_type") == "error") & (kind == "delta")
-    own = e.select(F.col("cluster").alias("lane"), hour.alias("n"), F.col("event_id").alias("o"), kind.alias("kind"), F.col("user_id").cast("string").alias("entity"), F.when(~gone, F.col("event_type")).alias("version"), (F.lit(T0) + hour * HOUR + F.col("event_id") % 600).alias("t"), F.lit(None).cast("long").alias("until"))
+    own = e.select(F.col("cluster").alias("lane"), hour.alias("n"), F.col("event_id").alias("o"), kind.alias("kind"), F.col("user_id").cast("string").alias("entity"), F.when(~gone, F.col("event_type")).alias("version"), (F.lit(T0) + hour * HOUR).alias("t"), F.lit(None).cast("long").alias("until"))
     # a sync holds an entity once, at the sync's time
     syncs = own.filter("kind = 'sync'").groupBy("lane", "n", "kind", "entity").agg(F.max("o").alias("o"), F.max_by("version", "o").alias("version"))
     syncs = syncs.select("lane", "n", "o", "kind", "entity", "version", (F.lit(T0) + F.col("n") * HOUR).alias("t"), F.lit(None).cast("long").alias("until"))
@@ -185,7 +185,7 @@ def _lanes(spark, d):
     return own.filter("kind = 'delta'").unionByName(syncs).unionByName(gaps)
 
 
-@query(EV + f""", x AS (SELECT cluster AS lane, (s - {T0}) // {HOUR} AS n, event_id AS o, user_id::VARCHAR AS entity, event_type AS v, {T0} + (s - {T0}) // {HOUR} * {HOUR} + event_id % 600 AS t FROM ev),
+@query(EV + f""", x AS (SELECT cluster AS lane, (s - {T0}) // {HOUR} AS n, event_id AS o, user_id::VARCHAR AS entity, event_type AS v, {T0} + (s - {T0}) // {HOUR} * {HOUR} AS t FROM ev),
 r AS (SELECT lane, n, o, entity, CASE WHEN v <> 'error' THEN v END AS v, t FROM x WHERE n % 12 <> 0
   UNION ALL SELECT lane, n, max(o), entity, arg_max(v, o), {T0} + n * {HOUR} FROM x WHERE n % 12 = 0 GROUP BY lane, n, entity),
 sy AS (SELECT DISTINCT lane, n, {T0} + n * {HOUR} AS t FROM x WHERE n % 12 = 0),
