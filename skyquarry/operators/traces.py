@@ -156,6 +156,14 @@ def keyed_ref(content: Column, tenant: Column, day: Column, secret: str) -> Colu
 
 
 def score_means(scores: DataFrame, spans: DataFrame) -> DataFrame:
-    """(model, name, n, mean): scores by the models of their traces; a trace's model counts once."""
+    """(model, name, n, mean): scores by the models of their traces; a trace's model counts once.
+
+    Values are added as decimals, so a mean that lies between two roundings doesn't depend on the order of rows. Where a
+    value is beyond decimals (1e16, or no number), its group has the mean of doubles.
+    """
     models = spans.select("trace_id", "model").distinct()
-    return scores.join(models, "trace_id").groupBy("model", "name").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    exact = F.col("value").try_cast("decimal(28,12)")
+    whole = F.count("value") == F.count(exact)
+    mean = F.when(whole, F.try_divide(F.sum(exact), F.count(exact)).cast("decimal(38,12)")).alias("exact")
+    means = scores.join(models, "trace_id").groupBy("model", "name").agg(F.count("*").alias("n"), mean, F.avg("value").alias("mean"))
+    return means.select("model", "name", "n", F.coalesce(F.round("exact", 6).cast("double"), F.round("mean", 6)).alias("mean"))

@@ -111,3 +111,12 @@ def test_exponential_and_summary_metrics(spark):
 def test_interpolated(spark, counts, want):
     got = spark.createDataFrame([(counts,)], "c array<long>").select(metrics.interpolated(F.col("c"), [1.0, 2.0], 0.5)).first()[0]
     assert got == want
+
+
+@pytest.mark.parametrize("values,want", [([0.7, 0.1, 0.775, 1.0] * 7 + [0.75, 0.75, 0.75, 3.175], 0.732813), ([0.0, 2.0], 1.0), ([None, None], None), ([None, 0.5], 0.5), ([1e300, 1.0], 5e299), ([float("inf"), 1.0], float("inf"))])
+def test_score_means_at_a_rounding(spark, values, want):
+    """Sums of tenths and fortieths over 32 that lie just between two roundings, in any order; nulls; more than decimals hold."""
+    spans = spark.createDataFrame([("t", "m"), ("t", "m")], "trace_id string, model string")
+    for order in (values, values[::-1], sorted(values, key=repr)):
+        rows = spark.createDataFrame([("t", "n", v) for v in order], "trace_id string, name string, value double").coalesce(1)
+        assert [tuple(r) for r in traces.score_means(rows, spans).collect()] == [("m", "n", len(values), want)]
