@@ -363,7 +363,7 @@ def copy_groups(one: DataFrame, texts: DataFrame) -> DataFrame:
     pairs = written(pairs.unionByName(many).distinct(), "copies-pairs")
     asked = pairs.select(F.col("a").alias("code_")).unionByName(pairs.select(F.col("b").alias("code_"))).distinct()
     asked = written(one.join(asked, "code_", "left_semi").select("code_", "uid_"), "copies-asked")
-    sets = limited_batches(join_small(texts, asked, "uid_", "inner", spread="uid_")).select("code_", _shingles("text").alias("s"))
+    sets = limited_batches(join_small(texts, asked, "uid_", "inner")).select("code_", _shingles("text").alias("s"))
     sets = written(sets, "copies-sets")
     found = written(_by_code(pairs, sets), "copies-links")
     large = met.filter(F.col("n") > SMALL).select("t", "k", "n", "code_", "fp")
@@ -398,7 +398,7 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     known = first.join(roots.withColumnRenamed("node", "code_"), "code_", "left").withColumn("root", F.coalesce("root", "code_"))
     stay = known.groupBy("root").agg(F.min("s").alias("s")).select(F.col("s.uid_").alias("uid_"))
     gone = rows.select("uid_").join(stay, "uid_", "left_anti")
-    return join_small(rows, written(gone, "copies-gone"), "uid_", "left_anti", spread="uid_").select("doc_.*")
+    return join_small(rows, written(gone, "copies-gone"), "uid_", "left_anti").select("doc_.*")
 
 
 def op6_simhash(spark, sf_dir):

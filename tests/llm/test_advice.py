@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from test_exact import found_in
 
 from skyquarry.llm import decontamination as D
-from skyquarry.llm import simhash
-from skyquarry.llm.common import table, word_bytes
+from skyquarry.llm import common, simhash
+from skyquarry.llm.common import table, word_bytes, written
 
 
 def brute_copies(rows):
@@ -90,3 +90,12 @@ def test_names_begin_sentences(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted((r["doc_id"], r["changed"]) for r in D.contaminated(docs, bench).collect()) == [(0, True), (2, True), (3, True)]
     assert sorted(r["doc_id"] for r in D.clean(docs, bench).collect()) == [1, 4]
+
+
+def test_large_sides_are_not_broadcast(spark, monkeypatch):
+    """Sides beyond BROADCAST_ROWS, of which Spark takes the files' size or leaves out the salts, are joined by shuffles."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
+    big, small = written(spark.range(100).withColumn("t", F.col("id").cast("string")), "test-big"), written(spark.range(0, 100, 3), "test-small")
+    for df, n in ((common.join_small(big, small, "id", "left_anti", spread="t"), 66), (common.join_small(big, small, "id", "inner"), 34), (common.join_hot(big, small, "id", "inner"), 34)):
+        assert df.count() == n and "SortMergeJoin" in (plan := df._jdf.queryExecution().toString())
+        assert "BroadcastHashJoin" not in plan or "hot-keys" in plan
