@@ -3,14 +3,17 @@ r"""Secret scans: base patterns, and a character convolutional network over ever
 A candidate is what base findings leave of a maximal run of [A-Za-z0-9+/_.=-]: each part of 12 or more characters with a
 letter that has a digit too, or a capital after a small letter, or LONG characters. The network sees it in windows of BODY
 characters with LEFT characters before and RIGHT after; a longer candidate has several windows and its largest score
-counts. It learns from labelled findings: base findings (secrets) and candidates (none), SAMPLE of each at most, the first
-by hash over all documents, with generated ones so that both kinds always exist. Half of the secrets get another's
-surroundings, so that the key word before a secret isn't all there is to learn. Scores are calibrated by a logistic fit on
-held-out findings. The threshold is the largest at which RECALL of held-out secrets is found, wherever that lies.
+counts. It learns from labelled findings: all different windows of base findings (secrets) and of candidates (none) of all
+documents, in groups of about GROUP by a hash. A first group trains a network, all others go on from it in tasks of their
+own, and the networks' mean, weighed by examples, is the model. Each group gets the generated findings too, so that both
+kinds always exist. Half of the secrets get another's surroundings, so that the key word before a secret isn't all there is
+to learn. Scores are calibrated by a logistic fit on a histogram of all held-out findings. The threshold is the largest, to
+a BIN of scores, at which RECALL of held-out secrets is found, wherever that lies.
 """
 
 from __future__ import annotations
 
+import copy
 import re
 import zlib
 
@@ -35,7 +38,9 @@ _LETTER, _DIGIT, _MIXED = re.compile("[A-Za-z]"), re.compile("[0-9]"), re.compil
 LEAST_VALUE, LEAST_ACCESS = 8, 16
 LEFT, BODY, RIGHT = 24, 64, 8
 LENGTH = LEFT + BODY + RIGHT
-SAMPLE, GENERATED = 3000, 600
+GROUP, GENERATED = 6000, 600
+#: Width of the histogram's bins of scores, and the score beyond which all are in the last one.
+BIN, FAR = 0.01, 100.0
 RECALL = 0.95
 EMBED, WIDTH, FILTERS, EPOCHS, BATCH = 8, 5, 24, 5, 64
 _SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-:\"'@ ,\n"
@@ -154,16 +159,24 @@ class Network:
         return np.concatenate([self.forward(x[i : i + 512])[0] for i in range(0, len(x), 512)]) if len(x) else np.zeros(0)
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Logistic fit of held-out labels on scores, then the threshold for RECALL."""
-        s, a, b = self.logits(x).astype(float), 1.0, 0.0
+        self.calibrate_scores(self.logits(x).astype(float), y, np.ones(len(x)))
+
+    def calibrate_scores(self, s: np.ndarray, y: np.ndarray, n: np.ndarray) -> None:
+        """Logistic fit of held-out labels on scores, each found n times, then the threshold for RECALL."""
+        a, b = 1.0, 0.0
+        mean = lambda v: (v * n).sum() / n.sum()
+        spread = mean((s - mean(s)) ** 2) ** 0.5
         # smoothed labels keep the fit finite where scores separate the labels
-        goal = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((y == 0).sum() + 2))
+        goal = np.where(y > 0, (n[y > 0].sum() + 1) / (n[y > 0].sum() + 2), 1 / (n[y == 0].sum() + 2))
         for _ in range(300):
             p = 1 / (1 + np.exp(-np.clip(a * s + b, -30, 30)))
-            a, b = a - 0.05 * ((p - goal) * s).mean() / (s.std() + 1e-6), b - 0.5 * (p - goal).mean()
+            a, b = a - 0.05 * mean((p - goal) * s) / (spread + 1e-6), b - 0.5 * mean(p - goal)
         self.scale = (a, b)
-        known = np.sort(self.probability(s[y > 0]))
-        self.threshold = float(known[int((1 - RECALL) * len(known))]) if len(known) else 0.5
+        known = self.probability(s[y > 0])
+        order = np.argsort(known, kind="stable")
+        upto = n[y > 0][order].cumsum()
+        at = np.searchsorted(upto, int((1 - RECALL) * upto[-1]), side="right") if len(upto) else 0
+        self.threshold = float(known[order][at]) if len(upto) else 0.5
 
     def probability(self, s: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale[0] * s + self.scale[1], -30, 30)))
@@ -216,9 +229,49 @@ def _generated(n: int) -> list[tuple[int, np.ndarray]]:
 
 
 def train(docs: DataFrame, text: str = "text") -> Network:
-    """Learn from findings in all documents; what reaches the driver is bounded by SAMPLE."""
+    """Learn from findings in all documents. The driver gets one network, its mean with others, and a histogram."""
+    spark = docs.sparkSession
     found = limited_batches(docs.select(F.col(text).alias("text"))).mapInPandas(_examples, "label int, window binary, chosen long")
-    rows = [(label, np.frombuffer(r["window"], np.uint8).astype(np.int16)) for label, of in _first(found) for r in of] + _generated(GENERATED)
+    found = written(found.dropDuplicates(["label", "window"]), "secret-examples")
+    groups = max(1, round(found.count() / GROUP))
+    # a row without a window for each group, so that none is empty
+    rows = found.withColumn("g", F.pmod(F.xxhash64("window"), F.lit(groups)))
+    rows = rows.unionByName(spark.range(groups).select(F.lit(-1).alias("label"), F.lit(b"").alias("window"), F.lit(0).cast("long").alias("chosen"), F.col("id").alias("g")))
+    rows = written(rows.repartition(min(groups, 4096), "g"), "secret-groups")
+
+    def trained(net):
+        def one(df: pd.DataFrame) -> pd.DataFrame:
+            own, (x, y, held) = copy.deepcopy(net.value), _prepared(df)
+            own.fit(x[~held], y[~held])
+            n = float((~held).sum())
+            return pd.DataFrame({"piece": range(len(own.w)), "g": df["g"].iloc[0], "n": n, "v": [(w.astype(np.float64) * n).tobytes() for w in own.w]})
+
+        return one
+
+    def scores(net):
+        def one(df: pd.DataFrame) -> pd.DataFrame:
+            x, y, held = _prepared(df)
+            s = np.floor(np.clip(net.value.logits(x[held]), -FAR, FAR) / BIN).astype(np.int64)
+            return pd.DataFrame({"label": y[held].astype(int), "bin": s})
+
+        return one
+
+    kind, net = "piece int, g long, n double, v binary", Network()
+    spread = lambda df: df.repartition(min(groups, 4096), "g").groupBy("g")
+    first = written(spread(rows.filter("g = 0")).applyInPandas(trained(spark.sparkContext.broadcast(net)), kind), "secret-networks")
+    net.w = _mean(net, first)
+    if groups > 1:
+        more = spread(rows.filter("g > 0")).applyInPandas(trained(spark.sparkContext.broadcast(copy.deepcopy(net))), kind)
+        net.w = _mean(net, first.unionByName(written(more, "secret-networks")))
+    bins = spread(rows).applyInPandas(scores(spark.sparkContext.broadcast(copy.deepcopy(net))), "label int, bin long").groupBy("label", "bin").count().orderBy("label", "bin").collect()
+    net.calibrate_scores(np.array([r["bin"] * BIN for r in bins]), np.array([r["label"] for r in bins]), np.array([float(r["count"]) for r in bins]))
+    return net
+
+
+def _prepared(df: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A group's examples and the generated ones: windows, labels, and which are held out."""
+    df = df[df["label"] >= 0].sort_values(["label", "chosen", "window"], ascending=[False, True, True])
+    rows = [(k, np.frombuffer(w, np.uint8).astype(np.int16)) for k, w in zip(df["label"], df["window"])] + _generated(GENERATED)
     x, y = np.stack([r[1] for r in rows]), np.array([r[0] for r in rows], np.float32)
     held = np.array([zlib.crc32(r.tobytes()) % 5 == 0 for r in x])
     r = np.random.default_rng(3)
@@ -226,16 +279,18 @@ def train(docs: DataFrame, text: str = "text") -> Network:
     x = x.copy()
     away = np.flatnonzero((y > 0) & (r.random(len(y)) < 0.5))
     x[away, :LEFT] = x[r.choice(np.flatnonzero(y == 0), len(away)), :LEFT]
-    net = Network()
-    net.fit(x[~held], y[~held])
-    net.calibrate(x[held], y[held])
-    return net
+    return x, y, held
 
 
-def _first(found: DataFrame) -> list:
-    """The SAMPLE examples of each label with the smallest hashes."""
-    found = written(found.dropDuplicates(["label", "window"]), "secret-examples")
-    return [(k, found.filter(F.col("label") == k).orderBy("chosen", "window").limit(SAMPLE).collect()) for k in (1, 0)]
+def _mean(net: Network, networks: DataFrame) -> list[np.ndarray]:
+    """The mean of networks, piece by piece, in the order of their groups."""
+
+    def one(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values("g")
+        return pd.DataFrame({"piece": df["piece"].iloc[:1].tolist(), "v": [(sum(np.frombuffer(v, np.float64) for v in df["v"]) / df["n"].sum()).tobytes()]})
+
+    rows = networks.groupBy("piece").applyInPandas(one, "piece int, v binary").collect()
+    return [np.frombuffer(r["v"], np.float64).reshape(w.shape).astype(np.float32) for w, r in zip(net.w, sorted(rows, key=lambda r: r["piece"]))]
 
 
 SPANS = T.StructType([T.StructField("start", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("end", T.LongType())])

@@ -516,6 +516,42 @@ def test_keys_without_key_words(spark):
     assert len([i for i in found if i < 1000]) >= 0.85 * len(kinds) and len([i for i in found if i >= 1000]) <= 6
 
 
+def test_all_findings_are_learned_from(spark, monkeypatch):
+    """Every different finding is in one group, which trains or is held out, however many there are; reruns agree."""
+    monkeypatch.setattr(secrets, "GROUP", 700)
+    monkeypatch.setattr(secrets, "GENERATED", 20)
+    r = random.Random(3)
+    key = lambda k: "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=k))
+    df = spark.createDataFrame([(i, " and ".join(f"token={key(24)} host{j}.{key(9)}.example.org" for j in range(20))) for i in range(350)], "doc_id long, text string")
+    seen = {}
+    plain = secrets.written
+
+    def written(df, name):
+        seen.setdefault(name, []).append(plain(df, name))
+        return seen[name][-1]
+
+    monkeypatch.setattr(secrets, "written", written)
+    net = secrets.train(df)
+    found = seen["secret-groups"][0].filter("label >= 0")
+    assert found.filter("label = 1").count() == 7000 and found.filter("label = 0").count() > 6000 and found.groupBy("g").count().count() == round(found.count() / 700)
+    n = sum(x["n"] for of in seen["secret-networks"] for x in of.filter("piece = 0").collect())
+    assert 0.75 * found.count() < n < 0.85 * (found.count() + 40 * round(found.count() / 700))
+    again = secrets.train(df)
+    assert again.threshold == net.threshold and all(np.array_equal(a, b) for a, b in zip(net.w, again.w))
+
+
+def test_histogram_calibrates_like_scores():
+    r = np.random.default_rng(2)
+    y = (r.random(4000) < 0.4).astype(float)
+    s = np.round(np.where(y > 0, 2.0, -2.0) + r.normal(0, 1.5, 4000), 1)
+    values, n = np.unique(np.stack([y, s]), axis=1, return_counts=True)
+    a, b = secrets.Network(), secrets.Network()
+    a.calibrate_scores(s, y, np.ones(4000))
+    b.calibrate_scores(values[1], values[0], n.astype(float))
+    known = np.sort(a.probability(s[y > 0]))
+    assert np.allclose(a.scale, b.scale) and np.isclose(a.threshold, b.threshold) and a.threshold == known[int((1 - secrets.RECALL) * len(known))]
+
+
 def test_network_tells_secrets():
     """Held-out accuracy on generated findings."""
     rows = secrets._generated(700)
