@@ -8,9 +8,10 @@ are skipped. A bucket above TILE_ROWS is dealt out to pairs of its parts, so no
 reports a spanning forest of its links, never all pairs.
 
 near_duplicates() is the digest by 4-word shingles and RADIUS bits. deduplicated() finds near copies: texts that share
-SIMILARITY of their different COPY_SHINGLE-word shingles. Fingerprints of such texts differ in more bits than pigeonhole
-blocks can bound, so there buckets come from bands of minima of the shingles; inside them fingerprints are compared in the
-same tiles, within COPY_RADIUS bits, and pairs so linked are compared exactly by their shingles.
+SIMILARITY of their different COPY_SHINGLE-word shingles. All whose fingerprints are linked as above meet in a bucket, so no
+pair within RADIUS bits is missed. Fingerprints of many such texts differ in more bits than pigeonhole blocks can bound, so
+bands of minima of the shingles give further buckets; inside all of them fingerprints are compared in the same tiles, within
+COPY_RADIUS bits, and pairs so linked are compared exactly by their shingles.
 """
 
 from __future__ import annotations
@@ -237,7 +238,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
 #: Two texts are near copies where this share of all their different COPY_SHINGLE-word shingles is in both.
 COPY_SHINGLE, SIMILARITY = 5, 0.8
-#: Texts meet where all ROWS minima of one of BANDS bands agree: at a similarity of 0.8 all but 0.04 % of pairs do.
+#: Texts meet where their fingerprints are linked, and where all ROWS minima of one of BANDS bands agree: at a similarity of
+#: 0.8 all but 0.04 % of pairs do.
 BANDS, ROWS = 20, 5
 #: Bits in which fingerprints of near copies may differ. At a similarity of 0.8 they differ in 9.7 of 64 bits, with a
 #: deviation of 2.9: one pair in 8,000 is beyond.
@@ -348,12 +350,15 @@ def copy_groups(one: DataFrame, texts: DataFrame) -> DataFrame:
     """(code_, fp, bands_, uid_), codes different, and (uid_, text), written -> (node, root), written: the groups of near
     copies, as components() gives them.
 
-    Buckets of SMALL texts or fewer report all pairs within COPY_RADIUS bits, which are compared exactly. In a larger one
-    each text is first compared with a drawn one, another in each band, so that a group of copies is linked by as many
-    links as it has texts. Only buckets whose texts are then still in different groups are compared in full, in tiles,
-    parts of COPY_ROWS texts against one another: no pair that meets is left out.
+    A text is in a bucket for the component of its fingerprint under links(), and in one for each band. Buckets of SMALL
+    texts or fewer report all pairs within COPY_RADIUS bits, which are compared exactly. In a larger one each text is first
+    compared with a drawn one, another in each band, so that a group of copies is linked by as many links as it has texts.
+    Only buckets whose texts are then still in different groups are compared in full, in tiles, parts of COPY_ROWS texts
+    against one another: no pair that meets is left out.
     """
-    keys = written(one.select("code_", "fp", F.posexplode("bands_").alias("t", "k")), "copies-keys")
+    linked = members(components(links(one.select("fp").distinct()))).withColumnRenamed("node", "fp")
+    linked = join_hot(one.select("code_", "fp"), linked, "fp").select("code_", "fp", F.lit(BANDS).alias("t"), F.coalesce("root", "fp").alias("k"))
+    keys = written(one.select("code_", "fp", F.posexplode("bands_").alias("t", "k")).unionByName(linked), "copies-keys")
     drawn = F.min(F.struct(F.xxhash64("code_", "t").alias("h"), "code_"))["code_"].alias("drawn")
     sizes = keys.groupBy("t", "k").agg(F.count("*").alias("n"), drawn).filter("n > 1")
     met = written(keys.join(sizes, ["t", "k"]), "copies-met")

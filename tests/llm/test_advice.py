@@ -92,6 +92,20 @@ def test_names_begin_sentences(spark):
     assert sorted(r["doc_id"] for r in D.clean(docs, bench).collect()) == [1, 4]
 
 
+def test_linked_fingerprints_meet(spark):
+    """Copies whose fingerprints differ by a few bits meet though no band agrees; texts that only share a fingerprint stay."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join([*words[:-1], "changed"]), " ".join(["changed", *words[1:]]), " ".join(f"v{i}" for i in range(400))]
+    sets = [simhash.shingle_set(t) for t in texts]
+    fps = [simhash.majority(s) for s in sets]
+    assert len(set(fps[:3])) > 1 and all((a ^ fps[0]).bit_count() <= simhash.RADIUS for a in fps[:3])
+    fps[3] = fps[0]
+    rows = [(i, simhash._signed(fps[i]), [100 * i + j for j in range(simhash.BANDS)], i, t) for i, t in enumerate(texts)]
+    one = written(spark.createDataFrame(rows, "code_ long, fp long, bands_ array<long>, uid_ long, text string"), "test-one")
+    got = simhash.copy_groups(one.drop("text"), one.select("uid_", "text")).collect()
+    assert sorted(map(tuple, got)) == [(1, 0), (2, 0)]
+
+
 def test_large_sides_are_not_broadcast(spark, monkeypatch):
     """Sides beyond BROADCAST_ROWS, of which Spark takes the files' size or leaves out the salts, are joined by shuffles."""
     monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
