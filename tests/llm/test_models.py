@@ -335,6 +335,18 @@ def test_every_token_is_learned_from(monkeypatch):
     assert seen == Counter(np.concatenate(docs).tolist())
 
 
+def test_partitions_without_words(spark, monkeypatch):
+    """Partitions without rows, and those whose last words have just been passed on, are counted like any other."""
+    rows = [(i, f"some words w{i}", None, None, 0) for i in range(20)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(7, "doc_id").filter("doc_id < 5").withColumn("held", F.lit(False))
+    assert {r["word"]: r["c"] for r in gru_lm.word_counts(df.select("text", "held")).collect()} == {"": 5, "some": 5, "words": 5} | {f"w{i}": 1 for i in range(5)}
+    import pandas as pd
+
+    monkeypatch.setattr(gru_lm, "FLUSH", 1)
+    out = list(gru_lm._count(iter([pd.DataFrame({"text": [b"a b"], "held": [False]})] * 2)))
+    assert len(out) == 2 and all(len(x) == 3 for x in out)
+
+
 def test_networks_are_averaged():
     nets = [gru_lm.Gru(np.array([9, 8, 7] + [1] * gru_lm.OTHERS), seed) for seed in (1, 2, 3)]
     n = [10.0, 30.0, 60.0]
