@@ -7,9 +7,9 @@ factored: P(token) = P(class | state) P(token | class, state). Tokens in order o
 about equal sums of roots of counts; logarithms of corpus counts are the fixed part of both factors, to which the network
 adds what it learned from the state.
 
-A gated recurrent unit of STATE numbers is trained by truncated backpropagation in numpy. What it is trained on grows with
-the corpus: TRAIN_TOKENS and one in TRAIN_SHARE of the other tokens, in documents chosen by hash of id and text. They fall
-into groups of about GROUP_TOKENS. The first group trains a network for EPOCHS; every other group goes on from it in a task
+A gated recurrent unit of STATE numbers is trained by truncated backpropagation in numpy, on all training documents
+(TRAIN_SHARE is 1; beyond TRAIN_TOKENS it can be one in more). They fall into groups of about GROUP_TOKENS by hash of id and
+text. The first group trains a network for EPOCHS; every other group goes on from it in a task
 of its own, once over its documents, and the networks' mean, weighed by tokens, is the model. Gradients stop where a window
 begins, but the state is carried from window to window, in training and in scoring, and is zero where a document begins
 (in training also where a document that is longer than a stream is cut). So a document's score is the log10 likelihood of
@@ -31,13 +31,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, limited_batches, ship, table, with_uid, written
+from .common import crc_mod, drop_written, limited_batches, n_written, ship, table, with_uid, written
 
 ship(__name__)
 
 HELD, HELD_IS = 7, 2
 VOCABULARY, CLASSES, OTHERS, STATE, KNOWN = 4000, 64, 64, 24, 500_000
-TRAIN_TOKENS, TRAIN_SHARE, GROUP_TOKENS = 600_000, 8, 600_000
+TRAIN_TOKENS, TRAIN_SHARE, GROUP_TOKENS = 600_000, 1, 600_000
 EPOCHS, STREAMS, WINDOW, STEP = 2, 48, 32, 0.006
 #: For the groups after the first: streams, and the first step of a smaller course.
 MORE_STREAMS, MORE_STEP = 128, 0.004
@@ -180,21 +180,34 @@ class Gru:
             new[np.cumsum([0, *map(len, s[:-1])]), j] = True
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
+        grads, spare = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.empty_like(x) for k, x in self.p.items()}
         t, windows = 0, range(0, int(lengths[0]), WINDOW)
         for _ in range(epochs):
             h = np.zeros((len(streams), STATE), np.float32)
             for i in windows:
                 t += 1
                 k = int((lengths > i).sum())
-                grads = {k: np.zeros_like(x) for k, x in self.p.items()}
+                for g in grads.values():
+                    g.fill(0)
                 here = np.arange(i, min(i + WINDOW, lengths[0]))[:, None] < lengths[:k]
                 h = self._window(ids[i : i + WINDOW, :k], new[i : i + WINDOW, :k], h[:k], grads, here)
                 rate = step * (1 - 0.9 * (t - 1) / (epochs * len(windows)))
-                for k, g in grads.items():
-                    g /= here.sum()
-                    m[k] += 0.1 * (g - m[k])
-                    v[k] += 0.01 * (g * g - v[k])
-                    self.p[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-7)
+                for k, g in grads.items():  # in place, as there are many more numbers than tokens in a window
+                    a = spare[k]
+                    g *= np.float32(1 / here.sum())
+                    np.subtract(g, m[k], out=a)
+                    a *= np.float32(0.1)
+                    m[k] += a
+                    np.multiply(g, g, out=a)
+                    a -= v[k]
+                    a *= np.float32(0.01)
+                    v[k] += a
+                    np.multiply(v[k], np.float32(1 / (1 - 0.99**t)), out=a)
+                    np.sqrt(a, out=a)
+                    a += np.float32(1e-7)
+                    np.divide(m[k], a, out=a)
+                    a *= np.float32(rate / (1 - 0.9**t))
+                    self.p[k] -= a
 
     def _window(self, ids, new, h, grads, here=None):
         """here: which places hold a token; others, after a stream's end, add nothing."""
@@ -437,24 +450,26 @@ def fitted(train: DataFrame, counts: DataFrame) -> tuple[Scorer, DataFrame]:
 def learned(train: DataFrame, scorer: Scorer) -> None:
     """Train the scorer's network on groups of documents in executors; the driver sees one network's numbers at a time.
 
-    Rows alike in id and text count once in a partition. The outcome depends on how the corpus is cut into files, by
-    rounding only where no rows are alike.
+    Rows alike in id and text are learned from as often as they are there, the repeats of a partition in other groups. The
+    outcome depends on how the corpus is cut into files, by rounding only where no rows are alike.
     """
-    spark = train.sparkSession
+    spark, since = train.sparkSession, n_written()
     wanted = min(scorer.n, TRAIN_TOKENS) + max(0, scorer.n - TRAIN_TOKENS) / TRAIN_SHARE
     groups = max(1, round(wanted / GROUP_TOKENS))
     sent = spark.sparkContext.broadcast(scorer)
 
     def tokens(batches):
-        seen = set()
+        seen: dict[int, int] = {}
         for df in batches:
-            df = df[~df["h"].isin(seen)].drop_duplicates("h")
-            seen.update(df["h"].tolist())
+            to = []
+            for h in df["h"].tolist():
+                k = seen[h] = seen.get(h, -1) + 1
+                to.append(zlib.crc32(b"%d %d" % (h, k)) % groups)
             ids = [sent.value.ids(*sent.value.places(t))[0].astype(np.int32).tobytes() for t in df["text"]]
-            yield pd.DataFrame({"g": df["g"], "h": df["h"], "ids": ids})
+            yield pd.DataFrame({"g": to, "h": df["h"], "ids": ids})
 
     rows = train.select(F.xxhash64("doc_id", "text").alias("h"), "text").filter(F.pmod("h", F.lit(1_000_000)) < F.lit(1_000_000 * wanted / max(scorer.n, 1)))
-    rows = limited_batches(rows.select(F.pmod(F.xxhash64("h"), F.lit(groups)).cast("int").alias("g"), "h", "text"))
+    rows = limited_batches(rows)
     rows = written(rows.mapInPandas(tokens, "g int, h long, ids binary"), "lm-train")
 
     def trained(net, epochs, streams, step):
@@ -476,6 +491,7 @@ def learned(train: DataFrame, scorer: Scorer) -> None:
         more = written(more, "lm-networks")
         sums = more.coalesce(64).mapInPandas(_summed, kind).repartition(PIECES, "piece").mapInPandas(_summed, kind)
         net.set_pieces([*first, *sums.collect()])
+    drop_written(spark, since)  # the tokens and the networks are as large as the texts
 
 
 def _summed(batches):

@@ -347,6 +347,25 @@ def test_partitions_without_words(spark, monkeypatch):
     assert len(out) == 2 and all(len(x) == 3 for x in out)
 
 
+def test_all_tokens_train_the_model(spark, monkeypatch):
+    """By the module's own numbers every token of every training row is in a group, those of repeated rows as often."""
+    monkeypatch.setattr(gru_lm, "TRAIN_TOKENS", 400)
+    monkeypatch.setattr(gru_lm, "GROUP_TOKENS", 300)
+    rows = [(i, " ".join(f"w{(i + j) % 40}" for j in range(30)), None, None, 0) for i in range(100)] + [(5, "the same text", None, None, 0)] * 40 + [(None, None, None, None, 0)]
+    got = []
+    plain = gru_lm.written
+
+    def written(df, name):
+        out = plain(df, name)
+        if name == "lm-train":
+            got.append((out.select(F.sum(F.length("ids") / 4)).first()[0], out.groupBy("g").agg(F.sum(F.length("ids") / 4).alias("n")).agg(F.max("n")).first()[0]))
+        return out
+
+    monkeypatch.setattr(gru_lm, "written", written)
+    n = gru_lm.scored(spark.createDataFrame(rows, SCHEMA)).first()["train_tokens"]
+    assert n > 2000 and got[0][0] == n and got[0][1] < n / 2
+
+
 def test_networks_are_averaged():
     nets = [gru_lm.Gru(np.array([9, 8, 7] + [1] * gru_lm.OTHERS), seed) for seed in (1, 2, 3)]
     n = [10.0, 30.0, 60.0]
