@@ -25,9 +25,12 @@ import copy
 import heapq
 import math
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,37 +44,55 @@ TRAIN_TOKENS, TRAIN_SHARE, GROUP_TOKENS = 600_000, 1, 600_000
 EPOCHS, STREAMS, WINDOW, STEP = 2, 48, 32, 0.006
 #: For the groups after the first: streams, and the first step of a smaller course.
 MORE_STREAMS, MORE_STEP = 128, 0.004
+#: Numbers that a step of Adam changes at a time, so that all it needs of them stays in a core's cache.
+BLOCK = 16_384
 #: Pieces in which networks are summed.
 PIECES = 16
-SCORE_STREAMS, SCORE_WINDOW = 512, 32
+SCORE_STREAMS, SCORE_WINDOW, SCORE_ROWS = 512, 32, 2048
 #: Different words that a task holds while it counts.
 FLUSH = 400_000
 END = b""
 LN10 = math.log(10)
 
 
-def _count(batches):
-    """Counts of the words in a partition, in training documents and in held-out ones, in pieces of FLUSH different words."""
-    from collections import Counter
+def split(texts: pa.Array) -> pa.ListArray:
+    """The words of texts (binary; null: none), A-Z lower-cased, cut at just the six ASCII spaces, each text's end after them."""
+    texts = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, b"").view(pa.string())))
+    # a space at the end cuts off one more word, which is empty as END is
+    return pc.ascii_split_whitespace(pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(texts, "", " ")))
+
 
-    counts: tuple[Counter, Counter] = Counter(), Counter()
+def different(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Different words, and which of them each word is."""
+    coded = words.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy()
 
-    def out():
-        words = list(counts[0] | counts[1])
-        df = pd.DataFrame({"word": [w.decode("utf-8", "surrogatepass") for w in words], "c": [counts[0][w] for w in words], "held": [counts[1][w] for w in words]})
-        for n in counts:
-            n.clear()
-        return df
 
+def _count(batches):
+    """Counts of the words in a partition, in training documents and in held-out ones, in pieces of about FLUSH different words."""
+    words, counts = pa.array([], pa.string()), np.zeros((2, 0), np.int64)
     for df in batches:
-        for text, held in zip(df["text"], df["held"]):
-            n = counts[held]
-            n.update(text.lower().split() if text else ())
-            n[END] += 1
-        if sum(map(len, counts)) > FLUSH:
-            yield out()
-    if any(counts):  # a frame without rows has no column of strings, which Arrow refuses
-        yield out()
+        lists = split(pa.array(df["text"], pa.binary()))
+        held = np.repeat(np.asarray(df["held"], bool), np.diff(lists.offsets.to_numpy()))
+        own, which = different(lists.values)
+        here = np.bincount(which, minlength=len(own)), np.bincount(which[held], minlength=len(own))
+        # together with what is counted so far
+        words, which = different(pa.concat_arrays([words, own]))
+        both = np.concatenate([counts, [here[0] - here[1], here[1]]], axis=1)
+        counts = np.zeros((2, len(words)), np.int64)
+        for n, add in zip(counts, both):
+            np.add.at(n, which, add)
+        if len(words) > FLUSH:
+            yield pa.RecordBatch.from_arrays([words, *map(pa.array, counts)], ["word", "c", "held"])
+            words, counts = words[:0], counts[:, :0]
+    if len(words):
+        yield pa.RecordBatch.from_arrays([words, *map(pa.array, counts)], ["word", "c", "held"])
+
+
+def _keep_memory() -> None:
+    """Freed arrays stay with the process: the C library's bound for handing memory back at once follows the largest block
+    that was freed, up to 32 MB, and small windows otherwise get, and clear, the same pages again and again."""
+    np.empty(31 << 20, np.uint8)
 
 
 def _sigmoid(x):
@@ -91,7 +112,12 @@ class Gru:
         self.first = np.r_[np.flatnonzero(np.r_[True, np.diff(self.cls) > 0]), n]
         log = np.log(np.maximum(counts, 1).astype(np.float64))
         self.log_word = log.astype(np.float32)
-        self.log_class = np.log(np.add.reduceat(np.maximum(counts, 1), self.first[:-1]).astype(np.float64)).astype(np.float32)
+        sums = np.log(np.add.reduceat(np.maximum(counts, 1), self.first[:-1]).astype(np.float64))
+        self.log_class = sums.astype(np.float32)
+        # as shares, whose exponentials need no maximum
+        self.share_class = (sums - np.log(np.exp(sums).sum())).astype(np.float32)
+        self.share_word = (log - np.repeat(sums, np.diff(self.first))).astype(np.float32)
+        self.alone = self.first[:-1][np.diff(self.first) < 2]
         scale = STATE**-0.5
         self.p = {"x": r.normal(0, 0.3, (n, 3 * STATE)), "h": r.normal(0, scale, (STATE, 3 * STATE)), "b": np.zeros(3 * STATE), "c": r.normal(0, 0.1, (STATE, len(kinds))), "cb": np.zeros(len(kinds)), "w": r.normal(0, 0.1, (n, STATE)), "wb": np.zeros(n)}
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
@@ -113,33 +139,22 @@ class Gru:
             self.p[k] = flat[at : at + x.size].reshape(x.shape).astype(np.float32)
             at += x.size
 
-    def step(self, ids: np.ndarray, h: np.ndarray, keep: bool = False):
+    def step(self, ids: np.ndarray, h: np.ndarray) -> np.ndarray:
         """State after a token: z keeps the old state, r gates what is proposed from it."""
         s = STATE
         gx = self.p["x"][ids] + self.p["b"]
         gh = h @ self.p["h"][:, : 2 * s]
         zr = _sigmoid(gx[:, : 2 * s] + gh)
         z, r = zr[:, :s], zr[:, s:]
-        rh = r * h
-        n = np.tanh(gx[:, 2 * s :] + rh @ self.p["h"][:, 2 * s :])
-        out = n + z * (h - n)
-        return (out, (ids, h, z, r, rh, n)) if keep else out
+        n = np.tanh(gx[:, 2 * s :] + (r * h) @ self.p["h"][:, 2 * s :])
+        return n + z * (h - n)
 
-    def output(self, states: np.ndarray, ids: np.ndarray, grads: dict | None = None):
-        """Natural log probabilities of the tokens after the states. grads: adds gradients, and returns those of states."""
+    def output(self, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Natural log probabilities of the tokens after the states."""
         n, cls = len(ids), self.cls[ids]
         a = states @ self.p["c"] + (self.p["cb"] + self.log_class)
         a -= a.max(axis=1, keepdims=True)
-        e = np.exp(a)
-        total = e.sum(axis=1)
-        out = a[np.arange(n), cls] - np.log(total)
-        ds = None
-        if grads is not None:
-            da = e / total[:, None]
-            da[np.arange(n), cls] -= 1
-            grads["c"] += states.T @ da
-            grads["cb"] += da.sum(axis=0)
-            ds = da @ self.p["c"].T
+        out = a[np.arange(n), cls] - np.log(np.exp(a).sum(axis=1))
         order = np.argsort(cls, kind="stable")
         edges = np.searchsorted(cls[order], np.arange(len(self.first)))
         for k in range(len(self.first) - 1):
@@ -147,19 +162,65 @@ class Gru:
             rows = order[edges[k] : edges[k + 1]]
             if f - b < 2 or not len(rows):
                 continue
-            s, at = states[rows], ids[rows] - b
-            w = s @ self.p["w"][b:f].T + (self.p["wb"][b:f] + self.log_word[b:f])
+            w = states[rows] @ self.p["w"][b:f].T + (self.p["wb"][b:f] + self.log_word[b:f])
             w -= w.max(axis=1, keepdims=True)
-            e = np.exp(w)
-            total = e.sum(axis=1)
-            out[rows] += w[np.arange(len(rows)), at] - np.log(total)
-            if grads is not None:
-                dw = e / total[:, None]
-                dw[np.arange(len(rows)), at] -= 1
-                grads["w"][b:f] += dw.T @ s
-                grads["wb"][b:f] += dw.sum(axis=0)
-                ds[rows] += dw @ self.p["w"][b:f]
-        return out if grads is None else (out, ds)
+            out[rows] += w[np.arange(len(rows)), ids[rows] - b] - np.log(np.exp(w).sum(axis=1))
+        return out
+
+    def calm(self) -> bool:
+        """Are exponentials of what was learned, added to log shares, far from the ends of single precision?"""
+        p = self.p
+        return max(np.abs(p["w"]).sum(axis=1).max() + np.abs(p["wb"]).max(), np.abs(p["c"]).sum(axis=0).max() + np.abs(p["cb"]).max()) < 60
+
+    def _output_grads(self, states: np.ndarray, ids: np.ndarray, grads: dict) -> np.ndarray:
+        """Adds the gradients of the loss of tokens after states, which end in a one; returns those of the states.
+
+        ids rise, so every class and every token is one run of rows. An output's gradient is its probability, less one for
+        the token itself: probabilities stay undivided, the narrower sides of products are divided in their place.
+        """
+        s, p, calm = STATE, self.p, self.calm()
+        runs = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        sums, tokens = np.add.reduceat(states, runs, axis=0), ids[runs]
+        edges = np.searchsorted(ids, self.first).tolist()
+        c = np.concatenate([p["c"], (p["cb"] + self.share_class)[None]])
+        e = states @ c
+        if not calm:
+            e -= e.max(axis=1, keepdims=True)
+        np.exp(e, out=e)
+        by = (1 / (e @ np.ones(e.shape[1], e.dtype)))[:, None]
+        gc = (states * by).T @ e
+        ds = e @ c[:s].T
+        ds *= by
+        cls = self.cls[tokens]
+        begins = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]])
+        gc[:, cls[begins]] -= np.add.reduceat(sums, begins, axis=0).T
+        grads["c"] += gc[:s]
+        grads["cb"] += gc[s]
+        w = np.concatenate([p["w"], (p["wb"] + self.share_word)[:, None]], axis=1)
+        gw = np.zeros_like(w)
+        ones = np.ones(np.diff(self.first).max(), w.dtype)
+        for b, f, begin, end in zip(self.first.tolist(), self.first[1:].tolist(), edges, edges[1:]):
+            if f - b < 2 or begin == end:
+                continue
+            here, own = states[begin:end], w[b:f]
+            e = here @ own.T
+            if not calm:
+                e -= e.max(axis=1, keepdims=True)
+            np.exp(e, out=e)
+            by = (1 / (e @ ones[: f - b]))[:, None]
+            np.matmul(e.T, here * by, out=gw[b:f])
+            d = e @ own[:, :s]
+            d *= by
+            ds[begin:end] += d
+        gw[tokens] -= sums
+        gw[self.alone] = 0  # the only token of a class is sure
+        grads["w"] += gw[:, :s]
+        grads["wb"] += gw[:, s]
+        own = p["w"].copy()
+        own[self.alone] = 0
+        c = p["c"].T
+        ds -= np.repeat(own[tokens] + c[cls], np.diff(np.r_[runs, len(ids)]), axis=0)
+        return ds
 
     def train(self, docs: list[np.ndarray], epochs: int = EPOCHS, most: int = STREAMS, step: float = STEP) -> None:
         """Truncated backpropagation: gradients stop at the beginning of a window, states go on. Adam.
@@ -178,68 +239,108 @@ class Gru:
         for j, s in enumerate(streams):
             ids[: lengths[j], j] = np.concatenate(s)
             new[np.cumsum([0, *map(len, s[:-1])]), j] = True
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v = {k: np.zeros_like(x) for k, x in self.p.items()}
-        grads, spare = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.empty_like(x) for k, x in self.p.items()}
+        _keep_memory()
+        flat = np.concatenate([x.ravel() for x in self.p.values()])
+        m, v, g = np.zeros_like(flat), np.zeros_like(flat), np.zeros_like(flat)
+        self.p, grads = self._views(flat), self._views(g)
+        spare = np.empty(BLOCK, flat.dtype)
         t, windows = 0, range(0, int(lengths[0]), WINDOW)
         for _ in range(epochs):
             h = np.zeros((len(streams), STATE), np.float32)
             for i in windows:
                 t += 1
                 k = int((lengths > i).sum())
-                for g in grads.values():
-                    g.fill(0)
                 here = np.arange(i, min(i + WINDOW, lengths[0]))[:, None] < lengths[:k]
                 h = self._window(ids[i : i + WINDOW, :k], new[i : i + WINDOW, :k], h[:k], grads, here)
                 rate = step * (1 - 0.9 * (t - 1) / (epochs * len(windows)))
-                for k, g in grads.items():  # in place, as there are many more numbers than tokens in a window
-                    a = spare[k]
-                    g *= np.float32(1 / here.sum())
-                    np.subtract(g, m[k], out=a)
-                    a *= np.float32(0.1)
-                    m[k] += a
-                    np.multiply(g, g, out=a)
-                    a -= v[k]
-                    a *= np.float32(0.01)
-                    v[k] += a
-                    np.multiply(v[k], np.float32(1 / (1 - 0.99**t)), out=a)
-                    np.sqrt(a, out=a)
-                    a += np.float32(1e-7)
-                    np.divide(m[k], a, out=a)
-                    a *= np.float32(rate / (1 - 0.9**t))
-                    self.p[k] -= a
+                # m and v are ten and a hundred times the means, up to the factors that undo it here
+                share, root = np.float32(1 / here.sum()), math.sqrt(0.01 / (1 - 0.99**t))
+                factor, least = np.float32(rate * 0.1 / (1 - 0.9**t) / root), np.float32(1e-7 / root)
+                for at in range(0, len(flat), BLOCK):  # in place and in blocks, as there are many more numbers than tokens in a window
+                    own = slice(at, at + BLOCK)
+                    gb, mb, vb = g[own], m[own], v[own]
+                    a = spare[: len(gb)]
+                    gb *= share
+                    mb *= np.float32(0.9)
+                    mb += gb
+                    gb *= gb
+                    vb *= np.float32(0.99)
+                    vb += gb
+                    np.sqrt(vb, out=a)
+                    a += least
+                    np.divide(mb, a, out=a)
+                    a *= factor
+                    flat[own] -= a
+                    gb.fill(0)
+
+    def _views(self, flat: np.ndarray) -> dict:
+        """The arrays of the network as parts of one."""
+        at = np.cumsum([0, *(x.size for x in self.p.values())]).tolist()
+        return {k: flat[b:e].reshape(x.shape) for (k, x), b, e in zip(self.p.items(), at, at[1:])}
 
     def _window(self, ids, new, h, grads, here=None):
         """here: which places hold a token; others, after a stream's end, add nothing."""
-        s, states, kept = STATE, [], []
-        for x, begins in zip(ids, new):
-            h = np.where(begins[:, None], np.float32(0), h)
-            states.append(h)
-            h, k = self.step(x, h, keep=True)
-            kept.append(k)
+        s, p, (n_steps, n) = STATE, self.p, ids.shape
+        kind = p["x"].dtype
+        gx = p["x"][ids]
+        gx += p["b"]
+        gx[..., : 2 * s] *= 0.5  # a sigmoid is half of a tanh of half, and a half
+        zr_w, n_w = p["h"][:, : 2 * s] * kind.type(0.5), np.ascontiguousarray(p["h"][:, 2 * s :])
+        # states with a one at their end; states, gates, gated states, proposals
+        states, (old, z, r, rh, prop) = np.ones((n_steps, n, s + 1), kind), np.empty((5, n_steps, n, s), kind)
+        begins = new.any(axis=1).tolist()
+        h = h.astype(kind)
+        for t in range(n_steps):
+            if begins[t]:
+                h[new[t]] = 0
+            old[t] = h
+            a = h @ zr_w
+            a += gx[t, :, : 2 * s]
+            np.tanh(a, out=a)
+            a *= 0.5
+            a += 0.5
+            z[t], r[t] = a[:, :s], a[:, s:]
+            b = np.multiply(r[t], h, out=rh[t]) @ n_w
+            b += gx[t, :, 2 * s :]
+            np.tanh(b, out=prop[t])
+            h -= prop[t]
+            h *= z[t]
+            h += prop[t]
+        states[..., :s] = old
         at = np.arange(ids.size) if here is None else np.flatnonzero(here.ravel())
-        ds = np.zeros((ids.size, s), h.dtype)
-        ds[at] = self.output(np.concatenate(states)[at], ids.ravel()[at], grads)[1]
-        ds = ds.reshape(len(ids), -1, s)
-        dh, into = np.zeros_like(h), []
-        for t in range(len(ids) - 1, -1, -1):
-            x, old, z, r, rh, n = kept[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (old - n) * z * (1 - z)
-            drh = dn @ self.p["h"][:, 2 * s :].T
-            dr = drh * old * r * (1 - r)
-            dg = np.concatenate([dz, dr, dn], axis=1)
-            into.append(dg)
-            grads["h"][:, : 2 * s] += old.T @ dg[:, : 2 * s]
-            grads["h"][:, 2 * s :] += rh.T @ dn
-            dh = dh * z + drh * r + dg[:, : 2 * s] @ self.p["h"][:, : 2 * s].T + ds[t]
-            dh[new[t]] = 0  # a document's first state is a constant
+        x = ids.ravel()[at]
+        order = rising(x, len(p["x"]))
+        x, order, flat = x[order], at[order], states.reshape(-1, s + 1)
+        ds = np.zeros((ids.size, s), kind)
+        ds[order] = self._output_grads(flat[order], x, grads)
+        ds = ds.reshape(n_steps, n, s)
+        by_n, by_z, by_r = 1 - prop * prop, old - prop, old * r
+        by_n *= 1 - z
+        by_z *= z
+        by_z *= 1 - z
+        by_r *= 1 - r
+        dg, dh = np.empty((n_steps, n, 3 * s), kind), np.zeros((n, s), kind)
+        zr_w, n_w = np.ascontiguousarray(p["h"][:, : 2 * s].T), np.ascontiguousarray(n_w.T)
+        for t in range(n_steps - 1, -1, -1):
+            d = dg[t]
+            np.multiply(dh, by_z[t], out=d[:, :s])
+            drh = np.multiply(dh, by_n[t], out=d[:, 2 * s :]) @ n_w
+            np.multiply(drh, by_r[t], out=d[:, s : 2 * s])
+            dh *= z[t]
+            drh *= r[t]
+            dh += drh
+            dh += d[:, : 2 * s] @ zr_w
+            dh += ds[t]
+            if begins[t]:
+                dh[new[t]] = 0  # a document's first state is a constant
+        dg = dg.reshape(-1, 3 * s)
+        grads["h"][:, : 2 * s] += old.reshape(-1, s).T @ dg[:, : 2 * s]
+        grads["h"][:, 2 * s :] += rh.reshape(-1, s).T @ dg[:, 2 * s :]
         # one sum for each different token
-        dg, x = np.concatenate(into[::-1]), ids.ravel()
-        grads["b"] += dg.sum(axis=0)
-        order = np.argsort(x, kind="stable")
-        begin = np.flatnonzero(np.r_[True, np.diff(x[order]) > 0])
-        grads["x"][x[order[begin]]] += np.add.reduceat(dg[order], begin, axis=0)
+        begin = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+        sums = np.add.reduceat(dg[order], begin, axis=0)
+        grads["x"][x[begin]] += sums
+        grads["b"] += sums.sum(axis=0)
         return h
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
@@ -253,6 +354,7 @@ class Gru:
         which = np.repeat([i for own in owner for i in own], [len(docs[i]) for own in owner for i in own])
         lengths = np.array([sum(len(docs[i]) for i in own) for own in owner])
         begins = np.cumsum(lengths) - lengths
+        _keep_memory()
         s, ready = STATE, self.ready()
         table, zr_w, n_w = ready["table"], ready["zr"], ready["n"]
         h, last = np.zeros((len(owner), s), np.float32), np.full(len(owner), -1)
@@ -271,11 +373,17 @@ class Gru:
                 states[pos : pos + k, :s] = old
                 pos += k
                 g = table[x[t, :k]]
-                zr = np.tanh(g[:, : 2 * s] + old @ zr_w)
+                zr = old @ zr_w
+                zr += g[:, : 2 * s]
+                np.tanh(zr, out=zr)
                 zr += 1
                 zr *= 0.5
-                n = np.tanh(g[:, 2 * s :] + (zr[:, s:] * old) @ n_w)
-                h[:k] = n + zr[:, :s] * (old - n)
+                n = (zr[:, s:] * old) @ n_w
+                n += g[:, 2 * s :]
+                np.tanh(n, out=n)
+                old -= n
+                old *= zr[:, :s]
+                old += n
                 last[:k] = o[t, :k]
             total += np.bincount(o[here], self.log_p(states, x[here], ready), len(docs))
         return total
@@ -286,35 +394,39 @@ class Gru:
         s, p = STATE, self.p
         table = p["x"] + p["b"]
         table[:, : 2 * s] *= 0.5  # a sigmoid is half of a tanh of half, and a half
-        log_class = self.log_class - np.log(np.exp(self.log_class - self.log_class.max()).sum()) - self.log_class.max()
-        sums = np.log(np.add.reduceat(np.exp(self.log_word.astype(np.float64)), self.first[:-1]))
-        log_word = (self.log_word - np.repeat(sums, np.diff(self.first))).astype(np.float32)
-        words = [np.ascontiguousarray(np.concatenate([p["w"][b:f], (p["wb"] + log_word)[b:f, None]], axis=1).T) for b, f in zip(self.first, self.first[1:])]
-        learned = max(np.abs(p["w"]).sum(axis=1).max() + np.abs(p["wb"]).max(), np.abs(p["c"]).sum(axis=0).max() + np.abs(p["cb"]).max())
-        return {"table": table, "zr": p["h"][:, : 2 * s] * np.float32(0.5), "n": np.ascontiguousarray(p["h"][:, 2 * s :]), "classes": np.concatenate([p["c"], (p["cb"] + log_class)[None]]).astype(np.float32), "words": words, "calm": learned < 60}
+        words = [np.ascontiguousarray(np.concatenate([p["w"][b:f], (p["wb"] + self.share_word)[b:f, None]], axis=1).T) for b, f in zip(self.first, self.first[1:])]
+        return {"table": table, "zr": p["h"][:, : 2 * s] * np.float32(0.5), "n": np.ascontiguousarray(p["h"][:, 2 * s :]), "classes": np.concatenate([p["c"], (p["cb"] + self.share_class)[None]]).astype(np.float32), "words": words, "ones": np.ones(len(self.cls), np.float32), "calm": self.calm()}
 
     def log_p(self, states: np.ndarray, ids: np.ndarray, ready: dict) -> np.ndarray:
         """output() without gradients; states end in a one."""
         if not ready["calm"]:
             return self.output(states[:, :-1], ids)
-        cls, n = self.cls[ids], len(ids)
-        a = states @ ready["classes"]
-        out = a[np.arange(n), cls].astype(np.float64)
-        np.exp(a, out=a)
-        total = a @ np.ones(a.shape[1], np.float32)
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(len(self.first)))
-        states, at, more, sums = states[order], (ids - self.first[cls])[order], np.zeros(n, np.float32), np.ones(n, np.float32)
-        for k, w in enumerate(ready["words"]):
-            begin, end = edges[k], edges[k + 1]
+        n, ones, rows = len(ids), ready["ones"], np.arange(len(ids))
+        order = rising(ids, len(self.cls))
+        states, ids = states[order], ids[order]
+        cls, edges = self.cls[ids], np.searchsorted(ids, self.first).tolist()
+        at, own, total, sums = ids - self.first[cls], np.zeros(n, np.float32), np.empty(n, np.float32), np.ones(n, np.float32)
+        for begin in range(0, n, SCORE_ROWS):  # what stays in a core's cache
+            here = slice(begin, begin + SCORE_ROWS)
+            a = states[here] @ ready["classes"]
+            own[here] = a[rows[: len(a)], cls[here]]
+            np.exp(a, out=a)
+            np.matmul(a, ones[: a.shape[1]], out=total[here])
+        for w, begin, end in zip(ready["words"], edges, edges[1:]):
             if w.shape[1] < 2 or begin == end:
                 continue
             a = states[begin:end] @ w
-            more[begin:end] = a[np.arange(end - begin), at[begin:end]]
+            own[begin:end] += a[rows[: end - begin], at[begin:end]]
             np.exp(a, out=a)
-            sums[begin:end] = a @ np.ones(a.shape[1], np.float32)
-        out[order] += more - np.log(sums)
-        return out - np.log(total)
+            np.matmul(a, ones[: a.shape[1]], out=sums[begin:end])
+        out = np.empty(n)
+        out[order] = own - np.log(total) - np.log(sums)
+        return out
+
+
+def rising(ids: np.ndarray, n: int) -> np.ndarray:
+    """The order of tokens below n; small numbers are sorted by their digits."""
+    return np.argsort(ids.astype(np.uint16) if n <= 2**16 else ids, kind="stable")
 
 
 def pack(docs: list[np.ndarray], streams: int, places: bool = False) -> list:
@@ -328,13 +440,6 @@ def pack(docs: list[np.ndarray], streams: int, places: bool = False) -> list:
     return out
 
 
-class Table(dict):
-    """word -> place in the order of counts; -1 for others."""
-
-    def __missing__(self, word):
-        return -1
-
-
 def group(word: bytes) -> int:
     return zlib.crc32(word.decode("utf-8", "surrogatepass")[-2:].encode("utf-8", "surrogatepass")) % OTHERS
 
@@ -350,7 +455,7 @@ class Scorer:
     """
 
     def __init__(self, known: list[tuple[bytes, int]], n: int, v: int, others: list[tuple[int, int]]):
-        self.place = Table((w, i) for i, (w, _) in enumerate(known))
+        self.place = {w: i for i, (w, _) in enumerate(known)}
         self.counted = np.array([c > 0 for _, c in known])
         self.n, self.v, self.own = n, v, min(VOCABULARY, len(known))
         c = np.array([c for _, c in known], np.int64)
@@ -362,65 +467,42 @@ class Scorer:
         self.base = np.log10((c + 1) / (n + v + 1))
         self.other = np.where(np.arange(len(c)) < self.own, 0.0, np.log10((c + 1) / self.shared[groups]))
         self.id = np.where(np.arange(len(c)) < self.own, np.arange(len(c)), self.own + groups)
-        self.ends = Ends(self.own)
         self.net = Gru(np.r_[c[: self.own], np.maximum(self.other_n, 1)])
 
-    def places(self, text: bytes | None) -> tuple[list[bytes], np.ndarray]:
-        """The words of a text, the end among them, and their places in the table."""
-        words = text.lower().split() if text else []  # of bytes: A-Z lower-cased, cut at just the six ASCII spaces
-        words.append(END)
-        return words, np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-
-    def ids(self, words: list[bytes], places: np.ndarray) -> tuple[np.ndarray, list[str]]:
-        """The network's tokens, and the words that the table lacks."""
-        out, at = self.id[places], np.flatnonzero(places < 0)
-        if not len(at):
-            return out, []
-        others = [words[i].decode("utf-8", "surrogatepass") for i in at.tolist()]
-        out[at] = [self.ends[w[-2:]] for w in others]
-        return out, others
-
-    def rows(self, texts) -> dict:
-        words, sizes = [], []
-        for text in texts:
-            own = text.lower().split() if text else []
-            words += own
-            words.append(END)
-            sizes.append(len(own) + 1)
-        places = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        ids, _ = self.ids(words, places)
-        of, n = np.repeat(np.arange(len(sizes)), sizes), len(sizes)
-        here = places >= 0
-        in_table = lambda values: np.bincount(of[here], values[places[here]], n)
-        others, times = [[] for _ in sizes], [[] for _ in sizes]
-        lacks: list[dict] = [{} for _ in sizes]
-        for i, d in zip(np.flatnonzero(~here).tolist(), of[~here].tolist()):
-            w = words[i]
-            lacks[d][w] = lacks[d].get(w, 0) + 1
-        for d, c in enumerate(lacks):
-            if c:
-                others[d], times[d] = [w.decode("utf-8", "surrogatepass") for w in c], list(c.values())
-        score = in_table(self.other) + self.net.score(np.split(ids, np.cumsum(sizes)[:-1])) / LN10
-        return {"n_tokens": sizes, "n_known": in_table(self.counted).astype(np.int64), "base": in_table(self.base), "score": score, "others": others, "times": times}
-
-
-class Ends(dict):
-    """Last characters of a word -> the network's token for such words."""
-
-    def __init__(self, first: int):
-        self.first = first
-
-    def __missing__(self, end: str) -> int:
-        if len(self) > 100_000:
-            self.clear()
-        got = self[end] = self.first + zlib.crc32(end.encode("utf-8", "surrogatepass")) % OTHERS
-        return got
+    def coded(self, texts: pa.Array) -> dict:
+        """Columns of a batch of texts: the network's tokens, sums over the table's words, and the words that the table lacks
+        with how often each document has them. Each different word is looked up once."""
+        lists = split(texts)
+        edges, n = lists.offsets.to_numpy(), len(texts)
+        words, which = different(lists.values)
+        sizes, of = np.diff(edges), np.repeat(np.arange(n), np.diff(edges))
+        listed = words.cast(pa.binary()).to_numpy(zero_copy_only=False)
+        places = np.fromiter(map(self.place.get, listed, repeat(-1)), np.int64, len(listed))
+        lacks = places < 0
+        ids = np.where(lacks, 0, self.id[places]).astype(np.int32)
+        ends, end = different(pc.utf8_slice_codeunits(words.filter(pa.array(lacks)), -2))
+        ids[lacks] = np.array([self.own + group(w) for w in ends.cast(pa.binary()).to_pylist()], np.int32)[end]
+        ids = ids[which]
+        in_table = lambda values: np.bincount(of, np.where(lacks, 0, values[places])[which], n)
+        at = lacks[which]
+        pairs, times = np.unique(of[at] * max(1, len(listed)) + which[at], return_counts=True)
+        doc, word = np.divmod(pairs, max(1, len(listed)))
+        return {
+            "ids": [ids[b:e].tobytes() for b, e in zip(edges.tolist(), edges[1:].tolist())], "n_tokens": pa.array(sizes.astype(np.int64)),
+            "n_known": pa.array(in_table(self.counted).astype(np.int64)), "base": pa.array(in_table(self.base)), "other": pa.array(in_table(self.other)),
+            "others": pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32()), words.take(pa.array(word))),
+            "times": pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32()), pa.array(times, pa.int32())),
+        }
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(text, held) -> (word, c, held): all words, by how often they are in training documents and in others; '' is the end."""
     rows = limited_batches(docs.select(F.col("text").cast("binary").alias("text"), "held"))
-    return rows.mapInPandas(_count, "word string, c long, held long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("held").alias("held"))
+
+    def part(batches):
+        yield from _count({"text": b.column("text"), "held": b.column("held").to_pylist()} for b in batches)
+
+    return rows.mapInArrow(part, "word string, c long, held long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("held").alias("held"))
 
 
 def often(c, n, held, n_held):
@@ -428,8 +510,8 @@ def often(c, n, held, n_held):
     return (c * KNOWN >= n) & (c > 0) | (held * KNOWN >= n_held) & (held > 0)
 
 
-def fitted(train: DataFrame, counts: DataFrame) -> tuple[Scorer, DataFrame]:
-    """The table of frequent words and the trained network, both of bounded size; and the counts of all other words."""
+def fitted(counts: DataFrame) -> tuple[Scorer, DataFrame]:
+    """The table of frequent words and a network, both of bounded size; and the counts of all other words."""
     known_here = F.count_if(F.col("c") > 0)
     ends = F.max(F.when(F.col("word") == "", F.col("c")))
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum("held"), F.lit(0)).alias("h"), known_here.alias("v"), ends.alias("ends")).first()
@@ -442,35 +524,49 @@ def fitted(train: DataFrame, counts: DataFrame) -> tuple[Scorer, DataFrame]:
     others = [by_group.get(g, (0, 0)) for g in range(OTHERS)]
     if (i := next(i for i, r in enumerate(known) if r[0] == END)) >= VOCABULARY:  # the end is always the network's own
         known.insert(VOCABULARY - 1, known.pop(i))
-    scorer = Scorer(known, total["n"], total["v"], others)
-    learned(train, scorer)
-    return scorer, rare
+    return Scorer(known, total["n"], total["v"], others), rare
 
 
-def learned(train: DataFrame, scorer: Scorer) -> None:
-    """Train the scorer's network on groups of documents in executors; the driver sees one network's numbers at a time.
+def tokens(docs: DataFrame, scorer: Scorer) -> tuple[DataFrame, int]:
+    """(doc_id, text as binary, held) -> every row's columns of Scorer.coded(), and how many groups there are to train on.
 
-    Rows alike in id and text are learned from as often as they are there, the repeats of a partition in other groups. The
-    outcome depends on how the corpus is cut into files, by rounding only where no rows are alike.
+    g is the group, of rows that are trained on; ids has their tokens, rest those of all other rows. Rows alike in id and
+    text are learned from as often as they are there, the repeats of a partition in other groups.
     """
-    spark, since = train.sparkSession, n_written()
     wanted = min(scorer.n, TRAIN_TOKENS) + max(0, scorer.n - TRAIN_TOKENS) / TRAIN_SHARE
     groups = max(1, round(wanted / GROUP_TOKENS))
-    sent = spark.sparkContext.broadcast(scorer)
+    sent = docs.sparkSession.sparkContext.broadcast(scorer)
 
-    def tokens(batches):
+    def part(batches):
         seen: dict[int, int] = {}
-        for df in batches:
-            to = []
-            for h in df["h"].tolist():
+        for b in batches:
+            to: list[int | None] = []
+            for h, learn in zip(b.column("h").to_pylist(), b.column("learn").to_pylist()):
+                if not learn:
+                    to.append(None)
+                    continue
                 k = seen[h] = seen.get(h, -1) + 1
                 to.append(zlib.crc32(b"%d %d" % (h, k)) % groups)
-            ids = [sent.value.ids(*sent.value.places(t))[0].astype(np.int32).tobytes() for t in df["text"]]
-            yield pd.DataFrame({"g": to, "h": df["h"], "ids": ids})
+            out = sent.value.coded(b.column("text"))
+            ids = out.pop("ids")
+            mine, rest = ([x if (g is None) == other else None for g, x in zip(to, ids)] for other in (False, True))
+            own = {"uid": b.column("uid"), "doc_id": b.column("doc_id"), "g": pa.array(to, pa.int32()), "h": b.column("h"), "ids": pa.array(mine, pa.binary()), "rest": pa.array(rest, pa.binary())}
+            yield pa.RecordBatch.from_pydict(own | out)
 
-    rows = train.select(F.xxhash64("doc_id", "text").alias("h"), "text").filter(F.pmod("h", F.lit(1_000_000)) < F.lit(1_000_000 * wanted / max(scorer.n, 1)))
-    rows = limited_batches(rows)
-    rows = written(rows.mapInPandas(tokens, "g int, h long, ids binary"), "lm-train")
+    h = F.xxhash64("doc_id", "text")
+    learn = ~F.col("held") & (F.pmod(h, F.lit(1_000_000)) < F.lit(1_000_000 * wanted / max(scorer.n, 1)))
+    rows = limited_batches(with_uid(docs.select("doc_id", "text", h.alias("h"), learn.alias("learn"))))
+    kind = f"uid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, g int, h long, ids binary, rest binary, n_tokens long, n_known long, base double, other double, others array<string>, times array<int>"
+    return written(rows.mapInArrow(part, kind), "lm-train"), groups
+
+
+def learned(rows: DataFrame, groups: int, scorer: Scorer) -> None:
+    """Train the scorer's network on groups of documents in executors; the driver sees one network's numbers at a time.
+
+    The outcome depends on how the corpus is cut into files, by rounding only where no rows are alike.
+    """
+    spark, since = rows.sparkSession, n_written()
+    rows = rows.select("g", "h", "ids")
 
     def trained(net, epochs, streams, step):
         def one(df: pd.DataFrame) -> pd.DataFrame:
@@ -491,7 +587,7 @@ def learned(train: DataFrame, scorer: Scorer) -> None:
         more = written(more, "lm-networks")
         sums = more.coalesce(64).mapInPandas(_summed, kind).repartition(PIECES, "piece").mapInPandas(_summed, kind)
         net.set_pieces([*first, *sums.collect()])
-    drop_written(spark, since)  # the tokens and the networks are as large as the texts
+    drop_written(spark, since)  # the networks are as large as the texts
 
 
 def _summed(batches):
@@ -517,23 +613,29 @@ def scored(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     counts = written(word_counts(rows.select("text", held.alias("held"))), "lm-counts")
     rows = rows.withColumn("text", F.col("text").cast("binary"))
-    scorer, rare = fitted(rows.filter(~held), counts)
-    sent = spark.sparkContext.broadcast(scorer)
+    scorer, rare = fitted(counts)
+    coded, groups = tokens(rows.withColumn("held", held), scorer)
+    if scorer.n:
+        learned(coded, groups, scorer)
+    sent = spark.sparkContext.broadcast(scorer.net)
 
     def part(batches):
-        for df in batches:
-            yield pd.DataFrame({"uid": df["uid"], "doc_id": df["doc_id"], **sent.value.rows(df["text"])})
-
-    kind = f"uid long, doc_id {docs.schema[key].dataType.simpleString()}, n_tokens long, n_known long, base double, score double, others array<string>, times array<int>"
-    done = written(limited_batches(with_uid(rows)).mapInPandas(part, kind), "lm-parts")
+        for b in batches:
+            by_net = sent.value.score([np.frombuffer(x, np.int32) for x in b.column("ids").to_pylist()]) / LN10
+            own = {k: b.column(k) for k in ("uid", "doc_id", "n_tokens", "n_known", "base")}
+            yield pa.RecordBatch.from_pydict(own | {"score": pa.array(b.column("other").to_numpy() + by_net)})
+
+    parts = limited_batches(coded.select("uid", "doc_id", "n_tokens", "n_known", "base", "other", F.coalesce("ids", "rest").alias("ids")))
+    kind = f"uid long, doc_id {docs.schema[key].dataType.simpleString()}, n_tokens long, n_known long, base double, score double"
+    done = written(parts.mapInArrow(part, kind), "lm-parts")
     n, v = scorer.n, scorer.v
     # one row for each different word of a document; no word here has more than 1/KNOWN of the tokens
-    words = done.select("uid", F.explode(F.arrays_zip("others", "times")).alias("w")).select("uid", F.col("w.others").alias("word"), F.col("w.times").alias("m"))
-    words = words.join(rare, "word", "left")
+    words = coded.select("uid", F.explode(F.arrays_zip("others", "times")).alias("w")).select("uid", F.col("w.others").alias("word"), F.col("w.times").alias("m"))
+    words = words.join(rare.hint("shuffle_hash"), "word", "left")
     c, m = F.coalesce("c", F.lit(0)), F.col("m")
     shared = F.element_at(F.array(*(F.lit(float(x)) for x in scorer.shared.tolist())), (group_col(F.col("word")) + 1).cast("int"))
     sums = words.groupBy("uid").agg(F.sum(F.when(c > 0, m)).alias("k"), F.sum(m * F.log10((c + 1) / F.lit(float(n + v + 1)))).alias("b"), F.sum(m * F.log10((c + 1) / shared)).alias("s"))
-    out = done.drop("others", "times").join(sums, "uid", "left")
+    out = done.join(sums, "uid", "left")
     zero = F.lit(0.0)
     return out.select(
         "doc_id", held.alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),

@@ -402,3 +402,59 @@ def test_training_grows_with_the_corpus(spark, monkeypatch):
     n = out[0]["train_tokens"]
     wanted = 400 + (n - 400) / 2
     assert 0.6 * wanted <= trained[0][1] <= 1.3 * wanted and trained[0][2] >= wanted / 300 / 2
+
+
+def test_texts_are_cut_once_for_training_and_scores(spark, monkeypatch):
+    """One written table has the tokens of every row, held out or not; training and scores start from it."""
+    rows = _corpus() + [(None, None, None, None, 0), (300, "", None, None, 0), (301, " A\tb ", None, None, 0), (301, " A\tb ", None, None, 0)]
+    df, got, plain = spark.createDataFrame(rows, SCHEMA), [], gru_lm.written
+
+    def written(df, name):
+        got.append((name, plain(df, name)))
+        return got[-1][1]
+
+    monkeypatch.setattr(gru_lm, "written", written)
+    out = gru_lm.scored(df).collect()
+    train = next(x for name, x in got if name == "lm-train").collect()
+    assert len(train) == len(rows) and all((r["ids"] is None) != (r["rest"] is None) and (r["g"] is None) == (r["ids"] is None) for r in train)
+    assert Counter((r["doc_id"], len(r["ids"] or r["rest"]) // 4, r["ids"] is None) for r in train) == Counter((r["doc_id"], r["n_tokens"], r["held_out"]) for r in out)
+
+
+def test_words_by_columns():
+    """Words as bytes.split() has them, whatever the spaces, and an end for each text."""
+    import pyarrow as pa
+
+    r = random.Random(4)
+    parts = [" ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x85", "\xa0", " ", "A", "b", "É", "İ", "\x00", "Zß"]
+    texts = [None, "", " ", "\t \n", " a", "a ", *("".join(r.choice(parts) for _ in range(r.randint(0, 9))) for _ in range(3000))]
+    texts = [t if t is None else t.encode() for t in texts]
+    got = gru_lm.split(pa.array(texts, pa.binary())).cast(pa.list_(pa.binary())).to_pylist()
+    assert got == [[*(t or b"").lower().split(), b""] for t in texts]
+
+
+def test_adam(monkeypatch):
+    """Steps in blocks are those of Adam written out."""
+    monkeypatch.setattr(gru_lm, "BLOCK", 100)
+    r = np.random.default_rng(5)
+    docs = [r.integers(0, 6 + gru_lm.OTHERS, n) for n in (900, 300, 1333, 1)]
+    nets = [gru_lm.Gru(np.array([9, 8, 7, 6, 5, 4] + [1] * gru_lm.OTHERS)) for _ in range(2)]
+    calls, plain = [], nets[0]._window
+
+    def window(ids, new, h, grads, here):
+        calls.append((ids, new, h.copy(), here))
+        return plain(ids, new, h, grads, here)
+
+    monkeypatch.setattr(nets[0], "_window", window)
+    nets[0].train(docs, epochs=2, most=4, step=0.01)
+    p, steps = nets[1].p, len(calls)
+    m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
+    for t, (ids, new, h, here) in enumerate(calls, 1):
+        g = {k: np.zeros_like(x) for k, x in p.items()}
+        nets[1]._window(ids, new, h, g, here)
+        for k in p:
+            d = g[k] / here.sum()
+            m[k], v[k] = 0.9 * m[k] + 0.1 * d, 0.99 * v[k] + 0.01 * d * d
+            p[k] -= 0.01 * (1 - 0.9 * (t - 1) / steps) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-7)
+    assert steps > 20
+    for k in p:
+        assert np.abs(p[k] - nets[0].p[k]).max() < 2e-3, k
