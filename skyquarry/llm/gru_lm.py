@@ -46,10 +46,14 @@ EPOCHS, STREAMS, WINDOW, STEP = 2, 48, 32, 0.006
 MORE_STREAMS, MORE_STEP = 128, 0.004
 #: Numbers that a step of Adam changes at a time, so that all it needs of them stays in a core's cache.
 BLOCK = 16_384
+#: Runs of rows alike that are summed one by one, instead of all together.
+LONG_RUNS = 64
 #: Pieces in which networks are summed.
 PIECES = 16
-SCORE_STREAMS, SCORE_WINDOW, SCORE_ROWS = 512, 32, 2048
-#: Different words that a task holds while it counts.
+SCORE_STREAMS, SCORE_WINDOW = 512, 32
+#: Rows of logits that are made at a time, so that they stay in a core's cache.
+ROWS = 1024
+#: Different words that a task holds while it counts, or twice as many in batches that are not yet put together.
 FLUSH = 400_000
 END = b""
 LN10 = math.log(10)
@@ -69,24 +73,36 @@ def different(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def _count(batches):
-    """Counts of the words in a partition, in training documents and in held-out ones, in pieces of about FLUSH different words."""
-    words, counts = pa.array([], pa.string()), np.zeros((2, 0), np.int64)
+    """Counts of the words in a partition, in training documents and in held-out ones, in pieces of over FLUSH different words."""
+    parts: list[tuple[pa.Array, np.ndarray]] = []
+
+    def together():
+        if len(parts) > 1:
+            words, which = different(pa.concat_arrays([w for w, _ in parts]))
+            counts = np.zeros((2, len(words)), np.int64)
+            for n, *own in zip(counts, *(c for _, c in parts)):
+                np.add.at(n, which, np.concatenate(own))
+            parts[:] = [(words, counts)]
+
+    def out():
+        ((words, counts),) = parts
+        parts.clear()
+        return pa.RecordBatch.from_arrays([words, *map(pa.array, counts)], ["word", "c", "held"])
+
+    _keep_memory()
     for df in batches:
         lists = split(pa.array(df["text"], pa.binary()))
         held = np.repeat(np.asarray(df["held"], bool), np.diff(lists.offsets.to_numpy()))
-        own, which = different(lists.values)
-        here = np.bincount(which, minlength=len(own)), np.bincount(which[held], minlength=len(own))
-        # together with what is counted so far
-        words, which = different(pa.concat_arrays([words, own]))
-        both = np.concatenate([counts, [here[0] - here[1], here[1]]], axis=1)
-        counts = np.zeros((2, len(words)), np.int64)
-        for n, add in zip(counts, both):
-            np.add.at(n, which, add)
-        if len(words) > FLUSH:
-            yield pa.RecordBatch.from_arrays([words, *map(pa.array, counts)], ["word", "c", "held"])
-            words, counts = words[:0], counts[:, :0]
-    if len(words):
-        yield pa.RecordBatch.from_arrays([words, *map(pa.array, counts)], ["word", "c", "held"])
+        words, which = different(lists.values)
+        c, h = np.bincount(which, minlength=len(words)), np.bincount(which[held], minlength=len(words))
+        parts.append((words, np.array([c - h, h])))
+        if sum(len(w) for w, _ in parts) > 2 * FLUSH:
+            together()
+            if len(parts[0][0]) > FLUSH:
+                yield out()
+    together()
+    if parts and len(parts[0][0]):
+        yield out()
 
 
 def _keep_memory() -> None:
@@ -169,7 +185,9 @@ class Gru:
 
     def calm(self) -> bool:
         """Are exponentials of what was learned, added to log shares, far from the ends of single precision?"""
-        p = self.p
+        p, most = self.p, {k: max(x.max(), -x.min()) for k, x in self.p.items() if k in ("w", "wb", "c", "cb")}
+        if STATE * max(most["w"], most["c"]) + max(most["wb"], most["cb"]) < 60:
+            return True
         return max(np.abs(p["w"]).sum(axis=1).max() + np.abs(p["wb"]).max(), np.abs(p["c"]).sum(axis=0).max() + np.abs(p["cb"]).max()) < 60
 
     def _output_grads(self, states: np.ndarray, ids: np.ndarray, grads: dict) -> np.ndarray:
@@ -179,47 +197,52 @@ class Gru:
         the token itself: probabilities stay undivided, the narrower sides of products are divided in their place.
         """
         s, p, calm = STATE, self.p, self.calm()
-        runs = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        kind, n = states.dtype, len(ids)
+        runs, sizes = runs_of(ids)
         sums, tokens = np.add.reduceat(states, runs, axis=0), ids[runs]
         edges = np.searchsorted(ids, self.first).tolist()
+        # of products with exponentials, the first parts are gradients of states, the last, by a column of ones, are sums
         c = np.concatenate([p["c"], (p["cb"] + self.share_class)[None]])
-        e = states @ c
-        if not calm:
-            e -= e.max(axis=1, keepdims=True)
-        np.exp(e, out=e)
-        by = (1 / (e @ np.ones(e.shape[1], e.dtype)))[:, None]
-        gc = (states * by).T @ e
-        ds = e @ c[:s].T
-        ds *= by
+        back, gc, ds = np.ascontiguousarray(c.T), np.zeros(c.T.shape, kind), np.empty((n, s + 1), kind)
+        back[:, s] = 1
+        for begin in range(0, n, ROWS):
+            here, d = states[begin : begin + ROWS], ds[begin : begin + ROWS]
+            e = here @ c
+            if not calm:
+                e -= e.max(axis=1, keepdims=True)
+            np.exp(e, out=e)
+            np.matmul(e, back, out=d)
+            gc += e.T @ (here / d[:, s:])
+        ds /= ds[:, s:]
         cls = self.cls[tokens]
         begins = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]])
-        gc[:, cls[begins]] -= np.add.reduceat(sums, begins, axis=0).T
-        grads["c"] += gc[:s]
-        grads["cb"] += gc[s]
+        gc[cls[begins]] -= np.add.reduceat(sums, begins, axis=0)
+        grads["c"] += gc[:, :s].T
+        grads["cb"] += gc[:, s]
         w = np.concatenate([p["w"], (p["wb"] + self.share_word)[:, None]], axis=1)
-        gw = np.zeros_like(w)
-        ones = np.ones(np.diff(self.first).max(), w.dtype)
+        by = np.concatenate([p["w"], np.ones((len(w), 1), kind)], axis=1)
+        gw, dw = np.zeros_like(w), np.zeros((n, s + 1), kind)
+        dw[:, s] = 1
         for b, f, begin, end in zip(self.first.tolist(), self.first[1:].tolist(), edges, edges[1:]):
             if f - b < 2 or begin == end:
                 continue
-            here, own = states[begin:end], w[b:f]
-            e = here @ own.T
+            here, d = states[begin:end], dw[begin:end]
+            e = here @ w[b:f].T
             if not calm:
                 e -= e.max(axis=1, keepdims=True)
             np.exp(e, out=e)
-            by = (1 / (e @ ones[: f - b]))[:, None]
-            np.matmul(e.T, here * by, out=gw[b:f])
-            d = e @ own[:, :s]
-            d *= by
-            ds[begin:end] += d
+            np.matmul(e, by[b:f], out=d)
+            np.matmul(e.T, here / d[:, s:], out=gw[b:f])
+        dw /= dw[:, s:]
+        ds += dw
         gw[tokens] -= sums
         gw[self.alone] = 0  # the only token of a class is sure
         grads["w"] += gw[:, :s]
         grads["wb"] += gw[:, s]
-        own = p["w"].copy()
-        own[self.alone] = 0
-        c = p["c"].T
-        ds -= np.repeat(own[tokens] + c[cls], np.diff(np.r_[runs, len(ids)]), axis=0)
+        by[self.alone] = 0
+        own = by[tokens, :s] + back[cls, :s]
+        ds = ds[:, :s]
+        ds -= np.repeat(own, sizes, axis=0)
         return ds
 
     def train(self, docs: list[np.ndarray], epochs: int = EPOCHS, most: int = STREAMS, step: float = STEP) -> None:
@@ -282,9 +305,10 @@ class Gru:
         """here: which places hold a token; others, after a stream's end, add nothing."""
         s, p, (n_steps, n) = STATE, self.p, ids.shape
         kind = p["x"].dtype
+        half = np.repeat(np.array([0.5, 1], kind), [2 * s, s])  # a sigmoid is half of a tanh of half, and a half
         gx = p["x"][ids]
         gx += p["b"]
-        gx[..., : 2 * s] *= 0.5  # a sigmoid is half of a tanh of half, and a half
+        gx *= half
         zr_w, n_w = p["h"][:, : 2 * s] * kind.type(0.5), np.ascontiguousarray(p["h"][:, 2 * s :])
         # states with a one at their end; states, gates, gated states, proposals
         states, (old, z, r, rh, prop) = np.ones((n_steps, n, s + 1), kind), np.empty((5, n_steps, n, s), kind)
@@ -337,8 +361,8 @@ class Gru:
         grads["h"][:, : 2 * s] += old.reshape(-1, s).T @ dg[:, : 2 * s]
         grads["h"][:, 2 * s :] += rh.reshape(-1, s).T @ dg[:, 2 * s :]
         # one sum for each different token
-        begin = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-        sums = np.add.reduceat(dg[order], begin, axis=0)
+        begin, sizes = runs_of(x)
+        sums = summed(dg[order], begin, sizes)
         grads["x"][x[begin]] += sums
         grads["b"] += sums.sum(axis=0)
         return h
@@ -356,7 +380,7 @@ class Gru:
         begins = np.cumsum(lengths) - lengths
         _keep_memory()
         s, ready = STATE, self.ready()
-        table, zr_w, n_w = ready["table"], ready["zr"], ready["n"]
+        (z_x, r_x, n_x), z_w, r_w, n_w = ready["tables"], ready["z"], ready["r"], ready["n"]
         h, last = np.zeros((len(owner), s), np.float32), np.full(len(owner), -1)
         for begin in range(0, int(lengths[0]), SCORE_WINDOW):
             k = int((lengths > begin).sum())
@@ -365,26 +389,30 @@ class Gru:
             at = np.minimum(begins[:k] + at, len(flat) - 1)
             x, o, run = flat[at], which[at], here.sum(axis=1).tolist()
             new = o != np.concatenate([last[None, :k], o[:-1]])
+            last[:k] = o[-1]  # those of streams that end here are not read again
+            begun = new.any(axis=1).tolist()
             states, pos = np.ones((sum(run), s + 1), np.float32), 0
             for t, k in enumerate(run):
                 old = h[:k]
-                if new[t, :k].any():
+                if begun[t]:
                     old[new[t, :k]] = 0
                 states[pos : pos + k, :s] = old
                 pos += k
-                g = table[x[t, :k]]
-                zr = old @ zr_w
-                zr += g[:, : 2 * s]
-                np.tanh(zr, out=zr)
-                zr += 1
-                zr *= 0.5
-                n = (zr[:, s:] * old) @ n_w
-                n += g[:, 2 * s :]
+                z, r = old @ z_w, old @ r_w  # first halves of sums, then twice the gates
+                z += np.take(z_x, x[t, :k], axis=0, mode="clip")
+                r += np.take(r_x, x[t, :k], axis=0, mode="clip")
+                np.tanh(z, out=z)
+                np.tanh(r, out=r)
+                z += 1
+                r += 1
+                r *= old
+                n = r @ n_w
+                n += np.take(n_x, x[t, :k], axis=0, mode="clip")
                 np.tanh(n, out=n)
+                z *= 0.5
                 old -= n
-                old *= zr[:, :s]
+                old *= z
                 old += n
-                last[:k] = o[t, :k]
             total += np.bincount(o[here], self.log_p(states, x[here], ready), len(docs))
         return total
 
@@ -394,8 +422,10 @@ class Gru:
         s, p = STATE, self.p
         table = p["x"] + p["b"]
         table[:, : 2 * s] *= 0.5  # a sigmoid is half of a tanh of half, and a half
+        tables = [np.ascontiguousarray(table[:, i : i + s]) for i in (0, s, 2 * s)]
+        z, r, n = (p["h"][:, i : i + s] * np.float32(0.5) for i in (0, s, 2 * s))
         words = [np.ascontiguousarray(np.concatenate([p["w"][b:f], (p["wb"] + self.share_word)[b:f, None]], axis=1).T) for b, f in zip(self.first, self.first[1:])]
-        return {"table": table, "zr": p["h"][:, : 2 * s] * np.float32(0.5), "n": np.ascontiguousarray(p["h"][:, 2 * s :]), "classes": np.concatenate([p["c"], (p["cb"] + self.share_class)[None]]).astype(np.float32), "words": words, "ones": np.ones(len(self.cls), np.float32), "calm": self.calm()}
+        return {"tables": tables, "z": z, "r": r, "n": n, "classes": np.concatenate([p["c"], (p["cb"] + self.share_class)[None]]).astype(np.float32), "words": words, "ones": np.ones(len(self.cls), np.float32), "calm": self.calm()}
 
     def log_p(self, states: np.ndarray, ids: np.ndarray, ready: dict) -> np.ndarray:
         """output() without gradients; states end in a one."""
@@ -406,8 +436,8 @@ class Gru:
         states, ids = states[order], ids[order]
         cls, edges = self.cls[ids], np.searchsorted(ids, self.first).tolist()
         at, own, total, sums = ids - self.first[cls], np.zeros(n, np.float32), np.empty(n, np.float32), np.ones(n, np.float32)
-        for begin in range(0, n, SCORE_ROWS):  # what stays in a core's cache
-            here = slice(begin, begin + SCORE_ROWS)
+        for begin in range(0, n, ROWS):  # what stays in a core's cache
+            here = slice(begin, begin + ROWS)
             a = states[here] @ ready["classes"]
             own[here] = a[rows[: len(a)], cls[here]]
             np.exp(a, out=a)
@@ -424,6 +454,26 @@ class Gru:
         return out
 
 
+def runs_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal tokens begin, and their lengths."""
+    begin = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    return begin, np.diff(np.r_[begin, len(ids)])
+
+
+def summed(rows: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows: all first rows, then all second ones and so on; what the long runs still have, run by run."""
+    out, at = rows[begin], np.flatnonzero(sizes > 1)
+    k = 1
+    while len(at) > LONG_RUNS:
+        out[at] += rows[begin[at] + k]
+        k += 1
+        at = at[sizes[at] > k]
+    ones = np.ones(sizes.max(), rows.dtype)
+    for i, b, n in zip(at.tolist(), (begin[at] + k).tolist(), (sizes[at] - k).tolist()):
+        out[i] += ones[:n] @ rows[b : b + n]
+    return out
+
+
 def rising(ids: np.ndarray, n: int) -> np.ndarray:
     """The order of tokens below n; small numbers are sorted by their digits."""
     return np.argsort(ids.astype(np.uint16) if n <= 2**16 else ids, kind="stable")
@@ -472,6 +522,7 @@ class Scorer:
     def coded(self, texts: pa.Array) -> dict:
         """Columns of a batch of texts: the network's tokens, sums over the table's words, and the words that the table lacks
         with how often each document has them. Each different word is looked up once."""
+        _keep_memory()
         lists = split(texts)
         edges, n = lists.offsets.to_numpy(), len(texts)
         words, which = different(lists.values)
@@ -490,8 +541,7 @@ class Scorer:
         return {
             "ids": [ids[b:e].tobytes() for b, e in zip(edges.tolist(), edges[1:].tolist())], "n_tokens": pa.array(sizes.astype(np.int64)),
             "n_known": pa.array(in_table(self.counted).astype(np.int64)), "base": pa.array(in_table(self.base)), "other": pa.array(in_table(self.other)),
-            "others": pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32()), words.take(pa.array(word))),
-            "times": pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32()), pa.array(times, pa.int32())),
+            "others": pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32()), pa.StructArray.from_arrays([words.take(pa.array(word)), pa.array(times, pa.int32())], ["word", "m"])),
         }
 
 
@@ -502,7 +552,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def part(batches):
         yield from _count({"text": b.column("text"), "held": b.column("held").to_pylist()} for b in batches)
 
-    return rows.mapInArrow(part, "word string, c long, held long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("held").alias("held"))
+    return rows.mapInArrow(part, "word string, c long, held long").repartition("word").groupBy("word").agg(F.sum("c").alias("c"), F.sum("held").alias("held"))
 
 
 def often(c, n, held, n_held):
@@ -516,7 +566,7 @@ def fitted(counts: DataFrame) -> tuple[Scorer, DataFrame]:
     ends = F.max(F.when(F.col("word") == "", F.col("c")))
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum("held"), F.lit(0)).alias("h"), known_here.alias("v"), ends.alias("ends")).first()
     table_has = often(F.col("c"), total["n"], F.col("held"), total["h"]) | (F.col("word") == "")
-    rare = counts.filter(~table_has & (F.col("c") > 0)).select("word", "c")
+    rare = counts.filter(~table_has).select("word", "c")
     if not total["n"]:
         return Scorer([(END, 0)], 0, 0, [(0, 0)] * OTHERS), rare
     known = sorted(((r["word"].encode("utf-8", "surrogatepass"), r["c"]) for r in counts.filter(table_has).select("word", "c").collect()), key=lambda r: (-r[1], r[0]))
@@ -556,7 +606,7 @@ def tokens(docs: DataFrame, scorer: Scorer) -> tuple[DataFrame, int]:
     h = F.xxhash64("doc_id", "text")
     learn = ~F.col("held") & (F.pmod(h, F.lit(1_000_000)) < F.lit(1_000_000 * wanted / max(scorer.n, 1)))
     rows = limited_batches(with_uid(docs.select("doc_id", "text", h.alias("h"), learn.alias("learn"))))
-    kind = f"uid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, g int, h long, ids binary, rest binary, n_tokens long, n_known long, base double, other double, others array<string>, times array<int>"
+    kind = f"uid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, g int, h long, ids binary, rest binary, n_tokens long, n_known long, base double, other double, others array<struct<word: string, m: int>>"
     return written(rows.mapInArrow(part, kind), "lm-train"), groups
 
 
@@ -584,10 +634,10 @@ def learned(rows: DataFrame, groups: int, scorer: Scorer) -> None:
     net.set_pieces(first)
     if groups > 1:
         more = rows.filter("g > 0").groupBy("g").applyInPandas(trained(spark.sparkContext.broadcast(net), 1, MORE_STREAMS, MORE_STEP), kind)
-        more = written(more, "lm-networks")
+        more = written(more.mapInPandas(_summed, kind), "lm-networks")  # of each task one
         sums = more.coalesce(64).mapInPandas(_summed, kind).repartition(PIECES, "piece").mapInPandas(_summed, kind)
         net.set_pieces([*first, *sums.collect()])
-    drop_written(spark, since)  # the networks are as large as the texts
+    drop_written(spark, since)
 
 
 def _summed(batches):
@@ -630,11 +680,11 @@ def scored(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     done = written(parts.mapInArrow(part, kind), "lm-parts")
     n, v = scorer.n, scorer.v
     # one row for each different word of a document; no word here has more than 1/KNOWN of the tokens
-    words = coded.select("uid", F.explode(F.arrays_zip("others", "times")).alias("w")).select("uid", F.col("w.others").alias("word"), F.col("w.times").alias("m"))
-    words = words.join(rare.hint("shuffle_hash"), "word", "left")
-    c, m = F.coalesce("c", F.lit(0)), F.col("m")
+    words = coded.select("uid", F.inline("others"))
     shared = F.element_at(F.array(*(F.lit(float(x)) for x in scorer.shared.tolist())), (group_col(F.col("word")) + 1).cast("int"))
-    sums = words.groupBy("uid").agg(F.sum(F.when(c > 0, m)).alias("k"), F.sum(m * F.log10((c + 1) / F.lit(float(n + v + 1)))).alias("b"), F.sum(m * F.log10((c + 1) / shared)).alias("s"))
+    rare = rare.select("word", (F.col("c") > 0).alias("known"), F.log10((F.col("c") + 1) / F.lit(float(n + v + 1))).alias("b"), F.log10((F.col("c") + 1) / shared).alias("s"))
+    words, m = words.join(rare.hint("shuffle_hash"), "word"), F.col("m")
+    sums = words.groupBy("uid").agg(F.sum(F.when(F.col("known"), m)).alias("k"), F.sum(m * F.col("b")).alias("b"), F.sum(m * F.col("s")).alias("s"))
     out = done.join(sums, "uid", "left")
     zero = F.lit(0.0)
     return out.select(
