@@ -306,7 +306,7 @@ class Gru:
         s, p, (n_steps, n) = STATE, self.p, ids.shape
         kind = p["x"].dtype
         half = np.repeat(np.array([0.5, 1], kind), [2 * s, s])  # a sigmoid is half of a tanh of half, and a half
-        gx = p["x"][ids]
+        gx = np.take(p["x"], ids, axis=0, mode="clip")
         gx += p["b"]
         gx *= half
         zr_w, n_w = p["h"][:, : 2 * s] * kind.type(0.5), np.ascontiguousarray(p["h"][:, 2 * s :])
@@ -362,7 +362,7 @@ class Gru:
         grads["h"][:, 2 * s :] += rh.reshape(-1, s).T @ dg[:, 2 * s :]
         # one sum for each different token
         begin, sizes = runs_of(x)
-        sums = summed(dg[order], begin, sizes)
+        sums = summed(np.take(dg, order, axis=0, mode="clip"), begin, sizes)
         grads["x"][x[begin]] += sums
         grads["b"] += sums.sum(axis=0)
         return h
@@ -619,27 +619,47 @@ def learned(rows: DataFrame, groups: int, scorer: Scorer) -> None:
     rows = rows.select("g", "h", "ids")
 
     def trained(net, epochs, streams, step):
-        def one(df: pd.DataFrame) -> pd.DataFrame:
-            docs = [np.frombuffer(x, np.int32).astype(np.int64) for x in df.sort_values("h")["ids"]]
-            own = copy.deepcopy(net.value)
-            own.train(docs, epochs, streams, step)
-            n = float(sum(map(len, docs)))
-            return pd.DataFrame({"piece": range(PIECES), "n": n, "v": [(x * n).tobytes() for x in own.pieces()]})
-
-        return one
+        def part(batches):
+            n, sums = 0.0, None
+            for docs in grouped(batches):
+                own, m = copy.deepcopy(net.value), float(sum(map(len, docs)))
+                own.train(docs, epochs, streams, step)
+                n, add = n + m, [x * m for x in own.pieces()]
+                sums = add if sums is None else [x + y for x, y in zip(sums, add)]
+            if sums:
+                yield pd.DataFrame({"piece": range(PIECES), "n": n, "v": [x.tobytes() for x in sums]})
+
+        return part
+
+    def train(rows, *how):
+        """A group's rows are in one task, one after another; a task's networks leave it as one sum."""
+        rows = limited_batches(rows.repartition("g").sortWithinPartitions("g", "h"))
+        return rows.mapInPandas(trained(spark.sparkContext.broadcast(net), *how), kind)
 
     kind, net = "piece int, n double, v binary", scorer.net
-    first = rows.filter("g = 0").groupBy("g").applyInPandas(trained(spark.sparkContext.broadcast(net), EPOCHS, STREAMS, STEP), kind)
-    first = first.collect()
+    first = train(rows.filter("g = 0"), EPOCHS, STREAMS, STEP).collect()
     net.set_pieces(first)
     if groups > 1:
-        more = rows.filter("g > 0").groupBy("g").applyInPandas(trained(spark.sparkContext.broadcast(net), 1, MORE_STREAMS, MORE_STEP), kind)
-        more = written(more.mapInPandas(_summed, kind), "lm-networks")  # of each task one
+        more = written(train(rows.filter("g > 0"), 1, MORE_STREAMS, MORE_STEP), "lm-networks")
         sums = more.coalesce(64).mapInPandas(_summed, kind).repartition(PIECES, "piece").mapInPandas(_summed, kind)
         net.set_pieces([*first, *sums.collect()])
     drop_written(spark, since)
 
 
+def grouped(batches):
+    """Rows in the order of g -> the documents of one g after another."""
+    last, docs = None, []
+    for df in batches:
+        for g, x in zip(df["g"].tolist(), df["ids"]):
+            if docs and g != last:
+                yield docs
+                docs = []
+            last = g
+            docs.append(np.frombuffer(x, np.int32).astype(np.int64))
+    if docs:
+        yield docs
+
+
 def _summed(batches):
     """Sums of networks, held one piece each."""
     n: dict[int, float] = {}

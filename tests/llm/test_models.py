@@ -458,3 +458,14 @@ def test_adam(monkeypatch):
     assert steps > 20
     for k in p:
         assert np.abs(p[k] - nets[0].p[k]).max() < 2e-3, k
+
+
+def test_groups_across_batches():
+    import pandas as pd
+
+    rows = [(0, [1]), (0, [2, 2]), (3, []), (3, [4]), (3, [5]), (7, [6])]
+    frame = lambda part: pd.DataFrame({"g": [g for g, _ in part], "ids": [np.array(x, np.int32).tobytes() for _, x in part]})
+    for n in (1, 2, 4, 6):
+        got = list(gru_lm.grouped(frame(rows[i : i + n]) for i in range(0, len(rows), n)))
+        assert [[d.tolist() for d in docs] for docs in got] == [[[1], [2, 2]], [[], [4], [5]], [[6]]]
+    assert list(gru_lm.grouped(iter([]))) == []
