@@ -35,8 +35,8 @@ LEAST_WORDS = 4
 SHARE, RUN = 0.5, 13
 #: Bits of the filter: 16 for each window, and at least and at most 2 to these powers. A fuller filter only passes more.
 FILTER_BITS = (20, 30)
-#: Words that a task looks at together, and windows whose readings it holds at once.
-TOGETHER, READ = 1 << 20, 1 << 16
+#: Words that a task looks at together, and windows whose readings it holds at once; they change no result.
+TOGETHER, READ = 1 << 18, 1 << 16
 NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
 #: Units of measure, currency and time, in lower case.
 UNITS = frozenset("km m cm mm mi ft in yd kg g mg lb lbs oz t l ml gal s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years % percent usd eur gbp dollars dollar euros euro cents cent mph kph km/h m/s hz khz mhz ghz w kw mw v kv a kb mb gb tb °c °f".split())
@@ -90,22 +90,26 @@ _NUM_CODE, _NAME_CODE, _UNIT_CODE = _code(NUM), _code(NAME), _code(UNIT)
 _WORDS: Words | None = None
 
 
+def places_of(words: list[bytes], more: bool = False) -> np.ndarray:
+    """Where words stand in the arrays of Words; more: beside those that were asked for before, whose places stay."""
+    global _WORDS
+    if _WORDS is None or not more and len(_WORDS) > REMEMBER:
+        _WORDS = Words()
+    return np.fromiter(map(_WORDS.__getitem__, words), np.int32, len(words))
+
+
 class Template:
-    """The canonical words of some texts, one text after another; marks alone are left out.
+    """The canonical words of some texts (their places_of()), one text after another; marks alone are left out.
 
     codes: of the templates; low: of the words themselves; either: a capital begins a sentence, so it may be a name; text:
     which text a word is of.
     """
 
-    def __init__(self, words: list[bytes], sizes: list[int]):
-        global _WORDS
-        if _WORDS is None or len(_WORDS) > REMEMBER:
-            _WORDS = Words()
-        at = np.fromiter(map(_WORDS.__getitem__, words), np.int64, len(words))
+    def __init__(self, at: np.ndarray, sizes: list[int]):
         flags, text = _WORDS.flags[at], np.repeat(np.arange(len(sizes)), sizes)
-        first = np.ones(len(words), bool)
+        first = np.ones(len(at), bool)
         first[1:] = text[1:] != text[:-1]
-        before = np.zeros(len(words), np.uint8)
+        before = np.zeros(len(at), np.uint8)
         before[1:] = flags[:-1]
         before[first] = 0
         inside = ~first & (before & ENDS == 0)
@@ -179,7 +183,7 @@ def _items(batches):
         out = []
         for k, item, raw in zip(df["k"], df["item_id"], df["text"]):
             words = raw.split() if raw else []
-            t = Template(words, [len(words)])
+            t = Template(places_of(words), [len(words)])
             size = min(WINDOW, len(t.codes))
             if not size:
                 continue
@@ -198,7 +202,7 @@ def _item_words(batches):
     for df in batches:
         for raw in df["text"]:
             words = raw.split() if raw else []
-            t = Template(words, [len(words)])
+            t = Template(places_of(words), [len(words)])
             yield pd.DataFrame({"b": np.unique(np.r_[t.codes, [_NAME_CODE] * bool(t.either.any())].astype(np.uint64)).astype(np.int64)})
 
 
@@ -221,7 +225,7 @@ def _hits(sent):
 
     def together(rows, words, lengths):
         known, filter_, bits, sizes = sent.value
-        t, out = Template(words, lengths), []
+        t, out = Template(np.concatenate(words), lengths), []
         is_known = _has(known, (t.codes >> np.uint64(61 - KNOWN_BITS)).astype(np.int64))
         starts = np.searchsorted(t.text, np.arange(len(rows)))
 
@@ -246,19 +250,20 @@ def _hits(sent):
         return pd.concat(out) if out else None
 
     def part(batches):
-        rows, words, lengths = [], [], []
+        rows, words, lengths, n = [], [], [], 0  # of words only the places are kept
         for df in batches:
             for digest, raw in zip(df["digest"], df["text"]):
                 if not raw:
                     continue
-                own = raw.split()
+                own = places_of(raw.split(), more=bool(rows))
                 rows.append(digest)
-                words += own
+                words.append(own)
                 lengths.append(len(own))
-                if len(words) >= TOGETHER:
+                n += len(own)
+                if n >= TOGETHER:
                     if (got := together(rows, words, lengths)) is not None:
                         yield got
-                    rows, words, lengths = [], [], []
+                    rows, words, lengths, n = [], [], [], 0
         if rows and (got := together(rows, words, lengths)) is not None:
             yield got
 
