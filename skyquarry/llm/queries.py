@@ -12,6 +12,7 @@ from .secrets import op1_secrets
 from .simhash import op6_simhash
 from .toxicity import op4_toxicity
 from .url_filter import OP10_SQL, op10_url_filter
+from .variants import OP13_SQL, op13_spelling_variants
 
 QUERIES = {
     "op1_secrets": op1_secrets,
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
     "op10_url_filter": op10_url_filter,
+    "op13_spelling_variants": op13_spelling_variants,
 }
-ORACLE_SQL = {"op2_mixing": OP2_SQL, "op7_quality_rules": OP7_SQL, "op10_url_filter": OP10_SQL}
+ORACLE_SQL = {"op2_mixing": OP2_SQL, "op7_quality_rules": OP7_SQL, "op10_url_filter": OP10_SQL, "op13_spelling_variants": OP13_SQL}
