@@ -11,6 +11,7 @@ import tempfile
 import uuid
 import zlib
 
+import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -185,3 +186,28 @@ def limited_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df
+
+
+def bitmap(places: DataFrame, bits: int) -> np.ndarray:
+    """(b): places -> 2**bits bits; Spark makes pieces of 32,768."""
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    pieces = places.groupBy(F.bitmap_bucket_number(F.col("b") + 1).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("b") + 1)).alias("bits"))
+    for r in pieces.toLocalIterator():
+        begin = (r["at"] - 1) * 4096
+        out[begin : begin + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)[: len(out) - begin]
+    return out
+
+
+def has_bits(filter_: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return filter_[places >> 3] >> (places & 7).astype(np.uint8) & 1 > 0
+
+
+def places_of_bits(h: np.ndarray, bits: int) -> np.ndarray:
+    """Where hashes have their bits in a bitmap of 2**bits."""
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def rehash(h: np.ndarray) -> np.ndarray:
+    """Another hash of a hash: filters look at two places."""
+    h = h * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import carried, join_small, limited_batches, ship, table, with_uid, written
+from .common import bitmap, carried, has_bits, join_small, limited_batches, places_of_bits, rehash, ship, table, with_uid, written
 
 ship(__name__)
 
@@ -163,20 +163,6 @@ def hashed(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _again(h: np.ndarray) -> np.ndarray:
-    """Another hash of a hash: the filter looks at two places."""
-    h = h * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
-
-
-def _places(h: np.ndarray, bits: int) -> np.ndarray:
-    return (h >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def _has(filter_: np.ndarray, places: np.ndarray) -> np.ndarray:
-    return filter_[places >> 3] >> (places & 7).astype(np.uint8) & 1 > 0
-
-
 def _items(batches):
     """A row for each window of an item in each reading. Items of fewer than LEAST_WORDS words have one, of size -words."""
     for df in batches:
@@ -193,7 +179,7 @@ def _items(batches):
                 read = list(t.windows(size))
             h, at = (np.concatenate(x) for x in zip(*read))
             kind = size if size >= LEAST_WORDS else -size
-            out.append(pd.DataFrame({"k": k, "item_id": item, "size": kind, "n": len(t.codes) - size + 1, "i": at, "h": h.view(np.int64), "again": _again(h).view(np.int64), "own": t.plain(at, size)}))
+            out.append(pd.DataFrame({"k": k, "item_id": item, "size": kind, "n": len(t.codes) - size + 1, "i": at, "h": h.view(np.int64), "again": rehash(h).view(np.int64), "own": t.plain(at, size)}))
         if out:
             yield pd.concat(out)
 
@@ -210,29 +196,19 @@ def _item_words(batches):
 KNOWN_BITS = 22
 
 
-def _bitmap(values: DataFrame, bits: int) -> np.ndarray:
-    """(b): places -> 2**bits bits; Spark makes pieces of 32,768."""
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    pieces = values.groupBy(F.bitmap_bucket_number(F.col("b") + 1).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("b") + 1)).alias("bits"))
-    for r in pieces.toLocalIterator():
-        begin = (r["at"] - 1) * 4096
-        out[begin : begin + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)[: len(out) - begin]
-    return out
-
-
 def _hits(sent):
     """Documents (digest, text) -> the windows that pass the filter: digest, h, j (place), own (words as codes)."""
 
     def together(rows, words, lengths):
         known, filter_, bits, sizes = sent.value
         t, out = Template(np.concatenate(words), lengths), []
-        is_known = _has(known, (t.codes >> np.uint64(61 - KNOWN_BITS)).astype(np.int64))
+        is_known = has_bits(known, (t.codes >> np.uint64(61 - KNOWN_BITS)).astype(np.int64))
         starts = np.searchsorted(t.text, np.arange(len(rows)))
 
         def add(h, at, size):
-            good = _has(filter_, _places(h, bits))
+            good = has_bits(filter_, places_of_bits(h, bits))
             h, at = h[good], at[good]
-            good = _has(filter_, _places(_again(h), bits))
+            good = has_bits(filter_, places_of_bits(rehash(h), bits))
             h, at = h[good], at[good]
             if len(at):
                 of = t.text[at]
@@ -380,8 +356,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str
     windows = index.count()
     bits = min(max(FILTER_BITS[0], (16 * windows).bit_length()), FILTER_BITS[1])
     sizes = [r["size"] for r in index.select("size").distinct().collect()]
-    filter_ = _bitmap(index.select(F.explode(F.array("h", "again")).alias("h")).select(F.shiftrightunsigned("h", 64 - bits).alias("b")), bits)
-    known = _bitmap(bench.select("text").mapInPandas(_item_words, "b long").select(F.shiftrightunsigned("b", 61 - KNOWN_BITS).alias("b")), KNOWN_BITS)
+    filter_ = bitmap(index.select(F.explode(F.array("h", "again")).alias("h")).select(F.shiftrightunsigned("h", 64 - bits).alias("b")), bits)
+    known = bitmap(bench.select("text").mapInPandas(_item_words, "b long").select(F.shiftrightunsigned("b", 61 - KNOWN_BITS).alias("b")), KNOWN_BITS)
     sent = spark.sparkContext.broadcast((known, filter_, bits, sorted(sizes)))
     hits = limited_batches(docs.select(digest_of(F.col(text)).alias("digest"), F.col(text).cast("binary").alias("text")))
     hits = hits.mapInPandas(_hits(sent), "digest string, h long, j long, own binary").dropDuplicates(["digest", "h", "j"])

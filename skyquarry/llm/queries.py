@@ -8,11 +8,13 @@ from .language_id import op8_language_id
 from .mixing import OP2_SQL, op2_mixing
 from .quality_model import op5_quality_model
 from .quality_rules import OP7_SQL, op7_quality_rules
+from .repeats import op11_repeated_passages
 from .secrets import op1_secrets
 from .simhash import op6_simhash
 from .toxicity import op4_toxicity
 from .url_filter import OP10_SQL, op10_url_filter
 from .variants import OP13_SQL, op13_spelling_variants
+from .whitening import op12_whitening
 
 QUERIES = {
     "op1_secrets": op1_secrets,
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
     "op10_url_filter": op10_url_filter,
+    "op11_repeated_passages": op11_repeated_passages,
+    "op12_whitening": op12_whitening,
     "op13_spelling_variants": op13_spelling_variants,
 }
 ORACLE_SQL = {"op2_mixing": OP2_SQL, "op7_quality_rules": OP7_SQL, "op10_url_filter": OP10_SQL, "op13_spelling_variants": OP13_SQL}
