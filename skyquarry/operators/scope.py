@@ -16,8 +16,28 @@ MOST_BYTES = 65_536
 GROUPS = ("agg_funcs", "array_funcs", "bitwise_funcs", "collection_funcs", "conditional_funcs", "conversion_funcs", "datetime_funcs", "generator_funcs", "hash_funcs", "json_funcs", "lambda_funcs", "map_funcs", "math_funcs", "operator_funcs", "predicate_funcs", "string_funcs", "struct_funcs", "url_funcs", "window_funcs")
 #: A database without tables: names that are no view find nothing there.
 EMPTY = "scope_without_tables"
-#: Plans that do something instead of asking.
-NO_QUERY = ("Create", "Drop", "Insert", "Delete", "Update", "Merge", "Alter", "Show", "Describe", "Cache", "Uncache", "SetCatalog", "SetNamespace", "Refresh", "Truncate", "Replace", "Append", "Overwrite", "Load", "Analyze")
+#: What a user's text may be parsed to, by class: plans and expressions of a query without names that are computed later, parameters,
+#: commands, table functions, scripts and versions of tables. Whatever is not here is refused.
+PLANS = frozenset(
+    """Aggregate Distinct Except Filter Generate GlobalLimit Intersect Join LateralJoin LocalLimit LocalRelation Offset OneRowRelation PipeOperator
+    Pivot Project RepartitionByExpression Sample Sort SubqueryAlias Union UnresolvedHaving UnresolvedHint UnresolvedInlineTable UnresolvedRelation
+    UnresolvedSubqueryColumnAliases UnresolvedWith Unpivot WithWindowDefinition""".split()
+)
+EXPRESSIONS = frozenset(
+    """Add AggregateExpression Alias And AnyValue AttributeReference BitwiseAnd BitwiseNot BitwiseOr BitwiseXor CaseWhen Cast Coalesce Collate Concat
+    CreateNamedStruct Cube CurrentRow$ Divide EqualNullSafe EqualTo Exists First GreaterThan GreaterThanOrEqual GroupingSets ILike In InSubquery
+    IntegralDivide IsNotNull IsNull LambdaFunction Last LateralSubquery LessThan LessThanOrEqual Like LikeAll LikeAny ListQuery Literal Multiply
+    MultiAlias Not NotLikeAll NotLikeAny Or Overlay PipeExpression RLike Remainder Rollup ScalarSubquery ShiftLeft ShiftRight ShiftRightUnsigned
+    SortOrder SpecifiedWindowFrame StringLocate StringTrim StringTrimLeft StringTrimRight Substring Subtract TimestampAdd TimestampDiff UnaryMinus
+    UnaryPositive UnboundedFollowing$ UnboundedPreceding$ UnresolvedAlias UnresolvedAttribute UnresolvedCollation UnresolvedExtractValue
+    UnresolvedFunction UnresolvedGenerator UnresolvedNamedLambdaVariable UnresolvedOrdinal UnresolvedRegex UnresolvedStar
+    UnresolvedStarExceptOrReplace UnresolvedSubqueryColumnAliases UnresolvedWindowExpression UnspecifiedFrame$ WindowExpression
+    WindowSpecDefinition""".split()
+)
+#: Leaves of an analysed query outside the views: rows that the text itself holds, and its own CTEs.
+OWN_LEAVES = frozenset(("OneRowRelation", "LocalRelation", "CTERelationRef"))
+#: Parts of names of expressions that run code from outside Spark's list of functions.
+FOREIGN = ("UDF", "UDAF", "Reflect", "Python")
 
 
 def normalised(grants: list[Grant]) -> list[Grant]:
@@ -64,11 +84,18 @@ class Checked:
     tables: set[str]
 
 
+def _each(seq):
+    it = seq.iterator()
+    while it.hasNext():
+        yield it.next()
+
+
 def check_sql(spark: SparkSession, text: str, tables: set[str]) -> Checked:
-    """One query over the tables and its own CTEs; anything else is refused before it runs.
+    """One query over the tables and its own CTEs; anything else is refused before it is analysed.
 
-    A CTE's name stands for it where it is visible: in the CTEs after it and in the query that it belongs to, subqueries
-    included, and nowhere outside. Functions are looked up in Spark's own list and must be of GROUPS.
+    Every plan and expression that the text is parsed to must be of a listed class. A table has a name of one part. A CTE's name
+    stands for it where it is visible: in the CTEs after it and in the query that it belongs to, subqueries included, and
+    nowhere outside. Functions are looked up in Spark's own list and must be of GROUPS.
     """
     if len(text.encode()) > MOST_BYTES:
         raise Refused("too long")
@@ -81,37 +108,39 @@ def check_sql(spark: SparkSession, text: str, tables: set[str]) -> Checked:
         raise Refused(f"not one statement of SQL: {str(e).splitlines()[0][:200]}") from None
     known, used, functions = {t.lower() for t in tables}, set(), set()
 
-    def each(seq):
-        it = seq.iterator()
-        while it.hasNext():
-            yield it.next()
-
     def calls(e):
-        if e.getClass().getSimpleName() == "UnresolvedFunction":
-            functions.add(tuple(each(e.nameParts())))
-        for c in each(e.children()):
+        kind = e.getClass().getSimpleName()
+        if kind not in EXPRESSIONS:
+            raise Refused(f"not allowed: {kind}")
+        if kind == "UnresolvedFunction":
+            functions.add(tuple(_each(e.nameParts())))
+        elif kind == "UnresolvedGenerator":
+            functions.add((e.name().funcName(),) if e.name().database().isEmpty() else (e.name().unquotedString(), ""))
+        for c in _each(e.children()):
             calls(c)
 
     def walk(p, visible: frozenset):
-        kind = p.getClass().getSimpleName()
-        if kind.endswith(("Command", "Statement")) or kind == "UnresolvedTableValuedFunction" or kind.startswith(NO_QUERY):
+        kind = p.getClass().getSimpleName().removesuffix("$")
+        if kind not in PLANS:
             raise Refused(f"not allowed: {kind}")
         if kind == "UnresolvedWith":
-            for x in each(p.cteRelations()):
+            for x in _each(p.cteRelations()):
                 name = str(x._1()).lower()
                 if name in known:
                     raise Refused(f"a CTE hides the table {name}")
                 walk(x._2(), visible)
                 visible |= {name}
         elif kind == "UnresolvedRelation":
-            name = p.tableName().lower()
-            if name not in visible:
-                if name.replace("`", "") not in known:
-                    raise Refused(f"no such table: {name}")
-                used.add(name.replace("`", ""))
-        for e in each(p.expressions()):
+            parts = [str(x).lower() for x in _each(p.multipartIdentifier())]
+            if len(parts) != 1 or p.isStreaming():
+                raise Refused(f"no such table: {'.'.join(parts)}")
+            if parts[0] not in visible:
+                if parts[0] not in known:
+                    raise Refused(f"no such table: {parts[0]}")
+                used.add(parts[0])
+        for e in _each(p.expressions()):
             calls(e)
-        for q in (*each(p.children()), *each(p.subqueries())):
+        for q in (*_each(p.children()), *_each(p.subqueries())):
             walk(q, visible)
 
     walk(plan, frozenset())
@@ -121,6 +150,38 @@ def check_sql(spark: SparkSession, text: str, tables: set[str]) -> Checked:
     return Checked(used)
 
 
+def prove(answer: DataFrame, views: dict[str, DataFrame]) -> None:
+    """Refuse an analysed query if any leaf is outside the views given, or a view's plan is another than the one given.
+
+    Names don't count here: a view in the analysed plan must read what its DataFrame reads.
+    """
+    plans = {name.lower(): df._jdf.queryExecution().analyzed() for name, df in views.items()}
+
+    def calls(e):
+        kind = e.getClass().getName()
+        if not kind.startswith("org.apache.spark.sql.catalyst.") or any(x in kind.rpartition(".")[2] for x in FOREIGN):
+            raise Refused(f"not allowed: {kind.rpartition('.')[2]}")
+        for c in _each(e.children()):
+            calls(c)
+
+    def walk(p):
+        kind = p.getClass().getSimpleName().removesuffix("$")
+        if kind == "View":
+            name = p.desc().identifier()
+            plan = plans.get(name.table().lower()) if p.isTempView() and name.database().isEmpty() else None
+            if plan is None or not p.child().sameResult(plan):
+                raise Refused(f"not a view of this query: {name.unquotedString()}")
+            return
+        if p.children().isEmpty() and kind not in OWN_LEAVES:
+            raise Refused(f"not in a view of this query: {kind}")
+        for e in _each(p.expressions()):
+            calls(e)
+        for q in (*_each(p.children()), *_each(p.subqueries())):
+            walk(q)
+
+    walk(answer._jdf.queryExecution().analyzed())
+
+
 def _allowed(spark: SparkSession, state, name: str) -> bool:
     try:
         known = spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name.lower())
@@ -144,8 +205,9 @@ def in_scope(df: DataFrame, grants: list[Grant], name: str = "") -> DataFrame:
 def scoped_sql(spark: SparkSession, text: str, views: dict[str, DataFrame], grants: list[Grant]) -> DataFrame:
     """Run a user's query in a session of its own that has just the views it names, filtered by the grants.
 
-    The filter is part of the view, so it is pushed down to the files whatever the text says. The session's database is
-    empty, so that a name that got past the check would find nothing.
+    The filter is part of the view, so it is pushed down to the files whatever the text says. The text is checked as it is
+    parsed, and the query again as Spark has analysed it: all that it reads must lie in these views. The session's database
+    is empty as well, so that a plain name finds nothing else.
     """
     used = check_sql(spark, text, set(views)).tables
     scoped = {name: in_scope(df, grants, name) for name, df in views.items() if name.lower() in used}
@@ -155,7 +217,9 @@ def scoped_sql(spark: SparkSession, text: str, views: dict[str, DataFrame], gran
     session.catalog.setCurrentDatabase(EMPTY)
     for name, df in scoped.items():
         _register(session, df, name)
-    return session.sql(text)
+    answer = session.sql(text)
+    prove(answer, scoped)
+    return answer
 
 
 def _register(session: SparkSession, df: DataFrame, name: str) -> None:
