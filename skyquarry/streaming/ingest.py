@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.control import late_split
+from .snapshots import KeyLedger, SlotTaken, Snapshots, commit_slot, exists
+
+__all__ = ["KeyLedger", "Sink", "SlotTaken", "Snapshots", "commit_slot"]
 
 
 def file_stream(spark: SparkSession, path: str, schema, files_a_batch: int = 100) -> DataFrame:
@@ -21,17 +23,25 @@ def content_key(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumn("content_key", F.md5(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns))))
 
 
+#: Batches after which a ledger that lets go of old keys does so.
+COMPACT_EVERY = 100
+
+
 class Sink:
-    """A table that takes each content key once, and the tables derived from it.
+    """A table that takes each content key once, whenever and how often it is delivered, and the tables derived from it.
 
     A batch is known by what it holds (ingest_id), whatever its number. Its rows are those whose keys no other batch has
-    brought: an anti join, which reads only the partitions (received day) that the batch touches. That set is the same when
-    the batch is delivered again, before or after any of its writes, so what is derived from it is written again as it was,
-    and the table gets only the rows that it still lacks.
+    claimed in the ledger (snapshots.py), which knows keys of all receive days that it still holds. Claims come first, all
+    of a batch or none; so that set is the same when the batch is delivered again, before or after any of its later writes,
+    what is derived from it is written again as it was, and the table gets only the rows that it still lacks.
+
+    ledger: its folder, beside the table if not given; a table that has none yet gives it its own keys. keep: days that keys
+    stay in the ledger, counted back from the newest one there; a key that comes again later than that is new. None: for ever.
     """
 
-    def __init__(self, table: str, allowed: int, derived: dict[str, Callable[[DataFrame], DataFrame]] | None = None, before: dict[str, Callable[[DataFrame], DataFrame]] | None = None, day: int = 86_400):
+    def __init__(self, table: str, allowed: int, derived: dict[str, Callable[[DataFrame], DataFrame]] | None = None, before: dict[str, Callable[[DataFrame], DataFrame]] | None = None, day: int = 86_400, ledger: str | None = None, keep: int | None = None):
         self.table, self.allowed, self.derived, self.before, self.day = table, allowed, derived or {}, before or {}, day
+        self.ledger, self.keep = KeyLedger(ledger or f"{table.rstrip('/')}-keys"), keep
 
     def prepared(self, batch: DataFrame) -> DataFrame:
         split = late_split(batch, ["batch_id"], "s", self.allowed)
@@ -42,16 +52,17 @@ class Sink:
         rows = self.prepared(batch).dropDuplicates(["content_key"]).persist()
         try:
             ident = ingest_id(rows)
-            own = rows
-            if _exists(spark, self.table):
-                days = [r[0] for r in rows.select("received_day").distinct().limit(10_001).collect()]
+            if exists(spark, self.table) and self.ledger.snapshots.latest(spark) < 0:
+                self.ledger.claim(spark.read.parquet(self.table), "first")
+            own = self.ledger.unclaimed(rows, ident).select(*rows.columns)
+            self.ledger.claim(own.withColumn("ingest_id", F.lit(ident)), ident)
+            lacking = own
+            if exists(spark, self.table):
+                days = [r[0] for r in own.select("received_day").distinct().limit(10_001).collect()]
                 there = spark.read.parquet(self.table).select("content_key", "ingest_id", "received_day")
                 if len(days) <= 10_000:
                     there = there.filter(F.col("received_day").isin(days))
-                own = rows.join(there.filter(F.col("ingest_id") != ident).select("content_key"), "content_key", "left_anti").select(*rows.columns)
                 lacking = own.join(there.filter(F.col("ingest_id") == ident).select("content_key"), "content_key", "left_anti").select(*rows.columns)
-            else:
-                lacking = own
             for path, make in self.before.items():
                 _append_new(spark, make(own), path)
             # derived rows have a folder of their batch: writing them again replaces them
@@ -59,6 +70,8 @@ class Sink:
                 make(own).write.mode("overwrite").parquet(f"{path}/ingest_id={ident}")
             lacking = lacking.withColumn("ingest_id", F.lit(ident))
             lacking.sortWithinPartitions("s").write.mode("append").partitionBy("received_day", "late_part").parquet(self.table)
+            if self.keep is not None and batch_no % COMPACT_EVERY == COMPACT_EVERY - 1:
+                self.ledger.compacted(spark, self.keep)
         finally:
             rows.unpersist()
 
@@ -70,59 +83,14 @@ def ingest_id(rows: DataFrame) -> str:
     return r[0]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
-
-
 def _append_new(spark: SparkSession, rows: DataFrame, path: str) -> None:
     """Rows of a dimension (column id) that it lacks."""
     rows = rows.dropDuplicates(["id"])
-    if _exists(spark, path):
+    if exists(spark, path):
         rows = rows.join(spark.read.parquet(path).select("id"), "id", "left_anti")
     rows.write.mode("append").parquet(path)
 
 
-class SlotTaken(RuntimeError):
-    """The slot holds another content."""
-
-
-def commit_slot(spark: SparkSession, folder: str, slot: int, content: bytes) -> bool:
-    """Put an object into a numbered slot of a lane, which takes one object ever. False if this very object is there.
-
-    The object is written aside and renamed into the slot, which fails if the slot is taken; so readers see whole objects
-    only, and of two writers one is told. Needs a file system whose rename is atomic.
-    """
-    if len(content) == 0:
-        raise ValueError("an empty object says nothing")
-    jvm = spark._jvm
-    conf = spark._jsparkSession.sessionState().newHadoopConf()
-    path = jvm.org.apache.hadoop.fs.Path
-    target, aside = path(f"{folder}/{slot:012d}"), path(f"{folder}/.{slot:012d}.{uuid.uuid4().hex}")
-    fs = target.getFileSystem(conf)
-    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf)
-    fs.mkdirs(path(folder))
-    out = fs.create(aside, False)
-    out.write(bytearray(content))
-    out.close()
-    try:
-        no_overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        files.rename(aside, target, no_overwrite)
-        return True
-    except Exception:
-        fs.delete(aside, False)
-        if not fs.exists(target):
-            raise
-    stream = fs.open(target)
-    try:
-        there = bytes(stream.readAllBytes())
-    finally:
-        stream.close()
-    if there != content:
-        raise SlotTaken(f"slot {slot} of {folder} holds another object")
-    return False
-
-
 def run(stream: DataFrame, sink: Sink, checkpoint: str) -> None:
     """Take what is there and stop; a later run goes on after it."""
     stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
@@ -162,5 +130,10 @@ def write_sorted(df: DataFrame, path: str, sort: list[str], bloom: list[str] = (
 
 
 def replace_days(df: DataFrame, path: str, day: str) -> None:
-    """Rebuilt days take the place of old ones, other days stay."""
+    """Rebuilt days take the place of old ones, other days stay. A reader may see days half replaced; swap_days() has no such moment."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+
+
+def swap_days(df: DataFrame, path: str, day: str) -> int:
+    """The same for a table of snapshots, all days at once. Snapshots(path, day).read() is the table, before or after; returns the manifest's number."""
+    return Snapshots(path, day).replace(df)

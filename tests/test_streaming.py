@@ -68,8 +68,8 @@ def test_ingest_survives_a_kill_after_each_write(spark, tmp_path, monkeypatch):
         return {t: sorted(map(str, spark.read.parquet(path[t]).drop("ingest_id").collect())) for t in tables}, len(writes)
 
     want, n = ingest("clean", None)
-    assert len(want["table"]) == 30 and len(want["agg2"]) == 30 and n == 24
-    for k in range(1, 9):
+    assert len(want["table"]) == 30 and len(want["agg2"]) == 30 and n == 26
+    for k in range(1, 11):
         assert ingest(f"killed{k}", k)[0] == want, k
 
 
