@@ -27,7 +27,7 @@ LOSES = 199
 #: A form occurs so many times as often as the word.
 TIMES = 5
 #: Words that share a segment, before it is made longer; segments of an automaton.
-GROUP, SHARD = 64, 50_000
+GROUP, SHARD = 64, 10_000
 
 
 def words(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LEAST_LENGTH, count: int = LEAST_COUNT) -> DataFrame:
@@ -71,14 +71,14 @@ def segments(known: DataFrame, group: int = GROUP) -> tuple[DataFrame, DataFrame
     while True:
         whole, seen = _longer(whole, ["word", "n"]), _longer(seen, ["word"])
         sizes = whole.groupBy("key").agg(F.count("*").alias("size_"), F.first(F.col("la") - F.col("p") - F.col("q")).alias("left_"))
-        sizes = written(sizes.select("key", ((F.col("size_") > group) & (F.col("left_") > 1)).alias("hot_")), "variant-segments")
-        whole = written(join_small(whole, sizes, "key", "inner", spread="word"), "variant-held")
-        seen = written(join_small(seen, sizes, "key", "inner", spread="word"), "variant-seen")
-        held.append(whole.filter("not hot_").drop("hot_"))
-        scanned.append(seen.filter("not hot_").select("word", "key"))
-        whole, seen = whole.filter("hot_"), seen.filter("hot_")
-        if whole.isEmpty():
+        # at most one key in `group` words is hot: the table is small beside the words, and most rows meet no other table
+        hot = written(sizes.filter((F.col("size_") > group) & (F.col("left_") > 1)).select("key", F.lit(True).alias("hot_")), "variant-hot")
+        whole, seen = join_small(whole, hot, "key", "left", spread="word"), join_small(seen, hot, "key", "left", spread="word")
+        held.append(whole.filter("hot_ is null").drop("hot_"))
+        scanned.append(seen.filter("hot_ is null").select("word", "key"))
+        if hot.isEmpty():
             break
+        whole, seen = written(whole.filter("hot_"), "variant-held"), written(seen.filter("hot_"), "variant-seen")
     for more in held[1:]:
         held[0] = held[0].unionByName(more)
     for more in scanned[1:]:
