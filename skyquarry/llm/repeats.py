@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bitmap, carried, has_bits, join_hot, join_small, limited_batches, places_of_bits, rehash, ship, table, written
+from .common import bitmap, carried, has_bits, join_small, limited_batches, places_of_bits, rehash, ship, table, written
 from .suffixes import repeated_places
 
 ship(__name__)
@@ -143,7 +143,7 @@ OCCURRENCES = "m long, s binary, digest binary, at long, own boolean, data binar
 def occurrences(rows: DataFrame, k: int, least: int, passes=None) -> DataFrame:
     """(digest, data) -> segments: mark, digest of the bytes, text and place, own, bytes.
 
-    passes: a broadcast (filter, bits) of marks; others are left out.
+    passes: a _filter() of marks; others are left out.
     """
 
     def each(batches):
@@ -151,10 +151,7 @@ def occurrences(rows: DataFrame, k: int, least: int, passes=None) -> DataFrame:
         for batch in batches:
             ids, texts = _fresh(batch, seen)
             for piece, begin, count, mark, own, pieces, joined, begins in segments(texts, k, least):
-                good = np.ones(len(mark), bool)
-                if passes is not None:
-                    filter_, bits = passes.value
-                    good = has_bits(filter_, places_of_bits(mark, bits)) & has_bits(filter_, places_of_bits(rehash(mark), bits))
+                good = np.ones(len(mark), bool) if passes is None else _inside(passes, mark)
                 piece, begin, count, mark, own = (x[good] for x in (piece, begin, count, mark, own))
                 data = [joined[b : b + c + least - 1] for b, c in zip(begin.tolist(), count.tolist())]
                 yield pa.RecordBatch.from_pydict({
@@ -179,16 +176,25 @@ def _shards(least: int):
         return pa.RecordBatch.from_pydict({"s": pa.array(s, pa.binary()), "lo": pa.array(lo, pa.int64()), "hi": pa.array(hi, pa.int64())})
 
     def each(batches):
-        held, size, before = [], 0, None
-        for batch in batches:
-            for m, s, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if size >= SHARD and m != before:
+        held, size = [], 0
+        same, own, before = [], False, None  # segments of one mark: alone, and without itself in it, there is nothing to find
+
+        def rows():
+            for batch in batches:
+                yield from zip(*(batch.column(i).to_pylist() for i in range(4)))
+            yield None, None, False, b""
+
+        for m, s, o, x in rows():
+            if m != before:
+                if len(same) > 1 or own:
+                    held += same
+                    size += sum(len(y) for _, y in same)
+                if held and (size >= SHARD or m is None):
                     yield found(held)
                     held, size = [], 0
-                held.append((s, x))
-                size, before = size + len(x), m
-        if held:
-            yield found(held)
+                same, own, before = [], False, m
+            same.append((s, x))
+            own |= o
 
     return each
 
@@ -196,25 +202,26 @@ def _shards(least: int):
 def repeated(found: DataFrame, least: int, group: int = GROUP, level: int = 0) -> DataFrame:
     """Segments (written) -> (digest, lo, hi): the strings of a text from place lo to before hi that begin elsewhere too."""
     segs = found.groupBy("m", "s").agg(F.count("*").alias("n"), F.max("own").alias("own"), F.first("data").alias("data"))
-    segs = written(segs, "repeats-segments")
-    sizes = segs.groupBy("m").agg(F.count("*").alias("k"), F.max("own").alias("any"), F.sum("n").alias("n_all"))
-    sizes = written(sizes.filter("k > 1 or any or n_all > 1").select("m", "k", "any"), "repeats-marks")
+    segs = written(segs, "repeats-segments", "zstd")
     # as often as its text, without an array; it still is in one if others might share a part of it
     whole = segs.filter("n > 1").select("s", F.lit(0).cast("long").alias("lo"), (F.length("data") - least + 1).cast("long").alias("hi"))
-    mixed = join_small(segs.select("m", "s", "data"), sizes.filter("k > 1 or any"), "m", "inner", spread="s")
-    deep = level + 1 < len(GRAMS)
-    cold = mixed.filter(F.col("k") <= group) if deep else mixed
-    size = cold.agg(F.sum(F.length("data")).alias("b")).first()["b"] or 0
-    cold = cold.select("m", "s", "data").repartition(size // SHARD + 1, "m").sortWithinPartitions("m")
+    cold, deep = segs.select("m", "s", "own", "data"), level + 1 < len(GRAMS)
+    size = segs.agg(F.sum(F.length("data")).alias("b")).first()["b"] or 0
+    if deep:
+        hot = written(segs.groupBy("m").agg(F.count("*").alias("k")).filter(F.col("k") > group).select("m", F.lit(True).alias("hot_")), "repeats-hot")
+        both = join_small(cold, hot, "m", "left", spread="s")  # one mark in `group` segments is hot at most
+        cold, warm = both.filter("hot_ is null").drop("hot_"), both.filter("hot_").select(F.col("s").alias("digest"), "data")
+        deep = not hot.isEmpty()
+    cold = cold.repartition(size // SHARD + 1, "m").sortWithinPartitions("m")
     parts = whole.unionByName(limited_batches(cold).mapInArrow(_shards(least), "s binary, lo long, hi long"))
-    hot = mixed.filter(F.col("k") > group).select(F.col("s").alias("digest"), "data")
-    if deep and not hot.isEmpty():
-        inner = written(occurrences(hot, max(1, round(GRAMS[level + 1] * least)), least), "repeats-found")
+    if deep:
+        inner = written(occurrences(warm, max(1, round(GRAMS[level + 1] * least)), least), "repeats-found", "zstd")
         parts = parts.unionByName(repeated(inner, least, group, level + 1).withColumnRenamed("digest", "s"))
-    parts = written(parts.groupBy("s").agg(F.collect_set(F.struct("lo", "hi")).alias("parts")), "repeats-parts")
-    places = written(found.select("s", "digest", "at").distinct(), "repeats-places")
-    out = join_hot(places, parts, "s", "inner").select("digest", "at", F.explode("parts").alias("x"))
-    return out.select("digest", (F.col("at") + F.col("x.lo")).alias("lo"), (F.col("at") + F.col("x.hi")).alias("hi")).distinct()
+    parts = parts.groupBy("s").agg(F.collect_set(F.struct("lo", "hi")).alias("parts"))
+    # a passage of many texts is one row of parts and many places: Spark splits such a key of the join
+    places = found.select("s", "digest", "at").distinct()
+    out = places.join(parts.hint("merge"), "s").select("digest", "at", F.explode("parts").alias("x"))
+    return out.select("digest", (F.col("at") + F.col("x.lo")).alias("lo"), (F.col("at") + F.col("x.hi")).alias("hi"))
 
 
 def _digest(data: Column) -> Column:
@@ -249,18 +256,37 @@ def repeats(docs: DataFrame, text: str = "text", least: int = LEAST, group: int
     long = rows.filter(F.length("data") >= least).select("digest", "data")
     k = max(1, round(GRAMS[0] * least))
     known = written(marks(long, k, least).filter("n > 1").select("m"), "repeats-known")
-    bits = min(max(FILTER_BITS[0], (16 * known.count()).bit_length()), FILTER_BITS[1])
-    again = limited_batches(known).mapInArrow(_both, "h long")
-    passes = spark.sparkContext.broadcast((bitmap(again.select(F.shiftrightunsigned("h", 64 - bits).alias("b")), bits), bits))
-    found = written(occurrences(long, k, least, passes), "repeats-found")
+    found = written(occurrences(long, k, least, _filter(known.select(F.col("m").alias("h")))), "repeats-found", "zstd")
     copies = long.groupBy("digest").agg(F.count("*").alias("n"), F.first(F.length("data")).alias("size")).filter("n > 1")
     copies = copies.select("digest", F.lit(0).cast("long").alias("lo"), (F.col("size") - least + 1).cast("long").alias("hi"))
     spans = repeated(found, least, group).unionByName(copies).groupBy("digest").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     spans = written(limited_batches(spans).select("digest", _merged(least)("lo", "hi").alias("spans")), "repeats-spans")
-    none = F.array().cast("array<struct<start: bigint, end: bigint>>")
-    out = join_hot(rows.drop("data"), spans, "digest", "left")
+    # only texts that may have spans are sent to meet them
+    rows = rows.drop("data").withColumn("may_", _passes(_filter(spans.select(F.xxhash64("digest").alias("h"))))(F.xxhash64("digest")))
+    out = rows.filter("may_").join(spans.hint("merge"), "digest", "left")
+    out = out.unionByName(rows.filter(~F.col("may_")).withColumn("spans", F.lit(None).cast(out.schema["spans"].dataType)))
     kept = [F.col("doc_")[c].alias(c) for c in docs.columns if c.lower() != "spans"]
-    return out.select(*kept, F.coalesce("spans", none).alias("spans"))
+    return out.select(*kept, F.coalesce("spans", F.array().cast(out.schema["spans"].dataType)).alias("spans"))
+
+
+def _filter(hashes: DataFrame):
+    """(h), different longs -> a broadcast (bits of two places each, logarithm of their number)."""
+    bits = min(max(FILTER_BITS[0], (16 * hashes.count()).bit_length()), FILTER_BITS[1])
+    again = limited_batches(hashes).mapInArrow(_both, "h long")
+    return hashes.sparkSession.sparkContext.broadcast((bitmap(again.select(F.shiftrightunsigned("h", 64 - bits).alias("b")), bits), bits))
+
+
+def _inside(sent, h: np.ndarray) -> np.ndarray:
+    filter_, bits = sent.value
+    return has_bits(filter_, places_of_bits(h, bits)) & has_bits(filter_, places_of_bits(rehash(h), bits))
+
+
+def _passes(sent):
+    @F.pandas_udf("boolean")
+    def passes(h: pd.Series) -> pd.Series:
+        return pd.Series(_inside(sent, h.to_numpy().view(np.uint64)), index=h.index)
+
+    return passes
 
 
 def _both(batches):
