@@ -10,6 +10,8 @@ import sys
 import tempfile
 import uuid
 import zlib
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark import cloudpickle
@@ -56,23 +58,45 @@ def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     _WRITTEN.append(path)
+    if (own := _OWN.get()) is not None:
+        own.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Tables that this driver has written.
+#: Tables that this driver has written, and those of the innermost own_tables() around the caller.
 _WRITTEN: list[str] = []
+_OWN: ContextVar[list[str] | None] = ContextVar("own_tables", default=None)
 
 
-def drop_written(spark: SparkSession, since: int = 0, last: bool = True) -> int:
-    """Delete what written() has left in the shared folder, once results that read it are saved. Returns how many.
+@contextmanager
+def own_tables():
+    """The list of paths that written() fills inside the block, in this thread; what other queries write meanwhile is not in it.
 
-    since: only tables written after so many. last: the last one too.
+    An outer block's list gets them too when the block ends.
     """
-    end = len(_WRITTEN) if last else len(_WRITTEN) - 1
-    gone = _WRITTEN[since:end]
-    del _WRITTEN[since:end]
-    paths = [spark._jvm.org.apache.hadoop.fs.Path(x) for x in gone]
-    return sum(path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True) for path in paths)
+    outer, own = _OWN.get(), []
+    token = _OWN.set(own)
+    try:
+        yield own
+    finally:
+        _OWN.reset(token)
+        if outer is not None:
+            outer += own
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> int:
+    """Delete these tables of written(), once results that read them are saved. Returns how many were there."""
+    gone = list(paths)
+    for x in gone:
+        if x in _WRITTEN:
+            _WRITTEN.remove(x)
+    found = [spark._jvm.org.apache.hadoop.fs.Path(x) for x in gone]
+    return sum(path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True) for path in found)
+
+
+def drop_written(spark: SparkSession, since: int = 0, last: bool = True) -> int:
+    """drop_tables() of all that this driver has written, by any query, after so many tables; last: the last one too."""
+    return drop_tables(spark, _WRITTEN[since : len(_WRITTEN) if last else len(_WRITTEN) - 1])
 
 
 def n_written() -> int:

@@ -29,6 +29,8 @@ from .common import bitmap, carried, has_bits, join_small, limited_batches, plac
 ship(__name__)
 
 WINDOW = 8
+#: Words of a window that are no placeholder, for its template to be evidence.
+LITERAL = 2
 #: An item of fewer words is no evidence inside a text: it is found where it is the whole text, word by word.
 LEAST_WORDS = 4
 #: An item is found where this share of its windows is, or this many words in a row.
@@ -139,7 +141,7 @@ class Template:
             here = at[:, None] + np.arange(size)
             codes, either = self.codes[here], self.either[here]
             if not either.any():
-                yield hashed(codes), at
+                yield hashed(_evidence(codes, self.low[here])), at
                 continue
             name = np.uint64(_NAME_CODE)
             if known is not None:
@@ -147,13 +149,21 @@ class Template:
             nth, count = np.cumsum(either, axis=1) - 1, either.sum(axis=1)
             for mask in range(1 << int(count.max())):
                 rows = 1 << count > mask
-                yield hashed(np.where(either[rows] & (mask >> nth[rows].clip(0) & 1 > 0), name, codes[rows])), at[rows]
+                read = np.where(either[rows] & (mask >> nth[rows].clip(0) & 1 > 0), name, codes[rows])
+                yield hashed(_evidence(read, self.low[here[rows]])), at[rows]
 
     def plain(self, at: np.ndarray, size: int) -> list[bytes]:
         """The words themselves of windows, as codes."""
         return [w.tobytes() for w in self.low[at[:, None] + np.arange(size)]] if len(at) else []
 
 
+def _evidence(codes: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Windows of templates, of which those with fewer than LITERAL words that are no placeholder stand as they are written:
+    a row of numbers or names alone is like any other, so only the same numbers or names are evidence."""
+    literal = (codes != np.uint64(_NUM_CODE)) & (codes != np.uint64(_NAME_CODE)) & (codes != np.uint64(_UNIT_CODE))
+    return np.where(literal.sum(axis=1, keepdims=True) < min(LITERAL, codes.shape[1]), low, codes)
+
+
 def hashed(codes: np.ndarray) -> np.ndarray:
     """A hash of each row of codes and of their number (modulo 2**64)."""
     out = np.full(len(codes), codes.shape[1], np.uint64)
@@ -264,16 +274,36 @@ def judge(alignments: list[list[tuple[int, bytes, bytes]]], n: int, size: int) -
     if not hits:
         return None
     most = len({i for rows in hits for i, _ in rows})
-    best, found = (0, 0, False), False
+    # of each window, what it would stand for in the text, and in which alignments
+    windows: dict[int, dict[tuple, list[int]]] = defaultdict(lambda: defaultdict(list))
+    for of, rows in enumerate(hits):
+        for i, pairs in rows:
+            windows[i][tuple(pairs)].append(of)
+    best, found, seen = (0, 0, False), False, set()
     for seed in _seeds(hits):
         to: dict[int, int] = {}
         kept: dict[int, set] = defaultdict(set)
-        for turn in (seed, enumerate(hits)):
-            for of, rows in turn:
-                for i, pairs in rows:
-                    if i not in kept[of] and all(to.get(a, b) == b for a, b in pairs):
-                        to.update(pairs)
-                        kept[of].add(i)
+
+        def add(rows):
+            for of, i, pairs in rows:
+                if i not in kept[of] and all(to.get(a, b) == b for a, b in pairs):  # noqa: B023
+                    to.update(pairs)  # noqa: B023
+                    kept[of].add(i)  # noqa: B023
+
+        add((of, i, pairs) for of, rows in seed for i, pairs in rows)
+        known = frozenset(to.items())
+        if known in seen:  # it would grow to the same set
+            continue
+        seen.add(known)
+        rest = []
+        for i, stands in windows.items():
+            slots = [a for a, _ in next(iter(stands))]
+            if all(a in to for a in slots):  # then it is looked up
+                for of in stands.get(tuple((a, to[a]) for a in slots), ()):
+                    kept[of].add(i)
+            else:
+                rest += [(of, i, pairs) for pairs, ofs in stands.items() for of in ofs]
+        add(sorted(rest))
         count = len(set().union(*kept.values()))
         run = max(map(longest, kept.values())) + size - 1
         found |= count >= SHARE * n or run >= RUN

@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, drop_written, limited_batches, n_written, ship, table, with_uid, written
+from .common import crc_mod, drop_tables, limited_batches, own_tables, ship, table, with_uid, written
 
 ship(__name__)
 
@@ -615,7 +615,7 @@ def learned(rows: DataFrame, groups: int, scorer: Scorer) -> None:
 
     The outcome depends on how the corpus is cut into files, by rounding only where no rows are alike.
     """
-    spark, since = rows.sparkSession, n_written()
+    spark = rows.sparkSession
     rows = rows.select("g", "h", "ids")
 
     def trained(net, epochs, streams, step):
@@ -640,10 +640,11 @@ def learned(rows: DataFrame, groups: int, scorer: Scorer) -> None:
     first = train(rows.filter("g = 0"), EPOCHS, STREAMS, STEP).collect()
     net.set_pieces(first)
     if groups > 1:
-        more = written(train(rows.filter("g > 0"), 1, MORE_STREAMS, MORE_STEP), "lm-networks")
+        with own_tables() as own:
+            more = written(train(rows.filter("g > 0"), 1, MORE_STREAMS, MORE_STEP), "lm-networks")
         sums = more.coalesce(64).mapInPandas(_summed, kind).repartition(PIECES, "piece").mapInPandas(_summed, kind)
         net.set_pieces([*first, *sums.collect()])
-    drop_written(spark, since)
+        drop_tables(spark, own)
 
 
 def grouped(batches):

@@ -113,3 +113,81 @@ def test_large_sides_are_not_broadcast(spark, monkeypatch):
     for df, n in ((common.join_small(big, small, "id", "left_anti", spread="t"), 66), (common.join_small(big, small, "id", "inner"), 34), (common.join_hot(big, small, "id", "inner"), 34)):
         assert df.count() == n and "SortMergeJoin" in (plan := df._jdf.queryExecution().toString())
         assert "BroadcastHashJoin" not in plan or "hot-keys" in plan
+
+
+# Windows of placeholders, and tables of other queries
+
+
+def rows_of_numbers(n, seed=1):
+    r = random.Random(seed)
+    return " ".join(str(r.randint(1, 10**6)) for _ in range(n))
+
+
+def test_numbers_are_no_evidence(spark):
+    """An item that is a row of numbers isn't found in other numbers, but in the same ones; templates with words are found with other numbers."""
+    item = "Continue the sequence: " + " ".join(str(2**i) for i in range(1, 17))
+    puzzle = "If a train leaves the station at 5 and travels 30 miles every hour how far has it come by 9"
+    bench = spark.createDataFrame([(1, item), (2, " ".join(str(2**i) for i in range(1, 17))), (3, puzzle)], "item_id long, text string")
+    texts = [(1, "Monthly rainfall by station: " + rows_of_numbers(40)), (2, "Here: " + " ".join(str(2**i) for i in range(1, 17)) + " and so on"), (3, "Text. " + puzzle.replace("30", "45").replace(" 5 ", " 7 ") + " then?"), (4, rows_of_numbers(3000))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    out = D.contaminated(docs, bench)
+    assert {(r["doc_id"], r["item_id"]) for r in out.collect()} == {(2, 1), (2, 2), (3, 3)}
+    assert sorted(r["doc_id"] for r in D.clean(docs, bench).collect()) == [1, 4]
+
+
+@pytest.mark.parametrize("n, most", [(800, 2.0), (10_000, 20.0)])
+def test_long_tables_take_little_time(spark, n, most):
+    """Numbers of period nine against n random ones: seconds as n, not as its square."""
+    import time
+
+    bench = spark.createDataFrame([(1, " ".join(str(100 + i % 9) for i in range(27)))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, rows_of_numbers(n)), (2, " ".join(str(100 + i % 9) for i in range(n)))], "doc_id long, text string")
+    D.contaminated(docs.limit(0), bench).collect()
+    began = time.time()
+    assert {r["doc_id"] for r in D.contaminated(docs, bench).collect()} == {2}
+    took = time.time() - began
+    began = time.time()
+    D.contaminated(docs.limit(1), bench).collect()
+    assert took - (time.time() - began) < most
+
+
+def test_judge_of_many_alignments():
+    """The windows of one template at 800 places, each with other numbers, are judged in about a second."""
+    import time
+
+    r = random.Random(3)
+    word = lambda x: int(x).to_bytes(8, "little")
+    own = [[1, 100 + i % 9, 2, 101 + i % 9, 3, 102 + i % 9, 4, 103 + i % 9] for i in range(20)]
+    alignments = []
+    for _ in range(800):
+        to = {100 + k: r.randint(10**4, 10**6) for k in range(12)}
+        alignments.append([(i, b"".join(word(to.get(a, a)) for a in w), b"".join(map(word, w))) for i, w in enumerate(own) if r.random() < 0.5])
+    began = time.time()
+    verdict = D.judge(alignments, 20, 8)
+    assert verdict and verdict[1] and time.time() - began < 3
+
+
+def test_other_queries_tables_stay(spark):
+    """op3 deletes what its own training has written, not what another query of the driver writes meanwhile."""
+    import threading
+
+    before = common.n_written()
+    theirs = []
+
+    def other():
+        theirs.append(written(spark.range(3), "others"))
+
+    with common.own_tables() as own:
+        mine = written(spark.range(2), "mine")
+        t = threading.Thread(target=other)
+        t.start()
+        t.join()
+    assert len(own) == 1 and common.drop_tables(spark, own) == 1 and common.n_written() == before + 1
+    assert theirs[0].count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist"):
+        mine.count()
+    with common.own_tables() as outer:
+        with common.own_tables() as inner:
+            written(spark.range(1), "inner")
+        written(spark.range(1), "outer")
+    assert len(inner) == 1 and len(outer) == 2

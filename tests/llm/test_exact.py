@@ -338,8 +338,14 @@ def brute_find(items, text):
             continue
         size, alignments = min(D.WINDOW, len(own)), []
         code = lambda ws: np.array([D._code(w) for _, w in ws], np.uint64).tobytes()
+
+        def hit(a, b):  # words, or the same words: placeholders alone are like any others
+            common = [x & y for (x, _), (y, _) in zip(a, b)]
+            literal = sum(any(r[0] == "w" for r in c) for c in common)
+            return all(common) and (literal >= min(D.LITERAL, size) or [w for _, w in a] == [w for _, w in b])
+
         for shift in range(-len(own), len(doc)):
-            hits = [i for i in range(len(own) - size + 1) if 0 <= i + shift <= len(doc) - size and all(own[i + j][0] & doc[i + shift + j][0] for j in range(size))]
+            hits = [i for i in range(len(own) - size + 1) if 0 <= i + shift <= len(doc) - size and hit(own[i : i + size], doc[i + shift : i + shift + size])]
             if hits:
                 alignments.append([(i, code(doc[i + shift : i + shift + size]), code(own[i : i + size])) for i in hits])
         if got := D.judge(alignments, len(own) - size + 1, size):
