@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyquarry.llm.common import drop_written, n_written, table, written
+from skyquarry.llm.common import drop_tables, own_tables, table, written
 from skyquarry.llm.decontamination import clean
 from skyquarry.llm.mixing import mix
 from skyquarry.llm.quality_rules import kept_documents
@@ -54,9 +54,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows. Once a stage is written, what it and the ones before it have written goes; the result's own
-    table stays until drop_written(). One run at a time in a driver."""
-    docs, since = table(spark, sf_dir, "documents"), n_written()
+    table stays until drop_written(). Tables of other queries of the driver are left alone."""
+    docs, held = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        drop_written(spark, since, last=False)
+        with own_tables() as own:
+            docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_tables(spark, held + own[:-1])
+        held = own[-1:]
     return docs
