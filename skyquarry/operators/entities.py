@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import content_id, empty_matches, matches
+from .work import ON, Slices, blocks, digits, written
 
 FOREVER = 1 << 62
 #: Parts over which claims about all entities are repeated.
@@ -140,32 +141,16 @@ def intervals(claims: DataFrame, st: int, trust: int) -> DataFrame:
     edges = known.select("entity", F.explode(F.array("valid_from", "valid_to")).alias("lo")).distinct()
     w = Window.partitionBy("entity").orderBy("lo")
     n = F.count("*").over(Window.partitionBy("entity"))
-    edges = edges.select("entity", "lo", F.lead("lo").over(w).alias("hi"), (F.row_number().over(w) - 1).cast("long").alias("i"), _bits(n).alias("most"))
+    edges = edges.select("entity", "lo", F.lead("lo").over(w).alias("hi"), (F.row_number().over(w) - 1).cast("long").alias("i"), digits(n).alias("most"))
     at = lambda time, name: edges.select("entity", F.col("lo").alias(time), F.col("i").alias(name))
     rows = known.filter("kind <> 'pseudonymise'").join(at("valid_from", "b"), ["entity", "valid_from"]).join(at("valid_to", "e"), ["entity", "valid_to"])
-    blocks = rows.withColumn("block", F.explode(_blocks(F.col("b"), F.col("e")))).groupBy("entity", "block.level", "block.i").agg(*_tops(trust))
+    blocks = rows.withColumn("block", F.explode(blocks(F.col("b"), F.col("e")))).groupBy("entity", "block.level", "block.i").agg(*_tops(trust))
     slices = edges.filter("hi is not null").withColumn("level", F.explode(F.sequence(F.lit(0), F.col("most"))))
     slices = slices.select("entity", "lo", "hi", "level", F.call_function("shiftright", "i", "level").alias("i"))
     top = slices.join(blocks, ["entity", "level", "i"]).groupBy("entity", "lo", "hi").agg(F.max("a").alias("a"), F.max("n").alias("n"))
     return merge_adjacent(_answers(top, ["entity", "lo", "hi"]), ["entity"], ["status", "version", "uncertain"])
 
 
-def _bits(x: Column) -> Column:
-    """The number of binary digits of x, 0 for 0."""
-    return F.when(x > 0, F.length(F.bin(x))).otherwise(0)
-
-
-def _blocks(b: Column, e: Column) -> Column:
-    """[b, e) as blocks (level, i), each of the 2**level numbers from i * 2**level on; at most two of a level."""
-    def of(level: Column) -> Column:
-        low = F.call_function("shiftright", b + F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1, level)
-        high = F.call_function("shiftright", e, level)
-        block = lambda i: F.struct(level.alias("level"), i.alias("i"))
-        return F.array(F.when((low < high) & (low % 2 == 1), block(low)), F.when((low < high) & (high % 2 == 1), block(high - 1)))
-
-    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), _bits(e)), of)))
-
-
 def merge_adjacent(rows: DataFrame, keys: list[str], same: list[str]) -> DataFrame:
     """Intervals [lo, hi) that touch and agree become one."""
     w = Window.partitionBy(*keys).orderBy("lo")
@@ -194,7 +179,8 @@ def claims_from_lanes(records: DataFrame) -> DataFrame:
 
     Claims of a lane are ordered by seq: a sync's retractions, then records as they were written; the later one counts.
     An entity's records are written in the order of their times.
-    Lanes are dealt out, and entities within a lane; only a lane's list of objects is in one task.
+    Lanes are dealt out, and entities within a lane; only a lane's list of objects is in one task. Gaps meet the rules of
+    their lane by slices of object numbers and of time, so a gap is compared with those that stand near it.
     """
     if "until" not in records.columns:
         records = records.withColumn("until", F.lit(None).cast("long"))
@@ -224,9 +210,16 @@ def claims_from_lanes(records: DataFrame) -> DataFrame:
     gaps = records.filter("kind in ('gap', 'restart')").select("lane", "n", "o", "kind", "t", "until").join(objects, ["lane", "n"])
     until = F.when(F.col("kind") == "gap", F.col("until")).otherwise(F.col("next_sync.t"))
     gaps = gaps.select("lane", "n", "o", "t", until.alias("until")).filter(F.col("until").isNull() | (F.col("until") > F.col("t")))
+    # a rule is over at a gap if what ended it was written before the gap, and for a time at or before it
     told = lambda of: (F.col(f"{of}_n") < F.col("n")) | ((F.col(f"{of}_n") == F.col("n")) & (F.col(f"{of}_o") < F.col("o")))
-    over = F.col("to_n").isNotNull() & told("to") & (F.col("to_t") <= F.col("t"))
-    lost = gaps.join(rules, "lane").filter(told("from") & (F.col("from_t") <= F.col("t")) & ~over)
+    ended = F.coalesce(told("to"), F.lit(False))
+    started = told("from") & (F.col("from_t") <= F.col("t"))
+    gaps, rules = written(gaps, "lane-gaps"), written(rules, "lane-rules")
+    order, time = Slices.of(gaps, "n"), Slices.of(gaps, "t")
+    # gaps written while a rule stood, and gaps written later for a time at which it still did
+    standing = order.points(gaps, F.col("n")).join(order.intervals(rules, F.col("from_n"), F.col("to_n")), ["lane", *ON]).filter(started & ~ended)
+    again = time.points(gaps, F.col("t")).join(time.intervals(rules.filter("to_t > from_t"), F.col("from_t"), F.col("to_t")), ["lane", *ON]).filter(started & ended & (F.col("to_t") > F.col("t")))
+    lost = standing.unionByName(again)
     lost = lost.select(*claim(F.lit("unknown"), seq("n", F.col("o") + 1), F.col("t"), F.col("until"), no_version), F.coalesce("until", "t").alias("system_from")).distinct()
     return said.unionByName(gone).unionByName(lost)
 
@@ -245,11 +238,15 @@ def lookup_chain(facts: DataFrame, steps: list[tuple[DataFrame, str, str]], defa
 
 
 def in_gaps(versions: DataFrame, gaps: DataFrame, key: str) -> DataFrame:
-    """versions with uncertain: does one begin or close inside a gap [lo, hi) of its cluster?"""
-    # gaps of a cluster are merged first, so that a version's ends meet one row at most each
-    merged = merge_overlapping(gaps, [key])
+    """versions with uncertain: does one begin or close inside a gap [lo, hi) of its cluster?
+
+    Gaps of a cluster are merged, so that a time lies in one at most, and meet times by slices, not by the cluster alone.
+    """
+    merged = written(merge_overlapping(gaps, [key]), "merged-gaps")
     ends = versions.select(key, "version", F.explode(F.array("valid_from", "closed_at")).alias("t")).filter("t is not null")
-    hit = ends.join(merged, key).filter("t >= lo and t < hi").select(key, "version").distinct().withColumn("hit_", F.lit(True))
+    time = Slices.of(merged.select(F.explode(F.array("lo", "hi")).alias("x")), "x")
+    near = time.points(ends, F.col("t")).join(time.intervals(merged, F.col("lo"), F.col("hi")), [key, *ON])
+    hit = near.filter("t >= lo and t < hi").select(key, "version").distinct().withColumn("hit_", F.lit(True))
     return versions.join(hit, [key, "version"], "left").withColumn("uncertain", F.coalesce("hit_", F.lit(False))).drop("hit_")
 
 

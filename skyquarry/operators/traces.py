@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .entities import join_as_of
 from .logs import latest_by
+from .work import written
 
 
 def time_ranges(spans: DataFrame) -> DataFrame:
@@ -24,16 +25,25 @@ def parent_child(spans: DataFrame, parents: DataFrame | None = None) -> DataFram
     return spans.filter("parent_id <> ''").join(up, ["trace_id", "parent_id"], "left")
 
 
-def depths(spans: DataFrame, most: int = 64) -> DataFrame:
-    """Spans with their depth under the root; those not reached within `most` levels get null (a lost parent, or a ring)."""
-    level = spans.filter("parent_id = ''").select("trace_id", "span_id", F.lit(0).alias("depth")).distinct()
-    done = level
-    for d in range(1, most + 1):
-        level = spans.join(level.select("trace_id", F.col("span_id").alias("parent_id")), ["trace_id", "parent_id"]).select("trace_id", "span_id", F.lit(d).alias("depth")).distinct()
-        if level.isEmpty():
-            break
-        done = done.unionByName(level)
-    return spans.join(done, ["trace_id", "span_id"], "left")
+def depths(spans: DataFrame) -> DataFrame:
+    """Spans with their depth under the root; null for those that lead to no root (a lost parent, or a ring).
+
+    By pointer doubling: each span points to an ancestor, and in each round to that one's, so a trace of depth d takes log2(d)
+    joins, each on (trace, span) and of a written table. Spans that still point on when pointers span the largest trace are in
+    a ring or below one. A span id that a trace holds more than once counts once, with its smallest parent.
+    """
+    up = spans.groupBy("trace_id", "span_id").agg(F.min("parent_id").alias("up"))
+    # up: the ancestor `depth` levels above; null once that is a root
+    far = up.select("trace_id", "span_id", F.when(F.col("up") != "", F.col("up")).alias("up"), F.when(F.col("up") != "", 1).otherwise(0).alias("depth"))
+    far = written(far, "span-pointers")
+    most, reach = far.groupBy("trace_id").count().agg(F.max("count")).first()[0] or 0, 1
+    done, going = far.filter("up is null"), far.filter("up is not null")
+    while reach <= most and not going.isEmpty():
+        there = far.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("up2_"), F.col("depth").alias("depth2_"))
+        # an inner join: what points to a span that is not there goes
+        far = written(going.join(there, ["trace_id", "up"]).select("trace_id", "span_id", F.col("up2_").alias("up"), (F.col("depth") + F.col("depth2_")).alias("depth")).unionByName(done), "span-pointers")
+        done, going, reach = far.filter("up is null"), far.filter("up is not null"), reach * 2
+    return spans.join(done.select("trace_id", "span_id", "depth"), ["trace_id", "span_id"], "left")
 
 
 def waterfall(spans: DataFrame, logs: DataFrame, trace_id: str) -> DataFrame:

@@ -45,7 +45,7 @@ def span_parent_child(spark, d):
 
 @query(SP + "SELECT d AS depth, count(*) AS n FROM (SELECT CASE WHEN s.parent_id = '' THEN 0 WHEN p.span_id IS NOT NULL THEN 1 END AS d FROM sp s LEFT JOIN sp p ON p.trace_id = s.trace_id AND p.span_id = s.parent_id AND s.parent_id <> '') GROUP BY d")
 def span_depths(spark, d):
-    return T.depths(spans(spark, d), most=3).groupBy("depth").agg(F.count("*").alias("n"))
+    return T.depths(spans(spark, d)).groupBy("depth").agg(F.count("*").alias("n"))
 
 
 @query(with_(SPANS, LOGS) + "SELECT sp.trace_id, count(*) AS spans, any_value(e.n) AS logs FROM sp JOIN (SELECT md5((event_id % 500)::VARCHAR) AS trace_id, count(*) AS n FROM ev WHERE severity = 'ERROR' GROUP BY 1) e ON e.trace_id = sp.trace_id GROUP BY sp.trace_id")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions.columns import bucket, bucket_index, items, map_get, nice_step
@@ -15,6 +12,7 @@ from ..operators import lanes
 from ..operators import metrics as M
 from ..operators import scope as S
 from ..operators import traces as T
+from ..operators.work import scratch
 from ..sources import feeds
 from ..sources.tables import DAY, HOUR, LLM, LOGS, SCORES, SPANS, T0, llm_spans, logs, read, scores, spans, with_
 from .observe import _HB, BOUNDS, _histograms
@@ -194,12 +192,12 @@ b AS (SELECT *, v IS NOT NULL AND ns IS NOT NULL AND (n2 IS NULL OR ns < n2) AS
 g AS (SELECT cluster AS lane, (s - {T0}) // {HOUR} AS n, event_id AS o, {T0} + (s - {T0}) // {HOUR} * {HOUR} AS t FROM ev WHERE event_id % 700 = 7),
 k AS (SELECT g.lane, g.n, g.o, c.entity, arg_max(c.v IS NOT NULL, (c.n, c.o)) AS alive FROM g JOIN
   (SELECT lane, n, o, entity, v, t FROM r UNION ALL SELECT lane, ns, -1, entity, NULL, {T0} + ns * {HOUR} FROM b WHERE lapsed) c ON c.lane = g.lane AND (c.n < g.n OR (c.n = g.n AND c.o < g.o)) AND c.t <= g.t GROUP BY ALL)
-SELECT kind, count(*) AS n, count(DISTINCT entity) AS entities FROM (SELECT CASE WHEN v IS NULL THEN 'retract' ELSE 'assert' END AS kind, entity FROM b
-  UNION ALL SELECT 'retract', entity FROM b WHERE lapsed UNION ALL SELECT 'unknown', entity FROM k WHERE alive) GROUP BY kind""")
+SELECT lane, entity, CASE WHEN v IS NULL THEN 'retract' ELSE 'assert' END AS kind, (n * 16777216 + o + 1)::BIGINT AS seq, v AS version, t AS valid_from, NULL::BIGINT AS valid_to FROM b
+UNION ALL SELECT lane, entity, 'retract', (ns * 16777216)::BIGINT, NULL, {T0} + ns * {HOUR}, NULL FROM b WHERE lapsed
+UNION ALL SELECT lane, entity, 'unknown', (n * 16777216 + o + 1)::BIGINT, NULL, {T0} + n * {HOUR}, {T0} + n * {HOUR} + 300 + o % 900 FROM k WHERE alive""")
 def lane_claims(spark, d):
-    """Claims out of lanes with closes, syncs and gaps, counted by kind."""
-    claims = E.claims_from_lanes(_lanes(spark, d))
-    return claims.groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("entity").alias("entities"))
+    """Claims out of lanes with closes, syncs and gaps."""
+    return E.claims_from_lanes(_lanes(spark, d)).select("lane", "entity", "kind", "seq", "version", "valid_from", "valid_to")
 
 
 @query(EV + f"SELECT user_id, min(s) AS first, max(s) AS last, count(DISTINCT producer) AS producers, count(*) AS n FROM ev WHERE s >= {LO} AND s < {HI} GROUP BY user_id")
@@ -255,23 +253,13 @@ def index_shards(spark, d):
     rows = read(spark, d, "documents").select("text", (F.col("doc_id") % 40).alias("file"))
     hours = T0 + F.col("file") * 2 * HOUR  # two days of hours
     entries = I.terms(rows, "text").withColumn("hour", hours)
-    path = f"{_shared(spark)}/index-{uuid.uuid4().hex}"
+    path = scratch(spark, "index")
     I.write_hours(entries, path)
     I.merge_day(spark, path, T0)
     out = I.look_up(spark, path, list(_ASKED), T0, T0 + 2 * DAY, {T0})
     return out.filter("cast(file as long) < 24").select("key", F.col("file").cast("long").alias("file"))
 
 
-def _shared(spark) -> str:
-    """The folder that all executors see; a temporary one in local runs without a setting."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return tempfile.mkdtemp(prefix="skyquarry-")
-
-
 # Model calls
 
 
