@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 
 def windows(points: DataFrame, series: list[str], time: str, value: str, start: int, end: int, step: int, window: int) -> DataFrame:
-    """(series.., at, n, total, first_t, first_v, last_t, grown) of the points in each window that has any, at = start, start + step, ... <= end.
+    """(series.., stamp, n, total, first_t, first_v, last_t, grown) of the points in each window that has any, stamp = start, start + step, ... <= end.
 
     total: the sum of values; grown: how far a counter rose from the window's first point to its last, where a fall is a
     restart from 0. Null values are no points; of points of a series at one time the one with the largest value counts.
@@ -34,7 +34,7 @@ def windows(points: DataFrame, series: list[str], time: str, value: str, start:
     latest = F.least(F.lit((end - start) // step), F.floor((F.col("part_") + width - 1) / each)).cast("long")
     steps = parts.filter(earliest <= latest).withColumn("k_", F.explode(F.sequence(earliest, latest)))
     out = steps.groupBy(*series, "k_").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("d").alias("d"), F.min("first").alias("first"), F.max("last_t").alias("last_t"))
-    return out.select(*series, (F.lit(start) + F.col("k_") * step).alias("at"), "n", "total", F.col("first.t").alias("first_t"), F.col("first.v").alias("first_v"), "last_t", (F.col("d") - F.col("first.d")).alias("grown"))
+    return out.select(*series, (F.lit(start) + F.col("k_") * step).alias("stamp"), "n", "total", F.col("first.t").alias("first_t"), F.col("first.v").alias("first_v"), "last_t", (F.col("d") - F.col("first.d")).alias("grown"))
 
 
 def increase(states: DataFrame, window: int) -> Column:
@@ -46,7 +46,7 @@ def increase(states: DataFrame, window: int) -> Column:
     sampled = F.col("last_t") - F.col("first_t")
     mean = sampled / (F.col("n") - 1)
     reach = lambda gap: F.when(gap >= mean * 1.1, mean / 2).otherwise(gap)
-    to_start, to_end = F.col("first_t") - (F.col("at") - window), F.col("at") - F.col("last_t")
+    to_start, to_end = F.col("first_t") - (F.col("stamp") - window), F.col("stamp") - F.col("last_t")
     zero = F.when((F.col("grown") > 0) & (F.col("first_v") >= 0), sampled * F.col("first_v") / F.col("grown"))
     begin = F.least(reach(to_start), F.coalesce(zero, reach(to_start)))
     return F.when((F.col("n") > 1) & (sampled > 0), F.col("grown") * (sampled + begin + reach(to_end)) / sampled)
@@ -63,30 +63,30 @@ def avg_over_time(states: DataFrame) -> DataFrame:
 
 
 def by(rows: DataFrame, labels: list[str], how: str = "sum") -> DataFrame:
-    """(labels.., at, v): sum, avg, min, max or count over series at each step."""
-    return rows.groupBy(*labels, "at").agg(getattr(F, how)("v").alias("v"))
+    """(labels.., stamp, v): sum, avg, min, max or count over series at each step."""
+    return rows.groupBy(*labels, "stamp").agg(getattr(F, how)("v").alias("v"))
 
 
 def top(rows: DataFrame, k: int, labels: list[str], largest: bool = True) -> DataFrame:
     """The k largest (or smallest) at each step; of equal ones the first by labels."""
-    w = Window.partitionBy("at").orderBy(F.desc("v") if largest else F.asc("v"), *labels)
+    w = Window.partitionBy("stamp").orderBy(F.desc("v") if largest else F.asc("v"), *labels)
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def quantile(rows: DataFrame, q: float, le: str, labels: list[str]) -> DataFrame:
-    """(labels.., at, v) -> quantiles of cumulative buckets (le: upper bound as text, "+Inf" the last), interpolated in a bucket.
+    """(labels.., stamp, v) -> quantiles of cumulative buckets (le: upper bound as text, "+Inf" the last), interpolated in a bucket.
 
     Buckets of a histogram are a few rows. Counts that fall from one bucket to the next are read as equal. Null without a
     bucket +Inf, without counts, and with fewer than two buckets. Beyond the last finite bound it is that bound, and in a first
     bucket whose bound is not positive its bound.
     """
     bound = F.when(F.col(le) == "+Inf", F.lit(float("inf"))).otherwise(F.col(le).cast("double"))
-    rows = rows.groupBy(*labels, "at", bound.alias("b_")).agg(F.sum("v").alias("v"))
-    b = rows.groupBy(*labels, "at").agg(F.sort_array(F.collect_list(F.struct(F.col("b_").alias("b"), F.col("v").alias("v")))).alias("s"))
+    rows = rows.groupBy(*labels, "stamp", bound.alias("b_")).agg(F.sum("v").alias("v"))
+    b = rows.groupBy(*labels, "stamp").agg(F.sort_array(F.collect_list(F.struct(F.col("b_").alias("b"), F.col("v").alias("v")))).alias("s"))
     # running maxima
     start = F.struct(F.lit(0.0).alias("most"), F.array().cast("array<double>").alias("all"))
     rising = F.aggregate("s", start, lambda a, x: F.struct(F.greatest(a["most"], x["v"]).alias("most"), F.array_append(a["all"], F.greatest(a["most"], x["v"])).alias("all")), lambda a: a["all"])
-    b = b.select(*labels, "at", F.transform("s", lambda x: x["b"]).alias("bounds"), rising.alias("counts"))
+    b = b.select(*labels, "stamp", F.transform("s", lambda x: x["b"]).alias("bounds"), rising.alias("counts"))
     n, all_ = F.size("bounds"), F.element_at("counts", -1)
     rank = F.lit(float(q)) * all_
     i = F.array_position(F.transform("counts", lambda c: c >= rank), True).cast("int") - 1
@@ -96,4 +96,4 @@ def quantile(rows: DataFrame, q: float, le: str, labels: list[str]) -> DataFrame
     inside = lo + (F.get("bounds", i) - lo) * ((rank - below) / (F.get("counts", i) - below))
     v = F.when(i == n - 1, F.get("bounds", n - 2)).when((i == 0) & (F.get("bounds", i) <= 0), F.get("bounds", i)).otherwise(inside)
     ok = (n > 1) & (F.element_at("bounds", -1) == float("inf")) & (all_ > 0)
-    return b.select(*labels, "at", F.when(ok, v).alias("v"))
+    return b.select(*labels, "stamp", F.when(ok, v).alias("v"))

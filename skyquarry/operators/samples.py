@@ -15,7 +15,7 @@ def clean_name(c: Column) -> Column:
 def labels_of(resource: Column, attributes: Column) -> Column:
     """Labels with clean names; of the same name twice, a point's attribute counts before its resource's, and of those the last."""
     both = F.concat(F.map_entries(resource), F.map_entries(attributes))
-    named = F.transform(both, lambda e: F.struct(clean_name(e["key"]).alias("key"), e["value"].alias("value")))
+    named = F.transform(both, lambda e: F.named_struct(F.lit("key"), clean_name(e["key"]), F.lit("value"), e["value"]))
     kept = F.filter(named, lambda x, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda y: y["key"] == x["key"]))
     return F.map_from_entries(F.array_sort(kept))
 
@@ -27,12 +27,12 @@ def number_text(x: Column) -> Column:
 
 
 def _sample(name: Column, value: Column, label: str | None = None, of: Column | None = None) -> Column:
-    return F.struct(name.alias("name"), F.lit(label).cast("string").alias("label"), (of if of is not None else F.lit(None)).cast("string").alias("of"), value.cast("double").alias("value"))
+    return F.named_struct(F.lit("name"), name, F.lit("label"), F.lit(label).cast("string"), F.lit("of"), (of if of is not None else F.lit(None)).cast("string"), F.lit("value"), value.cast("double"))
 
 
 def _rows(points: DataFrame, samples: Column) -> DataFrame:
     rows = points.select(labels_of(F.col("resource"), F.col("attributes")).alias("l"), F.floor(F.col("time_ns") / 1_000_000).cast("long").alias("t"), F.explode(samples).alias("s"))
-    labels = F.when(F.col("s.label").isNull(), F.col("l")).otherwise(F.map_from_entries(F.array_sort(F.array_append(F.filter(F.map_entries("l"), lambda e: e["key"] != F.col("s.label")), F.struct(F.col("s.label").alias("key"), F.col("s.of").alias("value"))))))
+    labels = F.when(F.col("s.label").isNull(), F.col("l")).otherwise(F.map_from_entries(F.array_sort(F.array_append(F.filter(F.map_entries("l"), lambda e: e["key"] != F.col("s.label")), F.named_struct(F.lit("key"), F.col("s.label"), F.lit("value"), F.col("s.of"))))))
     return rows.select("s.name", labels.alias("labels"), "t", "s.value")
 
 

@@ -38,25 +38,25 @@ def _counters(spark, d):
     return logs(spark, d).select("cluster", "metric", "s", ((F.row_number().over(w) - 1) % 20 + 1).cast("double").alias("v"))
 
 
-_WINDOWS = f"""k AS (SELECT unnest(range({START}, {END + 1}, {STEP})) AS at)"""
+_WINDOWS = f"""k AS (SELECT unnest(range({START}, {END + 1}, {STEP})) AS stamp)"""
 _COUNTERS = EV + f""", p AS (SELECT cluster, metric, s, max(v) AS v FROM (SELECT cluster, metric, s, ((row_number() OVER (PARTITION BY cluster, metric ORDER BY us, event_id) - 1) % 20 + 1)::DOUBLE AS v FROM ev) GROUP BY ALL),
 d AS (SELECT *, CASE WHEN lag(v) OVER w IS NULL THEN 0 WHEN v < lag(v) OVER w THEN v ELSE v - lag(v) OVER w END AS d FROM p WINDOW w AS (PARTITION BY cluster, metric ORDER BY s)),
 {_WINDOWS},
-x AS (SELECT cluster, metric, at, count(*) AS n, min(s) AS ft, arg_min(v, s) AS fv, max(s) AS lt, sum(v) AS total, sum(d) - arg_min(d, s) AS grown FROM d JOIN k ON s > at - {WINDOW} AND s <= at GROUP BY ALL),
-y AS (SELECT *, (lt - ft)::DOUBLE AS sampled, (lt - ft)::DOUBLE / (n - 1) AS mean, ft - (at - {WINDOW}) AS b, at - lt AS e FROM x WHERE n > 1 AND lt > ft),
-r AS (SELECT cluster, metric, at, grown * (sampled + least(CASE WHEN b >= mean * 1.1::DOUBLE THEN mean / 2 ELSE b END, CASE WHEN grown > 0 AND fv >= 0 THEN sampled * fv / grown ELSE 1e300::DOUBLE END)
+x AS (SELECT cluster, metric, stamp, count(*) AS n, min(s) AS ft, arg_min(v, s) AS fv, max(s) AS lt, sum(v) AS total, sum(d) - arg_min(d, s) AS grown FROM d JOIN k ON s > stamp - {WINDOW} AND s <= stamp GROUP BY ALL),
+y AS (SELECT *, (lt - ft)::DOUBLE AS sampled, (lt - ft)::DOUBLE / (n - 1) AS mean, ft - (stamp - {WINDOW}) AS b, stamp - lt AS e FROM x WHERE n > 1 AND lt > ft),
+r AS (SELECT cluster, metric, stamp, grown * (sampled + least(CASE WHEN b >= mean * 1.1::DOUBLE THEN mean / 2 ELSE b END, CASE WHEN grown > 0 AND fv >= 0 THEN sampled * fv / grown ELSE 1e300::DOUBLE END)
   + CASE WHEN e >= mean * 1.1::DOUBLE THEN mean / 2 ELSE e END) / sampled / {WINDOW} AS v FROM y)
 """
 
 
-@query(_COUNTERS + "SELECT cluster, at, round(sum(v), 9) AS v FROM r GROUP BY cluster, at")
+@query(_COUNTERS + "SELECT cluster, stamp, round(sum(v), 9) AS v FROM r GROUP BY cluster, stamp")
 def range_rate(spark, d):
     """sum by (cluster) (rate(counter[12h])) at 60 steps of four hours."""
     states = R.windows(_counters(spark, d), ["cluster", "metric"], "s", "v", START, END, STEP, WINDOW)
     return R.by(R.rate(states, WINDOW), ["cluster"]).withColumn("v", F.round("v", 9))
 
 
-@query(_COUNTERS + "SELECT at, metric, round(v, 9) AS v, rank FROM (SELECT at, metric, avg(total / n) AS v, row_number() OVER (PARTITION BY at ORDER BY round(avg(total / n), 9) DESC, metric) AS rank FROM x GROUP BY at, metric) WHERE rank <= 3")
+@query(_COUNTERS + "SELECT stamp, metric, round(v, 9) AS v, rank FROM (SELECT stamp, metric, avg(total / n) AS v, row_number() OVER (PARTITION BY stamp ORDER BY round(avg(total / n), 9) DESC, metric) AS rank FROM x GROUP BY stamp, metric) WHERE rank <= 3")
 def range_top_average(spark, d):
     """topk(3, avg by (metric) (avg_over_time(counter[12h])))"""
     states = R.windows(_counters(spark, d), ["cluster", "metric"], "s", "v", START, END, STEP, WINDOW)
@@ -69,10 +69,10 @@ _LE = ", ".join(f"{b}::DOUBLE" for b in BOUNDS)
 @query(EV + f""", q AS (SELECT cluster, s, us, event_id, value, unnest([{_LE}, 'inf'::DOUBLE]) AS le FROM ev),
 p AS (SELECT cluster, le, s, max(v) AS v FROM (SELECT cluster, le, s, count(*) FILTER (value <= le) OVER (PARTITION BY cluster, le ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS v FROM q) GROUP BY ALL),
 {_WINDOWS},
-g AS (SELECT cluster, le, at, (max(v) - min(v))::DOUBLE AS v FROM p JOIN k ON s > at - {WINDOW} AND s <= at GROUP BY ALL HAVING count(*) > 1),
-h AS (SELECT cluster, at, list(le ORDER BY le) AS b, list(v ORDER BY le) AS c FROM g GROUP BY ALL HAVING max(v) > 0),
+g AS (SELECT cluster, le, stamp, (max(v) - min(v))::DOUBLE AS v FROM p JOIN k ON s > stamp - {WINDOW} AND s <= stamp GROUP BY ALL HAVING count(*) > 1),
+h AS (SELECT cluster, stamp, list(le ORDER BY le) AS b, list(v ORDER BY le) AS c FROM g GROUP BY ALL HAVING max(v) > 0),
 i AS (SELECT *, 0.9::DOUBLE * c[-1] AS rank, list_position(list_transform(c, lambda x: x >= 0.9::DOUBLE * c[-1]), true) AS i FROM h)
-SELECT cluster, at, round(CASE WHEN i = len(b) THEN b[len(b) - 1] ELSE coalesce(b[i - 1], 0) + (b[i] - coalesce(b[i - 1], 0)) * ((rank - coalesce(c[i - 1], 0)) / (c[i] - coalesce(c[i - 1], 0))) END, 6) AS v FROM i""")
+SELECT cluster, stamp, round(CASE WHEN i = len(b) THEN b[len(b) - 1] ELSE coalesce(b[i - 1], 0) + (b[i] - coalesce(b[i - 1], 0)) * ((rank - coalesce(c[i - 1], 0)) / (c[i] - coalesce(c[i - 1], 0))) END, 6) AS v FROM i""")
 def range_histogram_quantile(spark, d):
     """histogram_quantile(0.9, sum by (cluster, le) (increase of the buckets within 12h))"""
     w = Window.partitionBy("cluster").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
@@ -112,7 +112,7 @@ _CONTENT = ["event_id", "us", "user_id", "metric", "value"]
 
 
 @query(EV + f"""SELECT received_day, late_part, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT CASE WHEN event_id % 3 = 0 THEN received + {40 * DAY} ELSE received END // {DAY} AS received_day,
-  CASE WHEN CASE WHEN event_id % 3 = 0 THEN received + {40 * DAY} ELSE received END - min(s) OVER (PARTITION BY batch_id, event_id % 3 = 0) > 900 THEN 1 ELSE 0 END AS late_part, value FROM ev) GROUP BY ALL""")
+  CASE WHEN s < CASE WHEN event_id % 3 = 0 THEN max(s) OVER (PARTITION BY batch_id) ELSE max(s) FILTER (event_id % 3 <> 0) OVER (PARTITION BY batch_id) END - 900 THEN 1 ELSE 0 END AS late_part, value FROM ev) GROUP BY ALL""")
 def ingest_across_days(spark, d):
     """Two thirds of all rows, then all rows forty days later: the sink takes each content key once, on its first day."""
     e = logs(spark, d)

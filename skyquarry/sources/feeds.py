@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .protobuf import decoded
 
 _VALUE = "struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean,bytesValue:string,arrayValue:string,kvlistValue:string>"
 _ATTRS = f"array<struct<key:string,value:{_VALUE}>>"
@@ -40,14 +41,15 @@ def attributes(a: Column) -> Column:
 
 
 def _walk(df: DataFrame, schema: str, outer: str, middle: str, inner: str) -> DataFrame:
-    """One row for each innermost element, with its resource and scope."""
-    rows = df.select(F.from_json("value", schema).alias("b")).select(F.explode(f"b.{outer}").alias("r"))
+    """One row for each innermost element, with its resource and scope. Requests are JSON texts (value), or protobuf (bytes)."""
+    rows = decoded(df, outer, schema) if dict(df.dtypes)["value"] == "binary" else df.select(F.from_json("value", schema).alias("b"))
+    rows = rows.select(F.explode(f"b.{outer}").alias("r"))
     rows = rows.select(attributes(F.col("r.resource.attributes")).alias("resource"), F.explode(f"r.{middle}").alias("s"))
     return rows.select("resource", F.coalesce("s.scope.name", F.lit("")).alias("scope"), F.explode(f"s.{inner}").alias("x"))
 
 
 def otlp_spans(lines: DataFrame) -> DataFrame:
-    """lines (value: an export request as JSON) -> span rows; times stay whole nanoseconds."""
+    """lines (value: an export request, as JSON or in bytes as protobuf) -> span rows; times stay whole nanoseconds."""
     rows = _walk(lines, SPAN_BATCH, "resourceSpans", "scopeSpans", "spans")
     start, end = F.col("x.startTimeUnixNano").cast("long"), F.col("x.endTimeUnixNano").cast("long")
     name = lambda of, i: F.coalesce(F.get(F.array(*map(F.lit, of)), i), F.lit(of[0]))
@@ -91,6 +93,15 @@ def otlp_metrics(lines: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
+def requests(spark: SparkSession, path: str, stream: bool = False, files_a_batch: int = 100) -> DataFrame:
+    """(value, path) of a folder of export requests in protobuf, one a file: once, or as a stream that goes on where it was."""
+    if stream:
+        rows = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", files_a_batch).load(path)
+    else:
+        rows = spark.read.format("binaryFile").load(path)
+    return rows.select(F.col("content").alias("value"), "path")
+
+
 def entity_lane(spark: SparkSession, *paths: str) -> DataFrame:
     """Lines of JSON (gzip by suffix) of an entity lane, with the file each came from."""
     schema = "lane string, n long, o long, kind string, entity string, version string, t long, until long, attrs map<string,string>"
