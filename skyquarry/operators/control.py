@@ -298,3 +298,42 @@ def skew(rows: DataFrame, key: str) -> DataFrame:
     """How unevenly rows fall on keys: quantiles of rows a key, and the largest share."""
     n = rows.groupBy(key).agg(F.count("*").alias("n"))
     return n.agg(F.count("*").alias("keys"), F.round(F.expr("percentile(n, 0.5)"), 4).alias("p50"), F.round(F.expr("percentile(n, 0.99)"), 4).alias("p99"), F.round(F.max("n") / F.sum("n"), 6).alias("top_share"))
+
+
+def scoped_watermark(published: DataFrame, clusters: list[str] | None = None, signals: list[str] | None = None, cap: int | None = None) -> DataFrame:
+    """(cluster, complete_through) for each cluster of a scope: the highest of the bounds that are sound for it. Their least is the scope's.
+
+    published: cluster (null: all of the fleet), signal (null: all signals; "": signals that are not listed), value. A bound of a
+    superset of the scope's lanes is sound: the fleet's, the cluster's, the cluster's for the signals asked for (their least, where
+    an unlisted one has the value of ""). A cluster without any, where others have some, began after `cap`, the time of the listing.
+    clusters None: one row, for the fleet, with a null cluster.
+    """
+    of = lambda cond: F.max(F.when(cond, F.col("value")))
+    each = [of(F.col("signal") == x).alias(f"s{i}_") for i, x in enumerate(signals or [])]
+    by = published.groupBy("cluster").agg(of(F.col("signal").isNull()).alias("all_"), of(F.col("signal") == "").alias("rest_"), *each)
+    one = [F.coalesce(f"s{i}_", "rest_") for i in range(len(each))]
+    sig = F.lit(None).cast("long")
+    if one:
+        known = one[0].isNotNull()
+        for x in one[1:]:
+            known = known & x.isNotNull()
+        sig = F.when(known, F.least(*one) if len(one) > 1 else one[0])
+    by = by.select("cluster", "all_", sig.alias("sig_"))
+    fleet = by.filter("cluster is null")
+    if clusters is None:
+        return fleet.select("cluster", F.greatest("all_", "sig_").alias("complete_through"))
+    asked = published.sparkSession.createDataFrame([(c,) for c in sorted(set(clusters))], "cluster string")
+    own = asked.join(by, "cluster", "left").crossJoin(F.broadcast(by.agg(F.max(F.when(F.col("cluster").isNull(), F.col("all_"))).alias("fleet_"), F.count_if(F.col("cluster").isNotNull()).alias("n_"))))  # one row
+    born = F.when((F.col("n_") > 0) & F.col("all_").isNull() & F.col("sig_").isNull(), F.lit(cap).cast("long"))
+    return own.select("cluster", F.greatest("fleet_", "all_", "sig_", born).alias("complete_through"))
+
+
+def file_skew(df: DataFrame, received: str, by: list[str]) -> DataFrame:
+    """(by.., least, median, most): seconds from the receive time of a file's rows to the time the file was written, file by file.
+
+    df is read from files; clocks that agree give what the writer takes.
+    """
+    m = F.col("_metadata")
+    files = df.select(*by, F.col(received).alias("r_"), m["file_path"].alias("f_"), F.unix_seconds(m["file_modification_time"]).alias("w_"))
+    files = files.groupBy(*by, "f_").agg((F.max("w_") - F.max("r_")).alias("d_"))
+    return files.groupBy(*by).agg(F.min("d_").alias("least"), F.percentile("d_", F.lit(0.5)).alias("median"), F.max("d_").alias("most"))

@@ -46,16 +46,26 @@ def attribute_rows(dim: DataFrame, entity: str, attributes: str) -> DataFrame:
     return dim.select(F.explode(attributes).alias("key", "value"), entity).distinct()
 
 
-def attribute_filter(facts: DataFrame, kv: DataFrame, entity: str, key: str, op: str, values: list[str]) -> DataFrame:
+def attribute_filter(facts: DataFrame, kv: DataFrame, entity: str, key: str, op: str, values: list[str], residual: str | None = None, covered: list[str] | None = None) -> DataFrame:
     """Facts whose entity's attribute satisfies `op values`, where a missing attribute reads as an empty text.
 
     If an empty text satisfies it, entities that don't are excluded (anti join); else those that do are kept (semi join).
+    residual: the map of attributes that facts carry themselves. It decides for the keys it holds, the catalog for all
+    others. covered: the keys that the catalog has; a key that is not among them is looked up in the residual alone.
     """
-    of = kv.filter(F.col("key") == key)
-    hold = matches(F.col("value"), op, values)
-    if empty_matches(op, values):
-        return facts.join(of.filter(~hold).select(entity).distinct(), entity, "left_anti")
-    return facts.join(of.filter(hold).select(entity).distinct(), entity, "left_semi")
+    of, hold = kv.filter(F.col("key") == key), matches(F.col("value"), op, values)
+    own = F.try_element_at(residual, F.lit(key)) if residual else None
+    if residual and covered is not None and key not in covered:
+        return facts.filter(matches(F.coalesce(own, F.lit("")), op, values))
+    empty = empty_matches(op, values)
+    found = of.filter(~hold if empty else hold).select(entity).distinct()
+    if not residual:
+        return facts.join(found, entity, "left_anti" if empty else "left_semi")
+    # a left join keeps each fact once, as found has an entity once
+    both = facts.join(found.withColumn("found_", F.lit(True)), entity, "left")
+    there = F.coalesce(F.map_contains_key(residual, key), F.lit(False))
+    by_catalog = F.col("found_").isNull() if empty else F.col("found_").isNotNull()
+    return both.filter(F.when(there, matches(F.coalesce(own, F.lit("")), op, values)).otherwise(by_catalog)).select(*facts.columns)
 
 
 def resource_ids(df: DataFrame, attributes: str, covered: list[str], prefix: str = "k8s.pod.label.") -> DataFrame:

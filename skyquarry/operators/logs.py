@@ -34,6 +34,29 @@ def newest(df: DataFrame, n: int, time: str, *ties: str) -> DataFrame:
     return df.orderBy(F.desc(time), *ties).limit(n)
 
 
+def newest_by_files(files: DataFrame, n: int, time: str, ties: list[str], read, first: int = 4, most: int = 100_000) -> tuple[DataFrame, int]:
+    """The last n rows by time, as newest() gives them, out of as few files as their times allow; and how many were read.
+
+    files: path, max_time (null: not known), planned, so a bounded list; read(paths) gives their rows. Files are read in waves from the
+    latest on, each twice as many as the last, until the n-th row so far is later than all that is in the files left.
+    """
+    rows = files.select("path", "max_time").orderBy(F.desc_nulls_first("max_time"), "path").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a plan of over {most} files")
+    left, wave, done, page = [(r["path"], r["max_time"]) for r in rows], first, 0, None
+    if not left:
+        raise ValueError("a plan of no files")
+    while left:
+        now, left = left[:wave], left[wave:]
+        done, wave = done + len(now), wave * 2
+        df = read([p for p, _ in now])
+        got = newest(df if page is None else df.unionByName(page), n, time, *ties).collect()  # a page of rows
+        page = files.sparkSession.createDataFrame(got, df.schema)
+        if len(got) == n and left and left[0][1] is not None and got[-1][time] > left[0][1]:
+            break
+    return newest(page, n, time, *ties), done
+
+
 def newest_then_details(df: DataFrame, n: int, time: str, key: str) -> DataFrame:
     """Late materialisation: the keys of the newest rows first, then the wide columns of just these n."""
     keys = newest(df.select(key, time), n, time, key).select(key)

@@ -142,10 +142,10 @@ def prepared_payload(text: Column, patterns: list[str], most: int = 8 << 20) ->
     out = text
     for p in patterns:
         out = F.regexp_replace(out, p, "[redacted]")
-    return F.when(F.octet_length(out) <= most, out).otherwise(_fit(out, most))
+    return F.when(F.octet_length(out) <= most, out).otherwise(fit_bytes(out, most))
 
 
-def _fit(text: Column, most: int) -> Column:
+def fit_bytes(text: Column, most: int) -> Column:
     """The longest beginning of at most `most` bytes.
 
     A character has four bytes at most, so a step may drop a quarter of the bytes too many, in characters, and never drops

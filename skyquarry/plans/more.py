@@ -6,12 +6,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import control as C
+from ..operators import entities as E
+from ..operators import logs as L
 from ..operators import ranges as R
 from ..operators import sketches
+from ..operators.offload import Policy, offload
 from ..operators.samples import samples
 from ..operators.work import scratch, written
 from ..sources import feeds
-from ..sources.tables import DAY, HOUR, LOGS, T0, logs, with_
+from ..sources.tables import DAY, HOUR, LOGS, T0, logs, read, with_
 from ..streaming.ingest import Sink, checked_receive_time, content_key, swap_days
 from ..streaming.snapshots import Snapshots
 
@@ -186,3 +189,79 @@ def prometheus_all_kinds(spark, d):
     out = samples(_metric_tables(spark, d))
     label = F.when(F.col("labels").getItem("le").isNotNull(), F.concat(F.lit("le="), F.col("labels").getItem("le"))).when(F.col("labels").getItem("quantile").isNotNull(), F.concat(F.lit("quantile="), F.col("labels").getItem("quantile"))).otherwise("")
     return out.select("name", F.col("labels").getItem("k8s_cluster").alias("cluster"), F.col("labels").getItem("user").alias("user"), label.alias("label"), "t", F.round("value", 3).alias("value"))
+
+
+# Payloads
+
+
+_SECRET = "a key of the test"
+
+
+def _offloaded(spark, d):
+    c = read(spark, d, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    c = c.withColumn("row", F.concat_ws("-", F.format_string("%09d", "conv_id"), F.format_string("%05d", "turn")))
+    attrs = F.create_map(F.lit("prompt"), F.col("text"), F.lit("password"), F.concat(F.lit("p"), F.col("turn")), F.lit("parts"), F.concat(F.lit('["a","'), F.col("turn").cast("string"), F.lit('"]')), F.lit("note"), F.lit("short"))
+    policy = Policy(keys=["prompt", "parts"], redact=["password"], split=["parts"], most=200)
+    return offload(c.withColumn("attributes", attrs), policy, F.concat(F.lit("ns"), F.col("conv_id") % 5), F.col("conv_id") % 30, _SECRET, "row")
+
+
+_OFFLOADED = f"""WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS text, 'ns' || (conv_id % 5) AS tenant, (conv_id % 30)::VARCHAR AS day FROM conversations),
+k AS (SELECT *, left(text, list_max(list_filter(range(0, 201), lambda k: strlen(left(text, k)) <= 200))::INT) AS cut,
+  unhex(sha256(encode('{_SECRET}') || unhex(sha256(encode('{_SECRET}') || encode(tenant || chr(31) || day))))) AS key FROM c),
+r AS (SELECT *, CASE WHEN text <> '' THEN sha256(key || unhex(sha256(key || encode(cut)))) END AS ref,
+  sha256(key || unhex(sha256(key || encode('a')))) AS part1, sha256(key || unhex(sha256(key || encode(turn::VARCHAR)))) AS part2 FROM k)
+"""
+
+
+@query(_OFFLOADED + """SELECT conv_id, turn, CASE WHEN ref IS NULL THEN '' ELSE '["h:' || ref || '"]' END AS prompt, '' AS password, '["h:' || part1 || '","h:' || part2 || '"]' AS parts, 'short' AS note,
+  CASE WHEN ref IS NOT NULL THEN strlen(cut)::VARCHAR END AS bytes, CASE WHEN strlen(cut) < strlen(text) THEN strlen(text)::VARCHAR END AS truncated_from, strlen('p' || turn)::VARCHAR AS redacted_from, '2' AS elements,
+  CASE WHEN ref IS NULL THEN 0 ELSE 1 END + 2 AS refs FROM r""")
+def payload_offload(spark, d):
+    """Attributes with references and markers in place of payloads."""
+    rows, _ = _offloaded(spark, d)
+    at = lambda k: F.try_element_at("attributes", F.lit(k))
+    mark = lambda k, what: at(f"otel.payload.{k}.{what}").alias(what)
+    return rows.select("conv_id", "turn", *(at(k).alias(k) for k in ("prompt", "password", "parts", "note")), mark("prompt", "bytes"), mark("prompt", "truncated_from"), mark("password", "redacted_from"), mark("parts", "elements"), F.size("payload_refs").alias("refs"))
+
+
+@query(_OFFLOADED + """, f AS (SELECT ref, cut AS content, conv_id, turn FROM r WHERE ref IS NOT NULL UNION ALL SELECT part1, 'a', conv_id, turn FROM r UNION ALL SELECT part2, turn::VARCHAR, conv_id, turn FROM r)
+SELECT ref, any_value(content) AS content, min(printf('%09d', conv_id) || '-' || printf('%05d', turn)) AS first_row FROM f GROUP BY ref""")
+def payload_first_rows(spark, d):
+    """Each payload once, with the first row that refers to it."""
+    return _offloaded(spark, d)[1]
+
+
+# Attributes that facts carry, bounds of a scope, pages out of few files
+
+
+@query(EV + """, kv AS (SELECT DISTINCT user_id, event_type AS value FROM ev WHERE event_id % 10 = 0 AND user_id % 3 <> 0)
+SELECT count(*) FILTER (CASE WHEN event_id % 4 = 0 THEN severity = 'ERROR' ELSE user_id IN (SELECT user_id FROM kv WHERE value = 'error') END) AS equal,
+  count(*) FILTER (CASE WHEN event_id % 4 = 0 THEN severity <> 'ERROR' ELSE user_id NOT IN (SELECT user_id FROM kv WHERE value = 'error') END) AS unequal, count(*) FILTER (event_id % 4 = 0 AND severity = 'ERROR') AS uncovered FROM ev""")
+def attr_filter_residual(spark, d):
+    """An attribute that some rows carry and the catalog has for others: both count, each for its own."""
+    e = logs(spark, d)
+    kv = e.filter("event_id % 10 = 0 AND user_id % 3 <> 0").select(F.lit("kind").alias("key"), F.col("event_type").alias("value"), "user_id").distinct()
+    upper = F.when(F.col("severity") == "ERROR", "error").otherwise("other")
+    facts = e.select("event_id", "user_id", F.when(F.col("event_id") % 4 == 0, F.create_map(F.lit("kind"), upper)).otherwise(F.create_map().cast("map<string,string>")).alias("residual"))
+    n = lambda name, *how, **more: E.attribute_filter(facts, kv, "user_id", "kind", *how, residual="residual", **more).agg(F.count("*").alias(name))
+    return n("equal", "=", ["error"]).crossJoin(n("unequal", "!=", ["error"])).crossJoin(n("uncovered", "=", ["error"], covered=["service"]))  # three rows of one
+
+
+@query(EV + f""", p AS (SELECT cluster, event_type AS signal, max(received) AS value FROM ev WHERE cluster <> 'c2' GROUP BY ALL), a AS (SELECT cluster, min(value) AS value FROM p GROUP BY cluster), f AS (SELECT min(value) AS value FROM a)
+SELECT x.cluster, greatest(f.value, coalesce(a.value, {T0 + DAY}), (SELECT min(value) FROM p WHERE p.cluster = x.cluster AND signal IN ('error', 'view'))) AS complete_through FROM (SELECT unnest(['c0', 'c1', 'c2']) AS cluster) x CROSS JOIN f LEFT JOIN a ON a.cluster = x.cluster""")
+def watermark_of_scope(spark, d):
+    """Bounds of three clusters for two signals, one cluster unlisted, out of what fleet and clusters have published."""
+    per = logs(spark, d).filter("cluster <> 'c2'").groupBy("cluster", F.col("event_type").alias("signal")).agg(F.max("received").alias("value"))
+    own = per.groupBy("cluster").agg(F.min("value").alias("value"))
+    published = per.unionByName(own.withColumn("signal", F.lit(None).cast("string"))).unionByName(own.agg(F.min("value").alias("value")).withColumns({"cluster": F.lit(None).cast("string"), "signal": F.lit(None).cast("string")}))
+    return C.scoped_watermark(published, ["c0", "c1", "c2"], ["error", "view"], T0 + DAY)
+
+
+@query(EV + "SELECT event_id, s, severity FROM ev ORDER BY s DESC, event_id LIMIT 50")
+def newest_by_files(spark, d):
+    """The last 50 rows out of files by their times, the latest first, no more of them than that takes."""
+    path = scratch(spark, "files")
+    logs(spark, d).select("event_id", "s", "severity").repartitionByRange(16, "s").write.parquet(path)
+    plan = feeds.manifest(spark, path).select("path", F.col("max_time"))
+    page, _ = L.newest_by_files(plan, 50, "s", ["event_id"], lambda paths: spark.read.schema("event_id long, s long, severity string").parquet(*paths), first=2)
+    return page

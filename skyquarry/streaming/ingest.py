@@ -56,6 +56,8 @@ class Sink:
                 self.ledger.claim(spark.read.parquet(self.table), "first")
             own = self.ledger.unclaimed(rows, ident).select(*rows.columns)
             self.ledger.claim(own.withColumn("ingest_id", F.lit(ident)), ident)
+            # delivered again at another time, a row keeps the day on which it was claimed, where the table has it
+            own = own.drop("received_day").join(self.ledger.claimed(own, ident), "content_key").select(*rows.columns)
             lacking = own
             if exists(spark, self.table):
                 days = [r[0] for r in own.select("received_day").distinct().limit(10_001).collect()]

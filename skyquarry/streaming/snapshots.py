@@ -169,7 +169,7 @@ class KeyLedger:
     are older than they are kept.
     """
 
-    def __init__(self, folder: str, buckets: int = 256):
+    def __init__(self, folder: str, buckets: int = 64):
         self.snapshots, self.buckets = Snapshots(folder, "bucket"), buckets
 
     def _bucket(self) -> Column:
@@ -188,6 +188,10 @@ class KeyLedger:
         others = there.filter(F.col("ingest_id") != ident).select("content_key")
         return rows.join(others, "content_key", "left_anti")
 
+    def claimed(self, rows: DataFrame, ident: str) -> DataFrame:
+        """(content_key, received_day) of what `ident` has claimed, in the buckets of rows."""
+        return self._there(rows).filter(F.col("ingest_id") == ident).groupBy("content_key").agg(F.min("received_day").alias("received_day"))
+
     def claim(self, rows: DataFrame, ident: str) -> None:
         """Enter rows (content_key, ingest_id, received_day) as brought by the batch `ident`; again, it changes nothing."""
         spark = rows.sparkSession
@@ -198,7 +202,8 @@ class KeyLedger:
         there = self._there(rows)
         if there is not None:  # a batch that compacted() has merged
             entries = entries.join(there.filter(F.col("ingest_id") == ident).select("content_key"), "content_key", "left_anti").select("content_key", "ingest_id", "received_day", "bucket")
-        self.snapshots.append(entries, ident)
+        # a file a bucket
+        self.snapshots.append(entries.repartition("bucket"), ident)
 
     def compacted(self, spark: SparkSession, keep: int | None = None, times: int = 20) -> int:
         """One version of all claims; with keep, without those of days before the newest less `keep`. Returns the manifest's number."""

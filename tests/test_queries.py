@@ -3,9 +3,9 @@
 import pytest
 from conftest import SF, same_rows
 
-from skyquarry.plans import feeds, follow, keep, observe, rest
+from skyquarry.plans import feeds, follow, keep, more, observe, rest
 
-ALL = {n: (f, m.SQL[n]) for m in (observe, follow, keep, feeds, rest) for n, f in m.QUERIES.items()}
+ALL = {n: (f, m.SQL[n]) for m in (observe, follow, keep, feeds, rest, more) for n, f in m.QUERIES.items()}
 
 
 @pytest.mark.parametrize("name", ALL)

@@ -88,6 +88,7 @@ def test_a_key_comes_once_on_any_day(spark, tmp_path):
     sink(at(86_399, [1, 2]), 0)
     sink(at(86_401, [1, 2, 3]), 1)
     sink(at(86_400 * 40, [1, 3, 4]), 2)
+    sink(at(86_400 * 90, [1, 2]), 3)  # just what the first batch held, so the same batch
     assert sorted((r["event_id"], r["received"]) for r in spark.read.parquet(table).collect()) == [(1, 86_399), (2, 86_399), (3, 86_401), (4, 86_400 * 40)]
 
 
