@@ -135,13 +135,13 @@ class Template:
         if known is not None:
             bad = np.r_[0, np.cumsum(~(known | self.either))]
             usable &= bad[size:] == bad[:-size]
-        every = np.flatnonzero(usable)
+        every, literal = np.flatnonzero(usable), np.r_[0, np.cumsum(_literal(self.codes))]
         for begin in range(0, len(every), READ):
             at = every[begin : begin + READ]
             here = at[:, None] + np.arange(size)
             codes, either = self.codes[here], self.either[here]
             if not either.any():
-                yield hashed(_evidence(codes, self.low[here])), at
+                yield hashed(_evidence(codes, literal[at + size] - literal[at], self.low, at)), at
                 continue
             name = np.uint64(_NAME_CODE)
             if known is not None:
@@ -150,18 +150,28 @@ class Template:
             for mask in range(1 << int(count.max())):
                 rows = 1 << count > mask
                 read = np.where(either[rows] & (mask >> nth[rows].clip(0) & 1 > 0), name, codes[rows])
-                yield hashed(_evidence(read, self.low[here[rows]])), at[rows]
+                yield hashed(_evidence(read, _literal(read).sum(axis=1), self.low, at[rows])), at[rows]
 
     def plain(self, at: np.ndarray, size: int) -> list[bytes]:
         """The words themselves of windows, as codes."""
         return [w.tobytes() for w in self.low[at[:, None] + np.arange(size)]] if len(at) else []
 
 
-def _evidence(codes: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """Windows of templates, of which those with fewer than LITERAL words that are no placeholder stand as they are written:
-    a row of numbers or names alone is like any other, so only the same numbers or names are evidence."""
-    literal = (codes != np.uint64(_NUM_CODE)) & (codes != np.uint64(_NAME_CODE)) & (codes != np.uint64(_UNIT_CODE))
-    return np.where(literal.sum(axis=1, keepdims=True) < min(LITERAL, codes.shape[1]), low, codes)
+def _literal(codes: np.ndarray) -> np.ndarray:
+    return (codes != np.uint64(_NUM_CODE)) & (codes != np.uint64(_NAME_CODE)) & (codes != np.uint64(_UNIT_CODE))
+
+
+def _evidence(codes: np.ndarray, literal: np.ndarray, low: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Windows of templates (at: their first words' places in low), of which those with fewer than LITERAL words that are no
+    placeholder stand as they are written: a row of numbers or names alone is like any other, so only the same ones are evidence.
+
+    literal: how many such words each has.
+    """
+    few = np.flatnonzero(literal < min(LITERAL, codes.shape[1]))
+    if len(few):
+        codes = codes.copy()
+        codes[few] = low[at[few][:, None] + np.arange(codes.shape[1])]
+    return codes
 
 
 def hashed(codes: np.ndarray) -> np.ndarray:
