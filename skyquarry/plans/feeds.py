@@ -8,6 +8,7 @@ from ..functions.columns import content_id, map_get, overlay
 from ..operators import entities as E
 from ..operators import traces as T
 from ..sources import feeds as S
+from ..sources.protobuf import requests_of
 from ..sources.tables import DAY, LLM, LOGS, SCORES, T0, llm_spans, logs, read, scores, with_
 
 QUERIES, SQL = {}, {}
@@ -24,16 +25,33 @@ def _text(key: str, value) -> "F.Column":
     return F.struct(F.lit(key).alias("key"), F.struct(value.cast("string").alias("stringValue")).alias("value"))
 
 
-@query(with_(LOGS) + "SELECT event_id, us * 1000 AS time_ns, severity, event_type AS service, 'value ' || k AS body, cluster FROM ev")
-def otlp_log_rows(spark, d):
-    """Each row as an export request in JSON, walked back into rows."""
+_LOG_ROWS = with_(LOGS) + "SELECT event_id, us * 1000 AS time_ns, severity, event_type AS service, 'value ' || k AS body, cluster FROM ev"
+
+
+def _log_requests(spark, d):
+    """Each row as an export request in JSON."""
     e = logs(spark, d)
     record = F.struct((F.col("us") * 1000).cast("string").alias("timeUnixNano"), F.col("severity").alias("severityText"), F.struct(F.concat(F.lit("value "), "k").alias("stringValue")).alias("body"), F.array(_text("event_id", F.col("event_id"))).alias("attributes"))
     request = F.struct(F.array(F.struct(F.struct(F.array(_text("service.name", F.col("event_type")), _text("cluster", F.col("cluster"))).alias("attributes")).alias("resource"), F.array(F.struct(F.array(record).alias("logRecords"))).alias("scopeLogs"))).alias("resourceLogs"))
-    rows = S.otlp_logs(e.select(F.to_json(request).alias("value")))
+    return e.select(F.to_json(request).alias("value"))
+
+
+def _log_rows(rows):
     return rows.select(map_get("attributes", "event_id").cast("long").alias("event_id"), "time_ns", "severity", "service", "body", map_get("resource", "cluster").alias("cluster"))
 
 
+@query(_LOG_ROWS)
+def otlp_log_rows(spark, d):
+    """Requests in JSON, walked back into rows."""
+    return _log_rows(S.otlp_logs(_log_requests(spark, d)))
+
+
+@query(_LOG_ROWS)
+def otlp_protobuf_rows(spark, d):
+    """The same requests in protobuf."""
+    return _log_rows(S.otlp_logs(requests_of(_log_requests(spark, d), "resourceLogs")))
+
+
 @query(with_(LOGS) + "SELECT metric, us * 1000 AS time_ns, value, user_id::VARCHAR AS u FROM ev WHERE event_type IN ('view', 'click')")
 def otlp_metric_rows(spark, d):
     """Gauges and sums out of export requests."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import control as C
 from ..operators import entities as E
 from ..operators import logs as L
+from ..operators import postings
 from ..operators import ranges as R
 from ..operators import sketches
 from ..operators.offload import Policy, offload
@@ -265,3 +266,14 @@ def newest_by_files(spark, d):
     plan = feeds.manifest(spark, path).select("path", F.col("max_time"))
     page, _ = L.newest_by_files(plan, 50, "s", ["event_id"], lambda paths: spark.read.schema("event_id long, s long, severity string").parquet(*paths), first=2)
     return page
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'apache license')")
+def index_postings(spark, d):
+    """Substring search behind postings of groups of ten documents."""
+    docs = read(spark, d, "documents").select("doc_id", "text", F.floor(F.col("doc_id") / 10).alias("file"))
+    numbers = written(postings.numbered(docs), "numbers")
+    path = scratch(spark, "postings")
+    postings.write(postings.build(docs.join(numbers, "file"), "text"), path)
+    hit = numbers.join(postings.candidates(spark.read.parquet(path), "apache license"), "ordinal", "left_semi")
+    return docs.join(hit.select("file"), "file", "left_semi").filter(F.lower("text").contains("apache license")).select("doc_id")
