@@ -418,7 +418,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
     """doc_id, item_id, windows, changed: a row for each item found in a row of docs.
 
     Repeated documents and repeated items give repeated rows; ids may be null and of any type; ties don't matter, as every
-    item found is reported. Texts are compared whole, however long.
+    item found is reported. Texts are compared whole, however long. Only the columns named are read, so others may have any
+    names; without documents or without items the result is empty.
     """
     found = matches(docs, benchmark, text)
     rows = docs.select(F.col(key).alias("doc_id"), digest_of(F.col(text)).alias("digest"))
@@ -426,7 +427,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """docs without those that hold a benchmark item; null texts stay."""
+    """docs without those that hold a benchmark item; null texts stay.
+
+    Equal rows go or stay together; columns keep their names, whatever these are; an empty table stays empty.
+    """
     found = matches(docs, benchmark, text).select(F.col("digest").alias("digest_")).distinct()
     rows = carried(docs, text=text).select("doc_", digest_of(F.col("text")).alias("digest_"), F.xxhash64("doc_").alias("spread_"))
     return join_small(rows, found, "digest_", "left_anti", spread="spread_").select("doc_.*")

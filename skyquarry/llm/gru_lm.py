@@ -677,7 +677,8 @@ def scored(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
 
     Null and empty texts are one token, the end. Null ids are not held out, and learned from. Without training documents
     every token is unknown: base_score is 0 and so is score's share of other words. Repeated rows are scored alike and all
-    counted; texts are scored whole, however long.
+    counted; texts are scored whole, however long. Of words as frequent, those smaller in bytes come first in the table. Only id
+    and text are read, so other columns may have any names. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     held = F.coalesce(crc_mod(F.col("doc_id"), HELD) == HELD_IS, F.lit(False))

@@ -119,6 +119,9 @@ def identified(docs: DataFrame, text: str = "text", lang: str = "lang", key: str
 
     Null texts and texts without a letter are UNKNOWN with score 0, as are all if nothing can be learned. Of languages at
     the same distance the first by code point wins. Null ids are not held out, and learned from.
+    Repeated rows count again and get equal predictions; texts are read whole. Only the columns named are read, so others may have
+    any names; an empty table gives an empty result. Profiles of all languages are in each task: a column of languages
+    should have hundreds of values, not one for each row.
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     held = F.coalesce(crc_mod(F.col("doc_id"), HELD) == HELD_IS, F.lit(False))

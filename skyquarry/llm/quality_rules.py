@@ -200,7 +200,11 @@ def judged(df: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """docs without those that the rules reject. Texts are measured once, and written with their measures."""
+    """docs without those that the rules reject. Texts are measured once, and written with their measures.
+
+    Null and empty texts have no words and are rejected; equal rows are judged alike; columns keep their names, whatever
+    these are. An empty table stays empty.
+    """
     df = written(measured(carried(docs, text=text, lang=lang)).drop("text", "lang"), "quality-measures")
     return judged(df, references(df)).filter("kept").select("doc_.*")
 
@@ -209,7 +213,11 @@ COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def op7_quality_rules(spark, sf_dir):
-    """A row for each row of documents. Counts are of whole texts, however long; columns beyond the first seven are extra."""
+    """A row for each row of documents. Counts are of whole texts, however long; columns beyond the first seven are extra.
+
+    Null texts have no words. Repeated rows count again in the references and are judged alike; limits themselves are kept. Only
+    the columns named are read, so others may have any names; an empty table gives an empty result.
+    """
     docs = table(spark, sf_dir, "documents")
     df = written(measured(docs.select("doc_id", "text", "lang")).drop("text"), "quality-measures")
     return judged(df, references(df)).select("doc_id", *COLUMNS)

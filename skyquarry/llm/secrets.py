@@ -340,7 +340,11 @@ def _redact(text: pd.Series, spans: pd.Series) -> pd.Series:
 
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with each secret in the text replaced by <secret>."""
+    """docs with each secret in the text replaced by <secret>.
+
+    Null texts stay null, an empty table stays empty, and columns keep their names, whatever these are; equal rows are changed alike.
+    Spans that overlap become one <secret>.
+    """
     found = scanned(carried(docs, text=text), train(docs, text))
     # only texts with a secret pass through Python again
     plain = F.when(F.size("spans_") > 0, F.col("text"))
@@ -357,6 +361,10 @@ def digests(found: DataFrame) -> DataFrame:
 
 
 def op1_secrets(spark, sf_dir):
-    """Null texts count as empty ones. Rows are scanned one by one, so repeated rows give repeated results."""
+    """Null texts count as empty ones. Rows are scanned one by one, so repeated rows give repeated results; texts are read whole.
+
+    Only doc_id and text are read, so other columns may have any names. A candidate at the threshold is a secret. An empty
+    table gives an empty result; without base findings nothing is learned and only base spans are returned.
+    """
     docs = table(spark, sf_dir, "documents")
     return digests(scanned(docs.select("doc_id", "text"), train(docs)))

@@ -203,7 +203,8 @@ def scored(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "d
     Labels join on the id; several labels of an id count as their mean, halves as toxic; null labels not at all. Trees are
     fitted from one row of each kind on; without labels of both kinds every score is the share of toxic ones (0 without
     labels). Each row is scored by itself, so repeated rows have equal scores; texts are read whole, however long. A null id is neither held out nor
-    labelled. Null texts count as empty ones.
+    labelled. Null texts count as empty ones. Only the columns named are read, so others may have any names; an empty table gives
+    an empty result.
     """
     spark = docs.sparkSession
     given = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("y"))

@@ -121,6 +121,7 @@ def judge(pages: DataFrame, url: str = "url", key: str = "page_id", rules=RULES)
     A null URL, or one without ://, has empty host and path and is judged by the model as an empty text. Without examples
     of both sides, URLs without a rule are allowed. URLs count whole, however long; repeated rows are all examples and get
     equal verdicts; a score at the threshold is allowed, and of rules of one length the later one in RULES decides.
+    Only id and URL are read, so other columns may have any names; an empty table gives an empty result.
     """
     host, path = host_of(F.col(url)), path_of(F.col(url))
     rows = with_uid(pages.select(F.col(key).alias("page_id"), host.alias("host"), path.alias("path")))
