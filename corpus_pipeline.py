@@ -1,7 +1,11 @@
 """From documents to a mix for training: quality rules, near duplicates, benchmark passages, secrets, source weights.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each one's as Parquet and reads it again as
-the next one's docs. All but the last return the columns of docs. An empty table passes through all stages.
+the next one's docs. All but the last return the columns of docs, whatever their names. An empty table passes through all stages.
+Texts are read whole in each. Null and empty texts have no words, so the first stage drops them; a later one, given them, lets them
+stay (of equal texts, null and empty ones too, near_duplicates keeps one) and the mix takes 0 words of them. Rows alike in all
+columns are judged alike by the rules, decontamination and secrets; near_duplicates keeps the one with the smallest id (a null id
+is larger than any), of equal ids one; mixing takes rows alike in id, source and text alike.
 """
 
 from __future__ import annotations
