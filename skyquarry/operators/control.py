@@ -106,6 +106,18 @@ class Basis:
         return out
 
 
+def fleet_predicate(basis: Basis, received: str, since: Basis | None = None) -> Column:
+    """The basis as one bound for all clusters, the least of its own, for tables that don't say whose their rows are.
+
+    It may leave out rows that the bounds of single clusters would let in, and never lets in others. since: and not before
+    the least bound of an earlier basis. A basis of no cluster has no rows.
+    """
+    if not basis.bounds:
+        return F.lit(False)
+    out = F.col(received) < min(basis.bounds.values())
+    return out & (F.col(received) >= min(since.bounds.values())) if since and since.bounds else out
+
+
 def mint(complete_through: dict[str, int], clusters: set[str], max_lateness: int, signals: tuple[str, ...] = (), expires: int = NEVER) -> Basis:
     if missing := clusters - set(complete_through):
         raise ValueError(f"nothing is complete for {sorted(missing)}")

@@ -258,6 +258,13 @@ def watermark_of_scope(spark, d):
     return C.scoped_watermark(published, ["c0", "c1", "c2"], ["error", "view"], T0 + DAY)
 
 
+@query(EV + f"SELECT cluster, count(*) AS n FROM ev WHERE received >= {T0 + 2 * DAY} AND received < {T0 + 6 * DAY} GROUP BY cluster")
+def basis_of_fleet(spark, d):
+    """Rows at one bound for all clusters that an earlier basis did not have."""
+    now, before = C.Basis({"c0": T0 + 8 * DAY, "c1": T0 + 6 * DAY, "c2": T0 + 9 * DAY}), C.Basis({"c0": T0 + 2 * DAY, "c1": T0 + 3 * DAY})
+    return logs(spark, d).filter(C.fleet_predicate(now, "received", before)).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
 @query(EV + "SELECT event_id, s, severity FROM ev ORDER BY s DESC, event_id LIMIT 50")
 def newest_by_files(spark, d):
     """The last 50 rows out of files by their times, the latest first, no more of them than that takes."""
