@@ -154,10 +154,10 @@ def intervals(claims: DataFrame, st: int, trust: int) -> DataFrame:
     edges = edges.select("entity", "lo", F.lead("lo").over(w).alias("hi"), (F.row_number().over(w) - 1).cast("long").alias("i"), digits(n).alias("most"))
     at = lambda time, name: edges.select("entity", F.col("lo").alias(time), F.col("i").alias(name))
     rows = known.filter("kind <> 'pseudonymise'").join(at("valid_from", "b"), ["entity", "valid_from"]).join(at("valid_to", "e"), ["entity", "valid_to"])
-    blocks = rows.withColumn("block", F.explode(blocks(F.col("b"), F.col("e")))).groupBy("entity", "block.level", "block.i").agg(*_tops(trust))
+    covered = rows.withColumn("block", F.explode(blocks(F.col("b"), F.col("e")))).groupBy("entity", "block.level", "block.i").agg(*_tops(trust))
     slices = edges.filter("hi is not null").withColumn("level", F.explode(F.sequence(F.lit(0), F.col("most"))))
     slices = slices.select("entity", "lo", "hi", "level", F.call_function("shiftright", "i", "level").alias("i"))
-    top = slices.join(blocks, ["entity", "level", "i"]).groupBy("entity", "lo", "hi").agg(F.max("a").alias("a"), F.max("n").alias("n"))
+    top = slices.join(covered, ["entity", "level", "i"]).groupBy("entity", "lo", "hi").agg(F.max("a").alias("a"), F.max("n").alias("n"))
     return merge_adjacent(_answers(top, ["entity", "lo", "hi"]), ["entity"], ["status", "version", "uncertain"])
 
 
