@@ -140,17 +140,20 @@ class Template:
             at = every[begin : begin + READ]
             here = at[:, None] + np.arange(size)
             codes, either = self.codes[here], self.either[here]
+            words = literal[at + size] - literal[at]
             if not either.any():
-                yield hashed(_evidence(codes, literal[at + size] - literal[at], self.low, at)), at
+                yield hashed(_evidence(codes, words, self.low, at)), at
                 continue
             name = np.uint64(_NAME_CODE)
             if known is not None:
-                codes, either = np.where(either & ~known[here], name, codes), either & known[here]
+                named = either & ~known[here]
+                words = words - named.sum(axis=1)
+                codes, either = np.where(named, name, codes), either & known[here]
             nth, count = np.cumsum(either, axis=1) - 1, either.sum(axis=1)
             for mask in range(1 << int(count.max())):
                 rows = 1 << count > mask
                 read = np.where(either[rows] & (mask >> nth[rows].clip(0) & 1 > 0), name, codes[rows])
-                yield hashed(_evidence(read, _literal(read).sum(axis=1), self.low, at[rows])), at[rows]
+                yield hashed(_evidence(read, words[rows] - mask.bit_count(), self.low, at[rows])), at[rows]
 
     def plain(self, at: np.ndarray, size: int) -> list[bytes]:
         """The words themselves of windows, as codes."""
