@@ -12,14 +12,31 @@ def clean_name(c: Column) -> Column:
     return F.when(c.rlike("^[0-9]"), F.concat(F.lit("_"), c)).otherwise(c)
 
 
-def labels_of(resource: Column, attributes: Column) -> Column:
-    """Labels with clean names; of the same name twice, a point's attribute counts before its resource's, and of those the last."""
-    both = F.concat(F.map_entries(resource), F.map_entries(attributes))
-    named = F.transform(both, lambda e: F.named_struct(F.lit("key"), clean_name(e["key"]), F.lit("value"), e["value"]))
+def _one_by_one(entries: Column) -> Column:
+    """Entries with clean names -> a map; of the same name twice the last counts. One at a time, for names that are odd."""
+    named = F.transform(entries, lambda e: F.named_struct(F.lit("key"), clean_name(e["key"]), F.lit("value"), e["value"]))
     kept = F.filter(named, lambda x, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda y: y["key"] == x["key"]))
     return F.map_from_entries(F.array_sort(kept))
 
 
+def labels_of(resource: Column, attributes: Column) -> Column:
+    """Labels with clean names; of the same name twice, a point's attribute counts before its resource's, and of those the last.
+
+    All names are cleaned as one text, a line each, which takes no expression for each entry. Where that gives other lines
+    than names (none at all, or a line feed in a name), entries are taken one at a time.
+    """
+    keys, values = F.concat(F.map_keys(resource), F.map_keys(attributes)), F.concat(F.map_values(resource), F.map_values(attributes))
+    text = F.regexp_replace(F.array_join(keys, "\n"), "[^a-zA-Z0-9_:\n]", "_")
+    names = F.split(F.regexp_replace(text, "(^|\n)([0-9])", "$1_$2"), "\n", -1)
+    entries = F.arrays_zip(names.alias("key"), values.alias("value"))
+    # an entry stays if its name, from the end, is first met there
+    bound = F.array(F.struct(F.reverse(names).alias("back"), entries.alias("entries")))
+    last = F.get(F.transform(bound, lambda o: F.filter(o["entries"], lambda x, i: F.array_position(o["back"], x["key"]) + i == F.size(o["back"]))), 0)
+    plain = F.when(F.size(F.array_distinct(names)) == F.size(names), entries).otherwise(last)
+    one_by_one = _one_by_one(F.concat(F.map_entries(resource), F.map_entries(attributes)))
+    return F.when(F.size(names) == F.size(keys), F.map_from_entries(F.sort_array(plain))).otherwise(one_by_one)
+
+
 def number_text(x: Column) -> Column:
     """A bound as the shortest text: 0.5, 10, +Inf."""
     text = F.regexp_replace(x.cast("string"), r"\.0$", "")
@@ -31,8 +48,11 @@ def _sample(name: Column, value: Column, label: str | None = None, of: Column |
 
 
 def _rows(points: DataFrame, samples: Column) -> DataFrame:
-    rows = points.select(labels_of(F.col("resource"), F.col("attributes")).alias("l"), F.floor(F.col("time_ns") / 1_000_000).cast("long").alias("t"), F.explode(samples).alias("s"))
-    labels = F.when(F.col("s.label").isNull(), F.col("l")).otherwise(F.map_from_entries(F.array_sort(F.array_append(F.filter(F.map_entries("l"), lambda e: e["key"] != F.col("s.label")), F.named_struct(F.lit("key"), F.col("s.label"), F.lit("value"), F.col("s.of"))))))
+    """points with their labels (l_) -> a row for each sample; its own label replaces one of the same name."""
+    rows = points.select(F.col("l_").alias("l"), F.floor(F.col("time_ns") / 1_000_000).cast("long").alias("t"), F.explode(samples).alias("s"))
+    own, there = F.named_struct(F.lit("key"), F.col("s.label"), F.lit("value"), F.col("s.of")), F.map_entries("l")
+    others = F.when(F.map_contains_key("l", F.col("s.label")), F.filter(there, lambda e: e["key"] != F.col("s.label"))).otherwise(there)
+    labels = F.when(F.col("s.label").isNull(), F.col("l")).otherwise(F.map_from_entries(F.sort_array(F.array_append(others, own))))
     return rows.select("s.name", labels.alias("labels"), "t", "s.value")
 
 
@@ -46,6 +66,8 @@ def samples(metrics: dict[str, DataFrame]) -> DataFrame:
     name = clean_name(F.col("metric"))
     out = []
     for kind, rows in metrics.items():
+        # once for a point, whatever follows
+        rows = rows.withColumn("l_", labels_of(F.col("resource"), F.col("attributes"))).drop("resource", "attributes")
         total = [_sample(F.concat(name, F.lit("_sum")), F.col("sum")), _sample(F.concat(name, F.lit("_count")), F.col("count"))] if kind not in ("gauge", "sum") else []
         if kind == "gauge":
             each = F.array(_sample(name, F.col("value")))
@@ -59,7 +81,7 @@ def samples(metrics: dict[str, DataFrame]) -> DataFrame:
             each = F.concat(F.coalesce(buckets, F.array().cast(buckets_type())), F.array(*total))
         elif kind == "exponentialHistogram":
             w = Window.partitionBy("metric", "series_").orderBy("time_ns", "count", "sum").rowsBetween(Window.unboundedPreceding, 0)
-            rows = rows.withColumn("series_", F.to_json(labels_of(F.col("resource"), F.col("attributes"))))
+            rows = rows.withColumn("series_", F.to_json("l_"))
             rows = rows.withColumns({"count": F.sum("count").over(w), "sum": F.sum("sum").over(w)})
             each = F.array(*total)
         else:

@@ -170,6 +170,7 @@ def _metric_tables(spark, d):
     """Gauges, sums, histograms, exponential histograms and summaries by user and day out of the events."""
     e = logs(spark, d).withColumn("day", F.floor(F.col("s") / DAY).cast("long"))
     one = e.groupBy("user_id", "cluster", "day").agg(F.round(F.sum("value"), 3).alias("sum"), F.count("*").alias("count"), F.round(F.max("value"), 3).alias("top"), F.array(*(F.count_if((F.col("value") > lo) & (F.col("value") <= hi)) for lo, hi in ((-1e300, 5.0), (5.0, 60.5), (60.5, 1e300)))).alias("counts"))
+    one = written(one, "points")  # five tables read it
     base = one.select(F.create_map(F.lit("k8s.cluster"), F.col("cluster"), F.lit("user"), F.lit("resource")).alias("resource"), F.create_map(F.lit("user"), F.col("user_id").cast("string")).alias("attributes"), (F.col("day") * DAY * 1_000_000_000).alias("time_ns"), "sum", "count", "top", "counts")
     metric = lambda name: F.lit(name).alias("metric")
     return {
