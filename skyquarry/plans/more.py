@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import control as C
@@ -38,8 +37,8 @@ def query(sql: str):
 
 def _counters(spark, d):
     """Counters by cluster and metric that begin again every 20 points."""
-    w = Window.partitionBy("cluster", "metric").orderBy("us", "event_id")
-    return logs(spark, d).select("cluster", "metric", "s", ((F.row_number().over(w) - 1) % 20 + 1).cast("double").alias("v"))
+    e = R.running(logs(spark, d).select("cluster", "metric", "s", "us", "event_id"), ["cluster", "metric"], "us", ["event_id"], {"nth": F.lit(True)}, HOUR * 1_000_000)
+    return e.select("cluster", "metric", "s", ((F.col("nth") - 1) % 20 + 1).cast("double").alias("v"))
 
 
 _WINDOWS = f"""k AS (SELECT unnest(range({START}, {END + 1}, {STEP})) AS stamp)"""
@@ -79,9 +78,12 @@ i AS (SELECT *, 0.9::DOUBLE * c[-1] AS rank, list_position(list_transform(c, lam
 SELECT cluster, stamp, round(CASE WHEN i = len(b) THEN b[len(b) - 1] ELSE coalesce(b[i - 1], 0) + (b[i] - coalesce(b[i - 1], 0)) * ((rank - coalesce(c[i - 1], 0)) / (c[i] - coalesce(c[i - 1], 0))) END, 6) AS v FROM i""")
 def range_histogram_quantile(spark, d):
     """histogram_quantile(0.9, sum by (cluster, le) (increase of the buckets within 12h))"""
-    w = Window.partitionBy("cluster").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    counts = [F.struct(F.lit("+Inf" if b is None else repr(b)).alias("le"), F.count_if(F.lit(True) if b is None else F.col("value") <= b).over(w).alias("v")) for b in [*BOUNDS, None]]
-    points = logs(spark, d).select("cluster", "s", F.array(*counts).alias("c")).select("cluster", "s", F.explode("c").alias("c")).select("cluster", "s", "c.le", F.col("c.v").cast("double").alias("v"))
+    le = {f"le{i}": F.lit(True) if b is None else F.coalesce(F.col("value") <= b, F.lit(False)) for i, b in enumerate([*BOUNDS, None])}
+    e = R.running(logs(spark, d).select("cluster", "s", "us", "event_id", "value"), ["cluster"], "us", ["event_id"], le, HOUR * 1_000_000)
+    # of a second's points the largest counts: one row for it
+    e = e.groupBy("cluster", "s").agg(*(F.max(k).alias(k) for k in le))
+    counts = [F.struct(F.lit("+Inf" if b is None else repr(b)).alias("le"), F.col(k).alias("v")) for k, b in zip(le, [*BOUNDS, None], strict=True)]
+    points = e.select("cluster", "s", F.explode(F.array(*counts)).alias("c")).select("cluster", "s", "c.le", F.col("c.v").cast("double").alias("v"))
     states = R.windows(points, ["cluster", "le"], "s", "v", START, END, STEP, WINDOW).filter("n > 1").withColumn("v", F.col("grown"))
     return R.quantile(R.by(states, ["cluster", "le"]), 0.9, "le", ["cluster"]).filter("v is not null").withColumn("v", F.round("v", 6))
 

@@ -188,3 +188,28 @@ def test_file_skew(spark, tmp_path):
     spark.createDataFrame([("p", 1000), ("p", 2000)], "producer string, received long").coalesce(1).write.parquet(str(tmp_path / "f"))
     r = C.file_skew(spark.read.parquet(str(tmp_path / "f")), "received", ["producer"]).first()
     assert r["least"] == r["most"] == r["median"] > 1_000_000_000
+
+
+def test_running_counts(spark):
+    """Counts go on from slice to slice, also over slices without rows; rows of one time by their order."""
+    r = random.Random(7)
+    rows = [(f"k{r.randint(0, 2)}", r.choice([r.randint(0, 400), r.randint(-50, 4000)]), i, r.random()) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, t long, i long, v double").repartition(5)
+    got = {x["i"]: (x["n"], x["low"]) for x in R.running(df, ["k"], "t", ["i"], {"n": F.lit(True), "low": F.col("v") <= 0.3}, 60).collect()}
+    want, seen = {}, {}
+    for k, _, i, v in sorted(rows, key=lambda x: (x[1], x[2])):
+        n, low = seen.get(k, (0, 0))
+        want[i] = seen[k] = (n + 1, low + (v <= 0.3))
+    assert got == want
+
+
+def test_no_window_over_a_whole_series_of_points(spark):
+    """Points are sorted within parts and slices of time; whole series only where their parts are added up."""
+    from conftest import SF
+
+    from skyquarry.plans import more
+
+    for query in (more.range_histogram_quantile, more.range_rate):
+        plan = query(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        windows = [x for x in plan.splitlines() if "Window [" in x and ("event_id" in x or "t_#" in x)]
+        assert windows and all("slice_#" in x or "part_#" in x for x in windows)
