@@ -32,6 +32,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt evenly to as many tasks as shuffles have, for work that costs much a row: a few files or row groups may hold all of it."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def digits(x: Column) -> Column:
     """The number of binary digits of x, 0 for 0."""
     return F.when(x > 0, F.length(F.bin(x))).otherwise(0)

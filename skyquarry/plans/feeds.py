@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import content_id, map_get, overlay
 from ..operators import entities as E
 from ..operators import traces as T
+from ..operators.work import spread
 from ..sources import feeds as S
 from ..sources.protobuf import requests_of
 from ..sources.tables import DAY, LLM, LOGS, SCORES, T0, llm_spans, logs, read, scores, with_
@@ -30,7 +31,7 @@ _LOG_ROWS = with_(LOGS) + "SELECT event_id, us * 1000 AS time_ns, severity, even
 
 def _log_requests(spark, d):
     """Each row as an export request in JSON."""
-    e = logs(spark, d)
+    e = spread(logs(spark, d).select("event_id", "us", "severity", "event_type", "k", "cluster"))
     record = F.struct((F.col("us") * 1000).cast("string").alias("timeUnixNano"), F.col("severity").alias("severityText"), F.struct(F.concat(F.lit("value "), "k").alias("stringValue")).alias("body"), F.array(_text("event_id", F.col("event_id"))).alias("attributes"))
     request = F.struct(F.array(F.struct(F.struct(F.array(_text("service.name", F.col("event_type")), _text("cluster", F.col("cluster"))).alias("attributes")).alias("resource"), F.array(F.struct(F.array(record).alias("logRecords"))).alias("scopeLogs"))).alias("resourceLogs"))
     return e.select(F.to_json(request).alias("value"))

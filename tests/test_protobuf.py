@@ -127,3 +127,19 @@ def test_written_requests(spark):
     assert rows(feeds.otlp_spans(protobuf.requests_of(lines, "resourceSpans"))) == rows(feeds.otlp_spans(both(spark, "traces")[0]))
     assert protobuf.encoded("KeyValue", {"key": "a", "value": {"intValue": "300"}}) == bytes.fromhex("0a01611203" + "18ac02")
     assert protobuf.message("Value", b"") == {}
+
+
+def test_rows_are_dealt_out(spark):
+    """One file of one row group is not one task: requests are made, written and read in all of them."""
+    from conftest import SF
+
+    from skyquarry.plans import feeds as plans
+
+    assert spark.read.parquet(f"{SF}/events.parquet").rdd.getNumPartitions() == 1
+    assert plans.otlp_protobuf_rows(spark, SF).rdd.getNumPartitions() == 4
+
+
+def test_wrong_wire_types_fail():
+    for data in (b"\x08\x01", b"\x0d\x00\x00\x00\x00"):  # a number, and four bytes, where a message stands
+        with pytest.raises(protobuf.Malformed):
+            protobuf.message("logs", data)
