@@ -5,11 +5,15 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
+import operator
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .work import written
+
 NEVER = 1 << 62
 
 
@@ -259,10 +263,13 @@ def term_index(rows: DataFrame, text: str, file: str = "file", most: float = 0.5
     """(term, file): words of each file; a term in more than `most` of all files keeps one row with a null file (all)."""
     from ..functions.columns import tokens_col
 
-    terms = rows.select(F.explode(tokens_col(F.col(text))).alias("term"), file).distinct()
+    # texts are cut into words once, into a table that the rest reads
+    terms = written(rows.select(F.explode(tokens_col(F.col(text))).alias("term"), file).distinct(), "terms")
     n = rows.select(file).distinct().count()
     often = terms.groupBy("term").agg(F.count("*").alias("n")).filter(F.col("n") > most * n).select("term")
-    return terms.join(often, "term", "left_anti").unionByName(often.withColumn(file, F.lit(None).cast(dict(terms.dtypes)[file])))
+    # they are at most 1 / most times as many as a file has words on average
+    often = written(often, "terms-often")
+    return terms.join(F.broadcast(often), "term", "left_anti").unionByName(often.withColumn(file, F.lit(None).cast(dict(terms.dtypes)[file])))
 
 
 def files_with_text(files: DataFrame, index: DataFrame, query: str, file: str = "file") -> DataFrame:
@@ -271,7 +278,9 @@ def files_with_text(files: DataFrame, index: DataFrame, query: str, file: str =
 
     wanted = term_constraints(query)
     each = [F.when(term_matches(F.col("term"), kind, run), F.lit(i)) for i, (kind, run) in enumerate(wanted)]
-    rows = index.select(file, F.explode(F.array_compact(F.array(*each))).alias("c")) if wanted else None
+    # rows of other terms go first, at the index's files
+    asked = reduce(operator.or_, (term_matches(F.col("term"), kind, run) for kind, run in wanted)) if wanted else None
+    rows = index.filter(asked).select(file, F.explode(F.array_compact(F.array(*each))).alias("c")) if wanted else None
     # constraints that a term of all files meets narrow nothing
     every = {r["c"] for r in rows.filter(F.col(file).isNull()).select("c").distinct().collect()} if wanted else set()
     need = sorted(set(range(len(wanted))) - every)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import term_constraints, term_matches, tokens_col
+from .work import written
 
 LONG, FEW = 64, 32
 
@@ -30,6 +31,7 @@ def build(rows: DataFrame, text: str, ordinal: str = "ordinal", long: int = LONG
     """Rows of files (text, ordinal) -> (term, n, few, many): in how many files a term is, and in which."""
     token = F.explode(tokens_col(F.col(text))).alias("term")
     terms = rows.select(token, F.col(ordinal).cast("long").alias("o")).withColumn("term", F.when(F.octet_length("term") > long, "").otherwise(F.col("term"))).distinct()
+    terms = written(terms, "terms")  # texts are cut into words once: counts, rare and frequent terms and the ranges of the sort read it
     n = terms.groupBy("term").agg(F.count("*").alias("n"))
     rare = terms.join(n.filter(F.col("n") <= few), "term").groupBy("term", "n").agg(F.sort_array(F.collect_list("o")).alias("o"))
     # numbers as the gaps between them, which pack better
@@ -37,7 +39,7 @@ def build(rows: DataFrame, text: str, ordinal: str = "ordinal", long: int = LONG
     often = terms.join(n.filter(F.col("n") > few), "term").groupBy("term", "n", _bucket("o").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("o") + 1)).alias("bits"))
     often = often.groupBy("term", "n").agg(F.sort_array(F.collect_list(F.struct("bucket", "bits"))).alias("many"))
     out = rare.withColumn("many", F.lit(None).cast(often.schema["many"].dataType)).unionByName(often.withColumn("few", F.lit(None).cast("array<int>")))
-    return out.repartitionByRange("term").sortWithinPartitions("term")
+    return written(out, "postings-unsorted").repartitionByRange("term").sortWithinPartitions("term")
 
 
 def _bucket(o: str):

@@ -56,3 +56,16 @@ def test_terms_reach_the_scan(spark, files, tmp_path):
     P.write(P.build(files.join(P.numbered(files), "file"), "text"), path)
     plan = P.candidates(spark.read.parquet(path), " error time")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(term,error)" in plan and "StringStartsWith(term,time)" in plan
+
+
+def test_texts_are_cut_into_words_once(spark, tmp_path):
+    """The plans of both indexes start from a table of terms, whatever reads it and however often; the look-up's terms reach its files."""
+    rows = spark.createDataFrame([(i, f"all some{i % 3} word{i} Apache") for i in range(40)], "file long, text string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    index = C.term_index(rows, "text")
+    for df in (index, P.build(rows, "text", "file")):
+        assert "split(" not in plan(df) and "Generate" not in plan(df)
+    files = rows.select("file").withColumn("covered", F.lit(True))
+    hit = C.files_with_text(files, index, "some1 word4 apache")
+    assert [r["file"] for r in hit.collect()] == [4]
+    assert "PushedFilters: [Or" in plan(hit) or "StringEndsWith" in plan(hit)
