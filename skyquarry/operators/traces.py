@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,14 +38,17 @@ def depths(spans: DataFrame) -> DataFrame:
     # up: the ancestor `depth` levels above; null once that is a root
     far = up.select("trace_id", "span_id", F.when(F.col("up") != "", F.col("up")).alias("up"), F.when(F.col("up") != "", 1).otherwise(0).alias("depth"))
     far = written(far, "span-pointers")
-    most, reach = far.groupBy("trace_id").count().agg(F.max("count")).first()[0] or 0, 1
-    done, going = far.filter("up is null"), far.filter("up is not null")
+    first, most, reach = far, 1, 1
+    # what has reached its root is in the round that it did; only pointers that go on are joined and written again
+    done, going = [far.filter("up is null")], far.filter("up is not null")
     while reach <= most and not going.isEmpty():
-        there = far.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("up2_"), F.col("depth").alias("depth2_"))
+        there = reduce(DataFrame.unionByName, [*done, going]).select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("up2_"), F.col("depth").alias("depth2_"))
         # an inner join: what points to a span that is not there goes
-        far = written(going.join(there, ["trace_id", "up"]).select("trace_id", "span_id", F.col("up2_").alias("up"), (F.col("depth") + F.col("depth2_")).alias("depth")).unionByName(done), "span-pointers")
-        done, going, reach = far.filter("up is null"), far.filter("up is not null"), reach * 2
-    return spans.join(done.select("trace_id", "span_id", "depth"), ["trace_id", "span_id"], "left")
+        far = written(going.join(there, ["trace_id", "up"]).select("trace_id", "span_id", F.col("up2_").alias("up"), (F.col("depth") + F.col("depth2_")).alias("depth")), "span-pointers")
+        done, going, reach = [*done, far.filter("up is null")], far.filter("up is not null"), reach * 2
+        if reach == 2 and not going.isEmpty():  # only if one round is not enough for all
+            most = first.groupBy("trace_id").count().agg(F.max("count")).first()[0]
+    return spans.join(reduce(DataFrame.unionByName, done).select("trace_id", "span_id", "depth"), ["trace_id", "span_id"], "left")
 
 
 def waterfall(spans: DataFrame, logs: DataFrame, trace_id: str) -> DataFrame:

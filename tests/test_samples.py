@@ -1,4 +1,4 @@
-"""Samples: labels with odd names, and what a query over all kinds reads."""
+"""Samples: labels with odd names, and what a query over all kinds reads; depths of spans."""
 
 import re
 
@@ -38,3 +38,18 @@ def test_all_kinds_read_events_once(spark):
     """Points are made once for the five kinds, not by a scan and a shuffle of the events for each."""
     plan = more.prometheus_all_kinds(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "events.parquet" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_depths_write_a_root_once(spark, monkeypatch):
+    """Spans that have their depth are not written again, and traces are only counted if one round is not enough."""
+    from skyquarry.operators import traces as T
+
+    wrote = []
+    real = T.written
+    monkeypatch.setattr(T, "written", lambda df, name: wrote.append(real(df, name)) or wrote[-1])
+    rows = [("t", f"{i}", "" if i == 0 else f"{i - 1}") for i in range(9)] + [("u", "0", ""), ("u", "1", "0"), ("r", "a", "b"), ("r", "b", "a"), ("r", "c", "b"), ("l", "x", "lost"), ("u", "1", "2")]
+    df = spark.createDataFrame(rows, "trace_id string, span_id string, parent_id string")
+    got = {(r["trace_id"], r["span_id"], r["parent_id"]): r["depth"] for r in T.depths(df).collect()}
+    assert got == {(t, s, p): int(s) if t in "tu" else None for t, s, p in rows}
+    sizes = [x.count() for x in wrote]
+    assert sizes[0] == 15 and sum(x.filter("up is null").count() for x in wrote) == 11 and sizes == sorted(sizes, reverse=True)
