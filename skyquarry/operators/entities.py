@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import content_id, empty_matches, matches
-from .work import ON, Slices, blocks, digits, written
+from .work import ON, Slices, blocks, digits, spread, written
 
 FOREVER = 1 << 62
 #: Parts over which claims about all entities are repeated.
@@ -188,7 +188,8 @@ def claims_from_lanes(records: DataFrame) -> DataFrame:
     up to a gap assert at its beginning is unknown in it; what was gone already, or is not there yet, is not.
 
     Claims of a lane are ordered by seq: a sync's retractions, then records as they were written; the later one counts.
-    An entity's records are written in the order of their times.
+    An entity's records are written in the order of their times, so at a gap one rule of it holds at most, and claims of gaps,
+    which can be as many as gaps times entities, leave their join as they are: only gaps that are told twice are made one.
     Lanes are dealt out, and entities within a lane; only a lane's list of objects is in one task. Gaps meet the rules of
     their lane by slices of object numbers and of time, so a gap is compared with those that stand near it.
     """
@@ -204,7 +205,7 @@ def claims_from_lanes(records: DataFrame) -> DataFrame:
     later = Window.partitionBy("lane").orderBy("n").rowsBetween(1, Window.unboundedFollowing)
     a_sync = F.when(F.col("sync_t").isNotNull(), F.struct(F.col("n").alias("n"), F.col("sync_t").alias("t")))
     objects = objects.select("lane", "n", F.min(a_sync).over(later).alias("next_sync"))
-    w = Window.partitionBy("lane", "entity").orderBy("n", "o")
+    w = Window.partitionBy("lane", "entity").orderBy("n", "o", "t")
     events = own.select("lane", "entity", "n", "o", "version", "t", F.lead("n").over(w).alias("n2"), F.lead("o").over(w).alias("o2"), F.lead("t").over(w).alias("t2"))
     events = events.join(objects, ["lane", "n"])
     lapsed = F.col("version").isNotNull() & F.col("next_sync").isNotNull() & (F.col("n2").isNull() | (F.col("next_sync.n") < F.col("n2")))
@@ -219,18 +220,19 @@ def claims_from_lanes(records: DataFrame) -> DataFrame:
     rules = events.filter("version is not null").select("lane", "entity", F.col("n").alias("from_n"), F.col("o").alias("from_o"), F.col("t").alias("from_t"), after["n"].alias("to_n"), after["o"].alias("to_o"), after["t"].alias("to_t"))
     gaps = records.filter("kind in ('gap', 'restart')").select("lane", "n", "o", "kind", "t", "until").join(objects, ["lane", "n"])
     until = F.when(F.col("kind") == "gap", F.col("until")).otherwise(F.col("next_sync.t"))
-    gaps = gaps.select("lane", "n", "o", "t", until.alias("until")).filter(F.col("until").isNull() | (F.col("until") > F.col("t")))
+    gaps = gaps.select("lane", "n", "o", "t", until.alias("until")).filter(F.col("until").isNull() | (F.col("until") > F.col("t"))).distinct()
     # a rule is over at a gap if what ended it was written before the gap, and for a time at or before it
     told = lambda of: (F.col(f"{of}_n") < F.col("n")) | ((F.col(f"{of}_n") == F.col("n")) & (F.col(f"{of}_o") < F.col("o")))
     ended = F.coalesce(told("to"), F.lit(False))
     started = told("from") & (F.col("from_t") <= F.col("t"))
     gaps, rules = written(gaps, "lane-gaps"), written(rules, "lane-rules")
     order, time = Slices.of(gaps, "n"), Slices.of(gaps, "t")
+    rules = spread(rules)  # a small file of rules may hold for many gaps
     # gaps written while a rule stood, and gaps written later for a time at which it still did
     standing = order.points(gaps, F.col("n")).join(order.intervals(rules, F.col("from_n"), F.col("to_n")), ["lane", *ON]).filter(started & ~ended)
     again = time.points(gaps, F.col("t")).join(time.intervals(rules.filter("to_t > from_t"), F.col("from_t"), F.col("to_t")), ["lane", *ON]).filter(started & ended & (F.col("to_t") > F.col("t")))
     lost = standing.unionByName(again)
-    lost = lost.select(*claim(F.lit("unknown"), seq("n", F.col("o") + 1), F.col("t"), F.col("until"), no_version), F.coalesce("until", "t").alias("system_from")).distinct()
+    lost = lost.select(*claim(F.lit("unknown"), seq("n", F.col("o") + 1), F.col("t"), F.col("until"), no_version), F.coalesce("until", "t").alias("system_from"))
     return said.unionByName(gone).unionByName(lost)
 
 

@@ -80,6 +80,19 @@ def test_lanes_as_claims(spark):
         assert got_claims(spark, records) == sorted(brute_claims(records), key=str)
 
 
+def test_claims_of_gaps_leave_their_join_as_they_are(spark):
+    """They can be gaps times entities, so no task may hold them to make them different; a gap told twice still counts once."""
+    records = [("a", n, o, "delta", e, "v1", 100 * n, None) for n in (1, 2) for o, e in enumerate("pqr")]
+    records += [("a", 3, 0, "gap", None, None, 300, 350), ("a", 3, 0, "gap", None, None, 300, 350), ("a", 4, 0, "gap", None, None, 150, 350)]
+    df = E.claims_from_lanes(spark.createDataFrame(records, RECORD))
+    unknown = sorted((r["entity"], r["seq"] >> 24) for r in df.filter("kind = 'unknown'").collect())
+    assert unknown == [(e, n) for e in "pqr" for n in (3, 4)]
+    plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    outermost = min((len(x) - len(x.lstrip(" :+-")) for x in plan if "Join" in x and "block_" in x))
+    above = [x for x in plan[1:] if len(x) - len(x.lstrip(" :+-")) < outermost]
+    assert not [x for x in above if "Aggregate" in x or "Distinct" in x]
+
+
 def resolved(spark, records, entity, vt):
     claims = E.claims_from_lanes(spark.createDataFrame(records, RECORD))
     rows = [r for r in E.point(claims, vt, 1 << 40, 1200).collect() if r["entity"] == entity]
