@@ -51,6 +51,9 @@ LONG_RUNS = 64
 #: Pieces in which networks are summed.
 PIECES = 16
 SCORE_STREAMS, SCORE_WINDOW = 512, 32
+#: Tokens that are scored together at least, so that the longest documents of all their batches run beside each other and beside
+#: many others, instead of a few alone at the end of each batch.
+SCORE_TOKENS = 4_000_000
 #: Rows of logits that are made at a time, so that they stay in a core's cache.
 ROWS = 1024
 #: Different words that a task holds while it counts, or twice as many in batches that are not yet put together.
@@ -375,7 +378,7 @@ class Gru:
             return total
         owner.sort(key=lambda own: -sum(len(docs[i]) for i in own))  # streams that still run come first
         flat = np.concatenate([docs[i] for own in owner for i in own])
-        which = np.repeat([i for own in owner for i in own], [len(docs[i]) for own in owner for i in own])
+        which = np.repeat(np.array([i for own in owner for i in own], np.int32), [len(docs[i]) for own in owner for i in own])
         lengths = np.array([sum(len(docs[i]) for i in own) for own in owner])
         begins = np.cumsum(lengths) - lengths
         _keep_memory()
@@ -490,6 +493,19 @@ def pack(docs: list[np.ndarray], streams: int, places: bool = False) -> list:
     return out
 
 
+def pooled(batches):
+    """Batches with ids in lists of SCORE_TOKENS tokens or a batch more; the last list may have fewer."""
+    own, n = [], 0
+    for b in batches:
+        own.append(b)
+        n += (pc.sum(pc.binary_length(b.column("ids"))).as_py() or 0) // 4
+        if n >= SCORE_TOKENS:
+            yield own
+            own, n = [], 0
+    if own:
+        yield own
+
+
 def group(word: bytes) -> int:
     return zlib.crc32(word.decode("utf-8", "surrogatepass")[-2:].encode("utf-8", "surrogatepass")) % OTHERS
 
@@ -692,10 +708,12 @@ def scored(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     sent = spark.sparkContext.broadcast(scorer.net)
 
     def part(batches):
-        for b in batches:
-            by_net = sent.value.score([np.frombuffer(x, np.int32) for x in b.column("ids").to_pylist()]) / LN10
-            own = {k: b.column(k) for k in ("uid", "doc_id", "n_tokens", "n_known", "base")}
-            yield pa.RecordBatch.from_pydict(own | {"score": pa.array(b.column("other").to_numpy() + by_net)})
+        for some in pooled(batches):
+            by_net, at = sent.value.score([np.frombuffer(x, np.int32) for b in some for x in b.column("ids").to_pylist()]) / LN10, 0
+            for b in some:
+                own = {k: b.column(k) for k in ("uid", "doc_id", "n_tokens", "n_known", "base")}
+                yield pa.RecordBatch.from_pydict(own | {"score": pa.array(b.column("other").to_numpy() + by_net[at : at + len(b)])})
+                at += len(b)
 
     parts = limited_batches(coded.select("uid", "doc_id", "n_tokens", "n_known", "base", "other", F.coalesce("ids", "rest").alias("ids")))
     kind = f"uid long, doc_id {docs.schema[key].dataType.simpleString()}, n_tokens long, n_known long, base double, score double"

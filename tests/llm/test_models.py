@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
@@ -266,6 +267,17 @@ def test_probabilities_sum_to_one():
     assert abs(p.sum() - 1) < 1e-4
 
 
+def test_lm_scores_batches_together(monkeypatch):
+    """Long documents of several batches run beside each other; no batch is lost, and their order stays."""
+    monkeypatch.setattr(gru_lm, "SCORE_TOKENS", 10)
+    batch = lambda *sizes: pa.RecordBatch.from_pydict({"ids": pa.array([bytes(4 * n) for n in sizes], pa.binary())})
+    batches = [batch(4), batch(3, 2), batch(), batch(1), batch(25), batch(2)]
+    got = list(gru_lm.pooled(iter(batches)))
+    assert [len(x) for x in got] == [4, 1, 1]
+    assert [b for x in got for b in x] == batches
+    assert list(gru_lm.pooled(iter([]))) == []
+
+
 def test_batches_change_nothing():
     """A document's score is the same alone, among others, and whatever the windows: the state is carried."""
     r = np.random.default_rng(3)
