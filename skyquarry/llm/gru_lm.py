@@ -46,6 +46,8 @@ EPOCHS, STREAMS, WINDOW, STEP = 2, 48, 32, 0.006
 MORE_STREAMS, MORE_STEP = 128, 0.004
 #: Numbers that a step of Adam changes at a time, so that all it needs of them stays in a core's cache.
 BLOCK = 16_384
+#: Steps of Adam after which its sums are decayed; till then newer gradients weigh more instead.
+DECAY = 64
 #: Runs of rows alike that are summed one by one, instead of all together.
 LONG_RUNS = 64
 #: Pieces in which networks are summed.
@@ -55,7 +57,7 @@ SCORE_STREAMS, SCORE_WINDOW = 512, 32
 #: many others, instead of a few alone at the end of each batch.
 SCORE_TOKENS = 4_000_000
 #: Rows of logits that are made at a time, so that they stay in a core's cache.
-ROWS = 1024
+ROWS = 512
 #: Different words that a task holds while it counts, or twice as many in batches that are not yet put together.
 FLUSH = 400_000
 END = b""
@@ -197,17 +199,17 @@ class Gru:
         """Adds the gradients of the loss of tokens after states, which end in a one; returns those of the states.
 
         ids rise, so every class and every token is one run of rows. An output's gradient is its probability, less one for
-        the token itself: probabilities stay undivided, the narrower sides of products are divided in their place.
+        the token itself: probabilities stay undivided (and so is the one), the narrower sides of products are divided in their
+        place.
         """
         s, p, calm = STATE, self.p, self.calm()
         kind, n = states.dtype, len(ids)
-        runs, sizes = runs_of(ids)
-        sums, tokens = np.add.reduceat(states, runs, axis=0), ids[runs]
-        edges = np.searchsorted(ids, self.first).tolist()
+        cls, edges = self.cls[ids], np.searchsorted(ids, self.first).tolist()
         # of products with exponentials, the first parts are gradients of states, the last, by a column of ones, are sums
         c = np.concatenate([p["c"], (p["cb"] + self.share_class)[None]])
         back, gc, ds = np.ascontiguousarray(c.T), np.zeros(c.T.shape, kind), np.empty((n, s + 1), kind)
         back[:, s] = 1
+        places = np.arange(ROWS) * c.shape[1]
         for begin in range(0, n, ROWS):
             here, d = states[begin : begin + ROWS], ds[begin : begin + ROWS]
             e = here @ c
@@ -215,42 +217,54 @@ class Gru:
                 e -= e.max(axis=1, keepdims=True)
             np.exp(e, out=e)
             np.matmul(e, back, out=d)
+            e.ravel()[places[: len(e)] + cls[begin : begin + ROWS]] -= d[:, s]
             gc += e.T @ (here / d[:, s:])
         ds /= ds[:, s:]
-        cls = self.cls[tokens]
-        begins = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]])
-        gc[cls[begins]] -= np.add.reduceat(sums, begins, axis=0)
         grads["c"] += gc[:, :s].T
         grads["cb"] += gc[:, s]
         w = np.concatenate([p["w"], (p["wb"] + self.share_word)[:, None]], axis=1)
         by = np.concatenate([p["w"], np.ones((len(w), 1), kind)], axis=1)
         gw, dw = np.zeros_like(w), np.zeros((n, s + 1), kind)
         dw[:, s] = 1
-        for b, f, begin, end in zip(self.first.tolist(), self.first[1:].tolist(), edges, edges[1:]):
-            if f - b < 2 or begin == end:
-                continue
-            here, d = states[begin:end], dw[begin:end]
-            e = here @ w[b:f].T
+        # exponentials of all classes lie one after another: a class's rows, each of as many numbers as the class has tokens
+        wide = np.diff(self.first)
+        wide[wide < 2] = 0  # the only token of a class is sure
+        ends = np.cumsum(wide * np.diff(edges))
+        e = np.empty(ends[-1], kind)
+        parts = [(b, f, begin, end, e[to - (f - b) * (end - begin) : to].reshape(end - begin, f - b)) for b, f, begin, end, to, m in zip(self.first.tolist(), self.first[1:].tolist(), edges, edges[1:], ends.tolist(), wide.tolist()) if m and begin < end]
+        for b, f, begin, end, own in parts:
+            np.matmul(states[begin:end], w[b:f].T, out=own)
             if not calm:
-                e -= e.max(axis=1, keepdims=True)
-            np.exp(e, out=e)
-            np.matmul(e, by[b:f], out=d)
-            np.matmul(e.T, here / d[:, s:], out=gw[b:f])
+                own -= own.max(axis=1, keepdims=True)
+        np.exp(e, out=e)
+        for b, f, begin, end, own in parts:
+            np.matmul(own, by[b:f], out=dw[begin:end])
+        at = wide[cls]
+        at = np.cumsum(at) - at + ids - self.first[cls]
+        if len(self.alone):
+            at, here = at[wide[cls] > 0], dw[wide[cls] > 0, s]
+        else:
+            here = dw[:, s]
+        e[at] -= here
+        states = states / dw[:, s:]
+        for b, f, begin, end, own in parts:
+            np.matmul(own.T, states[begin:end], out=gw[b:f])
         dw /= dw[:, s:]
         ds += dw
-        gw[tokens] -= sums
-        gw[self.alone] = 0  # the only token of a class is sure
         grads["w"] += gw[:, :s]
         grads["wb"] += gw[:, s]
         by[self.alone] = 0
-        own = by[tokens, :s] + back[cls, :s]
         ds = ds[:, :s]
-        ds -= np.repeat(own, sizes, axis=0)
+        runs, sizes = runs_of(ids)
+        ds -= np.repeat(by[ids[runs], :s] + back[cls[runs], :s], sizes, axis=0)
         return ds
 
     def train(self, docs: list[np.ndarray], epochs: int = EPOCHS, most: int = STREAMS, step: float = STEP) -> None:
         """Truncated backpropagation: gradients stop at the beginning of a window, states go on. Adam.
 
+        Adam moves a token's numbers when they are read again, by the sum of what the steps since would have moved them (their
+        least roots being the mean of these steps'), so a step's work follows the tokens of its window.
+
         Every token is learned from: documents run in `most` streams, those that are longer than a stream's share in
         several pieces, and streams that have ended are left out.
         """
@@ -270,34 +284,69 @@ class Gru:
         m, v, g = np.zeros_like(flat), np.zeros_like(flat), np.zeros_like(flat)
         self.p, grads = self._views(flat), self._views(g)
         spare = np.empty(BLOCK, flat.dtype)
+        n_x = self.p["x"].size  # those of tokens come first
+        x_p, x_m, x_v, x_g = (x[:n_x].reshape(self.p["x"].shape) for x in (flat, m, v, g))
+        sums, seen = np.zeros(2), np.zeros((len(x_p), 2))  # of steps' factors, and of these times the least roots; where tokens are
+
+        def settle(own):
+            """Tokens' numbers after all steps that they have not been moved by: without gradients, factors just add up. Returns
+            the tokens' m and v."""
+            f, by = (sums - seen[own]).T
+            least = np.divide(by, f, out=np.zeros_like(f), where=f > 0)
+            mb, vb = x_m[own], x_v[own]
+            a = np.sqrt(vb)
+            a += np.maximum(least, 1e-30).astype(np.float32)[:, None]
+            np.divide(mb, a, out=a)
+            a *= f.astype(np.float32)[:, None]
+            x_p[own] -= a
+            seen[own] = sums
+            return mb, vb
+
         t, windows = 0, range(0, int(lengths[0]), WINDOW)
         for _ in range(epochs):
             h = np.zeros((len(streams), STATE), np.float32)
             for i in windows:
+                # m and v are ten and a hundred times the means, up to the factors that undo it here and the decay since a was 0
+                a = t % DECAY
+                if a == 0 and t:
+                    settle(slice(None))
+                    sums[:], seen[:] = 0, 0
+                    m *= np.float32(0.9**DECAY)
+                    v *= np.float32(0.99**DECAY)
                 t += 1
                 k = int((lengths > i).sum())
                 here = np.arange(i, min(i + WINDOW, lengths[0]))[:, None] < lengths[:k]
+                own = np.flatnonzero(np.bincount(ids[i : i + WINDOW, :k].ravel(), minlength=len(x_p)))
+                mb, vb = settle(own)
                 h = self._window(ids[i : i + WINDOW, :k], new[i : i + WINDOW, :k], h[:k], grads, here)
                 rate = step * (1 - 0.9 * (t - 1) / (epochs * len(windows)))
-                # m and v are ten and a hundred times the means, up to the factors that undo it here
-                share, root = np.float32(1 / here.sum()), math.sqrt(0.01 / (1 - 0.99**t))
-                factor, least = np.float32(rate * 0.1 / (1 - 0.9**t) / root), np.float32(1e-7 / root)
-                for at in range(0, len(flat), BLOCK):  # in place and in blocks, as there are many more numbers than tokens in a window
-                    own = slice(at, at + BLOCK)
-                    gb, mb, vb = g[own], m[own], v[own]
+                share, square = np.float32(0.9**-a / here.sum()), np.float32((0.81 / 0.99) ** a)
+                root = math.sqrt(0.01 * 0.99**a / (1 - 0.99**t))
+                factor, least = rate * 0.1 * 0.9**a / (1 - 0.9**t) / root, 1e-7 / root
+                gb = x_g[own]
+                x_g[own] = 0
+                gb *= share
+                mb += gb
+                gb *= gb
+                gb *= square
+                vb += gb
+                x_m[own], x_v[own] = mb, vb
+                sums += factor, factor * least
+                for at in range(n_x, len(flat), BLOCK):  # in place and in blocks
+                    gb, mb, vb, of = (x[at : at + BLOCK] for x in (g, m, v, flat))
                     a = spare[: len(gb)]
                     gb *= share
-                    mb *= np.float32(0.9)
                     mb += gb
                     gb *= gb
-                    vb *= np.float32(0.99)
+                    gb *= square
                     vb += gb
                     np.sqrt(vb, out=a)
-                    a += least
+                    a += np.float32(least)
                     np.divide(mb, a, out=a)
-                    a *= factor
-                    flat[own] -= a
+                    a *= np.float32(factor)
+                    of -= a
                     gb.fill(0)
+        settle(slice(None))
 
     def _views(self, flat: np.ndarray) -> dict:
         """The arrays of the network as parts of one."""
@@ -308,56 +357,64 @@ class Gru:
         """here: which places hold a token; others, after a stream's end, add nothing."""
         s, p, (n_steps, n) = STATE, self.p, ids.shape
         kind = p["x"].dtype
-        half = np.repeat(np.array([0.5, 1], kind), [2 * s, s])  # a sigmoid is half of a tanh of half, and a half
-        gx = np.take(p["x"], ids, axis=0, mode="clip")
-        gx += p["b"]
-        gx *= half
-        zr_w, n_w = p["h"][:, : 2 * s] * kind.type(0.5), np.ascontiguousarray(p["h"][:, 2 * s :])
-        # states with a one at their end; states, gates, gated states, proposals
-        states, (old, z, r, rh, prop) = np.ones((n_steps, n, s + 1), kind), np.empty((5, n_steps, n, s), kind)
-        begins = new.any(axis=1).tolist()
-        h = h.astype(kind)
-        for t in range(n_steps):
+        # what tokens add to gates and proposals, of different tokens first; these apart, so that a step's numbers lie together
+        tokens = np.flatnonzero(np.bincount(ids.ravel(), minlength=len(p["x"])))
+        places = np.empty(len(p["x"]), np.int64)
+        places[tokens] = np.arange(len(tokens))
+        places = places[ids]
+        table = p["x"][tokens]
+        table += p["b"]
+        table[:, : 2 * s] *= 0.5  # a sigmoid is half of a tanh of half, and a half
+        table = np.ascontiguousarray(table.reshape(-1, 3, s).transpose(1, 0, 2)).reshape(-1, s)
+        gx = np.take(table, places[:, None] + np.arange(2)[:, None] * len(tokens), axis=0, mode="clip")
+        nx = np.take(table, places + 2 * len(tokens), axis=0, mode="clip")
+        zr_w, n_w = np.ascontiguousarray(p["h"][:, : 2 * s].reshape(s, 2, s).transpose(1, 0, 2)) * kind.type(0.5), np.ascontiguousarray(p["h"][:, 2 * s :])
+        # states with a one at their end; gates, gated states, proposals; states and the one after the last
+        states, zr, (rh, prop), old = np.ones((n_steps, n, s + 1), kind), np.empty((n_steps, 2, n, s), kind), np.empty((2, n_steps, n, s), kind), np.empty((n_steps + 1, n, s), kind)
+        begins, z = new.any(axis=1).tolist(), zr[:, 0]
+        old[0] = h
+        for t, (h, after, own, a, g, b, o) in enumerate(zip(old, old[1:], gx, zr, rh, nx, prop)):
             if begins[t]:
                 h[new[t]] = 0
-            old[t] = h
-            a = h @ zr_w
-            a += gx[t, :, : 2 * s]
+            np.matmul(h, zr_w, out=a)
+            a += own
             np.tanh(a, out=a)
             a *= 0.5
             a += 0.5
-            z[t], r[t] = a[:, :s], a[:, s:]
-            b = np.multiply(r[t], h, out=rh[t]) @ n_w
-            b += gx[t, :, 2 * s :]
-            np.tanh(b, out=prop[t])
-            h -= prop[t]
-            h *= z[t]
-            h += prop[t]
+            np.multiply(a[1], h, out=g)
+            np.matmul(g, n_w, out=o)
+            o += b
+            np.tanh(o, out=o)
+            np.subtract(h, o, out=after)
+            after *= a[0]
+            after += o
+        h, old = old[-1], old[:-1]
         states[..., :s] = old
         at = np.arange(ids.size) if here is None else np.flatnonzero(here.ravel())
         x = ids.ravel()[at]
         order = rising(x, len(p["x"]))
-        x, order, flat = x[order], at[order], states.reshape(-1, s + 1)
+        x, order = x[order], at[order]
         ds = np.zeros((ids.size, s), kind)
-        ds[order] = self._output_grads(flat[order], x, grads)
+        ds[order] = self._output_grads(states.reshape(-1, s + 1).take(order, axis=0), x, grads)
         ds = ds.reshape(n_steps, n, s)
-        by_n, by_z, by_r = 1 - prop * prop, old - prop, old * r
+        by_n, by_z, by_r = 1 - prop * prop, old - prop, old * zr[:, 1]
         by_n *= 1 - z
         by_z *= z
         by_z *= 1 - z
-        by_r *= 1 - r
+        by_r *= 1 - zr[:, 1]
         dg, dh = np.empty((n_steps, n, 3 * s), kind), np.zeros((n, s), kind)
         zr_w, n_w = np.ascontiguousarray(p["h"][:, : 2 * s].T), np.ascontiguousarray(n_w.T)
-        for t in range(n_steps - 1, -1, -1):
-            d = dg[t]
-            np.multiply(dh, by_z[t], out=d[:, :s])
-            drh = np.multiply(dh, by_n[t], out=d[:, 2 * s :]) @ n_w
-            np.multiply(drh, by_r[t], out=d[:, s : 2 * s])
-            dh *= z[t]
-            drh *= r[t]
+        for t, d, a, bz, br, bn, o in zip(range(n_steps - 1, -1, -1), dg[::-1], zr[::-1], by_z[::-1], by_r[::-1], by_n[::-1], ds[::-1]):
+            np.multiply(dh, bz, out=d[:, :s])
+            bn *= dh
+            d[:, 2 * s :] = bn
+            drh = bn @ n_w
+            np.multiply(drh, br, out=d[:, s : 2 * s])
+            dh *= a[0]
+            drh *= a[1]
             dh += drh
             dh += d[:, : 2 * s] @ zr_w
-            dh += ds[t]
+            dh += o
             if begins[t]:
                 dh[new[t]] = 0  # a document's first state is a constant
         dg = dg.reshape(-1, 3 * s)
@@ -365,7 +422,9 @@ class Gru:
         grads["h"][:, 2 * s :] += rh.reshape(-1, s).T @ dg[:, 2 * s :]
         # one sum for each different token
         begin, sizes = runs_of(x)
-        sums = summed(np.take(dg, order, axis=0, mode="clip"), begin, sizes)
+        by = np.argsort(-sizes, kind="stable")
+        begin, sizes = begin[by], sizes[by]
+        sums = summed(dg, order, begin, sizes)
         grads["x"][x[begin]] += sums
         grads["b"] += sums.sum(axis=0)
         return h
@@ -463,17 +522,16 @@ def runs_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.diff(np.r_[begin, len(ids)])
 
 
-def summed(rows: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Sums of runs of rows: all first rows, then all second ones and so on; what the long runs still have, run by run."""
-    out, at = rows[begin], np.flatnonzero(sizes > 1)
-    k = 1
-    while len(at) > LONG_RUNS:
-        out[at] += rows[begin[at] + k]
+def summed(rows: np.ndarray, order: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of runs, the longest first, of rows in an order: all first rows, then all second ones and so on; what the long runs
+    still have, run by run."""
+    out, k = rows.take(order[begin], axis=0), 1
+    while (n := int(np.searchsorted(-sizes, -k))) > LONG_RUNS:  # runs that have more than k rows
+        out[:n] += rows.take(order[begin[:n] + k], axis=0)
         k += 1
-        at = at[sizes[at] > k]
-    ones = np.ones(sizes.max(), rows.dtype)
-    for i, b, n in zip(at.tolist(), (begin[at] + k).tolist(), (sizes[at] - k).tolist()):
-        out[i] += ones[:n] @ rows[b : b + n]
+    ones = np.ones(sizes[0], rows.dtype)
+    for i, b, m in zip(range(n), (begin[:n] + k).tolist(), (sizes[:n] - k).tolist()):
+        out[i] += ones[:m] @ rows.take(order[b : b + m], axis=0)
     return out
 
 
@@ -550,7 +608,7 @@ class Scorer:
         ends, end = different(pc.utf8_slice_codeunits(words.filter(pa.array(lacks)), -2))
         ids[lacks] = np.array([self.own + group(w) for w in ends.cast(pa.binary()).to_pylist()], np.int32)[end]
         ids = ids[which]
-        in_table = lambda values: np.bincount(of, np.where(lacks, 0, values[places])[which], n)
+        in_table = lambda values: np.add.reduceat(np.where(lacks, 0, values[places])[which], edges[:-1]) if n else np.zeros(0)
         at = lacks[which]
         pairs, times = np.unique(of[at] * max(1, len(listed)) + which[at], return_counts=True)
         doc, word = np.divmod(pairs, max(1, len(listed)))

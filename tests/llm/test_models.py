@@ -472,6 +472,54 @@ def test_adam(monkeypatch):
         assert np.abs(p[k] - nets[0].p[k]).max() < 2e-3, k
 
 
+def test_adam_of_tokens_that_are_rare(monkeypatch):
+    """Tokens are moved when they are read again, by all that the steps between would have moved them, whenever sums are decayed."""
+    r, n = np.random.default_rng(6), 40 + gru_lm.OTHERS
+    counts = np.arange(n, 0, -1)
+    docs = [np.minimum(r.geometric(0.15, size), n) - 1 for size in (1800, 2100, 1999)]
+    docs[0][[700, 1500]] = n - 1  # in two windows of over 60; others in none
+    assert len(np.unique(np.concatenate(docs))) < n
+    got = []
+    for decay in (1, 7, 10_000):  # with 1, all tokens are moved in every step, as Adam is written
+        monkeypatch.setattr(gru_lm, "DECAY", decay)
+        net = gru_lm.Gru(counts)
+        net.train(docs, epochs=1, most=3, step=0.01)
+        got.append(net.p)
+    unseen = np.setdiff1d(np.arange(n), np.concatenate(docs))
+    start = gru_lm.Gru(counts).p["x"]
+    for p in got:
+        assert (p["x"][unseen] == start[unseen]).all() and np.abs(p["x"][n - 1] - start[n - 1]).max() > 1e-3
+        # all alike, but for numbers whose gradients are about as small as Adam's least root
+        assert all(np.abs(p[k] - got[0][k]).mean() < 1e-5 and np.abs(p[k] - got[0][k]).max() < 5e-3 for k in p)
+
+
+def test_adam_reads_few_tokens(monkeypatch):
+    """A step's work on tokens follows those of its window, not the vocabulary: op3_lm_score's budget of CPU seconds."""
+    n = 3000 + gru_lm.OTHERS
+    net, sizes, plain = gru_lm.Gru(np.arange(n, 0, -1)), [], np.sqrt
+
+    def root(x, *args, **more):
+        sizes.append(np.size(x))
+        return plain(x, *args, **more)
+
+    monkeypatch.setattr(gru_lm.np, "sqrt", root)
+    net.train([np.arange(5).repeat(400)], epochs=1, most=2, step=0.01)
+    steps, others = 1000 // gru_lm.WINDOW + 1, sum(x.size for k, x in net.p.items() if k != "x")
+    assert sum(sizes) < steps * (others + 5 * 3 * gru_lm.STATE) + 2 * net.p["x"].size
+
+
+def test_sums_of_runs():
+    """Runs of rows, the longest first; more long runs than are summed one by one, and fewer."""
+    r = np.random.default_rng(7)
+    for tokens in (3, 200):
+        ids = np.sort(np.minimum(r.geometric(0.02, 5000), tokens))
+        order, rows = r.permutation(5000), r.normal(size=(5000, 4))
+        begin, sizes = gru_lm.runs_of(ids)
+        by = np.argsort(-sizes, kind="stable")
+        got = gru_lm.summed(rows, order, begin[by], sizes[by])
+        assert np.allclose(got, np.add.reduceat(rows[order], begin)[by])
+
+
 def test_groups_across_batches():
     import pandas as pd
 
