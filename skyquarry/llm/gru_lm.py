@@ -397,11 +397,12 @@ class Gru:
         ds = np.zeros((ids.size, s), kind)
         ds[order] = self._output_grads(states.reshape(-1, s + 1).take(order, axis=0), x, grads)
         ds = ds.reshape(n_steps, n, s)
-        by_n, by_z, by_r = 1 - prop * prop, old - prop, old * zr[:, 1]
-        by_n *= 1 - z
+        rest, by_n, by_z = 1 - zr, prop * prop, old - prop
+        np.subtract(1, by_n, out=by_n)
+        by_n *= rest[:, 0]
         by_z *= z
-        by_z *= 1 - z
-        by_r *= 1 - zr[:, 1]
+        by_z *= rest[:, 0]
+        by_r = rh * rest[:, 1]
         dg, dh = np.empty((n_steps, n, 3 * s), kind), np.zeros((n, s), kind)
         zr_w, n_w = np.ascontiguousarray(p["h"][:, : 2 * s].T), np.ascontiguousarray(n_w.T)
         for t, d, a, bz, br, bn, o in zip(range(n_steps - 1, -1, -1), dg[::-1], zr[::-1], by_z[::-1], by_r[::-1], by_n[::-1], ds[::-1]):
@@ -442,7 +443,7 @@ class Gru:
         begins = np.cumsum(lengths) - lengths
         _keep_memory()
         s, ready = STATE, self.ready()
-        (z_x, r_x, n_x), z_w, r_w, n_w = ready["tables"], ready["z"], ready["r"], ready["n"]
+        gate_x, n_x, gate_w, n_w = ready["gate_x"], ready["n_x"], ready["gates"], ready["n"]
         h, last = np.zeros((len(owner), s), np.float32), np.full(len(owner), -1)
         for begin in range(0, int(lengths[0]), SCORE_WINDOW):
             k = int((lengths > begin).sum())
@@ -452,7 +453,7 @@ class Gru:
             x, o, run = flat[at], which[at], here.sum(axis=1).tolist()
             new = o != np.concatenate([last[None, :k], o[:-1]])
             last[:k] = o[-1]  # those of streams that end here are not read again
-            begun = new.any(axis=1).tolist()
+            begun, both = new.any(axis=1).tolist(), x[:, None] + np.array([[0], [len(n_x)]])
             states, pos = np.ones((sum(run), s + 1), np.float32), 0
             for t, k in enumerate(run):
                 old = h[:k]
@@ -460,16 +461,14 @@ class Gru:
                     old[new[t, :k]] = 0
                 states[pos : pos + k, :s] = old
                 pos += k
-                z, r = old @ z_w, old @ r_w  # first halves of sums, then twice the gates
-                z += np.take(z_x, x[t, :k], axis=0, mode="clip")
-                r += np.take(r_x, x[t, :k], axis=0, mode="clip")
-                np.tanh(z, out=z)
-                np.tanh(r, out=r)
-                z += 1
-                r += 1
+                a = np.matmul(old, gate_w)  # first halves of sums, then twice the gates
+                a += gate_x.take(both[t, :, :k], axis=0, mode="clip")
+                np.tanh(a, out=a)
+                a += 1
+                z, r = a
                 r *= old
                 n = r @ n_w
-                n += np.take(n_x, x[t, :k], axis=0, mode="clip")
+                n += n_x.take(x[t, :k], axis=0, mode="clip")
                 np.tanh(n, out=n)
                 z *= 0.5
                 old -= n
@@ -484,10 +483,10 @@ class Gru:
         s, p = STATE, self.p
         table = p["x"] + p["b"]
         table[:, : 2 * s] *= 0.5  # a sigmoid is half of a tanh of half, and a half
-        tables = [np.ascontiguousarray(table[:, i : i + s]) for i in (0, s, 2 * s)]
+        z_x, r_x, n_x = (np.ascontiguousarray(table[:, i : i + s]) for i in (0, s, 2 * s))
         z, r, n = (p["h"][:, i : i + s] * np.float32(0.5) for i in (0, s, 2 * s))
         words = [np.ascontiguousarray(np.concatenate([p["w"][b:f], (p["wb"] + self.share_word)[b:f, None]], axis=1).T) for b, f in zip(self.first, self.first[1:])]
-        return {"tables": tables, "z": z, "r": r, "n": n, "classes": np.concatenate([p["c"], (p["cb"] + self.share_class)[None]]).astype(np.float32), "words": words, "ones": np.ones(len(self.cls), np.float32), "calm": self.calm()}
+        return {"gate_x": np.concatenate([z_x, r_x]), "n_x": n_x, "gates": np.stack([z, r]), "n": n, "classes": np.concatenate([p["c"], (p["cb"] + self.share_class)[None]]).astype(np.float32), "words": words, "ones": np.ones(len(self.cls), np.float32), "calm": self.calm()}
 
     def log_p(self, states: np.ndarray, ids: np.ndarray, ready: dict) -> np.ndarray:
         """output() without gradients; states end in a one."""
@@ -495,7 +494,7 @@ class Gru:
             return self.output(states[:, :-1], ids)
         n, ones, rows = len(ids), ready["ones"], np.arange(len(ids))
         order = rising(ids, len(self.cls))
-        states, ids = states[order], ids[order]
+        states, ids = states.take(order, axis=0), ids[order]
         cls, edges = self.cls[ids], np.searchsorted(ids, self.first).tolist()
         at, own, total, sums = ids - self.first[cls], np.zeros(n, np.float32), np.empty(n, np.float32), np.ones(n, np.float32)
         for begin in range(0, n, ROWS):  # what stays in a core's cache
